@@ -2,7 +2,27 @@
 
 from __future__ import annotations
 
+from pagewright.llm import urls
+from pagewright.llm.packing import op10_retrieval_packing
+from pagewright.llm.pii import op3_pii
+from pagewright.llm.quality import op9_quality_classifier
 from pagewright.llm.repeats import op1_suffix_dedup
+from pagewright.llm.telephony import op8_telephony_audio
+from pagewright.llm.token_counts import op4_token_counts
+from pagewright.llm.token_files import op5_token_files
+from pagewright.llm.urls import op2_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffix_dedup,
+        op2_url_filter,
+        op3_pii,
+        op4_token_counts,
+        op5_token_files,
+        op8_telephony_audio,
+        op9_quality_classifier,
+        op10_retrieval_packing,
+    )
+}
+ORACLES: dict[str, str] = {"op2_url_filter": urls.oracle()}
