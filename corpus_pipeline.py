@@ -1,8 +1,60 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: quality, near copies, benchmark leaks, personal data, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on all rows that the stage before it
+kept and returns a DataFrame, which is written and read again before the next one.
+All but the last return the columns of ``documents``. No SQL expresses the stages
+(a fitted model, exact similarity groups, BM25 packing); tests hold each against a
+plain version instead.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from pagewright.llm import decontaminate, jaccard, packing, pii, quality
+from pagewright.llm.common import saved, table
+from pagewright.llm.tokens import vocabulary
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: documents that the classifier rejects go."""
+    return quality.keep_good(docs)
+
+
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: one document of each group of similar ones stays, the one of least id."""
+    return jaccard.one_of_each(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: documents that hold a benchmark item go."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: personal data and the terms that disclose it leave the texts."""
+    return pii.sanitise(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: the texts packed into sequences."""
+    return packing.pack(docs, vocabulary())
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("n-gram Jaccard join", jaccard_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("personal data", pii_stage),
+    ("retrieval packing", packing_stage),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = saved(docs, f"stage{i}")
+    return docs

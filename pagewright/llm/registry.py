@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pagewright.llm import urls
+from pagewright.llm.decontaminate import op6_decontaminate
 from pagewright.llm.jaccard import op7_ngram_jaccard_join
 from pagewright.llm.packing import op10_retrieval_packing
 from pagewright.llm.pii import op3_pii
@@ -21,6 +22,7 @@ QUERIES = {
         op3_pii,
         op4_token_counts,
         op5_token_files,
+        op6_decontaminate,
         op7_ngram_jaccard_join,
         op8_telephony_audio,
         op9_quality_classifier,
