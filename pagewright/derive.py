@@ -52,7 +52,7 @@ COS, SIN = 0.9902680687415704, 0.13917310096006544  # of 8 degrees
 def corners(df: DataFrame) -> DataFrame:
     """``df`` with the four corners of its boxes, turned by 8 degrees where doc_id is a multiple of 5."""
     out = df
-    for name, x, y in (("a", "x0", "y0"), ("b", "x1", "y0"), ("c", "x1", "y1"), ("d", "x0", "y1")):
+    for name, x, y in (("p", "x0", "y0"), ("q", "x1", "y0"), ("r", "x1", "y1"), ("s", "x0", "y1")):
         turned = F.col("doc_id") % 5 == 0
         out = out.withColumn(name + "x", F.when(turned, F.col(x) * COS - F.col(y) * SIN).otherwise(F.col(x)))
         out = out.withColumn(name + "y", F.when(turned, F.col(x) * SIN + F.col(y) * COS).otherwise(F.col(y)))
@@ -140,7 +140,7 @@ SELECT *, x0 + 9 * length(text) AS x1, y0 + 20 AS y1, CASE WHEN (doc_id + page)
     CAST(60 + 520 * ((seq % {PAGE}) // {COLUMN}) + CASE WHEN chunk_no = 0 THEN 24 ELSE 0 END AS DOUBLE) AS x0,
     CAST(50 + 30 * (seq % {PAGE} % {COLUMN}) + (doc_id + 7 * seq) % 3 AS DOUBLE) AS y0,
     CAST(0.5 AS DOUBLE) + ((31 * doc_id + 17 * seq) % 50) / CAST(100 AS DOUBLE) AS score FROM chunks)""",
-    "turned": "SELECT *, " + ", ".join(f"CASE WHEN doc_id % 5 = 0 THEN {x} * CAST({COS!r} AS DOUBLE) - {y} * CAST({SIN!r} AS DOUBLE) ELSE {x} END AS {n}x, CASE WHEN doc_id % 5 = 0 THEN {x} * CAST({SIN!r} AS DOUBLE) + {y} * CAST({COS!r} AS DOUBLE) ELSE {y} END AS {n}y" for n, x, y in (("a", "x0", "y0"), ("b", "x1", "y0"), ("c", "x1", "y1"), ("d", "x0", "y1"))) + " FROM blocks",
+    "turned": "SELECT *, " + ", ".join(f"CASE WHEN doc_id % 5 = 0 THEN {x} * CAST({COS!r} AS DOUBLE) - {y} * CAST({SIN!r} AS DOUBLE) ELSE {x} END AS {n}x, CASE WHEN doc_id % 5 = 0 THEN {x} * CAST({SIN!r} AS DOUBLE) + {y} * CAST({COS!r} AS DOUBLE) ELSE {y} END AS {n}y" for n, x, y in (("p", "x0", "y0"), ("q", "x1", "y0"), ("r", "x1", "y1"), ("s", "x0", "y1"))) + " FROM blocks",
     "fragments": """
 SELECT job_id, doc_id, page, block_no AS line_id, CAST(g AS INTEGER) AS frag_no, x0 + 140 * g AS x0, x0 + 140 * g + 7 * length(t) AS x1, y0, y1, score, t AS text FROM (
   SELECT *, array_to_string(w[g * 3 + 1 : g * 3 + 3], ' ') AS t FROM (
