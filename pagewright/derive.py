@@ -179,4 +179,4 @@ def with_tables(sql: str, *names: str) -> str:
     for name in names:
         add(name)
     ctes = ",\n".join(f"{n} AS ({SQL[n]})" for n in order)
-    return f"WITH {ctes}\n{sql}" if order else sql
+    return f"WITH RECURSIVE {ctes}\n{sql}" if order else sql

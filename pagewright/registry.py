@@ -25,5 +25,5 @@ def query(sql: str | None = None, *tables: str):
     return add
 
 
-for _module in ("texts", "filtering", "shapes", "outcomes", "labels", "outputs"):
+for _module in ("texts", "filtering", "shapes", "outcomes", "labels", "outputs", "layouts"):
     importlib.import_module(f"pagewright.queries.{_module}")
