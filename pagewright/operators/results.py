@@ -80,6 +80,18 @@ def fair_order(tasks: DataFrame, job: str = "job_id", task: Sequence[str] = PAGE
     return tasks.withColumn("round", F.row_number().over(Window.partitionBy(job).orderBy(*task)))
 
 
+def sequential_order(tasks: DataFrame, job: str = "job_id", task: Sequence[str] = PAGE) -> DataFrame:
+    """The first job to its end, then the next: place counts from 1 over all tasks.
+
+    Jobs start where the sizes of the jobs before them end, so only one row a job, not a
+    task, is summed in one place.
+    """
+    sizes = tasks.groupBy(job).agg(F.count(F.lit(1)).alias("n"))
+    starts = sizes.select(job, (F.sum("n").over(Window.orderBy(job)) - F.col("n")).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy(job).orderBy(*task))
+    return tasks.withColumn("__k", inside).join(starts, job).withColumn("place", F.col("__start") + F.col("__k")).drop("__k", "__start")
+
+
 def delete_range(rows: DataFrame, order: str, first: Column, last: Column) -> DataFrame:
     return rows.filter(~F.col(order).between(F.least(first, last), F.greatest(first, last)))
 

@@ -108,6 +108,11 @@ def fair_order(spark, sf_dir):
     return results.fair_order(derive.pages(spark, sf_dir).select("job_id", "doc_id", "page"))
 
 
+@query("SELECT job_id, doc_id, page, row_number() OVER (ORDER BY job_id, doc_id, page) AS place FROM page_list", "page_list")
+def sequential_order(spark, sf_dir):
+    return results.sequential_order(derive.pages(spark, sf_dir).select("job_id", "doc_id", "page"))
+
+
 @query("SELECT doc_id, page, block_no FROM blocks WHERE NOT block_no BETWEEN least(30 - doc_id % 20, 20) AND greatest(30 - doc_id % 20, 20)", "blocks")
 def delete_range(spark, sf_dir):
     return results.delete_range(derive.blocks(spark, sf_dir), "block_no", 30 - F.col("doc_id") % 20, F.lit(20)).select("doc_id", "page", "block_no")
