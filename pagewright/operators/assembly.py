@@ -34,17 +34,22 @@ def document_texts(pages: DataFrame, keys=("doc_id",), order: str = "page") -> D
     return pages.groupBy(*keys).agg(joined("text", F.col(order)).alias("text"), F.sum("n_blocks").alias("n_blocks"))
 
 
-def batch_text(results: DataFrame, keys, order: str, empty: str) -> DataFrame:
-    """Texts and error messages of a batch; a line end before each that follows a text without one, ``empty`` if nothing was found.
+#: Fixed value: what a batch without any text says.
+NO_TEXT = "[Message] No text in OCR result."
 
-    ``results`` has code and text, the text with its last separator, or the message.
+
+def batch_text(results: DataFrame, keys, order: str, empty: str = NO_TEXT) -> DataFrame:
+    """Texts and error messages of a batch; a line end before each result, blank ones too, that follows a text without one; ``empty`` if nothing was found.
+
+    ``results`` has code and text: the text with its last separator, the message of a
+    failure, or nothing for a blank one. Only the result just before can lack its line
+    end, as a blank one would have had it put before itself.
     """
-    shown = results.filter(F.col("code") != 101)
-    before = F.lag("text").over(Window.partitionBy(*keys).orderBy(order))
-    parted = shown.withColumn("__text", F.concat(F.when(before.isNotNull() & (before != "") & ~before.endswith("\n"), "\n").otherwise(""), "text"))
+    text = F.when(F.col("code") == 101, "").otherwise(F.coalesce("text", F.lit("")))
+    before = F.lag(text).over(Window.partitionBy(*keys).orderBy(order))
+    parted = results.withColumn("__text", F.concat(F.when((before != "") & ~before.endswith("\n"), "\n").otherwise(""), text))
     out = parted.groupBy(*keys).agg(joined("__text", F.col(order)).alias("text"))
-    every = results.select(*keys).distinct().join(out, list(keys), "left")
-    return every.withColumn("text", F.when(F.coalesce("text", F.lit("")) == "", empty).otherwise(F.col("text")))
+    return out.withColumn("text", F.when(F.col("text") == "", empty).otherwise(F.col("text")))
 
 
 def copied_text(results: DataFrame, keys, order: str) -> DataFrame:

@@ -28,10 +28,10 @@ def image_codes(results: DataFrame, surviving: DataFrame, keys: Sequence[str] =
 def document_codes(parts: DataFrame, keys: Sequence[str] = PAGE, order: str = "part_no") -> DataFrame:
     """Final code and message of document pages from their parts: any text is 100, else any failure 102, else 101."""
     failed = ~F.col("code").isin(100, 101)
-    message = joined(F.when(failed, F.concat(F.lit("[Error] "), F.col("code").cast("string"), F.lit(" "), F.coalesce("message", F.lit("")), F.lit("\n"))), F.col(order))
+    message = joined(F.when(failed, F.concat(F.lit("[Error] OCR code:"), F.col("code").cast("string"), F.lit(" msg:"), F.coalesce("message", F.lit("")), F.lit("\n"))), F.col(order))
     out = parts.groupBy(*keys).agg(F.sum("n_blocks").alias("n_blocks"), F.count_if(failed).alias("n_failed"), message.alias("message"))
     code = F.when(F.col("n_blocks") > 0, 100).when(F.col("n_failed") > 0, 102).otherwise(101)
-    return out.withColumn("code", code).withColumn("message", F.when(F.col("n_failed") > 0, F.concat(F.lit("page "), F.col(keys[-1]).cast("string"), F.lit("\n"), F.col("message"))).otherwise(""))
+    return out.withColumn("code", code).withColumn("message", F.when(F.col("n_failed") > 0, F.concat(F.lit("[Error] Doc P"), F.col(keys[-1]).cast("string"), F.lit("\n"), F.col("message"))).otherwise(""))
 
 
 def job_progress(tasks: DataFrame, results: DataFrame, job: str = "job_id", keys: Sequence[str] = PAGE) -> DataFrame:

@@ -50,16 +50,16 @@ def doc_page_codes(spark, sf_dir):
     return results.document_codes(parts_of(spark, sf_dir)).select("doc_id", "page", "code", "n_blocks")
 
 
-@query(f"SELECT doc_id, page, coalesce('page ' || page || chr(10) || string_agg('[Error] ' || code || ' ' || coalesce(message, '') || chr(10), '' ORDER BY part_no) FILTER (code NOT IN (100, 101)), '') AS message FROM {PARTS} GROUP BY doc_id, page", "page_results")
+@query(f"SELECT doc_id, page, coalesce('[Error] Doc P' || page || chr(10) || string_agg('[Error] OCR code:' || code || ' msg:' || coalesce(message, '') || chr(10), '' ORDER BY part_no) FILTER (code NOT IN (100, 101)), '') AS message FROM {PARTS} GROUP BY doc_id, page", "page_results")
 def page_errors(spark, sf_dir):
     return results.document_codes(parts_of(spark, sf_dir)).select("doc_id", "page", "message")
 
 
-@query("SELECT img_id, coalesce(string_agg(code_no || ':' || content_type, chr(10) ORDER BY code_no) FILTER (valid), 'no code found') AS text FROM barcodes GROUP BY img_id", "barcodes")
+@query("SELECT img_id, coalesce(string_agg(code_no || ':' || content_type, chr(10) ORDER BY code_no) FILTER (valid), 'No code in image.') AS text FROM barcodes GROUP BY img_id", "barcodes")
 def barcode_text(spark, sf_dir):
     text = F.when(F.col("valid"), F.concat(F.col("code_no").cast("string"), F.lit(":"), "content_type"))
     out = derive.barcodes(spark, sf_dir).withColumn("t", text).groupBy("img_id").agg(assembly.joined("t", F.col("code_no"), "\n").alias("text"))
-    return out.withColumn("text", F.when(F.col("text") == "", "no code found").otherwise(F.col("text")))
+    return out.withColumn("text", F.when(F.col("text") == "", "No code in image.").otherwise(F.col("text")))
 
 
 @query("""SELECT job_id, processed_count, pages_count, failed_count, processed_count = pages_count AS is_done, CASE WHEN processed_count = pages_count AND failed_count = 0 THEN 'success' WHEN processed_count = pages_count THEN 'failure' WHEN processed_count > 0 THEN 'running' ELSE 'waiting' END AS state FROM (

@@ -16,7 +16,7 @@ def rendered(spark, sf_dir):
     return r.join(pages_of(spark, sf_dir).drop("n_blocks"), ["doc_id", "page"]).withColumns({"name": name, "seq": F.col("page")})
 
 
-@query(f"SELECT doc_id, page, '≦ ' || name || ' ≧' || chr(10) || CASE code WHEN 100 THEN text || chr(10) WHEN 101 THEN '' ELSE '[Error] OCR failed. Code: ' || code || chr(10) || '[Error] Message: ' || coalesce(message, '') || chr(10) END AS line FROM {RESULTS}", "page_results")
+@query(f"SELECT doc_id, page, '≦ ' || name || ' ≧' || chr(10) || CASE code WHEN 100 THEN text || chr(10) WHEN 101 THEN '' ELSE '[Error] OCR failed. Code: ' || code || ', Msg: ' || coalesce(message, '') || chr(10) || '【异常】OCR识别失败。' || chr(10) END || chr(10) AS line FROM {RESULTS}", "page_results")
 def txt_lines(spark, sf_dir):
     return sinks.lines_txt(rendered(spark, sf_dir)).select("doc_id", "page", "line")
 
@@ -26,12 +26,12 @@ def plain_lines(spark, sf_dir):
     return sinks.lines_plain(rendered(spark, sf_dir)).select("doc_id", "page", "line")
 
 
-@query(f"SELECT doc_id, page, '---' || chr(10) || '![](' || replace(path, ' ', '%20') || ')' || chr(10) || '[' || name || '](' || replace(path, ' ', '%20') || ')' || chr(10) || chr(10) || CASE code WHEN 100 THEN array_to_string(list_transform(string_split(text, chr(10)), lambda v: '> ' || v || '  '), chr(10)) WHEN 101 THEN '' ELSE '> [Error] ' || code || ': ' || coalesce(message, '') END AS line FROM {RESULTS}", "page_results")
+@query(f"SELECT doc_id, page, chr(10) || '---' || chr(10) || '![' || name || '](' || replace(path, ' ', '%20') || ')' || chr(10) || '[' || name || '](' || replace(path, ' ', '%20') || ')' || chr(10) || chr(10) || CASE code WHEN 100 THEN array_to_string(list_transform(string_split(text, chr(10)), lambda v: '> ' || v || '  '), chr(10)) || chr(10) WHEN 101 THEN '' ELSE '> [Error] OCR failed. Code: ' || code || ', Msg: ' || coalesce(message, '') || '  ' || chr(10) || '> 【异常】OCR识别失败。  ' || chr(10) END AS line FROM {RESULTS}", "page_results")
 def md_lines(spark, sf_dir):
     return sinks.lines_md(rendered(spark, sf_dir)).select("doc_id", "page", "line")
 
 
-@query("SELECT doc_id, page, '[Error] Code: ' || code || '; Message: ' || message AS csv, '> [Error] ' || code || ': ' || message AS md FROM page_results WHERE code = 902", "page_results")
+@query("SELECT doc_id, page, '[Error] OCR failed. Code: ' || code || ', Msg: ' || message || ' .' || chr(10) AS csv, '> [Error] OCR failed. Code: ' || code || ', Msg: ' || message || '  ' || chr(10) || '> 【异常】OCR识别失败。  ' || chr(10) AS md FROM page_results WHERE code = 902", "page_results")
 def error_lines(spark, sf_dir):
     r = derive.page_results(spark, sf_dir).filter("code not in (100, 101)")
     return r.select("doc_id", "page", *[sinks.error_line(k, F.col("code"), F.col("message")).alias(k) for k in ("csv", "md")])

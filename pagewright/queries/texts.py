@@ -50,11 +50,10 @@ def result_texts(spark, sf_dir):
     return joined.select("job_id", "doc_id", "page", "code", (F.col("finished_s") * 1000 + F.col("page")).alias("seq"), text.alias("text"))
 
 
-@query(f"""WITH shown AS (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY seq) AS before FROM {RESULT_TEXT} WHERE code <> 101),
-made AS (SELECT doc_id, string_agg(CASE WHEN before <> '' AND NOT ends_with(before, chr(10)) THEN chr(10) ELSE '' END || text, '' ORDER BY seq) AS text FROM shown GROUP BY doc_id)
-SELECT doc_id, md5(CASE WHEN coalesce(text, '') = '' THEN 'nothing found' ELSE text END) AS text_md5 FROM (SELECT DISTINCT doc_id FROM page_results) LEFT JOIN made USING (doc_id)""".replace("WITH shown", ", shown", 1), "page_results")
+@query(f"""SELECT doc_id, md5(CASE WHEN text = '' THEN '{assembly.NO_TEXT}' ELSE text END) AS text_md5 FROM (SELECT doc_id, string_agg(CASE WHEN before <> '' AND NOT ends_with(before, chr(10)) THEN chr(10) ELSE '' END || text, '' ORDER BY seq) AS text
+FROM (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY seq) AS before FROM {RESULT_TEXT}) GROUP BY doc_id)""", "page_results")
 def batch_text(spark, sf_dir):
-    return assembly.batch_text(result_texts(spark, sf_dir), ["doc_id"], "seq", "nothing found").select("doc_id", F.md5("text").alias("text_md5"))
+    return assembly.batch_text(result_texts(spark, sf_dir), ["doc_id"], "seq").select("doc_id", F.md5("text").alias("text_md5"))
 
 
 @query(f"""SELECT doc_id, md5(coalesce(string_agg(CASE WHEN text <> '' THEN text || CASE WHEN last THEN '' ELSE chr(10) END END, '' ORDER BY seq), '')) AS text_md5

@@ -15,21 +15,31 @@ from pyspark.sql import functions as F
 from pagewright.functions.text import quoted_lines
 
 
+# How each format words a failure, before and after code and message.
+FAILED, FAILED_LOCAL = "[Error] OCR failed. Code: ", "【异常】OCR识别失败。"
+
+
 def error_line(kind: str, code: Column, message: Column) -> Column:
-    """How each format words a failure."""
-    c, m = code.cast("string"), F.coalesce(message, F.lit(""))
+    """A failure as each format words it: txt and md in two lines, csv in one."""
+    said = F.concat(F.lit(FAILED), code.cast("string"), F.lit(", Msg: "), F.coalesce(message, F.lit("")))
     if kind == "txt":
-        return F.concat(F.lit("[Error] OCR failed. Code: "), c, F.lit("\n[Error] Message: "), m)
-    if kind == "csv":
-        return F.concat(F.lit("[Error] Code: "), c, F.lit("; Message: "), m)
-    return F.concat(F.lit("> [Error] "), c, F.lit(": "), m)
+        return F.concat(said, F.lit("\n" + FAILED_LOCAL + "\n"))
+    if kind == "md":
+        return F.concat(F.lit("> "), said, F.lit("  \n> " + FAILED_LOCAL + "  \n"))
+    return F.concat(said, F.lit(" .\n"))
+
+
+def with_header(lines: DataFrame, started: str, quoted: bool = False) -> DataFrame:
+    """A first line for each job with the time it started and a blank line, at seq -1."""
+    head = lines.select("job_id").distinct().select("job_id", F.lit(-1).alias("seq"), F.lit(("> " if quoted else "") + started + "\n\n").alias("line"))
+    return lines.select("job_id", "seq", "line").unionByName(head)
 
 
 def lines_txt(results: DataFrame) -> DataFrame:
-    """seq, line: title and text; the title alone for a blank page; two lines of error."""
+    """line: title and text, the title alone for a blank page, or the failure; then a blank line."""
     title = F.concat(F.lit("≦ "), "name", F.lit(" ≧\n"))
-    body = F.when(F.col("code") == 100, F.concat("text", F.lit("\n"))).when(F.col("code") == 101, "").otherwise(F.concat(error_line("txt", F.col("code"), F.col("message")), F.lit("\n")))
-    return results.withColumn("line", F.concat(title, body))
+    body = F.when(F.col("code") == 100, F.concat("text", F.lit("\n"))).when(F.col("code") == 101, "").otherwise(error_line("txt", F.col("code"), F.col("message")))
+    return results.withColumn("line", F.concat(title, body, F.lit("\n")))
 
 
 def lines_plain(results: DataFrame) -> DataFrame:
@@ -40,8 +50,8 @@ def lines_plain(results: DataFrame) -> DataFrame:
 def lines_md(results: DataFrame) -> DataFrame:
     """A rule, an image and a link line, and the text quoted."""
     link = F.replace("path", F.lit(" "), F.lit("%20"))
-    head = F.concat(F.lit("---\n![]("), link, F.lit(")\n["), "name", F.lit("]("), link, F.lit(")\n\n"))
-    body = F.when(F.col("code") == 100, quoted_lines(F.col("text"))).when(F.col("code") == 101, "").otherwise(error_line("md", F.col("code"), F.col("message")))
+    head = F.concat(F.lit("\n---\n!["), "name", F.lit("]("), link, F.lit(")\n["), "name", F.lit("]("), link, F.lit(")\n\n"))
+    body = F.when(F.col("code") == 100, F.concat(quoted_lines(F.col("text")), F.lit("\n"))).when(F.col("code") == 101, "").otherwise(error_line("md", F.col("code"), F.col("message")))
     return results.withColumn("line", F.concat(head, body))
 
 
@@ -67,7 +77,8 @@ def lines_json(results: DataFrame, columns: Sequence[str]) -> DataFrame:
 def write_lines(lines: DataFrame, path: str, job: str = "job_id", order: str = "seq") -> None:
     """One folder a job, lines in order."""
     dealt = lines.repartition(job).sortWithinPartitions(job, order)
-    dealt.select(job, F.col("line").alias("value")).write.partitionBy(job).option("lineSep", "\n").text(path)
+    # Lines bring their own line ends.
+    dealt.select(job, F.regexp_replace("line", r"\n$", "").alias("value")).write.partitionBy(job).text(path)
 
 
 def write_single(results: DataFrame, path: str, ignore_blank: bool = True) -> None:

@@ -51,14 +51,19 @@ def test_logs(spark, tmp_path):
 
 def test_text_sinks(spark, results, tmp_path):
     sinks.write_all(results, str(tmp_path), ["txt", "plain", "md", "json", "csv"])
-    assert lines(spark, tmp_path / "plain", "j1") == ["one\ntwo\n\n"]
+    assert lines(spark, tmp_path / "plain", "j1") == ["one\ntwo\n"]
     txt = lines(spark, tmp_path / "txt", "j1")[0]
-    assert txt.index("≦ a b.pdf - 1 ≧\none\ntwo\n") < txt.index("≦ a b.pdf - 2 ≧\n") < txt.index("Code: 902\n[Error] Message: broke")
+    assert txt.index("≦ a b.pdf - 1 ≧\none\ntwo\n") < txt.index("≦ a b.pdf - 2 ≧\n") < txt.index("Code: 902, Msg: broke\n")
     md = lines(spark, tmp_path / "md", "j1")[0]
-    assert "![](a%20b.pdf)\n[a b.pdf - 1](a%20b.pdf)\n\n> one  \n> two  " in md
+    assert "---\n![a b.pdf - 1](a%20b.pdf)\n[a b.pdf - 1](a%20b.pdf)\n\n> one  \n> two  \n" in md
     back = spark.read.json(f"{tmp_path}/json")
     assert back.count() == 4 and back.filter("code = 101").count() == 1
-    assert {r.OCR for r in spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{tmp_path}/csv").collect()} == {"one\ntwo", None, "[Error] Code: 902; Message: broke", 'ü, "x"'}
+    assert {r.OCR for r in spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{tmp_path}/csv").collect()} == {"one\ntwo", None, "[Error] OCR failed. Code: 902, Msg: broke .", 'ü, "x"'}
+
+
+def test_header(results):
+    lines_ = sinks.with_header(sinks.lines_md(results), "2024-01-01 00:00:00", quoted=True)
+    assert [r.line for r in lines_.filter("seq = -1").collect()] == ["> 2024-01-01 00:00:00\n\n"] * 2
 
 
 def test_csv_encoding(results, tmp_path):
