@@ -9,9 +9,10 @@ a common order, so that linked sets meet in a list. The order is the shingle's
 hash, except that frequent shingles (found by merged counts of each batch, at most
 ``MOST_FREQUENT``) come last by rising count.
 
-Skipping between sets (answers): each list has a leader, its least set. First all
-sets are compared with their lists' leaders only, a number of pairs in proportion
-to the lists. A set that links to its leader takes over the leader's component, so
+Skipping between sets (answers): each list has a leader, the set in which the
+shingle comes first: the one with the fewest shingles of its own, in a group of
+copies the original. First all sets are compared with their lists' leaders only, a
+number of pairs in proportion to the lists. A set that links to its leader takes over the leader's component, so
 within a component no pair is compared again. For the pairs that remain, of
 different components, the overlap with the common leader bounds their own: from
 x to y it can exceed that of the leader with y only by the shingles x has and the
@@ -36,19 +37,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import plain, saved, table
+from pagewright.llm.common import arrow_rows, plain, saved, table
 from pagewright.llm.components import components
 from pagewright.llm.kernels import U64, chunks, mix, shingles, utf8, words
 
 PERCENT = 80
 WIDTH = 5
 #: Shingles held to be frequent: from so many different sets on in the counts, and at most so many.
-FREQUENT, MOST_FREQUENT = 12, 200_000
+FREQUENT, MOST_FREQUENT = 6, 200_000
 #: Bits of the fixed-size filter that keeps texts that stand in no list from being moved.
 FILTER_BITS = 1 << 23
+#: Among so many leaders the lists that two sets share may be parted.
+LEADERS = 6
+#: Pairs of texts that a Python worker gets at a time.
+PAIR_ROWS = 128
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray):
@@ -84,57 +89,52 @@ def _pick(s: np.ndarray, bounds: np.ndarray, keep: np.ndarray) -> tuple[np.ndarr
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles that several different sets of a batch have: how many, and the least of these sets."""
+    """Shingles that several different sets of a batch have, and how many."""
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
-        all_s, all_name = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+        found = [np.zeros(0, U64)]
         for _, part, at in chunks(data, offsets):
             s, bounds, size, name = _sets(part, at)
-            s, owner = _pick(s, bounds, _fresh(name, size))
-            all_s.append(s)
-            all_name.append(name[owner])
-        s, name = np.concatenate(all_s), np.concatenate(all_name)
-        order = np.argsort(s, kind="stable")
-        s, name = s[order], name[order]
+            found.append(_pick(s, bounds, _fresh(name, size))[0])
+        s = np.sort(np.concatenate(found))
         edges = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
         count = np.diff(np.append(edges, len(s)))
-        many = count >= 3
+        many = count >= 2
         if many.any():
-            least = np.minimum.reduceat(name, edges)[many]
-            yield pa.RecordBatch.from_pydict({"shingle": s[edges[many]].view(np.int64), "count": count[many].astype(np.int64), "leader": least})
+            yield pa.RecordBatch.from_pydict({"shingle": s[edges[many]].view(np.int64), "count": count[many].astype(np.int64)})
 
 
-def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Frequent shingles in ascending order, their ranks by count and their leaders: at most ``MOST_FREQUENT``."""
-    counted = docs.mapInArrow(_counts, "shingle long, count long, leader long").groupBy("shingle").agg(F.sum("count").alias("count"), F.min("leader").alias("leader"))
+def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles in ascending order and their ranks by count: at most ``MOST_FREQUENT``."""
+    counted = docs.mapInArrow(_counts, "shingle long, count long").groupBy("shingle").agg(F.sum("count").alias("count"))
     rows = counted.filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "shingle").limit(MOST_FREQUENT).toArrow()
-    s, count, leader = (rows.column(c).to_numpy() for c in ("shingle", "count", "leader"))
+    s, count = (rows.column(c).to_numpy() for c in ("shingle", "count"))
     s = s.view(U64) if len(s) else np.zeros(0, U64)
     rank = np.empty(len(s), np.int64)
     rank[np.lexsort((s, count))] = np.arange(1, len(s) + 1)
     order = np.argsort(s)
-    return s[order], rank[order], leader[order]
+    return s[order], rank[order]
 
 
-def prefixes(data: np.ndarray, offsets: np.ndarray, frequent_ones: tuple[np.ndarray, np.ndarray, np.ndarray]):
-    """Shingle, set, size, place, leader and whether frequent, of every entry of the prefix lists."""
+def prefixes(data: np.ndarray, offsets: np.ndarray, frequent_ones: tuple[np.ndarray, np.ndarray]):
+    """Shingle, set, size, place and whether frequent, of every entry of the prefix lists."""
     s, bounds, size, name = _sets(data, offsets)
     s, owner = _pick(s, bounds, _fresh(name, size))
-    known, ranks, leaders = frequent_ones
-    leader, rank = np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
+    known, ranks = frequent_ones
+    rank = np.zeros(len(s), np.int64)
     if len(known) and len(s):
         at = np.minimum(np.searchsorted(known, s), len(known) - 1)
         found = known[at] == s
-        rank[found], leader[found] = ranks[at[found]], leaders[at[found]]
+        rank[found] = ranks[at[found]]
         order = np.argsort(owner * (len(known) + 1) + rank, kind="stable")
-        s, leader, rank = s[order], leader[order], rank[order]
+        s, rank = s[order], rank[order]
     place = np.arange(len(s)) - np.searchsorted(owner, owner)
     n = size[owner]
     keep = place < n - (PERCENT * n + 99) // 100 + 1
-    return s[keep].view(np.int64), name[owner[keep]], n[keep], place[keep], leader[keep], rank[keep] > 0
+    return s[keep].view(np.int64), name[owner[keep]], n[keep], place[keep], rank[keep] > 0
 
 
-_ENTRY = "shingle long, name long, n int, place int, leader long, hot boolean"
+_ENTRY = "shingle long, name long, n int, place int, hot boolean"
 
 
 def _entries(batches: Iterator[pa.RecordBatch], hot) -> Iterator[pa.RecordBatch]:
@@ -142,49 +142,53 @@ def _entries(batches: Iterator[pa.RecordBatch], hot) -> Iterator[pa.RecordBatch]
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
         for _, part, at in chunks(data, offsets):
-            s, name, n, place, led, is_hot = prefixes(part, at, tables)
+            s, name, n, place, is_hot = prefixes(part, at, tables)
             if len(s):
-                yield pa.RecordBatch.from_pydict({"shingle": s, "name": name, "n": n.astype(np.int32), "place": place.astype(np.int32), "leader": led, "hot": is_hot})
+                yield pa.RecordBatch.from_pydict({"shingle": s, "name": name, "n": n.astype(np.int32), "place": place.astype(np.int32), "hot": is_hot})
+
+
+_LISTED = "shingle long, name long, n int, place int, hot boolean, leader long, leader_n int"
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries come sorted by shingle and set. Those alone in their list go; the others get the list's least set as leader.
+    """Entries come sorted by shingle, place and set. Those alone in their list go; the others get the list's first as leader.
 
-    Entries under frequent shingles, dealt out over all tasks, have a leader already
-    and pass. Of a list only its leader, or its one entry so far, is remembered.
+    Entries under frequent shingles are dealt out over all tasks; they pass and get
+    their leader later. Of a list only its first entry is remembered.
     """
     waiting: pa.RecordBatch | None = None  # the entry of a list that has one set so far
-    shingle, leader = None, None  # of a list that is known to have several
+    shingle, leader, leader_n = None, None, None  # of a list that is known to have several
     for batch in batches:
         hot = batch.column("hot").to_numpy(zero_copy_only=False)
         if hot.any():
             rows = batch.filter(pa.array(hot))
-            yield _with_leader(rows, rows.column("leader").to_numpy())
+            yield _with_leader(rows, rows.column("name").to_numpy(), rows.column("n").to_numpy())
             batch = batch.filter(pa.array(~hot))
         if waiting is not None and batch.num_rows:
             batch = pa.Table.from_batches([waiting, batch]).combine_chunks().to_batches()[0]
             waiting = None
         if not batch.num_rows:
             continue
-        s, name = batch.column("shingle").to_numpy(), batch.column("name").to_numpy()
+        s, name, n = batch.column("shingle").to_numpy(), batch.column("name").to_numpy(), batch.column("n").to_numpy()
         starts = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
         group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(s))))
-        lead = name[starts].copy()
-        several = np.maximum.reduceat(name, starts) != lead
+        lead, lead_n = name[starts].copy(), n[starts].copy()
+        several = np.logical_or.reduceat(name != lead[group], starts)
         if shingle is not None and s[0] == shingle:
-            lead[0], several[0] = leader, True
+            lead[0], lead_n[0], several[0] = leader, leader_n, True
         keep = several[group] & np.append(True, (s[1:] != s[:-1]) | (name[1:] != name[:-1]))
         rows = np.flatnonzero(keep)
         if len(rows):
-            yield _with_leader(batch.take(pa.array(rows)), lead[group[rows]])
+            yield _with_leader(batch.take(pa.array(rows)), lead[group[rows]], lead_n[group[rows]])
         if several[-1]:
-            shingle, leader = s[-1], lead[-1]
+            shingle, leader, leader_n = s[-1], lead[-1], lead_n[-1]
         else:
             waiting = batch.slice(int(starts[-1]), 1)
 
 
-def _with_leader(batch: pa.RecordBatch, leader: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"shingle": batch.column("shingle"), "name": batch.column("name"), "n": batch.column("n"), "place": batch.column("place"), "leader": pa.array(leader.astype(np.int64))})
+def _with_leader(batch: pa.RecordBatch, leader: np.ndarray, leader_n: np.ndarray) -> pa.RecordBatch:
+    columns = {c: batch.column(c) for c in ("shingle", "name", "n", "place", "hot")}
+    return pa.RecordBatch.from_pydict({**columns, "leader": pa.array(leader), "leader_n": pa.array(leader_n)})
 
 
 def _texts(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
@@ -212,67 +216,101 @@ def _wanted(names: DataFrame) -> np.ndarray:
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size of the sets' intersection for each pair of packed texts."""
+    """Size of the sets' intersection for each pair of packed texts. Each text of a slice is unpacked once."""
     for batch in batches:
-        for first in range(0, batch.num_rows, 64):
-            part = batch.slice(first, 64)
-            texts = [zlib.decompress(x) for c in ("text_a", "text_b") for x in part.column(c).to_pylist()]
-            offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-            s, bounds, size, _ = _sets(np.frombuffer(b"".join(texts), np.uint8), offsets)
+        for first in range(0, batch.num_rows, 128):
+            part = batch.slice(first, 128)
             m = part.num_rows
-            owner = np.repeat(np.arange(2 * m), size) % m
-            order = np.lexsort((s, owner))
-            s, owner = s[order], owner[order]
-            both = np.bincount(owner[1:][(s[1:] == s[:-1]) & (owner[1:] == owner[:-1])], minlength=m)
-            yield pa.RecordBatch.from_pydict({"a": part.column("a"), "b": part.column("b"), "n_a": pa.array(size[:m]), "n_b": pa.array(size[m:]), "shared": pa.array(both)})
+            names = np.concatenate([part.column(c).to_numpy() for c in ("a", "b")])
+            each, at, back = np.unique(names, return_index=True, return_inverse=True)
+            texts = [zlib.decompress(part.column("text_a" if i < m else "text_b")[int(i % m)].as_py()) for i in at]
+            offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+            data = np.frombuffer(b"".join(texts), np.uint8)
+            sets: list[np.ndarray] = []
+            for _, some, bounds_of in chunks(data, offsets):
+                s, bounds, _, _ = _sets(some, bounds_of)
+                sets += [s[i:j] for i, j in zip(bounds, bounds[1:])]
+            shared = np.zeros(m, np.int64)
+            for i in range(m):
+                x, y = sets[back[i]], sets[back[m + i]]
+                spot = np.searchsorted(y, x)
+                spot[spot == len(y)] = len(y) - 1
+                shared[i] = np.count_nonzero(y[spot] == x)
+            size = np.array([len(s) for s in sets], np.int64)
+            yield pa.RecordBatch.from_pydict({"a": part.column("a"), "b": part.column("b"), "n_a": pa.array(size[back[:m]]), "n_b": pa.array(size[back[m:]]), "shared": pa.array(shared)})
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b, n_a, n_b, shared for pairs of set names."""
+    """a, b, n_a, n_b, shared for pairs of set names. Rows end up by b, which should be the side that repeats."""
     a = texts.select(F.col("name").alias("a"), F.col("packed").alias("text_a"))
     b = texts.select(F.col("name").alias("b"), F.col("packed").alias("text_b"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_overlaps, "a long, b long, n_a long, n_b long, shared long")
 
 
+def _enough_lists(c: Column, n_a: Column, n_b: Column) -> Column:
+    """Whether sets whose prefixes share ``c`` shingles can link: the overlap is at most c and the larger of the rests.
+
+    Of the two, take x whose prefix ends first in the common order. What x shares
+    beyond its prefix is at most the rest of x; what it shares within is in the other's
+    prefix as well.
+    """
+    rest = F.greatest(F.ceil(PERCENT * n_a / 100), F.ceil(PERCENT * n_b / 100)) - 1
+    return (100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b)) & ((100 + PERCENT) * F.least(c + rest, n_a, n_b) >= PERCENT * (n_a + n_b))
+
+
 def linked(docs: DataFrame) -> DataFrame:
     """(name, label): the sets that link with another set, and the least name of their component."""
     spark = docs.sparkSession
     docs = plain(docs, "text")
     hot = spark.sparkContext.broadcast(frequent(docs))
     entries = docs.mapInArrow(lambda b: _entries(b, hot), _ENTRY)
-    dealt = entries.repartition(F.when(F.col("hot"), F.xxhash64("shingle", "name")).otherwise(F.col("shingle"))).sortWithinPartitions("hot", "shingle", "name")
-    lists = saved(dealt.mapInArrow(_lists, "shingle long, name long, n int, place int, leader long"), "lists")
-
-    wanted = spark.sparkContext.broadcast(_wanted(lists.select("name").union(lists.select("leader")).toDF("name")))
+    dealt = entries.repartition(F.when(F.col("hot"), F.xxhash64("shingle", "name")).otherwise(F.col("shingle"))).sortWithinPartitions("hot", "shingle", "place", "name")
+    listed = saved(dealt.mapInArrow(_lists, _LISTED), "listed")
+    # Lists under frequent shingles: at most MOST_FREQUENT leaders, found with partial aggregates.
+    leaders = listed.filter("hot").groupBy("shingle").agg(F.min(F.struct("place", "name", "n")).alias("l"), F.min("name").alias("x"), F.max("name").alias("y")).filter("x <> y")
+    leaders = saved(leaders.select("shingle", F.col("l.name").alias("leader"), F.col("l.n").alias("leader_n")), "leaders")
+    columns = ["shingle", "name", "n", "place", "leader", "leader_n"]
+    lists = listed.filter("not hot").select(*columns).unionByName(listed.filter("hot").drop("leader", "leader_n").dropDuplicates(["shingle", "name"]).join(leaders, "shingle").select(*columns))
+    lists = saved(lists, "lists")
+
+    wanted = spark.sparkContext.broadcast(_wanted(lists.select("name")))
     texts = saved(docs.mapInArrow(lambda b: _texts(b, wanted), "name long, packed binary").groupBy("name").agg(F.first("packed").alias("packed")), "texts")
 
-    pairs = lists.filter("name <> leader").select(F.least("name", "leader").alias("a"), F.greatest("name", "leader").alias("b")).distinct()
-    led = saved(verified(pairs, texts), "led")
+    # First every set with the leaders it shares enough lists with; the others wait for the full count below.
+    met = lists.filter("name <> leader").groupBy("name", "leader").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("leader_n").alias("leader_n"))
+    # A group's lists may have a few leaders between them, so a part of the lists is enough here.
+    pairs = met.filter(_enough_lists(LEADERS * F.col("c"), F.col("n"), F.col("leader_n"))).select(F.col("name").alias("a"), F.col("leader").alias("b"))
+    with arrow_rows(spark, PAIR_ROWS):
+        led = saved(verified(pairs, texts), "led")
     is_link = F.expr(f"100 * shared >= {PERCENT} * (n_a + n_b - shared)")
     first = saved(components(led.filter(is_link)), "components")
 
     # What the lists still have to say: pairs of different components.
-    overlap = led.select("a", "b", "shared")
-    known = lists.select(F.least("name", "leader").alias("a"), F.greatest("name", "leader").alias("b"), "shingle", "name", "n", "place", "leader").join(overlap, ["a", "b"], "left")
-    known = known.withColumn("shared", F.when(F.col("name") == F.col("leader"), F.col("n")).otherwise(F.col("shared"))).drop("a", "b")
+    overlap = led.select(F.col("a").alias("name"), F.col("b").alias("leader"), "shared")
+    known = lists.drop("leader_n").join(overlap, ["name", "leader"], "left")
+    known = known.withColumn("shared", F.when(F.col("name") == F.col("leader"), F.col("n")).otherwise(F.col("shared")))
     known = known.join(first.withColumnRenamed("node", "name"), "name", "left").withColumn("label", F.coalesce("label", "name"))
     known = saved(known, "known")
     open_lists = known.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("shingle")
     # Blocks by size: a block spans a factor of 1.25, so what can link stands in the same block or the next.
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
     rows = saved(known.join(open_lists, "shingle", "left_semi").withColumn("block", block), "open")
-    left = rows.select("shingle", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"), *[F.col(c).alias(c + "_a") for c in ("name", "n", "place", "leader", "shared", "label")])
+    left = rows.select("shingle", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"), *[F.col(c).alias(c + "_a") for c in ("name", "n", "place", "shared", "label")])
     right = rows.select("shingle", "block", *[F.col(c).alias(c + "_b") for c in ("name", "n", "place", "shared", "label")])
-    # What two sets can share: as many shingles before their places, and from there on, as both have.
-    by_place = F.least("place_a", "place_b") + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    # In the first list in which two sets meet, they share nothing before their places. A
+    # later list may let a pair go; the first one doesn't let go of sets that link.
+    by_place = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
     by_leader = F.coalesce(F.least(F.col("shared_b") + F.col("n_a") - F.col("shared_a"), F.col("shared_a") + F.col("n_b") - F.col("shared_b")), by_place)
     enough = (100 + PERCENT) * F.least(by_place, by_leader) >= PERCENT * (F.col("n_a") + F.col("n_b"))
     across = left.join(right, ["shingle", "block"]).filter((F.col("name_a") < F.col("name_b")) & (F.col("label_a") != F.col("label_b")) & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & enough)
-    across = across.select(F.col("name_a").alias("a"), F.col("name_b").alias("b")).distinct().join(led.select("a", "b"), ["a", "b"], "left_anti")
+    across = across.select(F.col("name_a").alias("a"), F.col("name_b").alias("b")).distinct()
+    tried = led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    across = across.join(tried, ["a", "b"], "left_anti")
     across = saved(across, "across")
     if across.isEmpty():
         return first
-    more = verified(across, texts).filter(is_link).select("a", "b")
+    with arrow_rows(spark, PAIR_ROWS):
+        more = saved(verified(across, texts).filter(is_link).select("a", "b"), "more")
     return components(more.unionByName(first.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))))
 
 
