@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import plain, saved, table
-from pagewright.llm.kernels import utf8
+from pagewright.llm.kernels import chunks, utf8
 
 KINDS = ("email", "ip", "card", "phone", "term")
 SUPPORT = 3
@@ -89,11 +89,12 @@ def base_spans(text: str, digits: bool = True) -> list[tuple[str, int, int]]:
 def _suspects(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Which texts have a digit, and which an @ sign."""
     data, offsets = utf8(column)
-    data = data[offsets[0] : offsets[-1]]
-    at = offsets - offsets[0]
-    digit = np.concatenate(([0], np.cumsum((data >= 48) & (data <= 57))))
-    sign = np.concatenate(([0], np.cumsum(data == 64)))
-    return digit[at[1:]] > digit[at[:-1]], sign[at[1:]] > sign[at[:-1]]
+    digit, sign = [np.zeros(0, bool)], [np.zeros(0, bool)]
+    for _, part, at in chunks(data, offsets):
+        for out, hit in ((digit, (part >= 48) & (part <= 57)), (sign, part == 64)):
+            before = np.concatenate(([0], np.cumsum(hit, dtype=np.int32)))
+            out.append(before[at[1:]] > before[at[:-1]])
+    return np.concatenate(digit), np.concatenate(sign)
 
 
 def entity(kind: str, value: str) -> int:
