@@ -99,34 +99,50 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     return hashed.select("item_id", "m", "width", bag.alias("bag"))
 
 
+def _start() -> Column:
+    """Where a window begins whose first shared shingle is ``at``: there, but no later than the last whole window."""
+    return F.least("at", F.greatest(F.col("n") - F.col("m"), F.lit(0)))
+
+
+def _bag(width: int) -> Column:
+    return F.slice("all", F.col("start") + 1, F.greatest(F.col("m") - (width - 1), F.lit(1)))
+
+
+def windows_of(docs: DataFrame, entries: DataFrame, width: int, small: bool) -> DataFrame:
+    """doc_id, row_key, m, start and bag of the windows that share a shingle with an item of their size.
+
+    The shingles alone meet the items, in place if those are few. Then each document
+    that has windows meets their list, by a merge join at every size of input, and only
+    such documents are cut again.
+    """
+    rows = docs.select("doc_id", "row_key", word_hashes("text").alias("hashes"))
+    shingled = rows.select("doc_id", "row_key", F.size("hashes").alias("n"), F.posexplode(shingle_array("hashes", width)).alias("at", "shingle"))
+    hits = shingled.join(F.broadcast(entries) if small else entries, "shingle").select("doc_id", "row_key", "m", _start().alias("start"))
+    lists = saved(hits.distinct().groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("m", "start")).alias("windows")), "windows")
+    same = (docs["row_key"] == lists["row_key"]) & docs["doc_id"].eqNullSafe(lists["doc_id"])
+    held = docs.join(lists.hint("merge"), same).select(docs["doc_id"], docs["row_key"], word_hashes("text").alias("hashes"), "windows")
+    cut = held.select("doc_id", "row_key", shingle_array("hashes", width).alias("all"), F.explode("windows").alias("w"))
+    return cut.select("doc_id", "row_key", "w.m", "w.start", "all").select("doc_id", "row_key", "m", "start", _bag(width).alias("bag"))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, row_key, item_id, start_word (from 0) and similarity of the best window for each document and item that match."""
     items = saved(items_of(benchmark), "items")
     entries = saved(items.select("width", "m", F.explode("bag").alias("shingle")).distinct(), "shingles")
     widths = [r["width"] for r in items.select("width").distinct().collect()]  # at most WIDTH
     small = entries.count() <= BROADCAST_SHINGLES
-    docs = plain(docs, "doc_id", "text").select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), word_hashes("text").alias("hashes"))
+    docs = plain(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
 
-    starts = None
-    for width in sorted(widths):
-        of_width = entries.filter(F.col("width") == width).select("shingle", "m")
-        found = docs.select("doc_id", "row_key", F.size("hashes").alias("n"), F.posexplode(shingle_array("hashes", width)).alias("at", "shingle"))
-        hits = found.join(F.broadcast(of_width) if small else of_width, "shingle")
-        here = hits.select("doc_id", "row_key", F.lit(width).alias("width"), "m", F.least("at", F.greatest(F.col("n") - F.col("m"), F.lit(0))).alias("start"))
-        starts = here if starts is None else starts.unionByName(here)
-    if starts is None:
-        return docs.limit(0).select("doc_id", "row_key", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("start_word"), F.lit(0.0).alias("similarity"))
-    grouped = starts.distinct().groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("width", "m", "start")).alias("windows"))
-    grouped = saved(grouped, "windows")
-
-    same = (docs["row_key"] == grouped["row_key"]) & docs["doc_id"].eqNullSafe(grouped["doc_id"])
-    content = docs.join(grouped, same).select(docs["doc_id"], docs["row_key"], "hashes", F.explode("windows").alias("w")).dropDuplicates(["doc_id", "row_key", "w"])
+    window = ["doc_id", "row_key", "m", "start"]
     bags = None
     for width in sorted(widths):
-        rows = content.filter(F.col("w.width") == width).select("doc_id", "row_key", "w.width", "w.m", "w.start", F.slice("hashes", F.col("w.start") + 1, F.col("w.m")).alias("hashes"))
-        rows = rows.select("doc_id", "row_key", "width", "m", "start", F.explode(shingle_array("hashes", width)).alias("shingle"))
+        of_width = entries.filter(F.col("width") == width).select("shingle", "m")
+        rows = windows_of(docs, of_width, width, small)
+        # Equal rows have equal windows: one of each is enough.
+        rows = rows.groupBy(*window).agg(F.first("bag").alias("bag")).select(*window, F.explode("bag").alias("shingle"))
         bags = rows if bags is None else bags.unionByName(rows)
-    window = ["doc_id", "row_key", "m", "start"]
+    if bags is None:
+        return docs.limit(0).select("doc_id", "row_key", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("start_word"), F.lit(0.0).alias("similarity"))
     bags = saved(bags.groupBy(*window, "shingle").agg(F.count(F.lit(1)).cast("int").alias("c")), "bags")
 
     counted = [F.sum((F.shiftright("shingle", j).bitwiseAND(F.lit(1)) * 2 - 1) * F.col("c")).alias(f"s{j}") for j in range(64)]
@@ -140,7 +156,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     near = saved(near.select(*window, "size_w", "item_id", "size_i"), "near")
 
     item_counts = saved(item_bags.groupBy("item_id", "shingle").agg(F.count(F.lit(1)).cast("int").alias("c_i")), "counts")
-    one = near.join(bags, window).join(item_counts, ["item_id", "shingle"])
+    one = near.join(bags.drop("doc_id"), window[1:]).join(item_counts, ["item_id", "shingle"])
     shared = one.groupBy(*window, "item_id", "size_w", "size_i").agg(F.sum(F.least("c", "c_i")).alias("shared"))
     scored = shared.withColumn("similarity", F.col("shared") / (F.col("size_w") + F.col("size_i") - F.col("shared"))).filter(F.col("similarity") >= similarity)
     best = scored.groupBy("doc_id", "row_key", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))

@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 from pagewright.llm import decontaminate as d
 
 
@@ -31,7 +33,9 @@ def brute(rows, items):
     return out
 
 
-def test_planted(spark):
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_planted(spark, monkeypatch, most):
+    monkeypatch.setattr(d, "BROADCAST_SHINGLES", most)
     rng = random.Random(4)
     word = lambda: "".join(rng.choices("abcdeé", k=rng.randint(2, 5)))
     items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([14, 20, 30, 45, 60, 60, 70, 3, 5])] + [(20, None), (21, ""), (22, "the " * 12)]
@@ -45,6 +49,7 @@ def test_planted(spark):
                 w[at : at + 1] = [word()] if kind < 0.5 else [] if kind < 0.75 else [w[at], word()]
             rows.append((n, " ".join([word() for _ in range(rng.randint(0, 40))] + w + [word().upper() + "!" for _ in range(rng.randint(0, 40))])))
             n += 1
+    rows.append((None, items[1][1] + " more"))
     docs = spark.createDataFrame([(a, b, "m") for a, b in rows], "doc_id long, text string, m string").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.start_word, r.similarity) for r in d.matches(docs, bench).collect()}
