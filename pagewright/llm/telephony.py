@@ -120,6 +120,19 @@ def decode(codec: str, block: int, data: bytes) -> np.ndarray:
     return (MULAW if codec == "mulaw" else ALAW)[samples]
 
 
+def decode_all(parts: list[tuple[str, int, bytes]]) -> list[np.ndarray]:
+    """``decode`` for many files; the ADPCM blocks of all files with one block size are decoded together."""
+    out: list[np.ndarray | None] = [None if codec == "adpcm" else decode(codec, block, data) for codec, block, data in parts]
+    for size in {block for codec, block, _ in parts if codec == "adpcm"}:
+        mine = [i for i, (codec, block, _) in enumerate(parts) if codec == "adpcm" and block == size]
+        count = [len(parts[i][2]) // size for i in mine]
+        samples = decode("adpcm", size, b"".join(parts[i][2][: n * size] for i, n in zip(mine, count)))
+        ends = np.cumsum(count) * (1 + 2 * (size - 4))
+        for i, pcm in zip(mine, np.split(samples, ends[:-1])):
+            out[i] = pcm
+    return out
+
+
 def resample(pcm: np.ndarray) -> np.ndarray:
     """Twice the rate: every sample, and half-way between it and the next one (rounded down; the last is repeated)."""
     out = np.empty(2 * len(pcm), np.int16)
@@ -151,15 +164,17 @@ def _store(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.RecordB
     for batch in batches:
         for first in range(0, batch.num_rows, 128):
             texts = batch.column("text").slice(first, 128).to_pylist()
-            rows = []
+            sizes, files = [], []
             for text in texts:
                 data = (text or "").encode()
                 payload = payload_of(data)
-                media = wrap(payload, codec_of(payload))
-                codec, block, back = unwrap(media)
-                pcm = decode(codec, block, back)
+                sizes.append(len(data))
+                files.append(wrap(payload, codec_of(payload)))
+            parts = [unwrap(media) for media in files]
+            rows = []
+            for size, media, (codec, _, back), pcm in zip(sizes, files, parts, decode_all(parts)):
                 stored = resample(pcm).astype("<i2").tobytes()
-                rows.append((len(data), media if keep else None, stored if keep else None, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(codec, pcm, stored)))
+                rows.append((size, media if keep else None, stored if keep else None, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(codec, pcm, stored)))
             columns = list(zip(*rows))
             types = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             names = ["n_bytes", "media", "pcm", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
