@@ -40,10 +40,9 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[
     part, row = TaskContext.get().partitionId(), 0
     tail = np.array([end], "<u4").tobytes()
     for batch in batches:
-        encode = encoder(path).encode
         texts = batch.column("text")
         for first in range(0, batch.num_rows, 256):
-            ids = [encode(t) + tail for t in texts.slice(first, 256).to_pylist()]
+            ids = [i + tail for i in encoder(path).encode_column(texts.slice(first, 256))]
             size = np.array([len(i) // 4 for i in ids], np.int64)
             flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(flat))

@@ -1,10 +1,11 @@
 """Token ids of whole texts by the tokenizers library, each distinct word encoded once a worker.
 
 A byte-level BPE never joins what its split pattern parts, and that pattern parts
-a text before every single space that stands between two other characters. So a
-text's ids are those of its pieces between such spaces, one after the other. A
-worker keeps the ids of the pieces that it has met, up to a bound, and asks the
-library's BPE model for new ones only.
+a text before every single space, and around every single line end, that stands
+between two other characters. So a text's ids are those of its words, one after
+the other. A worker keeps the ids of the words that it has met, up to a bound, and
+asks the library's BPE model for new ones only. A text with other white space, or
+with several blanks in a row, is parted at its single spaces only.
 """
 
 from __future__ import annotations
@@ -14,11 +15,37 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+
+from pagewright.llm.kernels import utf8
 
 #: Pieces whose ids a worker keeps before it starts anew.
 KEPT = 400_000
 _PARTS = re.compile(r"(?<=\S) (?=\S)")
-_DOUBLE = re.compile(r"\s\s|^\s|\s$")
+_BLANK = np.zeros(256, bool)
+_BLANK[[10, 32]] = True
+# Bytes that begin or are other white space; a text that has one takes the slower way.
+_OTHER = np.zeros(256, bool)
+_OTHER[[9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0xE1, 0xE2, 0xE3]] = True
+_OTHER_ASCII = np.zeros(256, bool)
+_OTHER_ASCII[[9, 11, 12, 13, 28, 29, 30, 31, 0xE1, 0xE2, 0xE3]] = True
+
+
+def plain_texts(column: pa.Array) -> np.ndarray:
+    """Which texts are words with single spaces or line ends between them."""
+    data, offsets = utf8(column)
+    data, at = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    n = np.diff(at)
+    odd = _OTHER_ASCII[data]
+    odd[1:] |= (data[:-1] == 0xC2) & _OTHER[data[1:]]
+    blank = _BLANK[data]
+    odd[1:] |= blank[1:] & blank[:-1]
+    some = at[:-1][n > 0]
+    odd[some] |= blank[some]
+    last = at[1:][n > 0] - 1
+    odd[last] |= blank[last]
+    before = np.concatenate(([0], np.cumsum(odd)))
+    return before[at[1:]] == before[at[:-1]]
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -59,22 +86,41 @@ class Encoder:
         self.model = self.whole.model
         self.alphabet = _visible()
         self.first, self.later = _Pieces(self._piece, ""), _Pieces(self._piece, " ")
+        self.line_end = self._ids("\n")
+        self.marks = {m: self._ids(m) for m in ".,"}
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, text: str) -> bytes:
         """A word, alone or with a space before it, is one unit of the split pattern; a final point or comma is another."""
-        word = text[1:] if text[:1] == " " else text
-        units = [text] if word.isalpha() else [text[:-1], text[-1]] if word[-1:] in (".", ",") and word[:-1].isalpha() else None
-        if units is None:
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return np.array([t.id for u in units for t in self.model.tokenize(u.encode().decode("latin-1").translate(self.alphabet))], "<u4").tobytes()
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids of a text as bytes, four a token; null counts as empty."""
+        lead = text[:1] == " "
+        word = text[1:] if lead else text
+        if word.isalpha():
+            return np.array([t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.alphabet))], "<u4").tobytes()
+        if word[-1:] in self.marks and word[:-1].isalpha():
+            return (self.later if lead else self.first)[word[:-1]] + self.marks[word[-1]]
+        return self._ids(text)
+
+    def encode(self, text: str | None, is_plain: bool = False) -> bytes:
+        """The ids of a text as bytes, four a token; null counts as empty. ``is_plain``: what ``plain_texts`` says of it."""
         if not text:
             return b""
-        pieces = _PARTS.split(text) if _DOUBLE.search(text) else text.split(" ")
-        later = self.later
-        return self.first[pieces[0]] + b"".join([later[p] for p in pieces[1:]])
+        first, later = self.first, self.later
+        if not is_plain:
+            pieces = _PARTS.split(text)
+            return first[pieces[0]] + b"".join([later[p] for p in pieces[1:]])
+        out = []
+        for line in text.split("\n"):
+            pieces = line.split(" ")
+            out.append(first[pieces[0]])
+            out += [later[p] for p in pieces[1:]]
+            out.append(self.line_end)
+        out.pop()
+        return b"".join(out)
+
+    def encode_column(self, column: pa.Array) -> list[bytes]:
+        return [self.encode(t, p) for t, p in zip(column.to_pylist(), plain_texts(column).tolist())]
 
 
 @lru_cache(maxsize=2)
