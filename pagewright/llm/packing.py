@@ -41,12 +41,11 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int, length: int)
     """A row for each document: checksums of its full sequences, and the ids of the rest."""
     tail = np.array([end], "<u4").tobytes()
     for batch in batches:
-        encode = encoder(path).encode
         for first in range(0, batch.num_rows, 256):
-            texts = batch.column("text").slice(first, 256).to_pylist()
+            texts = encoder(path).encode_column(batch.column("text").slice(first, 256))
             size, sums, rests = [], [], []
-            for text in texts:
-                ids = encode(text) + tail
+            for ids in texts:
+                ids += tail
                 full = len(ids) // (4 * length)
                 view = memoryview(ids)
                 size.append(len(ids) // 4)
