@@ -1,9 +1,13 @@
 """Operator 10: packing by lexical retrieval.
 
 Documents longer than a sequence give as many full sequences as they hold; the
-rest of each goes to the packer. The rests are dealt to shards by a hash, about
-``SHARD_TOKENS`` tokens each. A shard builds a BM25 index of its rests, token ids
-as terms. The longest unused rest is the next seed; the index returns its unused
+rest of each goes to the packer. Document counts of terms and the mean length are
+taken over all rests. The rests are dealt to shards of about ``SHARD_TOKENS`` tokens
+by content: a tree of mean directions, grown on a sample that keeps step with the
+shards, sends each rest's BM25 vector (hashed to ``DIMENSIONS`` places) to a leaf;
+leaves that lie side by side share a shard, and a leaf of more than a shard is
+dealt to several, equal rows as well. A shard builds a BM25 index of its rests with
+the statistics of the whole corpus, token ids as terms. The longest unused rest is the next seed; the index returns its unused
 neighbours, best first, and they fill the seed's sequence in turn. The neighbour
 that no longer fits is cut and what is left of it is the next seed, so that only
 a shard's last sequence can be short. Without neighbours left that share a term,
@@ -17,7 +21,7 @@ empty result. Ties of scores and lengths go to the earlier document of the shard
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import plain, table
-from pagewright.llm.kernels import segments_of
+from pagewright.llm.common import plain, saved, table
+from pagewright.llm.kernels import U64, mix, segments_of
 from pagewright.llm.tokens import encoder, vocabulary
 
 LENGTH = 1024
@@ -34,6 +38,9 @@ END = 0
 SHARD_TOKENS = 1 << 19
 #: BM25's usual parameters, and how many of a seed's terms of highest weight make its query.
 K1, B, QUERY_TERMS = 1.2, 0.75, 24
+#: Places of a hashed vector; how many documents a shard are sampled to grow the tree, and how many at least; branches of a node.
+DIMENSIONS, SAMPLED, LEAST_SAMPLE, BRANCHES = 128, 16, 4096, 8
+ENCODED = "doc_id long, shard_key long, row_no long, doc_tokens long, sums array<long>, rest binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -52,27 +59,46 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int, length: int)
                 sums.append([zlib.crc32(view[4 * length * i : 4 * length * (i + 1)]) for i in range(full)])
                 rest = np.frombuffer(ids, "<u4", offset=4 * length * full)
                 rests.append((rest.astype("<u2") if not len(rest) or rest.max() < 65536 else rest).tobytes())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(first, len(texts)), "shard_key": batch.column("shard_key").slice(first, len(texts)), "doc_tokens": pa.array(size, pa.int64()), "sums": pa.array(sums, pa.list_(pa.int64())), "rest": pa.array(rests, pa.binary())})
+            yield pa.RecordBatch.from_pydict({**{c: batch.column(c).slice(first, len(texts)) for c in ("doc_id", "shard_key", "row_no")}, "doc_tokens": pa.array(size, pa.int64()), "sums": pa.array(sums, pa.list_(pa.int64())), "rest": pa.array(rests, pa.binary())})
+
+
+def counted(rests: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, term and count of each different term of each document, by term, then document; the documents' lengths."""
+    size = np.array([len(r) for r in rests], np.int64)
+    doc = np.repeat(np.arange(len(rests)), size)
+    term = np.concatenate(rests).astype(np.int64) if rests else np.zeros(0, np.int64)
+    pair, tf = np.unique(term * max(len(rests), 1) + doc, return_counts=True)
+    return pair % max(len(rests), 1), pair // max(len(rests), 1), tf, size
+
+
+class Statistics:
+    """What BM25 knows of a corpus: its number of documents and tokens, and how many documents hold each term."""
+
+    def __init__(self, documents: int, tokens: int, df: np.ndarray):
+        self.documents, self.mean = documents, max(tokens / max(documents, 1), 1)
+        self.idf = np.log1p((documents - df + 0.5) / (df + 0.5))
+
+    @staticmethod
+    def of(rests: list[np.ndarray]) -> Statistics:
+        _, term, _, size = counted(rests)
+        return Statistics(len(rests), int(size.sum()), np.bincount(term))
+
+    def weights(self, term: np.ndarray, tf: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / self.mean)) * self.idf[term]
 
 
 class Index:
-    """A BM25 index of token-id sequences."""
-
-    def __init__(self, rests: list[np.ndarray]):
-        size = np.array([len(r) for r in rests], np.int64)
-        doc = np.repeat(np.arange(len(rests)), size)
-        term = np.concatenate(rests).astype(np.int64) if rests else np.zeros(0, np.int64)
-        pair, tf = np.unique(term * max(len(rests), 1) + doc, return_counts=True)
-        self.doc, term = pair % max(len(rests), 1), pair // max(len(rests), 1)
+    """A BM25 index of token-id sequences, by the statistics of the corpus that they are part of."""
+
+    def __init__(self, rests: list[np.ndarray], statistics: Statistics | None = None):
+        self.doc, term, tf, size = counted(rests)
+        statistics = statistics or Statistics.of(rests)
         first = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
         self.bounds = np.append(first, len(term))
         self.terms = term[first]
-        df = np.diff(self.bounds)
-        self.idf = np.log1p((len(rests) - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * size / max(size.mean(), 1)) if len(rests) else size
-        weight = tf * (K1 + 1) / (tf + norm[self.doc])
-        self.weight = weight * np.repeat(self.idf, df)
-        self.df = df
+        self.df = np.diff(self.bounds)
+        self.idf = statistics.idf[self.terms]
+        self.weight = statistics.weights(term, tf, size[self.doc])
 
     def neighbours(self, rest: np.ndarray, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a query term, by falling score, then in order."""
@@ -89,9 +115,9 @@ class Index:
         return found[np.argsort(-np.bincount(back, weight, len(found)), kind="stable")]
 
 
-def fill(rests: list[np.ndarray], length: int) -> Iterator[tuple[int, int, int, int, int]]:
+def fill(rests: list[np.ndarray], length: int, statistics: Statistics | None = None) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, start in its rest, tokens, sequence, offset) of every piece, in order."""
-    index, unused = Index(rests), np.array([len(r) > 0 for r in rests], bool)
+    index, unused = Index(rests, statistics), np.array([len(r) > 0 for r in rests], bool)
     longest = np.argsort([-len(r) for r in rests], kind="stable")
     cursor, sequence, offset = 0, 0, 0
     queue: list[int] = []  # the best neighbour last
@@ -120,17 +146,142 @@ def fill(rests: list[np.ndarray], length: int) -> Iterator[tuple[int, int, int,
                     queue = index.neighbours(rests[doc], unused).tolist()[::-1]
 
 
-def _pack(key: tuple, frame: pd.DataFrame, length: int) -> pd.DataFrame:
+def _rests(rest: Iterable[bytes], tokens: Iterable[int], sums: Iterable[list], length: int) -> list[np.ndarray]:
+    """Ids of stored rests: four bytes an id where that is their number, else two."""
+    return [np.frombuffer(r, "<u4" if len(r) == 4 * (n - len(s) * length) else "<u2").astype("<u4") for r, n, s in zip(rest, tokens, sums)]
+
+
+def _parts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    for batch in batches:
+        for first in range(0, batch.num_rows, 1024):
+            part = batch.slice(first, 1024)
+            yield part, _rests(*(part.column(c).to_pylist() for c in ("rest", "doc_tokens", "sums")), length)
+
+
+def _statistics(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """What a task adds to the number of documents (term -1), of tokens (-2) and of documents that hold each term."""
+    df, documents, tokens = np.zeros(0, np.int64), 0, 0
+    for _, rests in _parts(batches, length):
+        _, term, _, size = counted(rests)
+        documents, tokens = documents + len(rests), tokens + int(size.sum())
+        more = np.bincount(term, minlength=len(df))
+        more[: len(df)] += df
+        df = more
+    held = np.flatnonzero(df)
+    yield pa.RecordBatch.from_pydict({"term": pa.array(np.append(held, [-1, -2])), "n": pa.array(np.append(df[held], [documents, tokens]))})
+
+
+def statistics_of(encoded: DataFrame, length: int) -> Statistics:
+    rows = encoded.mapInArrow(lambda b: _statistics(b, length), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row for each id of the vocabulary
+    n = {r["term"]: r["n"] for r in rows}
+    df = np.zeros(max(n, default=-1) + 1, np.int64)
+    for term, k in n.items():
+        if term >= 0:
+            df[term] = k
+    return Statistics(n.get(-1, 0), n.get(-2, 0), df)
+
+
+def vectors(rests: list[np.ndarray], statistics: Statistics) -> np.ndarray:
+    """The BM25 weights of each document's terms with hashed signs in ``DIMENSIONS`` hashed places, at length 1."""
+    doc, term, tf, size = counted(rests)
+    code = mix(np.arange(len(statistics.idf)))
+    sign, place = np.where(code & U64(1), 1.0, -1.0), ((code >> U64(1)) % U64(DIMENSIONS)).astype(np.int64)
+    out = np.bincount(doc * DIMENSIONS + place[term], sign[term] * statistics.weights(term, tf, size[doc]), len(rests) * DIMENSIONS).reshape(len(rests), DIMENSIONS)
+    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
+def grown(x: np.ndarray, most: int, leaf: int = 0) -> tuple[tuple | int, int]:
+    """A tree of mean directions over sampled vectors, and the next free leaf. Nodes of up to ``most`` vectors are leaves; like branches lie side by side."""
+    if len(x) <= most:
+        return leaf, leaf + 1
+    centres = x[np.linspace(0, len(x) - 1, min(BRANCHES, len(x))).astype(int)]
+    for _ in range(6):
+        near = (x @ centres.T).argmax(1)
+        for k in range(len(centres)):
+            if (near == k).any():
+                mean = x[near == k].mean(0)
+                centres[k] = mean / max(np.linalg.norm(mean), 1e-9)
+    near = (x @ centres.T).argmax(1)
+    used = np.unique(near)
+    if len(used) < 2:
+        return leaf, leaf + 1
+    line = np.linalg.svd(centres[used] - centres[used].mean(0), full_matrices=False)[2][0]
+    used = used[np.argsort(centres[used] @ line, kind="stable")]
+    children = []
+    for k in used:
+        child, leaf = grown(x[near == k], most, leaf)
+        children.append(child)
+    return (centres[used], children), leaf
+
+
+def leaves_of(tree: tuple | int, x: np.ndarray) -> np.ndarray:
+    if isinstance(tree, int):
+        return np.full(len(x), tree, np.int64)
+    near, out = (x @ tree[0].T).argmax(1), np.zeros(len(x), np.int64)
+    for k, child in enumerate(tree[1]):
+        if (at := near == k).any():
+            out[at] = leaves_of(child, x[at])
+    return out
+
+
+def _sampled(batches: Iterator[pa.RecordBatch], statistics: Statistics, length: int) -> Iterator[pa.RecordBatch]:
+    for part, rests in _parts(batches, length):
+        yield pa.RecordBatch.from_pydict({"shard_key": part.column("shard_key"), "x": pa.array([r.tobytes() for r in vectors(rests, statistics)], pa.binary())})
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], statistics: Statistics, tree: tuple | int, length: int) -> Iterator[pa.RecordBatch]:
+    for part, rests in _parts(batches, length):
+        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(leaves_of(tree, vectors(rests, statistics)))], [*part.schema.names, "leaf"])
+
+
+def shards_of(counts: list[tuple[int, int]], most: int) -> list[tuple[int, int, int]]:
+    """(leaf, first shard, shards) from the documents of each leaf: neighbours together up to ``most``, larger ones in several."""
+    out, shard, held = [], 0, 0
+    for leaf, n in sorted(counts):
+        parts = -(-n // most)
+        if held and (parts > 1 or held + n > most):
+            shard, held = shard + 1, 0
+        out.append((leaf, shard, parts))
+        if parts > 1:
+            shard += parts
+        else:
+            held += n
+    return out
+
+
+def deal(encoded: DataFrame, statistics: Statistics, length: int, shard_tokens: int) -> DataFrame:
+    """``encoded`` with the shard of each row."""
+    # A rest is taken as half a sequence.
+    most = max(1, shard_tokens // (length // 2))
+    shards = statistics.documents // most
+    if shards < 2:
+        return encoded.withColumn("shard", F.lit(0).cast("long"))
+    # Rows whose hash lies in the first part of its range: the same ones every time, equal rows once.
+    share = max(LEAST_SAMPLE, SAMPLED * shards) / statistics.documents
+    bound = min(int(min(1.0, share) * 2**64) - 2**63, 2**63 - 1)
+    sampled = encoded.filter(F.col("shard_key") <= F.lit(bound)).mapInArrow(lambda b: _sampled(b, statistics, length), "shard_key long, x binary")
+    rows = sorted((r["shard_key"], bytes(r["x"])) for r in sampled.dropDuplicates(["shard_key"]).collect())
+    x = np.stack([np.frombuffer(r, np.float32) for _, r in rows]) if rows else np.zeros((0, DIMENSIONS), np.float32)
+    tree, _ = grown(x, max(1, len(x) // (3 * shards)))
+    dealt = saved(encoded.mapInArrow(lambda b: _dealt(b, statistics, tree, length), ENCODED + ", leaf long"), "dealt")
+    places = shards_of([tuple(r) for r in dealt.groupBy("leaf").count().collect()], most)  # a few leaves a shard
+    by_leaf = encoded.sparkSession.createDataFrame(places, "leaf long, first long, parts long")
+    # A key of many equal rows would be one lump: those are dealt by their number.
+    many = dealt.groupBy("shard_key").count().filter(F.col("count") > most // 8).select("shard_key", F.lit(True).alias("many"))
+    key = F.when(F.col("many"), F.col("row_no")).otherwise(F.col("shard_key"))
+    return dealt.join(F.broadcast(by_leaf), "leaf").join(F.broadcast(many), "shard_key", "left").withColumn("shard", F.col("first") + F.pmod(key, F.col("parts")))
+
+
+def _pack(key: tuple, frame: pd.DataFrame, length: int, statistics: Statistics) -> pd.DataFrame:
     frame = frame.sort_values(["doc_id", "doc_tokens", "rest"], kind="stable")
-    wide = [len(r) == 4 * (n - len(s) * length) for r, n, s in zip(frame["rest"], frame["doc_tokens"], frame["sums"])]
-    rests = [np.frombuffer(r, "<u4" if w else "<u2").astype("<u4") for r, w in zip(frame["rest"], wide)]
+    rests = _rests(frame["rest"], frame["doc_tokens"], frame["sums"], length)
     ids, sizes = frame["doc_id"].tolist(), frame["doc_tokens"].tolist()
     out, sequence = [], int(key[0]) << 40
     for doc, sums in enumerate(frame["sums"]):
         for i, crc in enumerate(sums):
             out.append((ids[doc], i * length, length, int(crc), sizes[doc], sequence, 0))
             sequence += 1
-    for doc, start, n, number, offset in fill(rests, length):
+    for doc, start, n, number, offset in fill(rests, length, statistics):
         before = sizes[doc] - len(rests[doc])
         out.append((ids[doc], before + start, n, zlib.crc32(rests[doc][start : start + n].tobytes()), sizes[doc], sequence + number, offset))
     result = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
@@ -139,12 +290,11 @@ def _pack(key: tuple, frame: pd.DataFrame, length: int) -> pd.DataFrame:
 
 def pack(docs: DataFrame, path: str, end: int = END, length: int = LENGTH, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """The pieces of all documents, each with its sequence and its place there."""
-    docs = plain(docs, "doc_id", "text").withColumn("shard_key", F.xxhash64("doc_id", "text"))
-    # So many shards that one holds about ``shard_tokens`` tokens of rests: half a sequence for each document.
-    shards = max(1, docs.count() * (length // 2) // shard_tokens)
-    encoded = docs.mapInArrow(lambda b: _encode(b, path, end, length), "doc_id long, shard_key long, doc_tokens long, sums array<long>, rest binary")
-    shard = F.pmod("shard_key", F.lit(shards)).alias("shard")
-    return encoded.select("doc_id", "doc_tokens", "sums", "rest", shard).groupBy("shard").applyInPandas(lambda key, frame: _pack(key, frame, length), PIECES)
+    docs = plain(docs, "doc_id", "text").withColumns({"shard_key": F.xxhash64("doc_id", "text"), "row_no": F.monotonically_increasing_id()})
+    encoded = saved(docs.mapInArrow(lambda b: _encode(b, path, end, length), ENCODED), "encoded")
+    statistics = statistics_of(encoded, length)
+    dealt = deal(encoded, statistics, length, shard_tokens).select("doc_id", "doc_tokens", "sums", "rest", "shard")
+    return dealt.groupBy("shard").applyInPandas(lambda key, frame: _pack(key, frame, length, statistics), PIECES)
 
 
 def op10_retrieval_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
