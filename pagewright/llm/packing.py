@@ -36,8 +36,8 @@ from pagewright.llm.tokens import encoder, vocabulary
 LENGTH = 1024
 END = 0
 SHARD_TOKENS = 1 << 19
-#: BM25's usual parameters, and how many of a seed's terms of highest weight make its query.
-K1, B, QUERY_TERMS = 1.2, 0.75, 24
+#: BM25's usual parameters.
+K1, B = 1.2, 0.75
 #: Places of a hashed vector; how many documents a shard are sampled to grow the tree, and how many at least; branches of a node.
 DIMENSIONS, SAMPLED, LEAST_SAMPLE, BRANCHES = 128, 16, 4096, 8
 ENCODED = "doc_id long, shard_key long, row_no long, doc_tokens long, sums array<long>, rest binary"
@@ -97,22 +97,18 @@ class Index:
         self.bounds = np.append(first, len(term))
         self.terms = term[first]
         self.df = np.diff(self.bounds)
-        self.idf = statistics.idf[self.terms]
         self.weight = statistics.weights(term, tf, size[self.doc])
 
     def neighbours(self, rest: np.ndarray, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term, by falling score, then in order."""
+        """Unused documents that share a term, by falling score over all terms of ``rest``, then in order."""
         at = np.searchsorted(self.terms, np.unique(rest))
-        at = at[self.df[at] > 1]
-        at = at[np.argsort(-self.idf[at], kind="stable")][:QUERY_TERMS]
+        at = at[self.df[at] > 1]  # the others stand in the seed alone
         if not len(at):
             return at
         rows = segments_of(self.bounds[at], self.df[at])
-        doc = self.doc[rows]
-        keep = unused[doc]
-        doc, weight = doc[keep], self.weight[rows][keep]
-        found, back = np.unique(doc, return_inverse=True)
-        return found[np.argsort(-np.bincount(back, weight, len(found)), kind="stable")]
+        score = np.bincount(self.doc[rows], self.weight[rows], len(unused))
+        found = np.flatnonzero((score > 0) & unused)  # every weight is positive
+        return found[np.argsort(-score[found], kind="stable")]
 
 
 def fill(rests: list[np.ndarray], length: int, statistics: Statistics | None = None) -> Iterator[tuple[int, int, int, int, int]]:

@@ -67,3 +67,17 @@ def test_equal_rows_are_spread(spark):
     for p in pieces:
         size[p.sequence_id >> 40] += p.start == 0
     assert max(size.values()) <= 200
+
+
+def test_all_terms_of_a_seed_count():
+    """Against plain BM25 over every term; documents that share only a seed's common terms are neighbours."""
+    rng = np.random.default_rng(3)
+    rests = [np.append(np.arange(100), np.arange(1000, 1040)), np.arange(100)]
+    rests += [np.array([1000 + i]) for i in range(40)] + [rng.integers(0, 100, 50) for _ in range(60)] + [np.arange(2000, 2050)]
+    unused = np.ones(len(rests), bool)
+    unused[[0, 50]] = False
+    got = packing.Index(rests).neighbours(rests[0], unused).tolist()
+    s = scores(rests, 0)
+    assert got[0] == 1 and len(rests) - 1 not in got
+    assert set(got) == {d for d in range(len(rests)) if unused[d] and s[d] > 0}
+    assert np.allclose([s[d] for d in got], sorted((s[d] for d in got), reverse=True))
