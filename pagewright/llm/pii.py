@@ -1,14 +1,14 @@
 """Operator 3: personal data, and terms that would give it away.
 
 Base spans follow four fixed patterns (``base_spans``). The method adds terms by
-information content: over all lines of the corpus, a term t and a protected
+information content: over all different contexts of the corpus (lines, long ones
+in pieces), a term t and a protected
 entity e (one address, number or card) have the point-wise mutual information
 log(N * n(t, e) / (n(t) * n(e))); e itself carries log(N / n(e)). A term that
 reveals at least ``GENERALISE`` of what the entity carries is replaced by a
 general word in the lines that hold the entity, one that reveals at least
-``REMOVE`` is taken out. n(t, e) and n(e) count different lines, so that copies
-of a document prove nothing, and a pair needs ``SUPPORT`` of them; n(t) and N
-count all lines.
+``REMOVE`` is taken out. All four counts are of different contexts, so that copies
+of a document prove nothing and hide nothing, and a pair needs ``SUPPORT`` of them.
 
 Defined cases: null text counts as empty and has no spans; equal rows get equal
 results; null ids stay; extra columns are ignored; empty tables give an empty
@@ -107,6 +107,9 @@ def contexts(text: str) -> Iterator[tuple[int, int]]:
     """Start and end of every line, long lines in pieces of ``CONTEXT_WORDS`` words."""
     for line in re.finditer(r"[^\n]+", text):
         start, count = line.start(), 0
+        if line[0].count(" ") < CONTEXT_WORDS:
+            yield line.span()
+            continue
         for gap in re.finditer(r" +", line[0]):
             count += 1
             if count % CONTEXT_WORDS == 0:
@@ -139,6 +142,23 @@ def _terms(text: str, a: int, b: int, spans: list[tuple[str, int, int]]) -> Iter
             yield m[0].lower(), m.start(), m.end()
 
 
+def _name(text: str, a: int, b: int) -> int:
+    """A signed 64-bit name of a context's text."""
+    return int.from_bytes(hashlib.blake2b(text[a:b].encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every context and its different words, blanks between them; one that comes again in a batch once."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, 1024):
+            out: dict[int, str] = {}
+            for text in batch.column("text").slice(first, 1024).to_pylist():
+                for a, b in contexts(text or ""):
+                    if (name := _name(text, a, b)) not in out:
+                        out[name] = " ".join({m.lower() for m in _WORD.findall(text, a, b)})
+            yield pa.RecordBatch.from_pydict({"context": pa.array(list(out), pa.int64()), "words": pa.array(list(out.values()), pa.string())})
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         digit, sign = _suspects(batch.column("text"))
@@ -149,7 +169,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = base_spans(text, bool(digit[i]))
             for a, b, entities in _found(text, spans) if spans else ():
                 terms = sorted({t for t, _, _ in _terms(text, a, b, spans)})
-                line = int.from_bytes(hashlib.blake2b(text[a:b].encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+                line = _name(text, a, b)
                 for e in entities:
                     for k, v in zip(out, (ids[i].as_py(), keys[i].as_py(), e, line, terms)):
                         out[k].append(v)
@@ -164,13 +184,16 @@ def disclosing(seen: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = saved(n_te.join(n_e, "entity"), "pairs")
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("share"))
-    wanted = pairs.select("term").distinct()
-    of_docs = docs.select(F.explode(F.split("text", "\n")).alias("line"))
-    words = of_docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(r"([\p{L}]{3,})"), F.lit(1)))).alias("term"))
-    n_t = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = of_docs.agg(F.count(F.lit(1)).alias("n"))
+    # The empty term stands for every context: its count is N.
+    wanted = pairs.select("term").distinct().union(pairs.sparkSession.createDataFrame([("",)], "term string"))
+    every = docs.select("text").mapInArrow(_contexts, "context long, words string").dropDuplicates(["context"])
+    terms = every.select(F.explode(F.array_distinct(F.split(F.concat(F.lit(" "), "words"), " "))).alias("term"))
+    # Counted before the join: that would deal a common term's rows to one task.
+    n_t = saved(terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(wanted, "term", "left_semi"), "terms")
+    total = n_t.filter(F.col("term") == "").select(F.col("n_t").alias("n"))
     share = (F.log(F.col("n") * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(F.col("n") / F.col("n_e"))).alias("share")
-    return pairs.join(n_t, "term").join(F.broadcast(total), how="inner").select("entity", "term", share).filter(F.col("share") >= GENERALISE)
+    told = pairs.join(n_t, "term").join(F.broadcast(total), how="inner").filter(F.col("n") > F.col("n_e"))  # what stands in every context tells nothing
+    return told.select("entity", "term", share).filter(F.col("share") >= GENERALISE)
 
 
 def sanitised(text: str, spans: list[tuple[str, int, int]], removed: set[tuple[int, int]]) -> str:

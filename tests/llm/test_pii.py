@@ -92,3 +92,27 @@ def test_disclosing_terms(spark):
     assert not any("a@x" in (t or "") for _, t in clean)
     assert pii.sanitise(df).columns == df.columns
     assert pii.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def shares(spark, texts):
+    """(term -> share) of the one entity in the texts."""
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, row_key long").repartition(3)
+    seen = docs.mapInArrow(pii._pairs, "doc_id long, row_key long, entity long, context long, terms array<string>")
+    return {r.term: r.share for r in pii.disclosing(seen, docs).collect()}
+
+
+def test_copies_hide_no_term(spark):
+    held = "\n".join(f"falconridge at {p} a@x.example" for p in ("noon", "dusk", "dawn"))
+    other = [f"something else {i} of it\nand more {i} of it" for i in range(60)]
+    once, copied = shares(spark, [held, *other]), shares(spark, [held] * 200 + other)
+    assert once == copied and once["falconridge"] == 1.0
+
+
+def test_pieces_of_a_long_line_count_alike(spark):
+    pieces = [" ".join(["falconridge", "a@x.example" if i < 3 else "b", f"x{i}", *(f"w{k}" for k in range(61))]) for i in range(43)]
+    found = shares(spark, [" ".join(pieces)] + [f"nothing of it {i}" for i in range(20)])
+    assert "falconridge" not in found and all(v <= 1 for v in found.values())
+
+
+def test_an_entity_in_every_context(spark):
+    assert shares(spark, [f"met here at a@x.example {i}" for i in range(5)]) == {}
