@@ -16,29 +16,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session, which shares its disk, gets a temporary folder;
+    on a cluster that would be each machine's own, so there it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         set_on = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = set_on.get() if set_on.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="pagewright-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+_WRITTEN: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; ``clear`` removes what was written there."""
+    path = f"{shared_folder(spark)}/pagewright-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def saved(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again.
 
     This cuts the lineage: a lost executor costs a reread, never a recomputation,
     and the join strategy downstream is chosen by the size of what was written.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/pagewright-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = scratch(spark, name)
+    writer = df.write.option("compression", codec) if codec else df.write
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession, since: int = 0) -> None:
+    """Removes the intermediate tables written so far (from place ``since`` of the list on). Results that are still to be read from them go with them."""
+    jvm = spark.sparkContext._jvm
+    for path in _WRITTEN[since:]:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    del _WRITTEN[since:]
+
+
+def written() -> int:
+    """How many intermediate tables there are: what ``clear`` takes as ``since``."""
+    return len(_WRITTEN)
+
+
+#: Rows go to Python tasks in batches of about so many bytes, unless the session has a limit of its own.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python task and its JVM hold at a time by bytes; a row count bounds nothing where texts are long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
     """Python stages planned and run inside get at most so many rows at a time: for rows that are large or come in pairs."""
@@ -53,9 +95,18 @@ def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
 
 def plain(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the columns an operator needs, so that extra columns with clashing names can do no harm."""
+    small_batches(docs.sparkSession)
     return docs.select(*[docs[c] for c in columns])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it while ``df`` has a column of that name (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def row_key(*columns: str | Column) -> Column:
     """A 64-bit key of a row's identity; nulls count as a value of their own."""
     return F.xxhash64(*columns)

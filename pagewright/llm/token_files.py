@@ -10,23 +10,24 @@ readers split files by stripe and a look-up of one document reads one row group.
 for each file and a running sum inside each file.
 
 Defined cases: null text counts as empty and holds the end token alone; null ids
-come first; equal ids are ordered by their text; extra columns are ignored; an
-empty table gives an empty result.
+come first; ties of ids are ordered by their text, and repeated rows follow each
+other; extra columns are ignored; an empty table gives an empty result. A text of any
+length is one row; it is encoded in parts (see ``tokens``), and its ids have to fit in
+a task's memory.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import plain, shared_folder, table
-from pagewright.llm.tokens import encoder, vocabulary
+from pagewright.llm.common import plain, scratch, table
+from pagewright.llm.tokens import encoder, parts_of, vocabulary
 
 END = 2
 INDEX_ROWS = 1000
@@ -37,31 +38,34 @@ SCHEMA = "doc_id long, part int, row_no long, n_tokens long, ids array<int>"
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    part, row = TaskContext.get().partitionId(), 0
-    tail = np.array([end], "<u4").tobytes()
+    part, row, base = TaskContext.get().partitionId(), 0, 0
     for batch in batches:
-        texts = batch.column("text")
-        for first in range(0, batch.num_rows, 256):
-            ids = [i + tail for i in encoder(path).encode_column(texts.slice(first, 256))]
-            size = np.array([len(i) // 4 for i in ids], np.int64)
-            flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(flat))
-            n = len(ids)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(first, n), "part": pa.array(np.full(n, part, np.int32)), "row_no": pa.array(np.arange(row, row + n)), "n_tokens": pa.array(size), "ids": lists})
+        for texts in parts_of(batch.column("text")):
+            flat, at = encoder(path).encode_column(texts, end)
+            n = len(texts)
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.view(np.int32)))
+            ids = batch.column("doc_id").slice(row - base, n)
+            yield pa.RecordBatch.from_pydict({"doc_id": ids, "part": pa.array(np.full(n, part, np.int32)), "row_no": pa.array(np.arange(row, row + n)), "n_tokens": pa.array(np.diff(at)), "ids": lists})
             row += n
+        base = row
 
 
 def write(docs: DataFrame, folder: str, path: str, end: int = END) -> None:
     """The token files of ``docs`` in ``folder``."""
     ranges = plain(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     files = ranges.mapInArrow(lambda b: _encode(b, path, end), SCHEMA)
-    files.write.option("orc.bloom.filter.columns", "doc_id").option("orc.row.index.stride", INDEX_ROWS).option("orc.stripe.size", STRIPE_BYTES).option("orc.compress", "ZSTD").orc(folder)
+    files.write.option("orc.bloom.filter.columns", "doc_id").option("orc.row.index.stride", INDEX_ROWS).option("orc.stripe.size", STRIPE_BYTES).option("orc.compress", "SNAPPY").orc(folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(SCHEMA).orc(folder)
 
 
+def look_up(spark: SparkSession, folder: str, doc_ids: Sequence[int]) -> DataFrame:
+    """The rows of some documents: files and row groups whose least and greatest ids or Bloom filters exclude all of them aren't read."""
+    return read(spark, folder).filter(F.col("doc_id").isin(*doc_ids))
+
+
 def index(files: DataFrame) -> DataFrame:
     """part, row_no, start: how many ids stand before each document. The sums are read from the small columns only."""
     sizes = files.select("part", "row_no", "n_tokens")
@@ -82,7 +86,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
-    folder = f"{shared_folder(spark)}/pagewright-tokens-{uuid.uuid4().hex}"
+    folder = scratch(spark, "tokens")
     write(table(spark, sf_dir, "documents"), folder, path or vocabulary())
     files = read(spark, folder)
     digests = files.select("doc_id", "part", "row_no", "ids").mapInArrow(_digest, "doc_id long, part int, row_no long, n_tokens long, ids_crc32 long")

@@ -1,34 +1,62 @@
-"""Token ids of whole texts by the tokenizers library, each distinct word encoded once a worker.
+"""Token ids of whole texts by the tokenizers library, each distinct word of a batch encoded once.
 
 A byte-level BPE never joins what its split pattern parts, and that pattern parts
 a text before every single space, and around every single line end, that stands
 between two other characters. So a text's ids are those of its words, one after
-the other. A worker keeps the ids of the words that it has met, up to a bound, and
-asks the library's BPE model for new ones only. A text with other white space, or
-with several blanks in a row, is parted at its single spaces only.
+the other. A batch's words are numbered by Arrow's dictionary encoding, the library's
+BPE model gives the ids of those that the worker hasn't met, and the texts' ids are
+gathered by number. A text with other white space, or with several blanks in a row,
+is parted at its single spaces only.
+
+Very long texts are taken in parts of about ``PART_BYTES``, cut at spaces or between a
+letter and a mark or digit, which are parted as well. Only a run of letters without
+any end is one unit, whatever its length.
+
+The steps of a batch, on the bytes of all its texts: blanks are set around line ends,
+and before marks that follow a letter; ``_BARE`` says that a piece has no space before
+it in the text. Then the pieces lie between single spaces.
 """
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-from pagewright.llm.kernels import utf8
+from pagewright.llm.kernels import segments_of, utf8
 
-#: Pieces whose ids a worker keeps before it starts anew.
-KEPT = 400_000
+#: What a worker remembers of words takes about so many bytes: two generations, of which the older one goes.
+MEMORY_BYTES = 40 << 20
+#: Longer words aren't remembered.
+LONGEST_KEPT = 64
+#: Texts are encoded together up to so many bytes; longer ones in parts of about this size.
+PART_BYTES = 4 << 20
+#: Pieces of more characters are cut where letters end.
+LONG_PIECE = 1 << 18
 _PARTS = re.compile(r"(?<=\S) (?=\S)")
+_WORD = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+_LETTER_THEN_MARK = re.compile("(?<=[A-Za-zぁ-ゖァ-ヺ一-龥])(?=[.,;:!?0-9\n、。，！？])")
 _BLANK = np.zeros(256, bool)
 _BLANK[[10, 32]] = True
-# Bytes that begin or are other white space; a text that has one takes the slower way.
+# Bytes that begin or are other white space, and the two that mark places below; a text that has one takes the slower way.
 _OTHER = np.zeros(256, bool)
-_OTHER[[9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0xE1, 0xE2, 0xE3]] = True
+_OTHER[[1, 2, 9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0xE1, 0xE2, 0xE3]] = True
 _OTHER_ASCII = np.zeros(256, bool)
-_OTHER_ASCII[[9, 11, 12, 13, 28, 29, 30, 31, 0xE1, 0xE2, 0xE3]] = True
+_OTHER_ASCII[[1, 2, 9, 11, 12, 13, 28, 29, 30, 31, 0xE1, 0xE2, 0xE3]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+# What ends a run of letters whatever follows: digits and ASCII marks, but for the apostrophe.
+_CUTS = np.zeros(256, bool)
+_CUTS[[*range(33, 39), *range(40, 65), *range(91, 97), *range(123, 127)]] = True
+#: Before a word without a space before it; in the place of a text's end.
+_BARE, _END = "\x01", "\x02"
 
 
 def plain_texts(column: pa.Array) -> np.ndarray:
@@ -44,10 +72,34 @@ def plain_texts(column: pa.Array) -> np.ndarray:
     odd[some] |= blank[some]
     last = at[1:][n > 0] - 1
     odd[last] |= blank[last]
-    before = np.concatenate(([0], np.cumsum(odd)))
+    before = np.concatenate(([0], np.cumsum(odd, dtype=np.int32)))
     return before[at[1:]] == before[at[:-1]]
 
 
+def spaced(column: pa.Array) -> pa.Array:
+    """Plain texts with their pieces between single spaces."""
+    data, offsets = utf8(column)
+    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    line = np.flatnonzero(data == 10)
+    ends = _LETTER[data]
+    # U+00C0 to U+00FF are letters, but for two signs.
+    ends[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    cut = np.flatnonzero(ends[:-1] & _CUTS[data[1:]]) + 1
+    added = np.zeros(len(data) + 1, np.int32)
+    added[cut] = 2
+    added[line] += 1
+    added[line + 1] = 2
+    before = np.concatenate((np.zeros(1, np.int32), np.cumsum(added, dtype=np.int32)))
+    out = np.empty(len(data) + int(before[-1]), np.uint8)
+    out[np.arange(len(data), dtype=np.int32) + before[1:-1]] = data
+    for place in (cut, line + 1):
+        slot = place + before[place]
+        out[slot], out[slot + 1] = 32, 1
+    out[line + before[line]] = 32
+    at = (offsets + before[offsets]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(column), pa.py_buffer(at), pa.py_buffer(out))
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """Path of a public tokenizer's file on this machine."""
     import public_tokenizers
@@ -55,26 +107,37 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _visible() -> dict[int, str]:
-    """The byte-level alphabet: printable Latin-1 bytes as they are, the others from U+0100 on in order."""
-    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [b for b in range(256) if b not in set(kept)]
-    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(other)}
+def _visible() -> str:
+    """The byte-level alphabet by byte: printable Latin-1 bytes as they are, the others from U+0100 on in order."""
+    kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    return "".join(chr(b) if b in kept else chr(next(other)) for b in range(256))
 
 
-class _Pieces(dict):
-    """Piece -> its ids as little-endian unsigned 32-bit integers. ``lead`` stands before each piece."""
+class _Memory:
+    """Piece -> its ids as little-endian unsigned 32-bit integers, for about ``MEMORY_BYTES``.
 
-    def __init__(self, encode, lead: str):
-        super().__init__()
-        self.encode, self.lead = encode, lead
+    A piece that begins with ``_BARE`` stands without a space before it, any other with one.
+    """
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= KEPT:
-            self.clear()
-        self[piece] = ids = self.encode(self.lead + piece)
+    def __init__(self):
+        self.newer: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.size = 0
+
+    def get(self, piece: str) -> bytes | None:
+        ids = self.newer.get(piece)
+        if ids is None and (ids := self.older.get(piece)) is not None:
+            self.put(piece, ids)
         return ids
 
+    def put(self, piece: str, ids: bytes) -> None:
+        if len(piece) <= LONGEST_KEPT:
+            self.newer[piece] = ids
+            self.size += 200 + len(piece) + len(ids)  # the two objects and their place in the table
+            if self.size > MEMORY_BYTES // 2:
+                self.older, self.newer, self.size = self.newer, {}, 0
+
 
 class Encoder:
     def __init__(self, path: str):
@@ -85,42 +148,153 @@ class Encoder:
         self.whole.encode_special_tokens = True
         self.model = self.whole.model
         self.alphabet = _visible()
-        self.first, self.later = _Pieces(self._piece, ""), _Pieces(self._piece, " ")
+        self.lead = self.alphabet[32]
+        self.known = _Memory()
         self.line_end = self._ids("\n")
-        self.marks = {m: self._ids(m) for m in ".,"}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _piece(self, text: str) -> bytes:
-        """A word, alone or with a space before it, is one unit of the split pattern; a final point or comma is another."""
-        lead = text[:1] == " "
-        word = text[1:] if lead else text
+    def _letters(self, word: str, lead: str) -> bytes:
+        """Letters, alone or with a space before them, are one unit of the split pattern."""
+        word = lead + (word if word.isascii() else codecs.charmap_decode(word.encode(), "strict", self.alphabet)[0])
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def _unit(self, word: str, bare: bool) -> bytes:
+        """The ids of ``word``, with a space before it unless it is ``bare``. Marks after its letters are parted from them."""
         if word.isalpha():
-            return np.array([t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.alphabet))], "<u4").tobytes()
-        if word[-1:] in self.marks and word[:-1].isalpha():
-            return (self.later if lead else self.first)[word[:-1]] + self.marks[word[-1]]
-        return self._ids(text)
-
-    def encode(self, text: str | None, is_plain: bool = False) -> bytes:
-        """The ids of a text as bytes, four a token; null counts as empty. ``is_plain``: what ``plain_texts`` says of it."""
-        if not text:
-            return b""
-        first, later = self.first, self.later
-        if not is_plain:
-            pieces = _PARTS.split(text)
-            return first[pieces[0]] + b"".join([later[p] for p in pieces[1:]])
-        out = []
-        for line in text.split("\n"):
-            pieces = line.split(" ")
-            out.append(first[pieces[0]])
-            out += [later[p] for p in pieces[1:]]
-            out.append(self.line_end)
-        out.pop()
-        return b"".join(out)
-
-    def encode_column(self, column: pa.Array) -> list[bytes]:
-        return [self.encode(t, p) for t, p in zip(column.to_pylist(), plain_texts(column).tolist())]
+            return self._letters(word, "" if bare else self.lead)
+        if (m := _WORD.fullmatch(word)) and m[1].isalpha():
+            return self._known(m[1], bare) + self._known(m[2], True)
+        return self._ids(word if bare else " " + word)
+
+    def _known(self, word: str, bare: bool) -> bytes:
+        piece = _BARE + word if bare else word
+        ids = self.known.get(piece)
+        if ids is None:
+            ids = self._unit(word, bare)
+            self.known.put(piece, ids)
+        return ids
+
+    def _long(self, word: str, bare: bool) -> bytes:
+        """``_unit`` in parts, for any length."""
+        start, out = 0, []
+        cuts = [m.start() for m in _LETTER_THEN_MARK.finditer(word, 1)] if len(word) > LONG_PIECE else []
+        for cut, following in zip(cuts, [*cuts[1:], len(word)]):
+            if following - start > LONG_PIECE:
+                out.append(self._unit(word[start:cut], bare))
+                start, bare = cut, True
+        return b"".join([*out, self._unit(word[start:], bare)])
+
+    def _odd(self, text: str) -> np.ndarray:
+        """A text with other white space."""
+        out, start = [], 0
+        for end in [*(m.start() for m in _PARTS.finditer(text)), len(text)]:
+            word = text[start:end]
+            out.append(self._known(word, False) if start and len(word) <= LONGEST_KEPT and _BARE not in word and word != _END else self._long(word, not start))
+            start = end + 1
+        return np.frombuffer(b"".join(out), "<u4")
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """The ids of one text; null counts as empty."""
+        flat, _ = self.encode_column(pa.array([text], pa.string()))
+        return flat
+
+    def _words(self, words: pa.Array, fixed: dict[str, bytes]) -> list[bytes]:
+        """The ids of each of the different pieces of a batch."""
+        pieces = words.to_pylist()
+        newer, older, known = self.known.newer.get, self.known.older.get, self.known
+        got = list(map(newer, pieces))
+        tokenize, lead = self.model.tokenize, self.lead
+        simple = pc.and_(pc.utf8_is_alpha(words), pc.string_is_ascii(words)).to_pylist()
+        for i, ids in enumerate(got):
+            if ids is not None:
+                continue
+            piece = pieces[i]
+            ids = older(piece)
+            if ids is None:
+                if simple[i]:
+                    ids = array("I", [t.id for t in tokenize(lead + piece)]).tobytes()
+                elif piece in fixed:
+                    got[i] = fixed[piece]
+                    continue
+                elif piece[:1] == _BARE:
+                    ids = self._unit(piece[1:], True)
+                else:
+                    ids = self._unit(piece, False)
+            got[i] = ids
+            known.put(piece, ids)
+        return got
+
+    def _plain(self, texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts whose pieces lie between single spaces."""
+        lists = pc.split_pattern(spaced(texts), " ")
+        if isinstance(lists, pa.ChunkedArray):
+            lists = lists.combine_chunks()
+        bounds = np.asarray(lists.offsets)
+        words = pc.dictionary_encode(lists.flatten())
+        known = self.known
+        got = self._words(words.dictionary, {_END: end, "\n": self.line_end})
+        size = np.fromiter(map(len, got), np.int64, len(got)) >> 2
+        starts, at = np.cumsum(size) - size, words.indices.to_numpy()
+        each = size[at]
+        places = np.concatenate(([0], np.cumsum(each)))
+        flat = np.frombuffer(b"".join(got), "<u4")[segments_of(starts[at], each)]
+        return flat, places[bounds - bounds[0]]
+
+    def encode_column(self, column: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, ``end`` after each, and where each text's begin (one more than texts)."""
+        tail = b"" if end is None else np.array([end], "<u4").tobytes()
+        flat, size = [], []
+        for part in parts_of(column):
+            plain = plain_texts(part)
+            texts = pc.fill_null(part, "")
+            easy = texts.filter(pa.array(plain))
+            if len(part) == 1 and len(easy) and part.nbytes > 2 * PART_BYTES:
+                rows = pa.array(_cut(f"{_BARE}{easy[0].as_py()} {_END}"), pa.string())
+            else:
+                rows = pc.binary_join_element_wise(_BARE, easy, f" {_END}", "")
+            ids, bounds = self._plain(rows, tail) if len(rows) else (np.zeros(0, "<u4"), np.zeros(1, np.int64))
+            if len(part) == 1 and len(rows) > 1:
+                bounds = bounds[[0, -1]]
+            if plain.all():
+                flat.append(ids)
+                size.append(np.diff(bounds))
+                continue
+            lengths, k = np.zeros(len(part), np.int64), 0
+            for i in range(len(part)):
+                if plain[i]:
+                    one = ids[bounds[k] : bounds[k + 1]]
+                    k += 1
+                else:
+                    one = np.concatenate((self._odd(texts[i].as_py()), np.frombuffer(tail, "<u4")))
+                flat.append(one)
+                lengths[i] = len(one)
+            size.append(lengths)
+        sizes = np.concatenate([np.zeros(1, np.int64), *size])
+        return (np.concatenate(flat) if flat else np.zeros(0, "<u4")), np.cumsum(sizes)
+
+
+def parts_of(column: pa.Array, most: int = PART_BYTES) -> Iterator[pa.Array]:
+    """Slices of about ``most`` bytes; a longer text is alone in its slice."""
+    _, offsets = utf8(column)
+    first = 0
+    while first < len(column):
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
+        yield column.slice(first, min(last, len(column)) - first)
+        first = last
+
+
+def _cut(text: str) -> list[str]:
+    """Parts of a text at single spaces, which fall out."""
+    out, start = [], 0
+    while len(text) - start > PART_BYTES:
+        cut = text.find(" ", start + PART_BYTES)
+        if cut < 0:
+            break
+        out.append(text[start:cut])
+        start = cut + 1
+    return [*out, text[start:]]
 
 
 @lru_cache(maxsize=2)

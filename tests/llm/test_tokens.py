@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pagewright.llm import packing, token_files
 from pagewright.llm.tokens import Encoder, vocabulary
 
-ODD = [None, "", " ", "a", " a", "a ", "a  b", "a\nb", "a\n\nb", "a \nb", "a\n b", "a\tb c", "it's we'll they've", "über die Straße, 12 345.\nNein! x", "a b  c", "<|endoftext|> x", "x" * 3000, "日本 語", "\x1c \x1d", "don't.\n'tis, no.", "...\n,,, a., b"]
+ODD = [None, "", " ", "a", " a", "a ", "a  b", "a\nb", "a\n\nb", "a \nb", "a\n b", "a\tb c", "it's we'll they've", "über die Straße, 12 345.\nNein! x", "a b  c", "<|endoftext|> x", "x" * 3000, "日本 語", "\x1c \x1d", "don't.\n'tis, no.", "...\n,,, a., b", "a \x01b \x02", "\x01", "a\n\x02", "the.### of%%% It's,, x2-y", "\n"]
 ROWS = [(i, t) for i, t in enumerate(ODD)] + [(3, "a"), (None, "b c"), (None, None), (40, "word " * 3000)]
 
 
@@ -26,13 +26,27 @@ def whole(encoder, text):
 
 
 def check(encoder, texts):
-    got = encoder.encode_column(pa.array(texts, pa.string()))
-    for text, ids in zip(texts, got):
-        assert np.frombuffer(ids, "<u4").tolist() == whole(encoder, text), text
+    flat, at = encoder.encode_column(pa.array(texts, pa.string()), 7)
+    assert len(at) == len(texts) + 1 and at[-1] == len(flat)
+    for i, text in enumerate(texts):
+        assert flat[at[i] : at[i + 1]].tolist() == whole(encoder, text) + [7], text
 
 
 def test_odd_texts(encoder):
     check(encoder, ODD)
+    check(encoder, ODD[::-1])
+
+
+def test_long_texts(encoder, monkeypatch):
+    """Texts beyond a part: with spaces, without, and without any end of letters; and a memory that forgets."""
+    from pagewright.llm import tokens
+
+    monkeypatch.setattr(tokens, "PART_BYTES", 200)
+    monkeypatch.setattr(tokens, "LONG_PIECE", 50)
+    monkeypatch.setattr(tokens, "MEMORY_BYTES", 4000)
+    texts = ["of the. " * 200 + "end", "ab,cd" * 200, "日本，語1" * 100, "x" * 700, "a\t" + "b'c,d" * 100 + " e f", "short", None]
+    check(Encoder(vocabulary()), texts)
+    check(Encoder(vocabulary()), texts[:1])
 
 
 @settings(max_examples=150, deadline=None)
@@ -113,6 +127,36 @@ def test_packing_of_odd_rows(encoder, spark):
 def test_neighbours_share_terms():
     rests = [np.array(x) for x in ([1, 2, 3, 9], [4, 5, 6], [1, 2, 7], [8], [2, 4])]
     index = packing.Index(rests)
+    assert index.neighbours_of(0, np.array([False, True, True, True, True])).tolist() == [2, 4]
     unused = np.array([False, True, True, True, True])
     assert index.neighbours(rests[0], unused).tolist() == [2, 4]
     assert index.neighbours(np.array([8]), unused).tolist() == []
+
+
+def test_look_up_skips_row_groups(encoder, spark, tmp_path):
+    """The files have row indexes, stripes and Bloom filters, and a look-up reads a few row groups only."""
+    import glob
+
+    import pyarrow.orc
+
+    rows = [(i * 2, f"text {i} " * 20) for i in range(12_000)]
+    folder = str(tmp_path / "files")
+    token_files.write(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), folder, vocabulary())
+    for path in glob.glob(folder + "/*.orc"):
+        f = pyarrow.orc.ORCFile(path)
+        assert f.row_index_stride == token_files.INDEX_ROWS and f.nstripes >= 1
+        assert f.compression == "SNAPPY" or f.nrows == 0
+    found = token_files.look_up(spark, folder, [4000])
+    assert [(r.doc_id, r.ids) for r in found.collect()] == [(4000, whole(encoder, rows[2000][1]) + [2])]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [" in plan and "doc_id" in plan.split("PushedFilters: [")[1]
+
+    def read_rows(df):
+        df.collect()
+        leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+        metric = lambda node: node.metrics().apply("numOutputRows").value()
+        return sum(metric(leaves.apply(i)) for i in range(leaves.size()))
+
+    assert read_rows(found) <= 2 * token_files.INDEX_ROWS
+    # An id that is in no file but within its range: the Bloom filter knows.
+    assert read_rows(token_files.look_up(spark, folder, [4001])) <= token_files.INDEX_ROWS // 2
