@@ -1,21 +1,23 @@
 """Operator 10: packing by lexical retrieval.
 
 Documents longer than a sequence give as many full sequences as they hold; the
-rest of each goes to the packer. Document counts of terms and the mean length are
-taken over all rests. The rests are dealt to shards of about ``SHARD_TOKENS`` tokens
-by content: a tree of mean directions, grown on a sample that keeps step with the
-shards, sends each rest's BM25 vector (hashed to ``DIMENSIONS`` places) to a leaf;
-leaves that lie side by side share a shard, and a leaf of more than a shard is
-dealt to several, equal rows as well. A shard builds a BM25 index of its rests with
-the statistics of the whole corpus, token ids as terms. The longest unused rest is the next seed; the index returns its unused
-neighbours, best first, and they fill the seed's sequence in turn. The neighbour
-that no longer fits is cut and what is left of it is the next seed, so that only
-a shard's last sequence can be short. Without neighbours left that share a term,
-the longest unused rest follows.
+rest of each goes to the packer. Terms are token ids, of whole documents. Document
+counts of terms and the mean length are taken over all documents. The rests are dealt to
+shards of about ``SHARD_TOKENS`` tokens by content: a tree of mean directions, grown on
+at most ``SAMPLE`` documents, sends each document's BM25 vector (hashed to
+``DIMENSIONS`` places) to a leaf; leaves that lie side by side share a shard, and a
+leaf of more tokens than a shard is dealt evenly to several, equal rows as well. A
+shard builds a BM25 index of its documents with the statistics of the whole corpus.
+The longest unused rest is the next seed; the index scores by all terms of the
+seed's document and returns its unused neighbours, best first, and their rests fill
+the seed's sequence in turn. The neighbour that no longer fits is cut and what is left of
+it is the next seed, so that only a shard's last sequence can be short. Without
+neighbours left that share a term, the longest unused rest follows.
 
 Defined cases: null text counts as empty and is its end token alone; equal rows
 are packed each; null ids stay; extra columns are ignored; an empty table gives an
-empty result. Ties of scores and lengths go to the earlier document of the shard.
+empty result. Ties of scores and lengths go to the earlier document of the shard, by
+doc_id, length and ids. A text of any length is encoded in parts; a task holds its ids.
 """
 
 from __future__ import annotations
@@ -31,44 +33,54 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.common import plain, saved, table
 from pagewright.llm.kernels import U64, mix, segments_of
-from pagewright.llm.tokens import encoder, vocabulary
+from pagewright.llm.tokens import encoder, parts_of, vocabulary
 
 LENGTH = 1024
 END = 0
 SHARD_TOKENS = 1 << 19
 #: BM25's usual parameters.
 K1, B = 1.2, 0.75
-#: Places of a hashed vector; how many documents a shard are sampled to grow the tree, and how many at least; branches of a node.
-DIMENSIONS, SAMPLED, LEAST_SAMPLE, BRANCHES = 128, 16, 4096, 8
-ENCODED = "doc_id long, shard_key long, row_no long, doc_tokens long, sums array<long>, rest binary"
+#: Places of a hashed vector; documents sampled to grow the tree; sampled documents a leaf has at least; branches of a node.
+DIMENSIONS, SAMPLE, LEAF, BRANCHES = 128, 32_768, 8, 8
+ENCODED = "doc_id long, shard_key long, row_no long, doc_tokens long, sums array<long>, rest binary, lead binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int, length: int) -> Iterator[pa.RecordBatch]:
-    """A row for each document: checksums of its full sequences, and the ids of the rest."""
-    tail = np.array([end], "<u4").tobytes()
+    """A row for each document: checksums of its full sequences and the counts of their terms, and the ids of the rest."""
     for batch in batches:
-        for first in range(0, batch.num_rows, 256):
-            texts = encoder(path).encode_column(batch.column("text").slice(first, 256))
-            size, sums, rests = [], [], []
-            for ids in texts:
-                ids += tail
-                full = len(ids) // (4 * length)
-                view = memoryview(ids)
-                size.append(len(ids) // 4)
-                sums.append([zlib.crc32(view[4 * length * i : 4 * length * (i + 1)]) for i in range(full)])
-                rest = np.frombuffer(ids, "<u4", offset=4 * length * full)
-                rests.append((rest.astype("<u2") if not len(rest) or rest.max() < 65536 else rest).tobytes())
-            yield pa.RecordBatch.from_pydict({**{c: batch.column(c).slice(first, len(texts)) for c in ("doc_id", "shard_key", "row_no")}, "doc_tokens": pa.array(size, pa.int64()), "sums": pa.array(sums, pa.list_(pa.int64())), "rest": pa.array(rests, pa.binary())})
-
-
-def counted(rests: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document, term and count of each different term of each document, by term, then document; the documents' lengths."""
+        first = 0
+        for texts in parts_of(batch.column("text")):
+            flat, at = encoder(path).encode_column(texts, end)
+            small = flat.astype("<u2") if not len(flat) or flat.max() < 65536 else flat
+            n = len(texts)
+            sums, rests, leads = [], [], []
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+                whole = (j - i) // length * length
+                sums.append([zlib.crc32(flat[k : k + length]) for k in range(i, i + whole, length)])
+                rests.append(small[i + whole : j].tobytes())
+                leads.append(np.stack(np.unique(flat[i : i + whole], return_counts=True)).astype("<u4").tobytes() if whole else b"")
+            yield pa.RecordBatch.from_pydict({**{c: batch.column(c).slice(first, n) for c in ("doc_id", "shard_key", "row_no")}, "doc_tokens": pa.array(np.diff(at)), "sums": pa.array(sums, pa.list_(pa.int64())), "rest": pa.array(rests, pa.binary()), "lead": pa.array(leads, pa.binary())})
+            first += n
+
+
+def counted(rests: list[np.ndarray], leads: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, term and count of each different term of each document, by term, then document; the documents' lengths.
+
+    ``leads``: terms (first row) and counts of what each document has before its rest.
+    """
+    n = max(len(rests), 1)
     size = np.array([len(r) for r in rests], np.int64)
     doc = np.repeat(np.arange(len(rests)), size)
     term = np.concatenate(rests).astype(np.int64) if rests else np.zeros(0, np.int64)
-    pair, tf = np.unique(term * max(len(rests), 1) + doc, return_counts=True)
-    return pair % max(len(rests), 1), pair // max(len(rests), 1), tf, size
+    pair, tf = np.unique(term * n + doc, return_counts=True)
+    if leads and any(x.shape[1] for x in leads):
+        more = np.concatenate(leads, 1).astype(np.int64)
+        owner = np.repeat(np.arange(len(leads)), [x.shape[1] for x in leads])
+        size = size + np.bincount(owner, more[1], len(leads)).astype(np.int64)
+        pair, back = np.unique(np.concatenate((pair, more[0] * n + owner)), return_inverse=True)
+        tf = np.bincount(back, np.concatenate((tf, more[1]))).astype(np.int64)
+    return pair % n, pair // n, tf, size
 
 
 class Statistics:
@@ -79,8 +91,8 @@ class Statistics:
         self.idf = np.log1p((documents - df + 0.5) / (df + 0.5))
 
     @staticmethod
-    def of(rests: list[np.ndarray]) -> Statistics:
-        _, term, _, size = counted(rests)
+    def of(rests: list[np.ndarray], leads: list[np.ndarray] | None = None) -> Statistics:
+        _, term, _, size = counted(rests, leads)
         return Statistics(len(rests), int(size.sum()), np.bincount(term))
 
     def weights(self, term: np.ndarray, tf: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -88,32 +100,43 @@ class Statistics:
 
 
 class Index:
-    """A BM25 index of token-id sequences, by the statistics of the corpus that they are part of."""
+    """A BM25 index of documents as token ids, by the statistics of the corpus that they are part of."""
 
-    def __init__(self, rests: list[np.ndarray], statistics: Statistics | None = None):
-        self.doc, term, tf, size = counted(rests)
-        statistics = statistics or Statistics.of(rests)
+    def __init__(self, rests: list[np.ndarray], statistics: Statistics | None = None, leads: list[np.ndarray] | None = None):
+        self.doc, term, tf, size = counted(rests, leads)
+        statistics = statistics or Statistics.of(rests, leads)
         first = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
         self.bounds = np.append(first, len(term))
         self.terms = term[first]
         self.df = np.diff(self.bounds)
         self.weight = statistics.weights(term, tf, size[self.doc])
-
-    def neighbours(self, rest: np.ndarray, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term, by falling score over all terms of ``rest``, then in order."""
-        at = np.searchsorted(self.terms, np.unique(rest))
-        at = at[self.df[at] > 1]  # the others stand in the seed alone
-        if not len(at):
-            return at
+        order = np.argsort(self.doc, kind="stable")
+        self.lists_of_doc = np.repeat(np.arange(len(self.terms)), self.df)[order]
+        self.doc_bounds = np.searchsorted(self.doc[order], np.arange(len(rests) + 1))
+
+    def neighbours(self, terms: np.ndarray, unused: np.ndarray) -> np.ndarray:
+        """Unused documents that share a term, by falling score over all ``terms``, then in order."""
+        terms = np.unique(terms)
+        at = np.searchsorted(self.terms, terms)
+        known = at < len(self.terms)
+        return self._best(at[known][self.terms[at[known]] == terms[known]], unused)[0]
+
+    def neighbours_of(self, doc: int, unused: np.ndarray) -> np.ndarray:
+        """The same for the terms of a document of the index."""
+        at = self.lists_of_doc[self.doc_bounds[doc] : self.doc_bounds[doc + 1]]
+        return self._best(at[self.df[at] > 1], unused)[0]  # the others stand in this document alone
+
+    def _best(self, at: np.ndarray, unused: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = segments_of(self.bounds[at], self.df[at])
         score = np.bincount(self.doc[rows], self.weight[rows], len(unused))
         found = np.flatnonzero((score > 0) & unused)  # every weight is positive
-        return found[np.argsort(-score[found], kind="stable")]
+        found = found[np.argsort(-score[found], kind="stable")]
+        return found, score[found]
 
 
-def fill(rests: list[np.ndarray], length: int, statistics: Statistics | None = None) -> Iterator[tuple[int, int, int, int, int]]:
+def fill(rests: list[np.ndarray], length: int, statistics: Statistics | None = None, leads: list[np.ndarray] | None = None) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, start in its rest, tokens, sequence, offset) of every piece, in order."""
-    index, unused = Index(rests, statistics), np.array([len(r) > 0 for r in rests], bool)
+    index, unused = Index(rests, statistics, leads), np.array([len(r) > 0 for r in rests], bool)
     longest = np.argsort([-len(r) for r in rests], kind="stable")
     cursor, sequence, offset = 0, 0, 0
     queue: list[int] = []  # the best neighbour last
@@ -130,7 +153,7 @@ def fill(rests: list[np.ndarray], length: int, statistics: Statistics | None = N
             doc = int(longest[cursor])
         unused[doc] = False
         if not offset:  # it is a seed
-            queue = index.neighbours(rests[doc], unused).tolist()[::-1]
+            queue = index.neighbours_of(doc, unused).tolist()[::-1]
         start = 0
         while start < len(rests[doc]):
             n = min(len(rests[doc]) - start, length - offset)
@@ -139,7 +162,7 @@ def fill(rests: list[np.ndarray], length: int, statistics: Statistics | None = N
             if offset == length:
                 sequence, offset = sequence + 1, 0
                 if start < len(rests[doc]):  # what is left of it is the next seed
-                    queue = index.neighbours(rests[doc], unused).tolist()[::-1]
+                    queue = index.neighbours_of(doc, unused).tolist()[::-1]
 
 
 def _rests(rest: Iterable[bytes], tokens: Iterable[int], sums: Iterable[list], length: int) -> list[np.ndarray]:
@@ -147,39 +170,48 @@ def _rests(rest: Iterable[bytes], tokens: Iterable[int], sums: Iterable[list], l
     return [np.frombuffer(r, "<u4" if len(r) == 4 * (n - len(s) * length) else "<u2").astype("<u4") for r, n, s in zip(rest, tokens, sums)]
 
 
-def _parts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def _leads(lead: Iterable[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u4").reshape(2, -1) for x in lead]
+
+
+def _parts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[np.ndarray]]]:
     for batch in batches:
         for first in range(0, batch.num_rows, 1024):
             part = batch.slice(first, 1024)
-            yield part, _rests(*(part.column(c).to_pylist() for c in ("rest", "doc_tokens", "sums")), length)
+            yield part, _rests(*(part.column(c).to_pylist() for c in ("rest", "doc_tokens", "sums")), length), _leads(part.column("lead").to_pylist())
+
+
+#: What ``_statistics`` counts besides the documents that hold each term: documents, tokens, tokens of rests.
+DOCUMENTS, TOKENS, REST_TOKENS = -1, -2, -3
 
 
 def _statistics(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """What a task adds to the number of documents (term -1), of tokens (-2) and of documents that hold each term."""
-    df, documents, tokens = np.zeros(0, np.int64), 0, 0
-    for _, rests in _parts(batches, length):
-        _, term, _, size = counted(rests)
-        documents, tokens = documents + len(rests), tokens + int(size.sum())
+    """What a task adds to the corpus's counts."""
+    df, documents, tokens, rest_tokens = np.zeros(0, np.int64), 0, 0, 0
+    for _, rests, leads in _parts(batches, length):
+        _, term, _, size = counted(rests, leads)
+        documents, tokens, rest_tokens = documents + len(rests), tokens + int(size.sum()), rest_tokens + sum(map(len, rests))
         more = np.bincount(term, minlength=len(df))
         more[: len(df)] += df
         df = more
     held = np.flatnonzero(df)
-    yield pa.RecordBatch.from_pydict({"term": pa.array(np.append(held, [-1, -2])), "n": pa.array(np.append(df[held], [documents, tokens]))})
+    yield pa.RecordBatch.from_pydict({"term": pa.array(np.append(held, [DOCUMENTS, TOKENS, REST_TOKENS])), "n": pa.array(np.append(df[held], [documents, tokens, rest_tokens]))})
 
 
-def statistics_of(encoded: DataFrame, length: int) -> Statistics:
+def statistics_of(encoded: DataFrame, length: int) -> tuple[Statistics, int]:
+    """BM25 statistics, and the number of tokens of rests."""
     rows = encoded.mapInArrow(lambda b: _statistics(b, length), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row for each id of the vocabulary
     n = {r["term"]: r["n"] for r in rows}
-    df = np.zeros(max(n, default=-1) + 1, np.int64)
+    df = np.zeros(max(0, *n) + 1 if n else 0, np.int64)
     for term, k in n.items():
         if term >= 0:
             df[term] = k
-    return Statistics(n.get(-1, 0), n.get(-2, 0), df)
+    return Statistics(n.get(DOCUMENTS, 0), n.get(TOKENS, 0), df), n.get(REST_TOKENS, 0)
 
 
-def vectors(rests: list[np.ndarray], statistics: Statistics) -> np.ndarray:
+def vectors(rests: list[np.ndarray], leads: list[np.ndarray], statistics: Statistics) -> np.ndarray:
     """The BM25 weights of each document's terms with hashed signs in ``DIMENSIONS`` hashed places, at length 1."""
-    doc, term, tf, size = counted(rests)
+    doc, term, tf, size = counted(rests, leads)
     code = mix(np.arange(len(statistics.idf)))
     sign, place = np.where(code & U64(1), 1.0, -1.0), ((code >> U64(1)) % U64(DIMENSIONS)).astype(np.int64)
     out = np.bincount(doc * DIMENSIONS + place[term], sign[term] * statistics.weights(term, tf, size[doc]), len(rests) * DIMENSIONS).reshape(len(rests), DIMENSIONS)
@@ -221,20 +253,20 @@ def leaves_of(tree: tuple | int, x: np.ndarray) -> np.ndarray:
 
 
 def _sampled(batches: Iterator[pa.RecordBatch], statistics: Statistics, length: int) -> Iterator[pa.RecordBatch]:
-    for part, rests in _parts(batches, length):
-        yield pa.RecordBatch.from_pydict({"shard_key": part.column("shard_key"), "x": pa.array([r.tobytes() for r in vectors(rests, statistics)], pa.binary())})
+    for part, rests, leads in _parts(batches, length):
+        yield pa.RecordBatch.from_pydict({"shard_key": part.column("shard_key"), "x": pa.array([r.tobytes() for r in vectors(rests, leads, statistics)], pa.binary())})
 
 
 def _dealt(batches: Iterator[pa.RecordBatch], statistics: Statistics, tree: tuple | int, length: int) -> Iterator[pa.RecordBatch]:
-    for part, rests in _parts(batches, length):
-        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(leaves_of(tree, vectors(rests, statistics)))], [*part.schema.names, "leaf"])
+    for part, rests, leads in _parts(batches, length):
+        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(leaves_of(tree, vectors(rests, leads, statistics)))], [*part.schema.names, "leaf"])
 
 
 def shards_of(counts: list[tuple[int, int]], most: int) -> list[tuple[int, int, int]]:
-    """(leaf, first shard, shards) from the documents of each leaf: neighbours together up to ``most``, larger ones in several."""
+    """(leaf, first shard, shards) from the tokens of each leaf: neighbours together up to ``most``, larger ones in several."""
     out, shard, held = [], 0, 0
     for leaf, n in sorted(counts):
-        parts = -(-n // most)
+        parts = max(1, -(-n // most))
         if held and (parts > 1 or held + n > most):
             shard, held = shard + 1, 0
         out.append((leaf, shard, parts))
@@ -245,31 +277,27 @@ def shards_of(counts: list[tuple[int, int]], most: int) -> list[tuple[int, int,
     return out
 
 
-def deal(encoded: DataFrame, statistics: Statistics, length: int, shard_tokens: int) -> DataFrame:
+def deal(encoded: DataFrame, statistics: Statistics, rest_tokens: int, length: int, shard_tokens: int) -> DataFrame:
     """``encoded`` with the shard of each row."""
-    # A rest is taken as half a sequence.
-    most = max(1, shard_tokens // (length // 2))
-    shards = statistics.documents // most
+    shards = rest_tokens // shard_tokens
     if shards < 2:
         return encoded.withColumn("shard", F.lit(0).cast("long"))
     # Rows whose hash lies in the first part of its range: the same ones every time, equal rows once.
-    share = max(LEAST_SAMPLE, SAMPLED * shards) / statistics.documents
-    bound = min(int(min(1.0, share) * 2**64) - 2**63, 2**63 - 1)
+    bound = min(int(min(1.0, SAMPLE / statistics.documents) * 2**64) - 2**63, 2**63 - 1)
     sampled = encoded.filter(F.col("shard_key") <= F.lit(bound)).mapInArrow(lambda b: _sampled(b, statistics, length), "shard_key long, x binary")
-    rows = sorted((r["shard_key"], bytes(r["x"])) for r in sampled.dropDuplicates(["shard_key"]).collect())
+    rows = sorted((r["shard_key"], bytes(r["x"])) for r in sampled.dropDuplicates(["shard_key"]).collect())  # about SAMPLE
     x = np.stack([np.frombuffer(r, np.float32) for _, r in rows]) if rows else np.zeros((0, DIMENSIONS), np.float32)
-    tree, _ = grown(x, max(1, len(x) // (3 * shards)))
+    tree, _ = grown(x, max(LEAF, len(x) // (3 * shards)))
     dealt = saved(encoded.mapInArrow(lambda b: _dealt(b, statistics, tree, length), ENCODED + ", leaf long"), "dealt")
-    places = shards_of([tuple(r) for r in dealt.groupBy("leaf").count().collect()], most)  # a few leaves a shard
+    tokens = F.sum(F.col("doc_tokens") - length * F.size("sums"))
+    places = shards_of([tuple(r) for r in dealt.groupBy("leaf").agg(tokens).collect()], shard_tokens)  # at most SAMPLE leaves
     by_leaf = encoded.sparkSession.createDataFrame(places, "leaf long, first long, parts long")
-    # A key of many equal rows would be one lump: those are dealt by their number.
-    many = dealt.groupBy("shard_key").count().filter(F.col("count") > most // 8).select("shard_key", F.lit(True).alias("many"))
-    key = F.when(F.col("many"), F.col("row_no")).otherwise(F.col("shard_key"))
-    return dealt.join(F.broadcast(by_leaf), "leaf").join(F.broadcast(many), "shard_key", "left").withColumn("shard", F.col("first") + F.pmod(key, F.col("parts")))
+    # By row, not by content: a leaf of many equal rows isn't one lump.
+    return dealt.join(F.broadcast(by_leaf), "leaf").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("row_no"), F.col("parts")))
 
 
 def _pack(key: tuple, frame: pd.DataFrame, length: int, statistics: Statistics) -> pd.DataFrame:
-    frame = frame.sort_values(["doc_id", "doc_tokens", "rest"], kind="stable")
+    frame = frame.sort_values(["doc_id", "doc_tokens", "rest", "lead"], kind="stable")
     rests = _rests(frame["rest"], frame["doc_tokens"], frame["sums"], length)
     ids, sizes = frame["doc_id"].tolist(), frame["doc_tokens"].tolist()
     out, sequence = [], int(key[0]) << 40
@@ -277,7 +305,7 @@ def _pack(key: tuple, frame: pd.DataFrame, length: int, statistics: Statistics)
         for i, crc in enumerate(sums):
             out.append((ids[doc], i * length, length, int(crc), sizes[doc], sequence, 0))
             sequence += 1
-    for doc, start, n, number, offset in fill(rests, length, statistics):
+    for doc, start, n, number, offset in fill(rests, length, statistics, _leads(frame["lead"])):
         before = sizes[doc] - len(rests[doc])
         out.append((ids[doc], before + start, n, zlib.crc32(rests[doc][start : start + n].tobytes()), sizes[doc], sequence + number, offset))
     result = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
@@ -288,8 +316,8 @@ def pack(docs: DataFrame, path: str, end: int = END, length: int = LENGTH, shard
     """The pieces of all documents, each with its sequence and its place there."""
     docs = plain(docs, "doc_id", "text").withColumns({"shard_key": F.xxhash64("doc_id", "text"), "row_no": F.monotonically_increasing_id()})
     encoded = saved(docs.mapInArrow(lambda b: _encode(b, path, end, length), ENCODED), "encoded")
-    statistics = statistics_of(encoded, length)
-    dealt = deal(encoded, statistics, length, shard_tokens).select("doc_id", "doc_tokens", "sums", "rest", "shard")
+    statistics, rest_tokens = statistics_of(encoded, length)
+    dealt = deal(encoded, statistics, rest_tokens, length, shard_tokens).select("doc_id", "doc_tokens", "sums", "rest", "lead", "shard")
     return dealt.groupBy("shard").applyInPandas(lambda key, frame: _pack(key, frame, length, statistics), PIECES)
 
 

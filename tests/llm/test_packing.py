@@ -37,8 +37,8 @@ def test_best_neighbours_share_a_shard(spark, n):
     for p in packing.pack(df, vocabulary(), length=512, shard_tokens=75 * 256).collect():
         shard[p.doc_id] = p.sequence_id >> 40
     sizes = Counter(shard.values())
-    assert len(sizes) >= n // 75 and max(sizes.values()) <= 150
-    ids = [np.frombuffer(i, "<u4") for i in map(Encoder(vocabulary()).encode, (t for _, t in rows))]
+    assert len(sizes) >= n // 150 and max(sizes.values()) <= 300
+    ids = list(map(Encoder(vocabulary()).encode, (t for _, t in rows)))
     found = []
     for seed in range(0, n, n // 24 + 1 | 1):  # an odd step, so that all sorts of topics come
         s = scores(ids, seed)
@@ -53,9 +53,10 @@ def test_statistics_are_those_of_all_shards(spark):
     docs = spark.createDataFrame([(a, b, i, i) for i, (a, b) in enumerate(rows)], "doc_id long, text string, shard_key long, row_no long").repartition(5)
     path = vocabulary()
     encoded = docs.mapInArrow(lambda b: packing._encode(b, path, 0, 8), packing.ENCODED)
-    got = packing.statistics_of(encoded, 8)
-    rests = [r for _, rs in packing._parts(iter(encoded.toArrow().to_batches()), 8) for r in rs]
-    want = packing.Statistics.of(rests)
+    got, rest_tokens = packing.statistics_of(encoded, 8)
+    whole = [np.append(Encoder(path).encode(b), 0) for _, b in rows]
+    want = packing.Statistics.of(whole)
+    assert rest_tokens == sum(len(w) % 8 for w in whole)
     assert (got.documents, got.mean) == (want.documents, want.mean) and np.array_equal(got.idf, want.idf)
 
 
@@ -81,3 +82,40 @@ def test_all_terms_of_a_seed_count():
     assert got[0] == 1 and len(rests) - 1 not in got
     assert set(got) == {d for d in range(len(rests)) if unused[d] and s[d] > 0}
     assert np.allclose([s[d] for d in got], sorted((s[d] for d in got), reverse=True))
+
+
+def split(ids, length):
+    """Full sequences' terms with counts, and the rest."""
+    whole = len(ids) // length * length
+    return np.stack(np.unique(ids[:whole], return_counts=True)), ids[whole:]
+
+
+def test_windows_are_filled_by_the_best_of_brute_force():
+    """Every sequence by plain BM25 of whole documents: seeds are the longest unused rests, neighbours come by falling score."""
+    rng, length = np.random.default_rng(8), 32
+    docs = [rng.integers(0, 40, rng.integers(1, 120)) + 40 * (i % 3) for i in range(60)] + [np.arange(64)]
+    leads, rests = map(list, zip(*(split(d, length) for d in docs)))
+    got = list(packing.fill(rests, length, None, leads))
+
+    left, expect, offset, queue = {i for i, r in enumerate(rests) if len(r)}, [], 0, []
+    sequence = 0
+    while left:
+        queue = [d for d in queue if d in left]
+        doc = queue.pop(0) if queue else min(left, key=lambda i: (-len(rests[i]), i))
+        left.discard(doc)
+        best = lambda: [d for d, s in sorted(enumerate(scores(docs, doc)), key=lambda x: (-round(x[1], 9), x[0])) if s > 0 and d in left]  # noqa: B023, E731
+        queue = queue if offset else best()
+        start = 0
+        while start < len(rests[doc]):
+            n = min(len(rests[doc]) - start, length - offset)
+            expect.append((doc, start, n, sequence, offset))
+            start, offset = start + n, offset + n
+            if offset == length:
+                sequence, offset = sequence + 1, 0
+                if start < len(rests[doc]):
+                    queue = best()
+    assert got == expect
+
+
+def test_shards_go_by_tokens():
+    assert packing.shards_of([(0, 10), (1, 250), (2, 40), (3, 50), (4, 30)], 100) == [(0, 0, 1), (1, 1, 3), (2, 4, 1), (3, 4, 1), (4, 5, 1)]
