@@ -119,19 +119,20 @@ class Index:
         terms = np.unique(terms)
         at = np.searchsorted(self.terms, terms)
         known = at < len(self.terms)
-        return self._best(at[known][self.terms[at[known]] == terms[known]], unused)[0]
+        return self._best(at[known][self.terms[at[known]] == terms[known]], unused, len(unused))
 
-    def neighbours_of(self, doc: int, unused: np.ndarray) -> np.ndarray:
-        """The same for the terms of a document of the index."""
+    def neighbours_of(self, doc: int, unused: np.ndarray, most: int) -> np.ndarray:
+        """The same for the terms of a document of the index, at least the best ``most``."""
         at = self.lists_of_doc[self.doc_bounds[doc] : self.doc_bounds[doc + 1]]
-        return self._best(at[self.df[at] > 1], unused)[0]  # the others stand in this document alone
+        return self._best(at[self.df[at] > 1], unused, most)  # the others stand in this document alone
 
-    def _best(self, at: np.ndarray, unused: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _best(self, at: np.ndarray, unused: np.ndarray, most: int) -> np.ndarray:
         rows = segments_of(self.bounds[at], self.df[at])
         score = np.bincount(self.doc[rows], self.weight[rows], len(unused))
         found = np.flatnonzero((score > 0) & unused)  # every weight is positive
-        found = found[np.argsort(-score[found], kind="stable")]
-        return found, score[found]
+        if len(found) > most:
+            found = found[score[found] >= np.partition(score[found], -most)[-most]]
+        return found[np.argsort(-score[found], kind="stable")]
 
 
 def fill(rests: list[np.ndarray], length: int, statistics: Statistics | None = None, leads: list[np.ndarray] | None = None) -> Iterator[tuple[int, int, int, int, int]]:
@@ -152,8 +153,8 @@ def fill(rests: list[np.ndarray], length: int, statistics: Statistics | None = N
                 return
             doc = int(longest[cursor])
         unused[doc] = False
-        if not offset:  # it is a seed
-            queue = index.neighbours_of(doc, unused).tolist()[::-1]
+        if not offset:  # it is a seed; each neighbour fills a place at least
+            queue = index.neighbours_of(doc, unused, length).tolist()[::-1]
         start = 0
         while start < len(rests[doc]):
             n = min(len(rests[doc]) - start, length - offset)
@@ -162,7 +163,7 @@ def fill(rests: list[np.ndarray], length: int, statistics: Statistics | None = N
             if offset == length:
                 sequence, offset = sequence + 1, 0
                 if start < len(rests[doc]):  # what is left of it is the next seed
-                    queue = index.neighbours_of(doc, unused).tolist()[::-1]
+                    queue = index.neighbours_of(doc, unused, length).tolist()[::-1]
 
 
 def _rests(rest: Iterable[bytes], tokens: Iterable[int], sums: Iterable[list], length: int) -> list[np.ndarray]:

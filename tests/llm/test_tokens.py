@@ -127,10 +127,12 @@ def test_packing_of_odd_rows(encoder, spark):
 def test_neighbours_share_terms():
     rests = [np.array(x) for x in ([1, 2, 3, 9], [4, 5, 6], [1, 2, 7], [8], [2, 4])]
     index = packing.Index(rests)
-    assert index.neighbours_of(0, np.array([False, True, True, True, True])).tolist() == [2, 4]
+    assert index.neighbours_of(0, np.array([False, True, True, True, True]), 9).tolist() == [2, 4]
+    assert index.neighbours_of(0, np.array([False, True, True, True, True]), 1).tolist() == [2]
     unused = np.array([False, True, True, True, True])
     assert index.neighbours(rests[0], unused).tolist() == [2, 4]
-    assert index.neighbours(np.array([8]), unused).tolist() == []
+    assert index.neighbours(np.array([8]), unused).tolist() == [3]
+    assert index.neighbours_of(3, unused, 9).tolist() == []
 
 
 def test_look_up_skips_row_groups(encoder, spark, tmp_path):
