@@ -1,18 +1,21 @@
 """Operator 8: telephony audio columns.
 
 A payload of bytes is stored as a WAV file of 8-bit mu-law, 8-bit A-law or 4-bit
-IMA ADPCM samples and read back from that file. mu-law and A-law samples expand
-through tables of 256 values that follow from their definitions; ADPCM decodes all
-blocks of a file at once, one numpy step for each sample of a block. The PCM is
-resampled from 8 to 16 kHz and stored as 16-bit samples.
+IMA ADPCM samples (``media``) and expanded from the file that was stored
+(``expanded``). mu-law and A-law samples expand through tables of 256 values that follow
+from their definitions; ADPCM decodes all blocks of many files at once, one numpy step
+for each sample of a block. The PCM is resampled by a windowed sinc filter, from 8 to
+16 kHz, and stored as 16-bit samples.
 
 Payload: the UTF-8 bytes of a text (null: empty) and zero bytes up to the next
 positive multiple of ``BLOCK``. The codec of a text follows from its checksum, so
 that equal texts have equal values.
 
 Defined cases: empty and null texts are one block of zeros; equal rows get equal
-results; null ids stay; extra columns are ignored; an empty table gives an empty
-result. A file whose header is damaged raises ``ValueError``.
+results, and there are no ties to break; null ids stay; extra columns are ignored; an
+empty table gives an empty result. A file whose header is damaged raises ``ValueError``.
+A text of any length is one file; its PCM takes up to eight times its bytes, and both
+have to fit in a task's memory.
 """
 
 from __future__ import annotations
@@ -21,12 +24,16 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from math import gcd
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagewright.llm.common import plain, table
+from pagewright.llm.common import plain, saved, table
+from pagewright.llm.tokens import parts_of
 
 BLOCK = 64
 RATE, TARGET_RATE = 8000, 16000
@@ -133,12 +140,45 @@ def decode_all(parts: list[tuple[str, int, bytes]]) -> list[np.ndarray]:
     return out
 
 
-def resample(pcm: np.ndarray) -> np.ndarray:
-    """Twice the rate: every sample, and half-way between it and the next one (rounded down; the last is repeated)."""
-    out = np.empty(2 * len(pcm), np.int16)
-    out[0::2] = pcm
-    out[1:-1:2] = (pcm[:-1].astype(np.int32) + pcm[1:]) >> 1
-    out[-1:] = pcm[-1:]
+#: Samples on each side that a resampled one is made of; samples that are filtered together.
+HALF, SPAN = 8, 1 << 16
+
+
+@lru_cache(maxsize=8)
+def taps(up: int, down: int) -> np.ndarray:
+    """Weights of the 2 * half samples around a place, for each of ``up`` places between two samples: a sinc under a Hann window.
+
+    When the rate falls, the sinc is as much wider, so that nothing above half the new rate passes.
+    """
+    cutoff = min(1.0, up / down)
+    half = int(np.ceil(HALF / cutoff))
+    away = np.arange(1 - half, half + 1)[None, :] - np.arange(up)[:, None] / up
+    weight = cutoff * np.sinc(cutoff * away) * (0.5 + 0.5 * np.cos(np.pi * away / half))
+    weight[np.abs(weight) < 1e-12] = 0
+    return weight / weight.sum(1, keepdims=True)
+
+
+def resample(pcm: np.ndarray, rate: int = RATE, target: int = TARGET_RATE) -> np.ndarray:
+    """16-bit samples at the new rate; beyond its ends the sound keeps its first and last sample."""
+    if not len(pcm):
+        return pcm
+    up, down = target // gcd(rate, target), rate // gcd(rate, target)
+    weight = taps(up, down)
+    half = weight.shape[1] // 2
+    padded = np.concatenate((np.repeat(pcm[:1], half - 1), pcm, np.repeat(pcm[-1:], half)))
+    out = np.empty(-(-len(pcm) * up // down), np.int16)
+    for first in range(0, len(pcm), SPAN * down):
+        span = padded[first : first + SPAN * down + 2 * half - 1].astype(np.float64)
+        inside = min(SPAN * down, len(pcm) - first)
+        at = np.arange(first * up // down, min(-(-(first + inside) * up // down), len(out)))
+        base, phase = at * down // up - first, at * down % up
+        for p in range(up):
+            mine = phase == p
+            if np.count_nonzero(weight[p]) == 1:  # the place of a sample
+                value = span[half - 1 :][base[mine]]
+            else:
+                value = np.convolve(span, weight[p][::-1], "valid")[base[mine]]
+            out[at[mine]] = np.clip(np.rint(value), -32768, 32767)
     return out
 
 
@@ -157,34 +197,65 @@ def feature(codec: str, pcm: np.ndarray, stored: bytes) -> str:
     return f"{codec}:{len(pcm)}:{int((wide * wide).sum())}:{turns}:{int(np.abs(wide).max(initial=0))}:{zlib.crc32(stored):08x}"
 
 
-_SCHEMA = "doc_id long, n_bytes long, media binary, pcm binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+#: Bytes of texts, or of media, that a task has in hand at a time.
+SLICE = 1 << 18
 
 
-def _store(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.RecordBatch]:
+def _media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first in range(0, batch.num_rows, 128):
-            texts = batch.column("text").slice(first, 128).to_pylist()
-            sizes, files = [], []
-            for text in texts:
-                data = (text or "").encode()
-                payload = payload_of(data)
-                sizes.append(len(data))
-                files.append(wrap(payload, codec_of(payload)))
-            parts = [unwrap(media) for media in files]
+        first = 0
+        for texts in parts_of(batch.column("text"), SLICE):
+            payloads = [(text or "").encode() for text in texts.to_pylist()]
+            files = [wrap(p, codec_of(p)) for p in map(payload_of, payloads)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), pa.array(map(len, payloads), pa.int64()), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"])
+            first += len(texts)
+
+
+def media(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and the file of every row."""
+    return plain(docs, "doc_id", "text").mapInArrow(_media, "doc_id long, n_bytes long, media binary")
+
+
+_EXPANDED = "doc_id long, n_bytes long, pcm binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def _expand(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        first = 0
+        for column in parts_of(batch.column("media"), SLICE):
+            files, n = column.to_pylist(), len(column)
+            parts = [unwrap(m) for m in files]
             rows = []
-            for size, media, (codec, _, back), pcm in zip(sizes, files, parts, decode_all(parts)):
+            for m, (codec, _, back), pcm in zip(files, parts, decode_all(parts)):
                 stored = resample(pcm).astype("<i2").tobytes()
-                rows.append((size, media if keep else None, stored if keep else None, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(codec, pcm, stored)))
-            columns = list(zip(*rows))
-            types = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = ["n_bytes", "media", "pcm", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), *(pa.array(c, t) for c, t in zip(columns, types))], ["doc_id", *names])
+                rows.append((stored if keep else None, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature(codec, pcm, stored)))
+            types = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            names = ["pcm", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, n), batch.column("n_bytes").slice(first, n), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], ["doc_id", "n_bytes", *names])
+            first += n
+
+
+def expanded(files: DataFrame, keep: bool = True) -> DataFrame:
+    """What ``media`` gave, as it was stored: the resampled PCM (null if not ``keep``), and digests of file, payload and PCM."""
+    return files.mapInArrow(lambda b: _expand(b, keep), _EXPANDED)
 
 
-def store(docs: DataFrame, keep: bool = True) -> DataFrame:
-    """The stored file and the resampled PCM of every row (null if not ``keep``), with their digests."""
-    return plain(docs, "doc_id", "text").mapInArrow(lambda b: _store(b, keep), _SCHEMA)
+def store(docs: DataFrame) -> DataFrame:
+    """Media and PCM of every row as two stored tables joined by row: doc_id, media, pcm and the digests."""
+    files = saved(media(docs).withColumn("row_no", F.monotonically_increasing_id()), "media", "zstd")
+    pcm = saved(files.select("row_no", "doc_id", "n_bytes", "media").mapInArrow(_with_row, "row_no long, " + _EXPANDED), "pcm", "zstd")
+    return pcm.join(files.select("row_no", "media"), "row_no").drop("row_no")
+
+
+def _with_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        first = 0
+        for out in _expand(iter([batch]), True):
+            yield pa.RecordBatch.from_arrays([batch.column("row_no").slice(first, out.num_rows), *out.columns], ["row_no", *out.schema.names])
+            first += out.num_rows
 
 
 def op8_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store(table(spark, sf_dir, "documents"), keep=False).drop("media", "pcm")
+    """The files are stored in the shared folder and read back; the PCM, half as large again as the tables even when compressed, isn't (see README)."""
+    files = saved(media(table(spark, sf_dir, "documents")), "media", "zstd")
+    return expanded(files, keep=False).drop("pcm")

@@ -60,9 +60,34 @@ def test_round_trip(codec):
         t.unwrap(b"no")
 
 
-def test_resample():
-    assert t.resample(np.array([0, 10, -5], np.int16)).tolist() == [0, 5, 10, 2, -5, -5]
+def tone(hertz, rate, seconds=0.25):
+    return np.rint(12_000 * np.sin(2 * np.pi * hertz * np.arange(int(rate * seconds)) / rate)).astype(np.int16)
+
+
+def test_resample(monkeypatch):
+    for rate, target in ((8000, 16000), (8000, 11025), (16000, 8000), (8000, 8000)):
+        for hertz in (200, 1000, 2500):
+            got, want = t.resample(tone(hertz, rate), rate, target), tone(hertz, target)
+            inner = slice(200, min(len(got), len(want)) - 200)
+            assert abs(len(got) - len(want)) <= 1 and np.abs(got[inner].astype(int) - want[inner]).max() < 300, (rate, target, hertz)
+    assert np.array_equal(t.resample(tone(700, 8000))[0::2], tone(700, 8000))
+    assert np.abs(t.resample(tone(6000, 16000), 16000, 8000)[50:-50]).max() < 300  # what the new rate can't hold goes
+    assert set(t.resample(np.full(100, 77, np.int16)).tolist()) == {77}
     assert t.resample(np.zeros(0, np.int16)).tolist() == []
+    whole = t.resample(tone(900, 8000), 8000, 11025)
+    monkeypatch.setattr(t, "SPAN", 7)
+    assert np.array_equal(t.resample(tone(900, 8000), 8000, 11025), whole)
+
+
+def test_feature():
+    """Against a sample-by-sample count."""
+    for codec in t.CODECS:
+        data = np.random.default_rng(4).integers(0, 256, 128, dtype=np.uint8).tobytes()
+        pcm = slow_adpcm(data, 64) if codec == "adpcm" else [int((t.MULAW if codec == "mulaw" else t.ALAW)[b]) for b in data]
+        stored = t.resample(np.array(pcm, np.int16)).astype("<i2").tobytes()
+        turns = sum((a < 0) != (b < 0) for a, b in zip(pcm, pcm[1:]))
+        want = f"{codec}:{len(pcm)}:{sum(x * x for x in pcm)}:{turns}:{max(map(abs, pcm))}:{zlib.crc32(stored):08x}"
+        assert t.feature(codec, t.decode(codec, 64, data), stored) == want
 
 
 def test_rows(spark, sf):
