@@ -12,8 +12,10 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: Documents are taken together up to so many bytes, so that the arrays stay in the CPU's caches.
-CHUNK_BYTES = 1 << 19
+#: Documents are taken together up to so many bytes, so that the arrays stay in the CPU's caches; longer ones in pieces of this size.
+CHUNK_BYTES = 1 << 18
+#: Documents taken together at most: what a kernel makes for each document is bounded too.
+CHUNK_ROWS = 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,8 +49,9 @@ class Rolling:
         self.up, self.down = np.ones(1, U64), np.ones(1, U64)
 
     def _grow(self, n: int) -> None:
+        """The callers' buffers are bounded by a few chunks, and so are these tables."""
         if len(self.up) < n:
-            n = max(n, 2 * CHUNK_BYTES)
+            n = max(n, CHUNK_BYTES + 1024)
             self.up = _powers(self.base, n)
             self.down = _powers(self.inverse, n)
 
@@ -80,11 +83,11 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(data: np.ndarray, offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Runs of whole documents of about ``most`` bytes: first document, bytes, offsets from 0."""
+    """Runs of whole documents of up to ``most`` bytes and ``CHUNK_ROWS``, a longer document alone: first document, bytes, offsets from 0."""
     first, n = 0, len(offsets) - 1
     while first < n:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
-        last = min(last, n)
+        last = min(last, n, first + CHUNK_ROWS)
         yield first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
 
@@ -97,21 +100,41 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _WORDS = Rolling(101)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word and the number of words before each document (one more than documents)."""
+def _fragments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Start, length and plain hash of the runs of word bytes in a piece of up to ``CHUNK_BYTES``, and whether the last one reaches its end."""
     data = _LOWER[data]
     inside = ~_SPACE[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     ends = inside.copy()
     ends[:-1] &= ~inside[1:]
-    inner = offsets[1:-1]
-    inner = inner[(inner > 0) & (inner < len(data))]
+    inner = offsets[(offsets > 0) & (offsets < len(data))]
     begins[inner] = inside[inner]  # a document's edge parts words as well
     ends[inner - 1] = inside[inner - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    sums = _WORDS.sums(data)
-    return mix(_WORDS.ranges(sums, start, end) + (end - start).astype(U64) * U64(0x9E3779B97F4A7C15)), np.searchsorted(start, offsets)
+    return start, end - start, _WORDS.ranges(_WORDS.sums(data), start, end), bool(len(end) and end[-1] == len(data))
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word and the number of words before each document (one more than documents).
+
+    A long text is read in pieces; a word that a piece cuts is put together again.
+    """
+    starts, sizes, hashes, open_word = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, U64)], False
+    for a in range(0, len(data), CHUNK_BYTES):
+        start, size, plain, reaches = _fragments(data[a : a + CHUNK_BYTES], offsets - a if a else offsets)
+        if open_word and len(start) and start[0] == 0 and offsets[min(np.searchsorted(offsets, a), len(offsets) - 1)] != a:
+            power = pow(_WORDS.base, int(sizes[-1][-1]), 1 << 64)
+            hashes[-1][-1] = U64((int(hashes[-1][-1]) + power * int(plain[0])) % (1 << 64))
+            sizes[-1][-1] += size[0]
+            start, size, plain = start[1:], size[1:], plain[1:]
+        if len(start):
+            starts.append(start + a)
+            sizes.append(size)
+            hashes.append(plain)
+        open_word = reaches
+    start, size, plain = np.concatenate(starts), np.concatenate(sizes), np.concatenate(hashes)
+    return mix(plain + size.astype(U64) * U64(0x9E3779B97F4A7C15)), np.searchsorted(start, offsets)
 
 
 _PLACES = _stream(202, 64) | U64(1)
@@ -125,6 +148,11 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, width: int = 5) -> tuple[np
     """
     n = len(bounds) - 1
     count = np.diff(bounds)
+    if n == 1 and len(hashes) > CHUNK_BYTES:  # one long document: in pieces, each made distinct before they meet
+        step = CHUNK_BYTES // 2
+        parts = [shingles(p, np.array([0, len(p)]), width)[0] for p in (hashes[i : i + step + width - 1] for i in range(0, len(hashes) - width + 1, step))]
+        s = np.unique(np.concatenate(parts))
+        return s, np.array([0, len(s)])
     m = len(hashes) - width + 1
     if m > 0:
         s = np.zeros(m, U64)
@@ -156,6 +184,16 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, width: int = 5) -> tuple[np
     return s, np.searchsorted(doc, np.arange(n + 1))
 
 
+def pieces(data: np.ndarray, offsets: np.ndarray, overlap: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """What ``chunks`` gives, in pieces: where it begins, bytes, offsets. Only a document that is alone is cut, pieces overlapping by so many bytes."""
+    if len(data) <= CHUNK_BYTES or len(offsets) > 2:
+        yield 0, data, offsets
+        return
+    for a in range(0, max(len(data) - overlap, 1), CHUNK_BYTES):
+        piece = data[a : a + CHUNK_BYTES + overlap]
+        yield a, piece, np.array([0, len(piece)])
+
+
 def segments_of(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The places starts[i] .. starts[i] + lengths[i] - 1, one range after the other."""
     total = int(lengths.sum())

@@ -4,28 +4,32 @@ Nine overlapping heuristics vote on every document: good, bad or no opinion.
 Expectation-maximisation over the counts of vote patterns of all documents (at
 most 3**9 patterns, whatever the corpus) estimates how accurate each heuristic is
 and how common good documents are, without any label. The posterior labels of a
-bounded sample (``SAMPLE`` different texts, picked by hash) train a linear scorer on
-hashed features, and this scorer judges all documents by their whole texts.
+bounded sample train a linear scorer on hashed features, and this scorer judges all
+documents by their whole texts. The sample is the ``SAMPLE`` different texts with
+words whose hashes are least, so copies don't make it smaller.
 
 Features of a document: the shares of each run of four character classes, and of
 repeated words at distances up to eight, hashed into ``DIMENSIONS`` places.
 
-Defined cases: null, empty and wordless texts are rejected with probability 0;
-equal texts get equal results; null ids stay; extra columns are ignored; an empty
-table gives an empty result.
+Defined cases: null, empty and wordless texts are rejected with probability 0, don't
+vote and aren't sampled; equal texts get equal results; ties of hashes are equal
+texts; null ids stay; extra columns stay or are ignored; an empty table gives an empty
+result. Very long texts are read whole, in pieces.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from pagewright.llm.common import plain, table
-from pagewright.llm.kernels import U64, chunks, utf8, words
+from pagewright.llm.common import plain, table, unused
+from pagewright.llm.kernels import U64, chunks, pieces, utf8, words
 
 SAMPLE = 4096
 DIMENSIONS = 2048
@@ -52,6 +56,7 @@ for _code, _marks in enumerate((".,", "'-", "!", "|", ";:?", "()\"", "#", "$", "
 _SYMBOL = np.isin(np.arange(16), [7, 8, 11, 12, 13, 14, 15])
 
 
+@lru_cache(maxsize=1)
 def _stop_hashes() -> np.ndarray:
     data = " ".join(STOPWORDS).encode()
     return np.sort(words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0])
@@ -60,8 +65,10 @@ def _stop_hashes() -> np.ndarray:
 def measures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each document: counts of character classes, words, repeated words by distance 1 to 8, function words."""
     n = len(offsets) - 1
-    doc = np.repeat(np.arange(n), np.diff(offsets))
-    classes = np.bincount(doc * 16 + _CLASS[data], minlength=16 * n).reshape(n, 16)
+    classes = np.zeros((n, 16), np.int64)
+    for _, part, at in pieces(data, offsets):
+        doc = np.repeat(np.arange(n), np.diff(at))
+        classes += np.bincount(doc * 16 + _CLASS[part], minlength=16 * n).reshape(n, 16)
     hashes, bounds = words(data, offsets)
     count = np.diff(bounds)
     owner = np.repeat(np.arange(n), count)
@@ -100,18 +107,23 @@ def votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.stack(out, 1).astype(np.uint8)
 
 
+def _runs(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Document and code of every run of four characters' classes, a piece at a time."""
+    for _, part, at in pieces(data, offsets, 3):
+        c = _CLASS[part].astype(np.uint32)
+        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(at))
+        if len(c) >= 4:
+            inside = doc[:-3] == doc[3:]
+            yield doc[:-3][inside], ((c[:-3] << 12) | (c[1:-2] << 8) | (c[2:-1] << 4) | c[3:])[inside]
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Documents x DIMENSIONS."""
     n = len(offsets) - 1
-    c = _CLASS[data].astype(np.uint32)
     out = np.zeros((n, DIMENSIONS), np.float32)
-    if len(c) >= 4:
-        code = (c[:-3] << 12) | (c[1:-2] << 8) | (c[2:-1] << 4) | c[3:]
-        place = _PLACE[code]
-        doc = np.repeat(np.arange(n), np.diff(offsets))
-        inside = doc[:-3] == doc[3:]
-        out += np.bincount(doc[:-3][inside] * DIMENSIONS + place[inside], minlength=n * DIMENSIONS).reshape(n, DIMENSIONS).astype(np.float32)
-        out /= (np.diff(offsets) + SMOOTHING)[:, None]
+    for doc, code in _runs(data, offsets):
+        out += np.bincount(doc * DIMENSIONS + _PLACE[code], minlength=n * DIMENSIONS).reshape(n, DIMENSIONS).astype(np.float32)
+    out /= (np.diff(offsets) + SMOOTHING)[:, None]
     _, count, repeats, stops = measures(data, offsets)
     for d in range(8):
         out[:, _EXTRA[d]] += repeats[:, d] / (count + SMOOTHING / 8)
@@ -169,20 +181,34 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 400, ridge: float = 1e-4)
     return (w * scale).astype(np.float32), float(b), scale
 
 
+#: Of a document without words.
+NO_WORDS = -1
+
+
+def _pattern(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    code = votes(data, offsets) @ 3 ** np.arange(len(HEURISTICS))
+    return np.where(np.diff(words(data, offsets)[1]) > 0, code, NO_WORDS)
+
+
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    power = 3 ** np.arange(len(HEURISTICS))
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
         if batch.num_rows:
-            got = [votes(part, at) @ power for _, part, at in chunks(data, offsets)]
+            got = [_pattern(part, at) for _, part, at in chunks(data, offsets)]
             yield pa.RecordBatch.from_pydict({"pattern": pa.array(np.concatenate(got).astype(np.int64)), "text_hash": batch.column("text_hash")})
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Patterns and features of texts with words, some at a time."""
     for batch in batches:
-        data, offsets = utf8(batch.column("text"))
-        rows = [r.tobytes() for _, part, at in chunks(data, offsets, 1 << 18) for r in features(part, at)]
-        yield pa.RecordBatch.from_pydict({"pattern": batch.column("pattern"), "x": pa.array(rows, pa.binary())})
+        for first in range(0, batch.num_rows, 64):
+            part = batch.slice(first, 64)
+            data, offsets = utf8(part.column("text"))
+            for start, some, at in chunks(data, offsets):
+                code = _pattern(some, at)
+                has = np.flatnonzero(code != NO_WORDS)
+                x = features(some, at)
+                yield pa.RecordBatch.from_pydict({"text_hash": part.column("text_hash").take(pa.array(start + has)), "pattern": pa.array(code[has].astype(np.int64)), "x": pa.array([r.tobytes() for r in x[has]], pa.binary())})
 
 
 class Model:
@@ -194,13 +220,9 @@ class Model:
     def probability(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The scorer's probability of good, without making the features one by one."""
         n, size = len(offsets) - 1, np.diff(offsets) + SMOOTHING
-        score = np.full(n, self.bias)
-        c = _CLASS[data].astype(np.uint32)
-        if len(c) >= 4:
-            each = self.weights[_PLACE].astype(np.float64)[(c[:-3] << 12) | (c[1:-2] << 8) | (c[2:-1] << 4) | c[3:]]
-            doc = np.repeat(np.arange(n), np.diff(offsets))
-            each[doc[:-3] != doc[3:]] = 0
-            score += np.bincount(doc[:-3], each, n) / size
+        score, weight = np.full(n, self.bias), self.weights[_PLACE].astype(np.float64)
+        for doc, code in _runs(data, offsets):
+            score += np.bincount(doc, weight[code], n) / size
         _, count, repeats, stops = measures(data, offsets)
         words_ = count + SMOOTHING / 8
         for d in range(8):
@@ -210,61 +232,50 @@ class Model:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Weak labels of all documents, and the scorer trained on those of about ``sample`` different texts."""
+    """Weak labels of all documents, and the scorer trained on those of the ``sample`` different texts of least hash."""
     few = plain(docs, "text").select("text", F.xxhash64("text").alias("text_hash"))
-    voted = few.mapInArrow(_patterns, "pattern long, text_hash long").groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    rows = voted.collect()  # at most 3 ** 9 rows
-    power = 3 ** np.arange(len(HEURISTICS))
+    # Equal texts have equal patterns, so the patterns' numbers of different texts add up.
+    voted = few.mapInArrow(_patterns, "pattern long, text_hash long").groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("text_hash", 0.02).alias("different"))
+    rows = [r for r in voted.collect() if r["pattern"] != NO_WORDS]  # at most 3 ** 9 rows
     code = np.array([r["pattern"] for r in rows], np.int64)
-    patterns = (code[:, None] // power) % 3 if len(code) else np.zeros((0, len(HEURISTICS)), np.int64)
+    patterns = (code[:, None] // 3 ** np.arange(len(HEURISTICS))) % 3 if len(code) else np.zeros((0, len(HEURISTICS)), np.int64)
     weight = np.array([r["n"] for r in rows], float)
     post, votes_given, share = em(patterns, weight)
     accuracy = {h: (float(votes_given[1, i, 2]), float(votes_given[0, i, 0])) for i, h in enumerate(HEURISTICS)}
-    total = weight.sum()
-    if not total:
-        return Model(np.zeros(DIMENSIONS, np.float32), 0.0, accuracy, share)
-    # Texts whose hash lies in the first sample/total of its range: the same ones every time, copies once.
-    bound = int(min(1.0, sample / total) * 2**64) - 2**63
-    chosen = few.filter(F.col("text_hash") <= F.lit(min(bound, 2**63 - 1))).groupBy("text_hash").agg(F.first("text").alias("text"))
-    votes_of = chosen.mapInArrow(lambda b: _with_pattern(b), "pattern long, text string")
-    got = votes_of.mapInArrow(_features, "pattern long, x binary").limit(2 * sample).collect()
-    if not got:
+    if not len(rows):
         return Model(np.zeros(DIMENSIONS, np.float32), 0.0, accuracy, share)
+    # Hashes are even, so half as many again as the sample lie in this part of their range; the least of them are the sample.
+    part = min(1.0, 1.5 * sample / max(sum(r["different"] for r in rows), 1))
+    bound = min(int(part * 2**64) - 2**63, 2**63 - 1)
+    chosen = few.filter(F.col("text_hash") <= F.lit(bound)).groupBy("text_hash").agg(F.first("text").alias("text"))
+    got = chosen.mapInArrow(_sampled, "text_hash long, pattern long, x binary").orderBy("text_hash").limit(sample).collect()
     by = dict(zip(code.tolist(), post.tolist()))
-    order = sorted(range(len(got)), key=lambda i: bytes(got[i]["x"]))  # sums don't depend on who came first
-    x = np.stack([np.frombuffer(got[i]["x"], np.float32) for i in order])
-    y = np.array([by.get(got[i]["pattern"], share) for i in order], np.float32)
+    x = np.stack([np.frombuffer(r["x"], np.float32) for r in got])
+    y = np.array([by[r["pattern"]] for r in got], np.float32)
     weights, bias, _ = train(x, y)
     return Model(weights, bias, accuracy, share)
 
 
-def _with_pattern(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for got in _patterns(iter([batch])):
-            yield pa.RecordBatch.from_pydict({"pattern": got.column("pattern"), "text": batch.column("text")})
-
-
-def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model: Model, name: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
         data, offsets = utf8(batch.column("text"))
         p = np.concatenate([model.probability(part, at) for _, part, at in chunks(data, offsets)])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(p, 6))], [*batch.schema.names, "p_good"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(p, 6))], [*batch.schema.names, name])
 
 
 def score(docs: DataFrame, model: Model, name: str = "p_good") -> DataFrame:
-    """``docs`` with the probability that a document is good."""
-    if name in docs.columns:
+    """``docs`` with the probability that a document is good in a new column ``name``."""
+    if unused(docs, name) != name:
         raise ValueError(f"column {name} is there already")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(lambda b: _score(b, model), f"{fields}, p_good double").withColumnRenamed("p_good", name)
+    return docs.mapInArrow(lambda b: _score(b, model, name), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def keep_good(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The documents that the classifier doesn't reject, with the columns they came with."""
-    scored = score(docs, model or fit(docs), "p_good")
-    return scored.filter(F.col("p_good") >= KEEP_AT).drop("p_good")
+    """The documents that the classifier doesn't reject, with the columns they came with, whatever their names."""
+    name = unused(docs, "p_good")
+    return score(docs, model or fit(docs), name).filter(F.col(name) >= KEEP_AT).select(*docs.columns)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ def luhn(digits):
 
 
 TEXTS = ["", "a@b.c", "a@b", "x a@b@c.d.e.", "a.b%c+d@e-f.g.h..i @x.y", "é@b.c", "1.2.3.4", "1.2.3.4.5.6.7.8.9", "256.1.1.1 0.0.0.0 00255.1.1.001", "1234.5", "4111 1111 1111 1111", "4111-1111 1111-1111 x 4111111111111112", "4111  1111 1111 1111", "+1 (988) 555-2485", "+1 23", "+49 30 1234567 8901234567", "++1234567890+", "+1.2.3.4.5.6.7.8"]
+KEY = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"
 
 
 def test_base_spans():
@@ -69,13 +70,13 @@ def test_disclosing_terms(spark):
     # Plain counts.
     lines = [x for _, t in rows if t for x in t.split("\n")]
     terms = lambda x: {w.lower() for w in re.findall(r"[^\W\d_]{3,}", re.sub(PLAIN["email"], "#", x))}
-    n, n_t, held = len([x for _, t in rows for x in (t or "").split("\n") if t is not None]), Counter(), set()
-    for x in lines:
+    n, n_t, held = len({x for x in lines if x}), Counter(), set()
+    for x in set(lines):
         n_t.update({w.lower() for w in re.findall(r"[^\W\d_]{3,}", x)})
         if "@" in x:
             held.add(x)
     n_te = Counter(w for x in held for w in terms(x))
-    expect = {w for w, k in n_te.items() if k >= 3 and math.log(n * k / (n_t[w] * len(held))) / math.log(n / len(held)) >= pii.GENERALISE}
+    expect = {w for w, k in n_te.items() if math.log(n * k / (n_t[w] * len(held))) / math.log(n / len(held)) >= pii.GENERALISE}
     got = defaultdict(set)
     texts = dict(rows)
     for r in pii.find(df).collect():
@@ -86,7 +87,7 @@ def test_disclosing_terms(spark):
     assert expect == {"falconridge"} | (expect - {"staff", "met"})
     for i in range(4):
         assert got[i] == {w for w in expect if w in terms(rows[i][1].split("\n")[0])}
-    assert set(got) == {0, 1, 2, 3}
+    assert set(got) == {0, 1, 2, 3} and "noon" in got[0]
     clean = {(r.doc_id, r.text) for r in pii.sanitise(df).collect()}
     assert (60, "Falconridge alone") in clean and (61, None) in clean and (62, "") in clean and (None, "[EMAIL]") in clean
     assert not any("a@x" in (t or "") for _, t in clean)
@@ -97,7 +98,8 @@ def test_disclosing_terms(spark):
 def shares(spark, texts):
     """(term -> share) of the one entity in the texts."""
     docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, row_key long").repartition(3)
-    seen = docs.mapInArrow(pii._pairs, "doc_id long, row_key long, entity long, context long, terms array<string>")
+    bits = pii.information(docs)
+    seen = docs.mapInArrow(lambda b: pii._pairs(b, bits), "doc_id long, row_key long, entity long, context long, terms array<string>")
     return {r.term: r.share for r in pii.disclosing(seen, docs).collect()}
 
 
@@ -116,3 +118,61 @@ def test_pieces_of_a_long_line_count_alike(spark):
 
 def test_an_entity_in_every_context(spark):
     assert shares(spark, [f"met here at a@x.example {i}" for i in range(5)]) == {}
+
+
+def test_pair_counts(spark, monkeypatch):
+    """Against a plain count inside each text, pieces of long texts included."""
+    from pagewright.llm import kernels
+
+    texts = ["abab", "", None, "b", "ba" * 5000, "é-"]
+    count = Counter((x, y) for t in texts for b in [(t or "").encode()] for x, y in zip(b, b[1:]))
+    monkeypatch.setattr(kernels, "CHUNK_BYTES", 64)
+    got = Counter()
+    import pyarrow as pa
+
+    for batch in pii._pair_counts(iter([pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})])):
+        got.update({(k >> 8, k & 255): n for k, n in zip(*(batch.column(c).to_pylist() for c in ("pair", "n")))})
+    assert got == count
+
+
+def test_secrets(spark, sf):
+    """Every planted key is found, whatever the word before it; no word of prose is."""
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    rows = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    keys = {d: set(re.findall(r"[0-9a-f]{40}", t)) for d, t in rows.items()}
+    hit = total = 0
+    for r in pii.find(docs).collect():
+        spans = [s.split(":") for s in filter(None, r.spans.split(","))]
+        found = {rows[r.doc_id][int(a) : int(b)] for k, a, b in spans if k == "secret"}
+        assert all(re.search("[0-9]", x) for x in found)
+        hit, total = hit + len(found & keys[r.doc_id]), total + len(keys[r.doc_id])
+        assert r.n_spans == len(spans) and (r.n_spans > 0) == bool(plain(rows[r.doc_id]) or found)
+    assert total and hit / total >= 0.9
+
+
+def test_sanitised_secrets_and_clashing_names(spark):
+    rows = [(i, f"plain words of line {i} and more words here") for i in range(200)] + [(900, f"zebrafinch token = {KEY} words"), (901, "see /plain-words-and-more-words-of-line-2024 here")]
+    df = spark.createDataFrame([(a, b, 1, [2], "x", len(b)) for a, b in rows], "doc_id long, text string, row_key int, risky array<int>, h_key string, n_chars long")
+    got = {r.doc_id: r for r in pii.sanitise(df).collect()}
+    assert pii.sanitise(df).columns == df.columns and len(got) == len(rows)
+    # Both the key and the words that stand beside it alone.
+    assert KEY not in got[900].text and "zebrafinch" not in got[900].text and got[900].n_chars == len(got[900].text)
+    assert got[901].text == dict(rows)[901] and got[5].text == dict(rows)[5] and got[5].risky == [2]
+
+
+def test_many_lines_are_linear():
+    import time
+
+    bits = pii.np.full((256, 256), 3.0, "f4")
+
+    def seconds(n):
+        import pyarrow as pa
+
+        text = "\n".join(f"word {i} met us at a{i}@x.example today" for i in range(n))
+        batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1]), "row_key": pa.array([1]), "text": pa.array([text]), "risky": pa.array([None], pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("share", pa.float64())])))})
+        start = time.perf_counter()
+        list(pii._pairs(iter([batch]), bits)), list(pii._mark(iter([batch]), bits))
+        return time.perf_counter() - start
+
+    seconds(500)
+    assert seconds(16_000) < 16 * max(seconds(2_000), 0.02)
