@@ -54,6 +54,25 @@ def output_name(template: Column, day: Column, name: Column, first: Column, last
     return F.replace(F.replace(F.replace(template, F.lit("%date"), day), F.lit("%name"), name), F.lit("%range"), pages)
 
 
+# What the letters of a time pattern stand for, as Spark's date patterns.
+_TIME = {"Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "H": "HH", "I": "hh", "M": "mm", "S": "ss", "j": "DDD", "p": "a", "b": "MMM", "B": "MMMM", "a": "EEE", "A": "EEEE"}
+
+
+def formatted_time(moment: Column, pattern: str) -> Column:
+    """A moment in a pattern of % letters (those of ``_TIME`` and %%); ``%unix`` is its seconds with their fraction, and is filled in first. Unknown letters stay as they are."""
+    seconds = F.regexp_replace((F.unix_micros(moment) / 1_000_000).cast("decimal(20,6)").cast("string"), r"(\.\d+?)0+$", "$1")
+    parts, text, i = [], "", 0
+    while i < len(pattern):
+        known = "%unix" if pattern.startswith("%unix", i) else pattern[i : i + 2] if pattern[i] == "%" and pattern[i + 1 : i + 2] in (*_TIME, "%") else ""
+        if known in ("", "%%"):
+            text += pattern[i]
+            i += max(1, len(known))
+            continue
+        parts += [F.lit(text), seconds if known == "%unix" else F.date_format(moment, _TIME[known[1]])]
+        text, i = "", i + len(known)
+    return F.concat(*parts, F.lit(text))
+
+
 def status(code: Column) -> Column:
     return F.when(code == 100, "text").when(code == 101, "noText").otherwise("error")
 
@@ -62,6 +81,19 @@ def score_label(code: Column, score: Column) -> Column:
     return F.when(code == 100, F.concat(F.lit("√ "), F.format_string("%.2f", score))).when(code == 101, "√ ----").otherwise(F.concat(F.lit("× "), code.cast("string")))
 
 
+def result_title(title: Column, seconds: Column, score: Column) -> Column:
+    """A title, or in its absence how long the page took and, if above zero, how sure the result is."""
+    sure = F.when(score > 0, F.concat(F.lit(" | confidence "), F.format_string("%.2f", score))).otherwise("")
+    return F.coalesce(title, F.concat(F.lit("time "), F.format_string("%.2f", seconds), sure))
+
+
+def state_label(state: Column, done: Column, total: Column) -> Column:
+    """What a run's state (run, pause, stop) means with so many tasks done; nothing before the first of a stopped run."""
+    running = F.when(done < total, "running").otherwise("saving")
+    stopped = F.when(done <= 0, "").when(done < total, "stopped").otherwise("finished")
+    return F.when(state == "run", running).when(state == "pause", "paused").when(state == "stop", stopped).otherwise("")
+
+
 def elapsed(seconds: Column) -> Column:
     """mm:ss, blank below a tenth of a second; minutes may have more than two digits."""
     minutes, rest = F.floor(seconds / 60).cast("string"), F.floor(seconds % 60).cast("string")
@@ -85,8 +117,21 @@ def whole_number(x: Column) -> Column:
     return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
 
 
+_INT = r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*$"
+_DIGITS = r"[0-9]+(_[0-9]+)*"
+_FLOAT = rf"^\s*[+-]?(({_DIGITS}\.?({_DIGITS})?|\.{_DIGITS})([eE][+-]?{_DIGITS})?|(?i:inf|infinity|nan))\s*$"
+
+
 def literal_kind(text: Column) -> Column:
-    """int, float, json or string: the first that a literal can be read as."""
-    t = F.trim(text)
-    as_json = t.rlike(r'^(\{[\s\S]*\}|\[[\s\S]*\]|true|false|null|"[^"]*")$')
-    return F.when(t.rlike(r"^[+-]?[0-9]+$"), "int").when(t.rlike(r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+|[0-9]+)([eE][+-]?[0-9]+)?$"), "float").when(as_json, "json").otherwise("string")
+    """int, float, json or string: the first that a literal can be read as.
+
+    Digits may have single underscores between them, and inf and nan are floats. Two equal
+    keys in one object aren't JSON here.
+    """
+    return F.when(text.rlike(_INT), "int").when(text.rlike(_FLOAT), "float").when(F.try_parse_json(text).isNotNull(), "json").otherwise("string")
+
+
+def literal_values(text: Column) -> dict[str, Column]:
+    """A literal's kind, and its value in the column of its kind: int_value (up to 38 digits), float_value, json_value (normal form), string_value."""
+    kind, bare = literal_kind(text), F.regexp_replace(F.trim(text), "_", "")
+    return {"kind": kind, "int_value": F.when(kind == "int", bare.try_cast("decimal(38,0)")), "float_value": F.when(kind == "float", bare.try_cast("double")), "json_value": F.when(kind == "json", F.to_json(F.try_parse_json(text))), "string_value": F.when(kind == "string", text)}

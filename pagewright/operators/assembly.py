@@ -38,34 +38,47 @@ def document_texts(pages: DataFrame, keys=("doc_id",), order: str = "page") -> D
 NO_TEXT = "[Message] No text in OCR result."
 
 
-def batch_text(results: DataFrame, keys, order: str, empty: str = NO_TEXT) -> DataFrame:
-    """Texts and error messages of a batch; a line end before each result, blank ones too, that follows a text without one; ``empty`` if nothing was found.
+def batch_pieces(results: DataFrame, keys, order: str) -> DataFrame:
+    """What each result adds to its batch's text, in a column ``piece``: its text or message, after a line end if the text so far lacks one.
 
     ``results`` has code and text: the text with its last separator, the message of a
     failure, or nothing for a blank one. Only the result just before can lack its line
-    end, as a blank one would have had it put before itself.
+    end, as a blank one would have had it put before itself. A sink writes the pieces in
+    order; no row holds a whole batch.
     """
     text = F.when(F.col("code") == 101, "").otherwise(F.coalesce("text", F.lit("")))
     before = F.lag(text).over(Window.partitionBy(*keys).orderBy(order))
-    parted = results.withColumn("__text", F.concat(F.when((before != "") & ~before.endswith("\n"), "\n").otherwise(""), text))
-    out = parted.groupBy(*keys).agg(joined("__text", F.col(order)).alias("text"))
+    return results.withColumn("piece", F.concat(F.when((before != "") & ~before.endswith("\n"), "\n").otherwise(""), text))
+
+
+def batch_text(results: DataFrame, keys, order: str, empty: str = NO_TEXT) -> DataFrame:
+    """``batch_pieces`` as one text a group, for groups as small as a document; ``empty`` if nothing was found."""
+    out = batch_pieces(results, keys, order).groupBy(*keys).agg(joined("piece", F.col(order)).alias("text"))
     return out.withColumn("text", F.when(F.col("text") == "", empty).otherwise(F.col("text")))
 
 
+def copied_pieces(results: DataFrame, keys, order: str) -> DataFrame:
+    """What each text that isn't empty adds to a copy of all, in a column ``piece``; the line end depends on the place in the list, so an empty last one leaves a line end behind."""
+    last = results.groupBy(*keys).agg(F.max(order).alias("__last"))
+    ended = results.join(last, list(keys)).withColumn("piece", F.concat("text", F.when(F.col(order) == F.col("__last"), "").otherwise("\n")))
+    return ended.filter("text <> ''").drop("__last")
+
+
 def copied_text(results: DataFrame, keys, order: str) -> DataFrame:
-    """All texts that aren't empty joined by line ends; the line end depends on the place in the list, so an empty last one leaves a line end behind."""
-    w = Window.partitionBy(*keys)
-    place = results.withColumn("__last", F.col(order) == F.max(order).over(w))
-    piece = F.when(F.col("text") != "", F.concat("text", F.when(F.col("__last"), "").otherwise("\n")))
-    return place.withColumn("__piece", piece).groupBy(*keys).agg(joined("__piece", F.col(order)).alias("text"))
+    """``copied_pieces`` as one text a group, for groups as small as a document."""
+    pieces = copied_pieces(results, keys, order).groupBy(*keys).agg(joined("piece", F.col(order)).alias("text"))
+    return results.select(*keys).distinct().join(pieces, list(keys), "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
-def span_texts(blocks: DataFrame, spans: DataFrame, keys, order: str = "seq") -> DataFrame:
+def span_texts(blocks: DataFrame, spans: DataFrame, keys, order: str = "seq", listed: bool = False) -> DataFrame:
     """The characters between two places (block, character) of each span's page.
 
     spans: the keys, span_id, left_block, left_char, right_block, right_char (from 0,
-    the right one exclusive). A reversed span is swapped first.
+    the right one exclusive). A reversed span is swapped first. ``listed``: rows are
+    results of a list, parted by line ends; empty ones are passed over.
     """
+    if listed:
+        blocks = blocks.filter("text <> ''").withColumn("sep", F.lit("\n"))
     swap = (F.col("left_block") > F.col("right_block")) | ((F.col("left_block") == F.col("right_block")) & (F.col("left_char") > F.col("right_char")))
     s = spans.select(*keys, "span_id", *[F.when(swap, F.col(b)).otherwise(F.col(a)).alias(n) for n, a, b in (("li", "left_block", "right_block"), ("lt", "left_char", "right_char"), ("ri", "right_block", "left_block"), ("rt", "right_char", "left_char"))])
     hit = blocks.join(s, list(keys)).filter(F.col(order).between(F.col("li"), F.col("ri")))

@@ -7,7 +7,7 @@ their size allows, and joins on the equality key if not.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,7 +56,8 @@ def expand_ranges(docs: DataFrame, first: str = "range_start", last: str = "rang
 
 
 def clamp_range(first: Column, last: Column, count: Column) -> tuple[Column, Column]:
-    """A range moved inside the document instead of refused."""
+    """A range moved inside the document instead of refused; negative ends count from the back first."""
+    first, last = (F.when(c < 0, c + count + 1).otherwise(c) for c in (first, last))
     a = F.least(F.greatest(first, F.lit(1)), count)
     return a, F.least(F.greatest(last, a), count)
 
@@ -89,10 +90,19 @@ def ignore_areas(blocks: DataFrame, areas: DataFrame, key: str = "job_id", paged
 
 
 def check_areas(areas: DataFrame, points: str = "points") -> DataFrame:
-    """Two-corner areas (an array of two points) as boxes; others with an error and null corners."""
-    good = (F.size(points) == 2) & F.forall(points, lambda p: (F.size(p) == 2) & F.forall(p, lambda v: v.isNotNull()))
-    at = lambda i, j: F.when(good, F.get(F.get(points, F.lit(i)), F.lit(j)))
-    return areas.withColumns({"error": F.when(F.coalesce(good, F.lit(False)), F.lit(None)).otherwise("an area needs two points"), "x0": at(0, 0), "y0": at(0, 1), "x1": at(1, 0), "y1": at(1, 1)})
+    """Two-corner areas (an array of two points) as boxes; others, and those with numbers that aren't finite, with an error and null corners.
+
+    ``slots`` is the form with the second and fourth corner left empty, as images take
+    it; ``corners`` has all four, clockwise from the top left, as documents take it.
+    """
+    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    good = F.coalesce((F.size(points) == 2) & F.forall(points, lambda p: (F.size(p) == 2) & F.forall(p, finite)), F.lit(False))
+    number = lambda i, j: F.get(F.get(points, F.lit(i)), F.lit(j)).cast("double")
+    at = lambda i, j: F.when(good, number(i, j))
+    empty = F.array().cast("array<double>")
+    slots = F.array(F.array(number(0, 0), number(0, 1)), empty, F.array(number(1, 0), number(1, 1)), empty)
+    corners = F.array(*[F.array(number(i, 0), number(j, 1)) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1))])
+    return areas.withColumns({"error": F.when(~good, "an area needs two points"), "x0": at(0, 0), "y0": at(0, 1), "x1": at(1, 0), "y1": at(1, 1), "slots": F.when(good, slots), "corners": F.when(good, corners)})
 
 
 def drop_blank(results: DataFrame, on: bool = True) -> DataFrame:
@@ -100,10 +110,12 @@ def drop_blank(results: DataFrame, on: bool = True) -> DataFrame:
 
 
 def point_lookup(points: DataFrame, blocks: DataFrame, keys: Sequence[str], order: str = "block_no") -> DataFrame:
-    """For each point the first block that holds it, borders inclusive; -1 if none does."""
+    """For each point the first block that holds it, borders inclusive; -1 if none does. Points that are given twice come twice."""
     b = blocks.select(*keys, F.col(order).alias("__o"), "x0", "y0", "x1", "y1")
-    hit = points.join(b, list(keys), "left").withColumn("__in", F.col("px").between(F.col("x0"), F.col("x1")) & F.col("py").between(F.col("y0"), F.col("y1")))
-    return hit.groupBy(*points.columns).agg(F.coalesce(F.min(F.when(F.col("__in"), F.col("__o"))), F.lit(-1)).alias("found"))
+    inside = F.col("px").between(F.col("x0"), F.col("x1")) & F.col("py").between(F.col("y0"), F.col("y1"))
+    spots = points.select(*keys, "px", "py").distinct()
+    first = spots.join(b, list(keys)).filter(inside).groupBy(*keys, "px", "py").agg(F.min("__o").alias("found"))
+    return points.join(first, [*keys, "px", "py"], "left").select(*[points[c] for c in points.columns], F.coalesce("found", F.lit(-1)).alias("found"))
 
 
 def result_lookup(wanted: DataFrame, results: DataFrame, order: str = "seq") -> DataFrame:
@@ -135,10 +147,10 @@ def translate(rows: DataFrame, words: DataFrame, column: str, language: str, nam
     """Words of ``column`` in a language of the dictionary table (key and one column a language).
 
     A language without a column takes the first one if it is Chinese, else the
-    second; a word without an entry stays.
+    second (or the only one); a word without an entry stays.
     """
     languages = words.columns[1:]
-    chosen = language if language in languages else languages[0] if language.startswith("zh") else languages[1]
+    chosen = language if language in languages else languages[0] if language.startswith("zh") else languages[min(1, len(languages) - 1)]
     d = words.select(F.col(words.columns[0]).alias(column), F.col(chosen).alias("__t"))
     return rows.join(d, column, "left").withColumn(name, F.coalesce("__t", column)).drop("__t")
 
@@ -153,7 +165,23 @@ def task_outcome(tasks: DataFrame, results: DataFrame, keys: Sequence[str]) -> D
     return tasks.join(results, list(keys), "left").withColumn("code", F.coalesce("code", F.lit(803)))
 
 
-def admit_documents(docs: DataFrame) -> DataFrame:
-    """Encrypted documents that nobody has opened block their batch."""
+def admit_documents(docs: DataFrame, password: str | None = None) -> DataFrame:
+    """Encrypted documents that nobody has opened block their batch.
+
+    With a column of passwords, which were tried when ``is_authenticated`` was set, an
+    empty one is told from a wrong one: code 202 asks for it, a wrong one is a message.
+    """
     locked = F.col("is_encrypted") & ~F.col("is_authenticated")
-    return docs.withColumn("status", F.when(locked, "password needed").otherwise("ready"))
+    if password is None:
+        return docs.withColumn("status", F.when(locked, "password needed").otherwise("ready"))
+    given = F.coalesce(F.col(password), F.lit("")) != ""
+    status = F.when(locked & given, "wrong password").when(locked, "password needed").otherwise("ready")
+    message = F.when(locked & given, F.concat(F.lit("[Error] Incorrect password. ["), F.col(password), F.lit("]"))).when(locked, "The doc is encrypted, please fill in the password.")
+    return docs.withColumns({"status": status, "code": F.when(locked & ~given, 202), "message": message})
+
+
+def post_process(blocks: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A chain of post-processors in order; what one leaves empty the others have nothing to do with."""
+    for step in steps:
+        blocks = blocks.transform(step)
+    return blocks

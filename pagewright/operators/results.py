@@ -13,9 +13,10 @@ PAGE = ("doc_id", "page")
 
 
 def confidence(pages: DataFrame, blocks: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
-    """Mean score of each page's blocks, 0 for a page without any."""
+    """Mean score of each page's blocks, 0 for a page without any, or, if ``pages`` have a code, with another one than 100."""
     mean = blocks.groupBy(*keys).agg(F.avg("score").alias("confidence"))
-    return pages.join(mean, list(keys), "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+    value = F.coalesce("confidence", F.lit(0.0))
+    return pages.join(mean, list(keys), "left").withColumn("confidence", F.when(F.col("code") == 100, value).otherwise(0.0) if "code" in pages.columns else value)
 
 
 def image_codes(results: DataFrame, surviving: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
@@ -42,9 +43,19 @@ def job_progress(tasks: DataFrame, results: DataFrame, job: str = "job_id", keys
     return out.withColumns({"is_done": over, "state": F.when(over & (F.col("failed_count") == 0), "success").when(over, "failure").when(F.col("processed_count") > 0, "running").otherwise("waiting")})
 
 
-def batch_totals(docs: DataFrame, job: str = "job_id") -> DataFrame:
-    """Pages in the ranges, encrypted documents."""
-    return docs.groupBy(job).agg(F.sum(F.col("range_end") - F.col("range_start") + 1).alias("pages"), F.count_if(F.col("is_encrypted")).alias("encrypted"))
+def batch_totals(docs: DataFrame, job: str = "job_id", results: DataFrame | None = None) -> DataFrame:
+    """Pages in the ranges, encrypted documents and, with ``results``, how many of them failed."""
+    out = docs.groupBy(job).agg(F.sum(F.col("range_end") - F.col("range_start") + 1).alias("pages"), F.count_if(F.col("is_encrypted")).alias("encrypted"))
+    if results is None:
+        return out
+    failed = results.groupBy(job).agg(F.count_if(~F.col("code").isin(100, 101)).alias("failed"))
+    return out.join(failed, job, "left").na.fill(0, ["failed"])
+
+
+def task_durations(tasks: DataFrame, job: str = "job_id", started: str = "started_at", ended: str = "ended_at") -> DataFrame:
+    """Each job's number of tasks, mean and total of their durations (end less start, in seconds) and last end."""
+    seconds = (F.unix_micros(ended) - F.unix_micros(started)) / 1_000_000
+    return tasks.groupBy(job).agg(F.count(F.lit(1)).alias("n"), F.avg(seconds).alias("mean_s"), F.sum(seconds).alias("total_s"), F.max(ended).alias("last_ended_at"))
 
 
 def queue_lengths(tasks: DataFrame, results: DataFrame, job: str = "job_id", keys: Sequence[str] = PAGE) -> DataFrame:
@@ -53,12 +64,13 @@ def queue_lengths(tasks: DataFrame, results: DataFrame, job: str = "job_id", key
     return tasks.select(job).distinct().join(waiting, job, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def active_time(events: DataFrame, job: str = "job_id", order: Sequence[str] = ("ts", "event_id"), pause: str = "pause") -> DataFrame:
-    """Seconds from a job's first to its last event, without the stretches that a pause begins and the next event ends."""
+def active_time(events: DataFrame, job: str = "job_id", order: Sequence[str] = ("ts", "event_id"), pause: str = "pause", now: Column | None = None) -> DataFrame:
+    """Seconds from a job's first event to its last one, or to ``now``, without the stretches that a pause begins and the next event (or now) ends."""
     after = F.lead("ts").over(Window.partitionBy(job).orderBy(*order))
+    after = after if now is None else F.coalesce(after, now)
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     paused = F.when((F.col("action") == pause) & after.isNotNull(), micros(after) - micros(F.col("ts"))).otherwise(0)
-    return events.withColumn("__paused", paused).groupBy(job).agg(((micros(F.max("ts")) - micros(F.min("ts")) - F.sum("__paused")) / 1_000_000).alias("active_s"))
+    return events.withColumn("__paused", paused).groupBy(job).agg(((micros(F.max("ts") if now is None else F.any_value(now)) - micros(F.min("ts")) - F.sum("__paused")) / 1_000_000).alias("active_s"))
 
 
 def barcode_outcome(codes: DataFrame, images: DataFrame, image: str = "img_id") -> DataFrame:
@@ -68,6 +80,29 @@ def barcode_outcome(codes: DataFrame, images: DataFrame, image: str = "img_id")
     return out.withColumn("code", F.when(F.col("found") == 0, 101).when(F.col("valid") == 0, 102).otherwise(100))
 
 
+def barcode_texts(codes: DataFrame, images: DataFrame, image: str = "img_id", order: str = "code_no", text: str = "text") -> DataFrame:
+    """code and text of each image: its valid codes one a line, that there is none, or how reading it failed.
+
+    ``images`` may have code and message of images that couldn't be read.
+    """
+    judged = barcode_outcome(codes, images.select(image), image)
+    known = codes.groupBy(image).agg(joined(F.when(F.col("valid"), F.col(text)), F.col(order), "\n").alias("__text"))
+    failed = images.select(image, *[F.col(c).alias(f"__{c}") if c in images.columns else F.lit(None).cast(t).alias(f"__{c}") for c, t in (("code", "int"), ("message", "string"))])
+    out = judged.join(known, image, "left").join(failed, image)
+    n = F.col("found").cast("string")
+    # Fixed value: what is said of codes that are all invalid.
+    invalid = F.concat(F.lit("【Error】"), n, F.lit("组二维码解码失败。\nFailed to decode "), n, F.lit(" sets of QR codes."))
+    code = F.coalesce("__code", "code")
+    said = F.concat(F.lit("[Error] Code: "), code.cast("string"), F.lit("\nMessage: "), F.coalesce("__message", F.when(F.col("code") == 102, invalid), F.lit("")))
+    return out.select(image, code.alias("code"), F.when(code == 100, F.col("__text")).when(code == 101, "No code in image.").otherwise(said).alias("text"))
+
+
+def page_progress(results: DataFrame, first: str = "range_start", last: str = "range_end") -> DataFrame:
+    """How far each page is in its document's range: k is its place there, with label and ratio."""
+    k, n = F.col("page") - F.col(first) + 1, F.col(last) - F.col(first) + 1
+    return results.withColumns({"k": k, "label": F.concat(k.cast("string"), F.lit("/"), n.cast("string")), "ratio": k / n})
+
+
 def running_progress(results: DataFrame, job: str, order: Sequence[str | Column], total: str) -> DataFrame:
     """How many results a job has at each one, never more than its total, as number, label and ratio."""
     k = F.least(F.row_number().over(Window.partitionBy(job).orderBy(*order)), F.col(total)).alias("k")
@@ -76,10 +111,22 @@ def running_progress(results: DataFrame, job: str, order: Sequence[str | Column]
 
 
 def fair_order(tasks: DataFrame, job: str = "job_id", task: Sequence[str] = PAGE) -> DataFrame:
-    """One task of each job in turn: round and place in the round are columns, so that no global sort is needed to keep them."""
+    """One task of each job in turn: round is a column, so that no global sort is needed to keep the order."""
     return tasks.withColumn("round", F.row_number().over(Window.partitionBy(job).orderBy(*task)))
 
 
+def turns(tasks: DataFrame, job: str = "job_id", task: Sequence[str] = PAGE) -> DataFrame:
+    """``fair_order`` with the job's place in its round, from 1. Of several jobs the second one comes first and the first one last, as the turn passes on before it is used.
+
+    Jobs are numbered in one place, tasks aren't.
+    """
+    jobs = tasks.select(job).distinct()
+    number = F.row_number().over(Window.orderBy(job))
+    n = F.count(F.lit(1)).over(Window.partitionBy())
+    places = jobs.select(job, (F.pmod(number - 2, n) + 1).cast("int").alias("turn"))
+    return fair_order(tasks, job, task).join(places, job)
+
+
 def sequential_order(tasks: DataFrame, job: str = "job_id", task: Sequence[str] = PAGE) -> DataFrame:
     """The first job to its end, then the next: place counts from 1 over all tasks.
 

@@ -1,8 +1,8 @@
 """The eight layout parsers: blocks in, blocks in reading order with separators out.
 
 A parser turns pages upright, finds the order of its blocks and what parts them.
-Order-dependent steps run page by page in one ``applyInPandas`` (see
-``page_layout``) that shares its shuffle with the windows before it; separators are
+Order-dependent steps run page by page in one ``mapInArrow`` over pages gathered
+as arrays (see ``page_layout``) that shares its shuffle with the windows before it; separators are
 window expressions after it, which cost a second one. Input: doc_id, page, block_no, corners px..sy, text, score.
 Output: doc_id, page, block_no, seq (reading order from 0), region, line, para,
 text, sep. Pages whose texts are all empty give no rows.
@@ -10,7 +10,10 @@ text, sep. Pages whose texts are all empty give no rows.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,22 +23,12 @@ from pagewright.operators import layout
 from pagewright.plans.page_layout import Boxes, lines, paragraphs, regions
 
 PAGE = ["doc_id", "page"]
+COLUMNS = ["doc_id", "page", "block_no", "seq", "region", "line", "para", "x0", "y0", "x1", "y1", "text", "score"]
 ORDERED = "doc_id long, page int, block_no long, seq int, region int, line int, para int, x0 double, y0 double, x1 double, y1 double, text string, score double"
 
 
-def _boxes(frame: pd.DataFrame) -> Boxes:
-    return Boxes(*(frame[c].tolist() for c in ("x0", "y0", "x1", "y1")))
-
-
-def _frame(frame: pd.DataFrame, order: list[int], region: list[int], line: list[int], para: list[int]) -> pd.DataFrame:
-    out = frame.iloc[order][["doc_id", "page", "block_no", "x0", "y0", "x1", "y1", "text", "score"]].reset_index(drop=True)
-    return out.assign(seq=range(len(out)), region=region, line=line, para=para)[["doc_id", "page", "block_no", "seq", "region", "line", "para", "x0", "y0", "x1", "y1", "text", "score"]]
-
-
-def _columns(frame: pd.DataFrame, with_paragraphs: bool) -> pd.DataFrame:
-    """Reading order over columns; para counts paragraphs of the page, or is the block's own place."""
-    frame = frame.sort_values(["y0", "block_no"], kind="stable")
-    b = _boxes(frame)
+def _columns(b: Boxes, with_paragraphs: bool) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Reading order over columns, with region, line and para of each place; para counts paragraphs of the page, or is the block's own place."""
     order, region, para, last = [], [], [], 0
     for n, r in enumerate(regions(b)):
         order += r.boxes
@@ -44,13 +37,11 @@ def _columns(frame: pd.DataFrame, with_paragraphs: bool) -> pd.DataFrame:
             of = {i: last + k for k, p in enumerate(paragraphs(b, r.boxes)) for i in p}
             last = max(of.values()) + 1
             para += [of[i] for i in r.boxes]
-    return _frame(frame, order, region, [0] * len(order), para if with_paragraphs else list(range(len(order))))
+    return order, region, [0] * len(order), para if with_paragraphs else list(range(len(order)))
 
 
-def _single(frame: pd.DataFrame, with_paragraphs: bool) -> pd.DataFrame:
+def _single(b: Boxes, with_paragraphs: bool) -> tuple[list[int], list[int], list[int], list[int]]:
     """Lines of one column; para counts paragraphs of lines."""
-    frame = frame.sort_values(["y0", "block_no"], kind="stable")
-    b = _boxes(frame)
     found = lines(b)
     order = [i for line in found for i in line]
     line = [n for n, one in enumerate(found) for _ in one]
@@ -60,7 +51,7 @@ def _single(frame: pd.DataFrame, with_paragraphs: bool) -> pd.DataFrame:
         h = Boxes(*map(list, zip(*hulls))) if hulls else Boxes([], [], [], [])
         of = {i: k for k, p in enumerate(paragraphs(h, list(range(len(found))))) for i in p}
         para = [of[n] for n in line]
-    return _frame(frame, order, [0] * len(order), line, para)
+    return order, [0] * len(order), line, para
 
 
 def envelope(b: Boxes, line: list[int]) -> tuple[float, float, float, float]:
@@ -71,9 +62,30 @@ def envelope(b: Boxes, line: list[int]) -> tuple[float, float, float, float]:
     return b.x0[line[0]], top, max(top, b.x1[last]), max(top, b.y1[last])
 
 
+def _laid_out(batches: Iterator[pa.RecordBatch], how, with_paragraphs: bool) -> Iterator[pa.RecordBatch]:
+    """Blocks in reading order from pages that hold their blocks from top to bottom; many pages to a batch."""
+    for batch in batches:
+        pages = batch.column("blocks")
+        blocks, bounds = pages.flatten(), np.asarray(pages.offsets)
+        bounds = (bounds - bounds[0]).tolist()
+        sides = [blocks.field(c).to_pylist() for c in ("x0", "y0", "x1", "y1")]
+        found: list[list[int]] = [[], [], [], [], [], []]  # page, place, seq, region, line, para
+        for k, (first, last) in enumerate(zip(bounds, bounds[1:])):
+            order, *of = how(Boxes(*(side[first:last] for side in sides)), with_paragraphs)
+            for column, values in zip(found, ([k] * len(order), [first + i for i in order], range(len(order)), *of)):
+                column += values
+        page, place = pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())
+        columns = {c: batch.column(c).take(page) for c in PAGE}
+        columns |= {c: pa.array(v, pa.int32()) for c, v in zip(("seq", "region", "line", "para"), found[2:])}
+        columns |= {c: blocks.field(c).take(place) for c in COLUMNS if c not in columns}
+        yield pa.RecordBatch.from_pydict({c: columns[c] for c in COLUMNS})
+
+
 def _ordered(blocks: DataFrame, how, with_paragraphs: bool) -> DataFrame:
+    """A row a page, gathered where the page's windows were, then a call for many pages."""
     flat = upright(blocks, PAGE).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("int").alias("page"), F.col("block_no").cast("long").alias("block_no"), "x0", "y0", "x1", "y1", "text", "score")
-    return flat.groupBy(*PAGE).applyInPandas(lambda frame: how(frame, with_paragraphs), ORDERED)
+    down = F.array_sort(F.collect_list(F.struct("y0", "block_no", "x0", "x1", "y1", "text", "score")))
+    return flat.groupBy(*PAGE).agg(down.alias("blocks")).mapInArrow(lambda b: _laid_out(b, how, with_paragraphs), ORDERED)
 
 
 def _next(column: str, *within: str) -> Column:

@@ -38,7 +38,7 @@ def ignore_area_checked(spark, sf_dir):
     d = F.col("doc_id").cast("double")
     first, second = F.array(d, F.lit(2.0)), F.array(d + 3, F.lit(9.0))
     points = F.when(F.col("doc_id") % 4 < 2, F.array(first, second)).when(F.col("doc_id") % 4 == 2, F.array(first)).otherwise(F.array(first, F.array(d)))
-    return filters.check_areas(derive.table(spark, sf_dir, "documents").select("doc_id", points.alias("points"))).drop("points")
+    return filters.check_areas(derive.table(spark, sf_dir, "documents").select("doc_id", points.alias("points"))).drop("points", "slots", "corners")
 
 
 @query("SELECT doc_id, page, score FROM page_results WHERE code = 100", "page_results")
@@ -135,12 +135,49 @@ def page_ranges(spark, sf_dir):
     return filters.expand_ranges(derive.catalogue(spark, sf_dir)).select("doc_id", "error", "page")
 
 
-@query("SELECT doc_id, least(greatest(range_start, 1), page_count) AS first, least(greatest(range_end, least(greatest(range_start, 1), page_count)), page_count) AS last FROM catalogue", "catalogue")
+#: a and b: the range of each catalogue row moved inside its document.
+CLAMPED = """(SELECT *, least(greatest(b0, a), page_count) AS b FROM (SELECT *, least(greatest(a0, 1), page_count) AS a FROM (SELECT *,
+CASE WHEN range_start < 0 THEN range_start + page_count + 1 ELSE range_start END AS a0, CASE WHEN range_end < 0 THEN range_end + page_count + 1 ELSE range_end END AS b0 FROM catalogue)))"""
+
+
+@query(f"SELECT doc_id, a AS first, b AS last FROM {CLAMPED}", "catalogue")
 def range_clamp(spark, sf_dir):
     a, b = filters.clamp_range(F.col("range_start"), F.col("range_end"), F.col("page_count"))
     return derive.catalogue(spark, sf_dir).select("doc_id", a.alias("first"), b.alias("last"))
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 AND n = 0 THEN 'no page listed' WHEN doc_id % 5 = 0 AND bad THEN 'no such page' WHEN doc_id % 5 <> 0 AND page_count < 2 THEN 'ends after the last page' END AS error, p::INTEGER AS page FROM (
+SELECT *, len(l) AS n, coalesce(list_bool_or(list_transform(l, lambda v: v IS NULL OR v < 1 OR v > page_count)), false) AS bad FROM (
+SELECT *, CASE doc_id % 15 WHEN 0 THEN [1, page_count, 1] WHEN 5 THEN []::INTEGER[] ELSE [1, 3, NULL] END AS l FROM catalogue)), LATERAL (
+SELECT unnest(CASE WHEN doc_id % 5 = 0 AND n > 0 AND NOT bad THEN l WHEN doc_id % 5 <> 0 AND page_count >= 2 THEN [1, 2] ELSE [NULL] END) AS p)""", "catalogue")
+def page_lists(spark, sf_dir):
+    """Wanted pages by lists, which go before ranges: repeated pages stay, empty lists and pages that aren't there are errors."""
+    k = F.col("doc_id") % 15
+    listed = F.when(k == 0, F.array(F.lit(1), F.col("page_count"), F.lit(1))).when(k == 5, F.array().cast("array<int>")).when(k == 10, F.array(F.lit(1), F.lit(3), F.lit(None).cast("int")))
+    c = derive.catalogue(spark, sf_dir).select("doc_id", "page_count", F.lit(1).alias("range_start"), F.lit(2).alias("range_end"), listed.alias("wanted"))
+    return filters.expand_ranges(c, listed="wanted").select("doc_id", "error", "page")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN NULL ELSE 'an area needs two points' END AS error,
+CASE WHEN doc_id % 4 < 2 THEN doc_id || ' 2 | ' || (doc_id + 3) || ' 2 | ' || (doc_id + 3) || ' 9 | ' || doc_id || ' 9' END AS corners, CASE WHEN doc_id % 4 < 2 THEN doc_id || ' 2 |  | ' || (doc_id + 3) || ' 9 | ' END AS slots FROM documents""")
+def area_corners(spark, sf_dir):
+    """Both forms of checked areas as text; a number that isn't finite is no corner."""
+    d = F.col("doc_id").cast("double")
+    odd = F.when(F.col("doc_id") % 4 == 2, F.lit(float("nan"))).when(F.col("doc_id") % 4 == 3, F.lit(float("inf"))).otherwise(9.0)
+    points = F.array(F.array(d, F.lit(2.0)), F.array(d + 3, odd))
+    shown = lambda c: F.when(F.col(c).isNotNull(), F.array_join(F.transform(c, lambda p: F.array_join(F.transform(p, lambda v: v.cast("long").cast("string")), " ")), " | ")).alias(c)
+    checked = filters.check_areas(derive.table(spark, sf_dir, "documents").select("doc_id", points.alias("points")))
+    return checked.select("doc_id", "error", shown("corners"), shown("slots"))
+
+
+@query("""SELECT doc_id, CASE WHEN open THEN 'ready' WHEN doc_id % 3 = 0 THEN 'wrong password' ELSE 'password needed' END AS status, CASE WHEN NOT open AND doc_id % 3 <> 0 THEN 202 END AS code,
+CASE WHEN open THEN NULL WHEN doc_id % 3 = 0 THEN '[Error] Incorrect password. [secret ' || doc_id || ']' ELSE 'The doc is encrypted, please fill in the password.' END AS message FROM (SELECT doc_id, NOT is_encrypted OR is_authenticated AS open FROM catalogue)""", "catalogue")
+def password_outcomes(spark, sf_dir):
+    word = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("secret "), F.col("doc_id").cast("string"))).when(F.col("doc_id") % 3 == 1, "")
+    c = derive.catalogue(spark, sf_dir).withColumn("password", word)
+    return filters.admit_documents(c, "password").select("doc_id", "status", "code", "message")
+
+
 @query("SELECT 'mixed' AS mode, job_id, count(*) AS n FROM blocks GROUP BY job_id UNION ALL SELECT CASE origin WHEN 'ocr' THEN 'imageOnly' ELSE 'textOnly' END, job_id, count(*) FROM blocks GROUP BY origin, job_id", "blocks")
 def extraction_mode(spark, sf_dir):
     b = derive.blocks(spark, sf_dir)

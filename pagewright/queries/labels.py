@@ -1,25 +1,46 @@
 """Queries on names, labels and scalar conversions."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from pagewright import derive
 from pagewright.functions import text as t
-from pagewright.queries.filtering import PATHS, paths_of
+from pagewright.operators.filters import clamp_range
+from pagewright.queries.filtering import CLAMPED, PATHS, paths_of
 from pagewright.registry import query
 
 RANGE = "CASE WHEN a = 1 AND b = page_count THEN '' WHEN a = b THEN '(p' || a || ')' ELSE '(p' || a || '-' || b || ')' END"
 
 
-@query(f"SELECT doc_id, '[OCR]_' || strftime(DATE '2024-01-01' + (doc_id % 28)::INTEGER, '%Y%m%d') || '_doc ' || doc_id || {RANGE} AS name FROM (SELECT *, least(greatest(range_start, 1), page_count) AS a, least(greatest(range_end, least(greatest(range_start, 1), page_count)), page_count) AS b FROM catalogue)", "catalogue")
+@query(f"SELECT doc_id, '[OCR]_' || strftime(DATE '2024-01-01' + (doc_id % 28)::INTEGER, '%Y%m%d') || '_doc ' || doc_id || {RANGE} AS name FROM {CLAMPED}", "catalogue")
 def output_names(spark, sf_dir):
-    from pagewright.operators.filters import clamp_range
-
     a, b = clamp_range(F.col("range_start"), F.col("range_end"), F.col("page_count"))
-    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 28).cast("int")), "yyyyMMdd")
+    day = t.formatted_time(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 28).cast("int")).cast("timestamp"), "%Y%m%d")
     name = F.concat(F.lit("doc "), F.col("doc_id").cast("string"))
     return derive.catalogue(spark, sf_dir).select("doc_id", t.output_name(F.lit("[OCR]_%date_%name%range"), day, name, a, b, F.col("page_count")).alias("name"))
 
 
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H.%M.%S (%y, day %j) 100% ') || epoch_us(ts) // 1000000 || '.' || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '0' ELSE rtrim(lpad((epoch_us(ts) % 1000000)::VARCHAR, 6, '0'), '0') END || ' %Q' AS name FROM events".replace("100% ", "100%% "))
+def dated_names(spark, sf_dir):
+    """Times in a user's own pattern, seconds since 1970 among them."""
+    return derive.table(spark, sf_dir, "events").select("event_id", t.formatted_time(F.col("ts").cast("timestamp"), "%Y-%m-%d %H.%M.%S (%y, day %j) 100%% %unix %Q").alias("name"))
+
+
+@query("SELECT doc_id, page, CASE WHEN page % 3 = 0 THEN 'page ' || page ELSE 'time ' || printf('%.2f', time_s) || CASE WHEN score > 0 THEN ' | confidence ' || printf('%.2f', score) ELSE '' END END AS title FROM page_results", "page_results")
+def result_titles(spark, sf_dir):
+    given = F.when(F.col("page") % 3 == 0, F.concat(F.lit("page "), F.col("page").cast("string")))
+    return derive.page_results(spark, sf_dir).select("doc_id", "page", t.result_title(given, F.col("time_s"), F.col("score")).alias("title"))
+
+
+@query("""SELECT event_id, CASE s WHEN 'run' THEN CASE WHEN k < n THEN 'running' ELSE 'saving' END WHEN 'pause' THEN 'paused' WHEN 'stop' THEN CASE WHEN k <= 0 THEN '' WHEN k < n THEN 'stopped' ELSE 'finished' END ELSE '' END AS label FROM (
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'run' WHEN 1 THEN 'pause' WHEN 2 THEN 'stop' ELSE 'other' END AS s, event_id // 4 % 5 AS k, 4 AS n FROM events)""")
+def state_labels(spark, sf_dir):
+    k = F.col("event_id") % 4
+    state = F.when(k == 0, "run").when(k == 1, "pause").when(k == 2, "stop").otherwise("other")
+    return derive.table(spark, sf_dir, "events").select("event_id", t.state_label(state, F.floor(F.col("event_id") / 4) % 5, F.lit(4)).alias("label"))
+
+
 @query(r"""SELECT page_id, regexp_matches(name, '[\\/:*?"<>|]') AS illegal, left(regexp_replace(trim(name, ' '), '[/:*?"<>|]', '_', 'g'), 255) AS safe FROM (SELECT page_id, ' ' || url || '\' || left(html, 300) AS name FROM pages)""")
 def name_checks(spark, sf_dir):
     name = F.concat(F.lit(" "), "url", F.lit("\\"), F.left("html", F.lit(300)))
@@ -47,12 +68,20 @@ def payload_text(spark, sf_dir):
     return derive.barcodes(spark, sf_dir).select("code_no", t.payload_text(F.col("content_type"), F.col("bytes")).alias("text"))
 
 
-@query("SELECT event_id, CASE WHEN x = floor(x) THEN floor(x)::BIGINT::VARCHAR ELSE x::VARCHAR END AS number, CASE event_id % 5 WHEN 0 THEN 'int' WHEN 1 THEN 'float' WHEN 2 THEN 'json' WHEN 3 THEN 'string' ELSE 'float' END AS kind FROM (SELECT event_id, (event_id % 1000) / 4::DOUBLE AS x FROM events)")
+KINDS = ("int", "float", "json", "string", "float", "string", "string", "float", "int", "json", "string", "json")
+
+
+@query("""SELECT event_id, CASE WHEN x = floor(x) THEN floor(x)::BIGINT::VARCHAR ELSE x::VARCHAR END AS number, CASE k """ + " ".join(f"WHEN {i} THEN '{kind}'" for i, kind in enumerate(KINDS)) + """ END AS kind,
+CASE k WHEN 0 THEN -event_id WHEN 8 THEN 1000000 + event_id % 1000 END::DECIMAL(38, 0) AS int_value, CASE k WHEN 1 THEN event_id + 0.5 WHEN 4 THEN event_id * 1000 WHEN 7 THEN 0.25 END::DOUBLE AS float_value,
+CASE k WHEN 2 THEN '{"a":' || event_id || '}' WHEN 9 THEN '[1,null,"x"]' WHEN 11 THEN 'true' END AS json_value FROM (SELECT event_id, event_id % 12 AS k, (event_id % 1000) / 4::DOUBLE AS x FROM events)""")
 def coerced_values(spark, sf_dir):
+    """Literals that are whole numbers, numbers, JSON, or only look like them."""
     e = derive.table(spark, sf_dir, "events")
-    k, n = F.col("event_id") % 5, F.col("event_id").cast("string")
-    literal = F.when(k == 0, F.concat(F.lit("-"), n)).when(k == 1, F.concat(n, F.lit(".5"))).when(k == 2, F.concat(F.lit('{"a": '), n, F.lit("}"))).when(k == 3, F.concat(F.lit("v"), n)).otherwise(F.concat(n, F.lit("e3")))
-    return e.select("event_id", t.whole_number((F.col("event_id") % 1000).cast("double") / 4).alias("number"), t.literal_kind(literal).alias("kind"))
+    k, n = F.col("event_id") % 12, F.col("event_id").cast("string")
+    literals = (F.concat(F.lit("-"), n), F.concat(n, F.lit(".5")), F.concat(F.lit('{"a": '), n, F.lit("}")), F.concat(F.lit("v"), n), F.concat(n, F.lit("e3")), F.lit("{bad}"), F.lit("[1,,2]"), F.lit(" .25 "), F.concat(F.lit("1_000_"), F.lpad((F.col("event_id") % 1000).cast("string"), 3, "0")), F.lit(' [1, null, "x"]'), F.lit("1__0"), F.lit("true"))
+    literal = reduce(lambda a, i: F.when(k == i, literals[i]).otherwise(a), range(len(literals)), F.lit(None).cast("string"))
+    values = t.literal_values(literal)
+    return e.select("event_id", t.whole_number((F.col("event_id") % 1000).cast("double") / 4).alias("number"), *[values[c].alias(c) for c in ("kind", "int_value", "float_value", "json_value")])
 
 
 @query("SELECT doc_id, page, list_extract(string_split(path, '/'), -1) || ' - ' || page AS label FROM page_results", "page_results")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from pagewright import derive
 from pagewright.operators import assembly, filters, results
-from pagewright.queries.filtering import AREA_SQL, INSIDE, areas_of
+from pagewright.queries.filtering import AREA_SQL, CLAMPED, INSIDE, areas_of
 from pagewright.registry import query
 
 SURVIVING = f"(SELECT * FROM blocks b WHERE NOT EXISTS (SELECT 1 FROM {AREA_SQL} a WHERE {INSIDE}))"
@@ -55,11 +55,15 @@ def page_errors(spark, sf_dir):
     return results.document_codes(parts_of(spark, sf_dir)).select("doc_id", "page", "message")
 
 
-@query("SELECT img_id, coalesce(string_agg(code_no || ':' || content_type, chr(10) ORDER BY code_no) FILTER (valid), 'No code in image.') AS text FROM barcodes GROUP BY img_id", "barcodes")
+@query("""SELECT img_id, code, CASE code WHEN 100 THEN t WHEN 101 THEN 'No code in image.' ELSE '[Error] Code: ' || code || chr(10) || 'Message: ' || CASE code WHEN 202 THEN 'no image' ELSE '【Error】' || found || '组二维码解码失败。' || chr(10) || 'Failed to decode ' || found || ' sets of QR codes.' END END AS text FROM (
+SELECT img_id, found, t, CASE WHEN img_id % 41 = 0 THEN 202 WHEN coalesce(found, 0) = 0 THEN 101 WHEN ok = 0 THEN 102 ELSE 100 END AS code FROM (SELECT page_id AS img_id FROM pages) LEFT JOIN (
+SELECT img_id, count(*) AS found, count(*) FILTER (valid) AS ok, string_agg(code_no || ':' || content_type, chr(10) ORDER BY code_no) FILTER (valid) AS t FROM (SELECT * REPLACE (code_no % 13 <> 0 AND img_id % 7 <> 0 AS valid) FROM barcodes) GROUP BY img_id) USING (img_id))""", "barcodes")
 def barcode_text(spark, sf_dir):
-    text = F.when(F.col("valid"), F.concat(F.col("code_no").cast("string"), F.lit(":"), "content_type"))
-    out = derive.barcodes(spark, sf_dir).withColumn("t", text).groupBy("img_id").agg(assembly.joined("t", F.col("code_no"), "\n").alias("text"))
-    return out.withColumn("text", F.when(F.col("text") == "", "No code in image.").otherwise(F.col("text")))
+    """Images by page, some of them unreadable, some with codes that are all invalid."""
+    codes = derive.barcodes(spark, sf_dir).withColumns({"valid": F.col("valid") & (F.col("img_id") % 7 != 0), "text": F.concat(F.col("code_no").cast("string"), F.lit(":"), "content_type")})
+    unreadable = F.col("page_id") % 41 == 0
+    images = derive.table(spark, sf_dir, "pages").select(F.col("page_id").alias("img_id"), F.when(unreadable, 202).alias("code"), F.when(unreadable, "no image").alias("message"))
+    return results.barcode_texts(codes, images)
 
 
 @query("""SELECT job_id, processed_count, pages_count, failed_count, processed_count = pages_count AS is_done, CASE WHEN processed_count = pages_count AND failed_count = 0 THEN 'success' WHEN processed_count = pages_count THEN 'failure' WHEN processed_count > 0 THEN 'running' ELSE 'waiting' END AS state FROM (
@@ -68,10 +72,11 @@ def job_progress(spark, sf_dir):
     return results.job_progress(derive.pages(spark, sf_dir), derive.page_results(spark, sf_dir))
 
 
-@query("SELECT job_id, sum(last - first + 1)::BIGINT AS pages, count(*) FILTER (is_encrypted) AS encrypted FROM (SELECT *, least(greatest(range_start, 1), page_count) AS first, least(greatest(range_end, least(greatest(range_start, 1), page_count)), page_count) AS last FROM catalogue) GROUP BY job_id", "catalogue")
+@query(f"SELECT job_id, pages, encrypted, coalesce(failed, 0) AS failed FROM (SELECT job_id, sum(b - a + 1)::BIGINT AS pages, count(*) FILTER (is_encrypted) AS encrypted FROM {CLAMPED} GROUP BY job_id) LEFT JOIN (SELECT job_id, count(*) FILTER (code NOT IN (100, 101)) AS failed FROM page_results GROUP BY job_id) USING (job_id)", "catalogue", "page_results")
 def batch_totals(spark, sf_dir):
     a, b = filters.clamp_range(F.col("range_start"), F.col("range_end"), F.col("page_count"))
-    return results.batch_totals(derive.catalogue(spark, sf_dir).select("job_id", "is_encrypted", a.alias("range_start"), b.alias("range_end")))
+    docs = derive.catalogue(spark, sf_dir).select("job_id", "is_encrypted", a.alias("range_start"), b.alias("range_end"))
+    return results.batch_totals(docs, results=derive.page_results(spark, sf_dir))
 
 
 @query("SELECT p.job_id, count(*) FILTER (r.code IS NULL) AS n FROM page_list p LEFT JOIN page_results r USING (doc_id, page) GROUP BY p.job_id", "page_results")
@@ -91,6 +96,21 @@ def active_time(spark, sf_dir):
     return results.active_time(derive.control_events(spark, sf_dir))
 
 
+@query("SELECT job_id, count(*) AS n, round(avg(s), 6) AS mean_s, round(sum(s), 6) AS total_s, max(finished_s) AS last_s FROM (SELECT job_id, finished_s, (epoch_us(make_timestamp(finished_s * 1000000)) - epoch_us(make_timestamp(finished_s * 1000000 - 50000 - page % 10 * 10000))) / 1000000::DOUBLE AS s FROM page_results) GROUP BY job_id", "page_results")
+def run_durations(spark, sf_dir):
+    """Durations from when each page began and ended."""
+    micros = F.col("finished_s") * 1_000_000
+    r = derive.page_results(spark, sf_dir).select("job_id", F.timestamp_micros(micros - 50_000 - F.col("page") % 10 * 10_000).alias("started_at"), F.timestamp_micros(micros).alias("ended_at"))
+    return results.task_durations(r).select("job_id", "n", F.round("mean_s", 6).alias("mean_s"), F.round("total_s", 6).alias("total_s"), F.unix_seconds("last_ended_at").alias("last_s"))
+
+
+@query("""SELECT job_id, (1706572800000000 - min(us) - sum(CASE WHEN action = 'pause' THEN coalesce(after, 1706572800000000) - us ELSE 0 END))::BIGINT / 1000000 AS active_s FROM (
+SELECT *, lead(us) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS after FROM (SELECT *, epoch_us(ts) AS us FROM control_events)) GROUP BY job_id""", "control_events")
+def active_until_now(spark, sf_dir):
+    """Active time up to a given moment, open pauses included."""
+    return results.active_time(derive.control_events(spark, sf_dir), now=F.timestamp_seconds(F.lit(1706572800)))
+
+
 @query("SELECT img_id, coalesce(found, 0) AS found, coalesce(ok, 0) AS valid, CASE WHEN coalesce(found, 0) = 0 THEN 101 WHEN ok = 0 THEN 102 ELSE 100 END AS code FROM (SELECT page_id AS img_id FROM pages) LEFT JOIN (SELECT img_id, count(*) AS found, count(*) FILTER (valid) AS ok FROM barcodes GROUP BY img_id) USING (img_id)", "barcodes")
 def barcode_outcome(spark, sf_dir):
     images = derive.table(spark, sf_dir, "pages").select(F.col("page_id").alias("img_id"))
@@ -103,6 +123,26 @@ def running_progress(spark, sf_dir):
     return results.running_progress(r, "doc_id", ["finished_s", "page"], "page_count").select("doc_id", "page", "k", "label", "ratio")
 
 
+@query("SELECT r.doc_id, r.page, r.page - a + 1 AS k, (r.page - a + 1) || '/' || (b - a + 1) AS label, (r.page - a + 1) / (b - a + 1)::DOUBLE AS ratio FROM page_results r JOIN " + CLAMPED + " c USING (doc_id) WHERE r.page BETWEEN a AND b", "page_results", "catalogue")
+def page_progress(spark, sf_dir):
+    """How far each page is in its document's range."""
+    a, b = filters.clamp_range(F.col("range_start"), F.col("range_end"), F.col("page_count"))
+    r = derive.page_results(spark, sf_dir).select("doc_id", "page").join(derive.catalogue(spark, sf_dir).select("doc_id", a.alias("range_start"), b.alias("range_end")), "doc_id")
+    return results.page_progress(r.filter("page between range_start and range_end")).select("doc_id", "page", "k", "label", "ratio")
+
+
+@query("SELECT p.job_id, doc_id, page, row_number() OVER (PARTITION BY p.job_id ORDER BY doc_id, page)::INTEGER AS round, turn FROM page_list p JOIN (SELECT job_id, CASE WHEN n = 1 THEN count(*) OVER () ELSE n - 1 END::INTEGER AS turn FROM (SELECT job_id, row_number() OVER (ORDER BY job_id) AS n FROM (SELECT DISTINCT job_id FROM page_list))) j ON j.job_id = p.job_id", "page_list")
+def task_turns(spark, sf_dir):
+    return results.turns(derive.pages(spark, sf_dir).select("job_id", "doc_id", "page")).select("job_id", "doc_id", "page", "round", "turn")
+
+
+@query("SELECT doc_id, page, round(CASE WHEN r.code = 100 THEN coalesce(avg(b.score), 0) ELSE 0 END, 9) AS confidence FROM page_results r LEFT JOIN blocks b USING (doc_id, page) GROUP BY doc_id, page, r.code", "page_results")
+def coded_confidence(spark, sf_dir):
+    """Confidence of pages with a result: 0 unless it is text."""
+    r = derive.page_results(spark, sf_dir).select("doc_id", "page", "code")
+    return results.confidence(r, derive.blocks(spark, sf_dir)).select("doc_id", "page", F.round("confidence", 9).alias("confidence"))
+
+
 @query("SELECT job_id, doc_id, page, row_number() OVER (PARTITION BY job_id ORDER BY doc_id, page)::INTEGER AS round FROM page_list", "page_list")
 def fair_order(spark, sf_dir):
     return results.fair_order(derive.pages(spark, sf_dir).select("job_id", "doc_id", "page"))

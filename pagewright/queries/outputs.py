@@ -6,6 +6,8 @@ from pagewright import derive
 from pagewright.queries.texts import PAGE_TEXT, pages_of, sep_sql
 from pagewright.registry import query
 from pagewright.sources import sinks, tables
+from pagewright.storage import scratch
+from pagewright.streaming import jobs
 
 RESULTS = f"(SELECT r.doc_id, r.page, r.code, r.message, r.path, list_extract(string_split(r.path, '/'), -1) || ' - ' || r.page AS name, t.text FROM page_results r JOIN {PAGE_TEXT} t USING (doc_id, page))"
 
@@ -65,3 +67,94 @@ def decode_payload(spark, sf_dir):
 def log_threshold(spark, sf_dir):
     ignored = spark.createDataFrame([("module2",)], "module string")
     return tables.log_threshold(derive.logs(spark, sf_dir), "WARNING", ignored).select("event_id", "level", "module")
+
+
+@query(f"""SELECT job_id, seq, line FROM (SELECT r.job_id, t.page AS seq, t.doc_id, '≦ ' || name || ' ≧' || chr(10) || CASE t.code WHEN 100 THEN text || chr(10) WHEN 101 THEN '' ELSE '[Error] OCR failed. Code: ' || t.code || ', Msg: ' || coalesce(t.message, '') || chr(10) || '【异常】OCR识别失败。' || chr(10) END || chr(10) AS line FROM {RESULTS} t JOIN page_results r USING (doc_id, page))
+UNION ALL SELECT DISTINCT job_id, -1, '2024-01-01 00:00:00' || chr(10) || chr(10) FROM page_results""", "page_results")
+def headed_lines(spark, sf_dir):
+    """Text lines of each job after the time it started."""
+    return sinks.with_header(sinks.lines_txt(rendered(spark, sf_dir)), "2024-01-01 00:00:00")
+
+
+SINGLE = f"(SELECT doc_id, page, 'scans/' || doc_id || '/p.' || page || '.txt' AS out_name, CASE code WHEN 100 THEN text WHEN 101 THEN '' ELSE '[Error] OCR failed. Code: ' || code || ', Msg: ' || coalesce(message, '') || chr(10) || '【异常】OCR识别失败。' || chr(10) END AS value FROM {RESULTS})"
+
+
+@query(f"SELECT out_name, value FROM {SINGLE}", "page_results")
+def individual_texts(spark, sf_dir):
+    """What each page's own text file says, blank pages and failures too, and where it goes beside its source."""
+    source = F.concat(F.lit("scans/"), F.col("doc_id").cast("string"), F.lit("/p."), F.col("page").cast("string"), F.lit(".png"))
+    r = rendered(spark, sf_dir).withColumn("source", source).withColumn("out_name", sinks.single_name("source", "name", True))
+    return sinks.lines_single(r, ignore_blank=False)
+
+
+@query(f"SELECT doc_id, page, sha256(CASE WHEN ends_with(value, chr(10)) THEN value ELSE value || chr(10) END) AS text_sha256 FROM {SINGLE}", "page_results")
+def individual_files(spark, sf_dir):
+    """Individual text files written and read back: the hash of each file's text, which ends in a line end."""
+    folder = scratch(spark, "individual")
+    r = rendered(spark, sf_dir).withColumn("out_name", F.concat(F.col("doc_id").cast("string"), F.lit("_"), F.col("page").cast("string")))
+    sinks.write_single(r, folder, ignore_blank=False)
+    back = spark.read.text(folder, wholetext=True)
+    ids = F.split("out_name", "_")
+    return back.select(ids[0].cast("long").alias("doc_id"), ids[1].cast("int").alias("page"), F.sha2("value", 256).alias("text_sha256"))
+
+
+@query("SELECT doc_id, page, code, CASE WHEN code = 100 THEN n_blocks END AS n_blocks, CASE WHEN code = 902 THEN message END AS message FROM page_results", "page_results")
+def results_back(spark, sf_dir):
+    """Results written as JSON lines, the block list in place of a message or the message in place of blocks, and read back."""
+    box = F.array(*[F.array(F.col(x), F.col(y)) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))])
+    data = derive.blocks(spark, sf_dir).groupBy("doc_id", "page").agg(F.collect_list(F.struct(box.alias("box"), "text", "score", F.col("sep").alias("end"))).alias("data"))
+    r = derive.page_results(spark, sf_dir).join(data, ["doc_id", "page"]).withColumn("path", F.col("doc_id").cast("string"))
+    line = F.when(F.col("code") == 100, F.to_json(F.struct("code", "data", "page", "path"))).otherwise(F.to_json(F.struct("code", F.col("message").alias("data"), "page", "path")))
+    folder = scratch(spark, "results")
+    r.select(line.alias("value")).write.text(folder)
+    return tables.read_results(spark, folder).select(F.col("path").cast("long").alias("doc_id"), "page", "code", F.size("blocks").cast("long").alias("n_blocks"), "message").withColumn("n_blocks", F.when(F.col("code") == 100, F.col("n_blocks")))
+
+
+@query(f"SELECT name AS \"Name\", nullif(CASE code WHEN 100 THEN text WHEN 101 THEN '' ELSE '[Error] OCR failed. Code: ' || code || ', Msg: ' || coalesce(message, '') || ' .' || chr(10) END, '') AS \"OCR\", path AS \"Path\" FROM {RESULTS}", "page_results")
+def csv_back(spark, sf_dir):
+    """Results written as CSV and read back: an empty text comes back as none."""
+    folder = scratch(spark, "csv")
+    encoding = sinks.write_csv(rendered(spark, sf_dir), folder)
+    return spark.read.option("header", True).option("multiLine", True).option("encoding", encoding).option("escape", '"').option("ignoreTrailingWhiteSpace", False).option("ignoreLeadingWhiteSpace", False).csv(folder).select("Name", "OCR", "Path")
+
+
+@query("SELECT doc_id, page, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS poll FROM page_results", "page_results")
+def unread_polls(spark, sf_dir):
+    """Each page with the poll that first returns it: a third of the results are there at the first one, the rest at the second, none are new at the third."""
+    r = derive.page_results(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("int").alias("page"), F.col("code").cast("int").alias("code"))
+    came, seen, checkpoint = scratch(spark, "came"), scratch(spark, "seen"), scratch(spark, "polls")
+    r.filter("doc_id % 3 = 0").write.parquet(came)
+    for poll in (1, 2, 3):
+        jobs.unread_results(spark, came, "doc_id long, page int, code int", checkpoint, lambda df, n, poll=poll: df.select("doc_id", "page", F.lit(poll).alias("poll")).write.mode("append").parquet(seen))
+        if poll == 1:
+            r.filter("doc_id % 3 <> 0").write.mode("append").parquet(came)
+    return spark.read.parquet(seen)
+
+
+@query("SELECT 'jsonl' AS format, doc_id, page FROM page_results UNION ALL SELECT 'csv', doc_id, page FROM page_results", "page_results")
+def sinks_of_a_stream(spark, sf_dir):
+    """A stream of results to two formats, each of which gets all of them."""
+    came, out = scratch(spark, "came"), scratch(spark, "fanned")
+    r = rendered(spark, sf_dir).select("job_id", "seq", "code", "message", "text", "path", F.concat(F.col("doc_id").cast("string"), F.lit("_"), F.col("page").cast("string")).alias("name"))
+    r.write.parquet(came)
+    sinks.fan_out(spark.readStream.schema(r.schema).parquet(came), out, ["jsonl", "csv"], scratch(spark, "fan")).awaitTermination()
+    json = spark.read.schema("name string").json(f"{out}/batch=*/jsonl/*").select(F.lit("jsonl").alias("format"), "name")
+    csv = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{out}/batch=*/csv").select(F.lit("csv").alias("format"), F.col("Name").alias("name"))
+    ids = F.split("name", "_")
+    return json.unionByName(csv).select("format", ids[0].cast("long").alias("doc_id"), ids[1].cast("int").alias("page"))
+
+
+@query("SELECT doc_id, code, CASE WHEN code = 100 THEN n ELSE 0 END AS n_blocks, CASE WHEN code = 100 THEN chars ELSE 0 END AS n_chars FROM (SELECT *, CASE WHEN doc_id % 50 = 0 THEN 902 WHEN n = 0 THEN 101 ELSE 100 END AS code FROM (SELECT doc_id, len(l) AS n, coalesce(list_sum(list_transform(l, lambda v: length(v))), 0)::BIGINT AS chars FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda v: v <> '') AS l FROM documents)))")
+def recognised(spark, sf_dir):
+    """Blocks of all documents by a recogniser that takes each line for one; every fiftieth can't be read."""
+
+    def load():
+        def read(content: bytes) -> list[dict]:
+            return [{"text": t, "score": 1.0, "x0": 0.0, "y0": 30.0 * i, "x1": 9.0 * len(t), "y1": 30.0 * i + 20} for i, t in enumerate(content.decode().split("\n")) if t]
+
+        return read
+
+    broken = F.when(F.col("doc_id") % 50 == 0, F.concat(F.expr("X'FF'"), F.encode("text", "utf-8"))).otherwise(F.encode("text", "utf-8"))
+    files = derive.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), broken.alias("content"))
+    out = tables.recognise(files, load).groupBy("path", "code").agg(F.count("block_no").alias("n_blocks"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n_chars"))
+    return out.select(F.col("path").cast("long").alias("doc_id"), "code", "n_blocks", "n_chars")

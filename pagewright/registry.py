@@ -1,8 +1,7 @@
-"""Every registered query of the layout operators: name -> (spark, sf_dir) -> DataFrame, and its SQL twin."""
+"""Every registered query of the layout operators: name -> (spark, sf_dir) -> DataFrame, and its SQL twin. ``pagewright.queries`` fills it."""
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +22,3 @@ def query(sql: str | None = None, *tables: str):
         return f
 
     return add
-
-
-for _module in ("texts", "filtering", "shapes", "outcomes", "labels", "outputs", "layouts"):
-    importlib.import_module(f"pagewright.queries.{_module}")

@@ -1,8 +1,9 @@
 """Sinks: results as text, plain text, Markdown, CSV and JSON lines, and any number of them for one run.
 
 Each format is a column of rendered lines (``lines_*``), which can be tested as
-data, and a writer. Writers keep one file a job by dealing rows by job and sorting
-within; a job is as much as one run writes, and its rows leave by stream.
+data, and a writer. Writers deal rows into ranges of job and order: a job's lines are its
+folder's files one after the other by name, a small job has one, a large one as many
+as its size asks for.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from pagewright.functions.text import quoted_lines
 
@@ -75,40 +77,69 @@ def lines_json(results: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def write_lines(lines: DataFrame, path: str, job: str = "job_id", order: str = "seq") -> None:
-    """One folder a job, lines in order."""
-    dealt = lines.repartition(job).sortWithinPartitions(job, order)
+    """One folder a job, lines in order over its files by name."""
+    dealt = lines.repartitionByRange(job, order).sortWithinPartitions(job, order)
     # Lines bring their own line ends.
-    dealt.select(job, F.regexp_replace("line", r"\n$", "").alias("value")).write.partitionBy(job).text(path)
+    dealt.select(job, F.regexp_replace("line", r"\n\z", "").alias("value")).write.partitionBy(job).text(path)
+
+
+def lines_single(results: DataFrame, ignore_blank: bool = True) -> DataFrame:
+    """out_name and text of each page's own file: its text, nothing for a blank page, or the failure. Blank pages and failures go if ``ignore_blank``."""
+    kept = results.filter("code = 100") if ignore_blank else results
+    body = F.when(F.col("code") == 100, F.col("text")).when(F.col("code") == 101, "").otherwise(error_line("txt", F.col("code"), F.col("message")))
+    return kept.select("out_name", body.alias("value"))
+
+
+def single_name(path: str, name: str, beside_source: bool) -> Column:
+    """Where a page's own text file goes: its path, or its name in the target folder, with another suffix."""
+    return F.concat(F.regexp_replace(path if beside_source else name, r"(?<=[^/\\])\.[^./\\]*$", ""), F.lit(".txt"))
 
 
 def write_single(results: DataFrame, path: str, ignore_blank: bool = True) -> None:
-    """One folder a page, named ``out_name``; blank pages as empty texts unless ignored."""
-    kept = results.filter("code = 100") if ignore_blank else results.filter("code in (100, 101)")
-    kept.select("out_name", F.when(F.col("code") == 100, F.col("text")).otherwise("").alias("value")).write.partitionBy("out_name").text(path)
+    """One folder with one file a page, named ``out_name``. Of pages with one name the files stand beside each other. A text without a line end gets one."""
+    lines_single(results, ignore_blank).withColumn("value", F.regexp_replace("value", r"\n\z", "")).repartition("out_name").write.partitionBy("out_name").text(path)
 
 
 def write_csv(results: DataFrame, path: str) -> str:
     """CSV with a header in the narrowest encoding; returns the encoding."""
     rows = rows_csv(results).select("Name", "OCR", "Path")
     encoding = rows.agg(csv_encoding(rows).alias("e")).first()["e"]
-    rows.write.option("header", True).option("encoding", encoding).option("escape", '"').csv(path)
+    rows.write.option("header", True).option("encoding", encoding).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return encoding
 
 
+def _headed(lines: DataFrame, started: str | None, quoted: bool = False) -> DataFrame:
+    return lines if started is None else with_header(lines, started, quoted)
+
+
+#: Writers by name: (results, path, time the run started or None).
 WRITERS = {
-    "txt": lambda r, p: write_lines(lines_txt(r), p),
-    "plain": lambda r, p: write_lines(lines_plain(r), p),
-    "md": lambda r, p: write_lines(lines_md(r), p),
-    "json": lambda r, p: write_lines(lines_json(r, [c for c in r.columns if c != "seq"]), p),
-    "csv": write_csv,
+    "txt": lambda r, p, started: write_lines(_headed(lines_txt(r), started), p),
+    "txtPlain": lambda r, p, _: write_lines(lines_plain(r), p),
+    "txtIndividual": lambda r, p, _: write_single(r, p),
+    "md": lambda r, p, started: write_lines(_headed(lines_md(r), started, quoted=True), p),
+    "jsonl": lambda r, p, _: write_lines(lines_json(r, [c for c in r.columns if c != "seq"]), p),
+    "csv": lambda r, p, _: write_csv(r, p),
 }
 
 
-def write_all(results: DataFrame, folder: str, formats: Sequence[str]) -> None:
-    """Every format sees every result; the results are computed once."""
+def write_all(results: DataFrame, folder: str, formats: Sequence[str], started: str | None = None) -> None:
+    """Every format sees every result; the results are computed once. ``started`` heads the formats that have a header."""
     kept = results.persist()
     try:
         for name in formats:
-            WRITERS[name](kept, f"{folder}/{name}")
+            WRITERS[name](kept, f"{folder}/{name}", started)
     finally:
         kept.unpersist()
+
+
+def fan_out(results: DataFrame, folder: str, formats: Sequence[str], checkpoint: str) -> StreamingQuery:
+    """A stream of results to all formats: each batch in a folder of its number, which a repeated batch writes anew."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        where = f"{folder}/batch={number}"
+        path = batch.sparkSession._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(batch.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        write_all(batch, where, formats)
+
+    return results.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

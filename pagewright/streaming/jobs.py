@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 
 def unread_results(spark: SparkSession, folder: str, schema: str, checkpoint: str, take: Callable[[DataFrame, int], None], each: int | None = None) -> StreamingQuery:
@@ -25,6 +25,28 @@ def unread_results(spark: SparkSession, folder: str, schema: str, checkpoint: st
     return query
 
 
+class Callbacks(StreamingQueryListener):
+    """Calls of a run's watcher: ``started`` and ``ended`` once a query, ``progressed`` with the rows of each batch."""
+
+    def __init__(self, started: Callable[[str], None] | None = None, progressed: Callable[[str, int], None] | None = None, ended: Callable[[str, str | None], None] | None = None):
+        self.started, self.progressed, self.ended = started, progressed, ended
+
+    def onQueryStarted(self, event) -> None:
+        if self.started:
+            self.started(str(event.id))
+
+    def onQueryProgress(self, event) -> None:
+        if self.progressed:
+            self.progressed(str(event.progress.id), event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if self.ended:
+            self.ended(str(event.id), event.exception)
+
+
 def live_progress(results: DataFrame, job: str = "job_id") -> DataFrame:
     """Processed and failed pages by job of a result stream, for update or complete mode. State: one row a job."""
     return results.groupBy(job).agg(F.count(F.lit(1)).alias("processed_count"), F.count_if(~F.col("code").isin(100, 101)).alias("failed_count"))

@@ -35,10 +35,10 @@ def test_find_files(spark, tmp_path):
 
 
 def test_results_come_back(spark, tmp_path):
-    block = {"box": [[29, 19], [172, 19], [172, 44], [29, 44]], "text": "t", "score": 0.89, "end": "\n"}
-    (tmp_path / "r.jsonl").write_text("\n".join(json.dumps(x) for x in ({"code": 100, "data": [block], "score": 0.89, "page": 1}, {"code": 101, "data": "no text", "page": 2})))
+    block = {"box": [[10, 20], [110, 20], [110, 45], [10, 45]], "text": "t", "score": 0.75, "end": "\n"}
+    (tmp_path / "r.jsonl").write_text("\n".join(json.dumps(x) for x in ({"code": 100, "data": [block], "score": 0.75, "page": 1}, {"code": 101, "data": "no text", "page": 2})))
     a, b = sorted(tables.read_results(spark, str(tmp_path)).collect(), key=lambda r: r.page)
-    assert a.blocks[0].text == "t" and a.blocks[0].box[2] == [172.0, 44.0] and a.message is None
+    assert a.blocks[0].text == "t" and a.blocks[0].box[2] == [110.0, 45.0] and a.message is None
     assert b.blocks is None and b.message == "no text"
 
 
@@ -50,15 +50,17 @@ def test_logs(spark, tmp_path):
 
 
 def test_text_sinks(spark, results, tmp_path):
-    sinks.write_all(results, str(tmp_path), ["txt", "plain", "md", "json", "csv"])
-    assert lines(spark, tmp_path / "plain", "j1") == ["one\ntwo\n"]
+    sinks.write_all(results, str(tmp_path), ["txt", "txtPlain", "txtIndividual", "md", "jsonl", "csv"], "2024-01-01 00:00:00")
+    assert lines(spark, tmp_path / "txtPlain", "j1") == ["one\ntwo\n"]
     txt = lines(spark, tmp_path / "txt", "j1")[0]
+    assert txt.startswith("2024-01-01 00:00:00\n\n≦") and lines(spark, tmp_path / "md", "j1")[0].startswith("> 2024-01-01 00:00:00\n\n\n---")
+    assert (tmp_path / "txtIndividual" / "out_name=a_1").exists() and not (tmp_path / "txtIndividual" / "out_name=a_2").exists()
     assert txt.index("≦ a b.pdf - 1 ≧\none\ntwo\n") < txt.index("≦ a b.pdf - 2 ≧\n") < txt.index("Code: 902, Msg: broke\n")
     md = lines(spark, tmp_path / "md", "j1")[0]
     assert "---\n![a b.pdf - 1](a%20b.pdf)\n[a b.pdf - 1](a%20b.pdf)\n\n> one  \n> two  \n" in md
-    back = spark.read.json(f"{tmp_path}/json")
+    back = spark.read.json(f"{tmp_path}/jsonl")
     assert back.count() == 4 and back.filter("code = 101").count() == 1
-    assert {r.OCR for r in spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{tmp_path}/csv").collect()} == {"one\ntwo", None, "[Error] OCR failed. Code: 902, Msg: broke .", 'ü, "x"'}
+    assert {r.OCR for r in spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{tmp_path}/csv").collect()} == {"one\ntwo", None, "[Error] OCR failed. Code: 902, Msg: broke .\n", 'ü, "x"'}
 
 
 def test_header(results):
@@ -76,6 +78,22 @@ def test_single_files(spark, results, tmp_path):
     assert {r.out_name for r in spark.read.text(str(tmp_path / "a")).collect()} == {"a_1", "c_1"}
     sinks.write_single(results, str(tmp_path / "b"), ignore_blank=False)
     assert (tmp_path / "b" / "out_name=a_2").exists()
+    assert [r.value for r in spark.read.text(str(tmp_path / "b")).filter("out_name = 'a_3'").collect()] == ["[Error] OCR failed. Code: 902, Msg: broke", "【异常】OCR识别失败。"]
+    names = spark.createDataFrame([("/scans/x.y/a.png", "b.tar.png"), ("noext", ".hidden")], "path string, name string")
+    assert [tuple(r) for r in names.select(sinks.single_name("path", "name", True), sinks.single_name("path", "name", False)).collect()] == [("/scans/x.y/a.txt", "b.tar.txt"), ("noext.txt", ".hidden.txt")]
+
+
+def test_a_large_job_is_written_in_several_tasks(spark, tmp_path):
+    from pathlib import Path
+
+    rows = spark.range(20_000).select(F.lit("j").alias("job_id"), F.col("id").cast("int").alias("seq"), F.concat(F.lit("line "), "id", F.lit("\n")).alias("line"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_lines(rows.repartition(3), str(tmp_path / "l"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list(Path(tmp_path / "l" / "job_id=j").glob("part-*"))) > 1
+    assert lines(spark, tmp_path / "l", "j")[0].split() == [x for i in range(20_000) for x in ("line", str(i))]
 
 
 def test_recogniser_contract(spark):

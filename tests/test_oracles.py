@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from pagewright import registry
+from pagewright import queries, registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -19,6 +19,10 @@ def con(sf):
     return c
 
 
+def test_all_modules_are_registered():
+    assert len(registry.QUERIES) > 100 and all(f.__module__.startswith("pagewright.queries.") for f in registry.QUERIES.values()) and queries.__all__
+
+
 def plain(v):
     if isinstance(v, bool) or v is None:
         return v
