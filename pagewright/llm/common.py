@@ -1,73 +1,21 @@
-"""What the text operators share: tables of the input folder, shared storage, safe columns."""
+"""What the text operators share: tables of the input folder, stored tables, safe columns."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session, which shares its disk, gets a temporary folder;
-    on a cluster that would be each machine's own, so there it is an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        set_on = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = set_on.get() if set_on.isDefined() else None
-    if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="pagewright-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-_WRITTEN: list[str] = []
+from pagewright.storage import clear, saved, scratch, shared_folder, written
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; ``clear`` removes what was written there."""
-    path = f"{shared_folder(spark)}/pagewright-{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
-    return path
+__all__ = ["arrow_rows", "clear", "lower_ascii", "plain", "quoted", "row_key", "saved", "scratch", "shared_folder", "small_batches", "table", "unused", "written"]
 
 
-def saved(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
-    """``df`` written to the shared folder and read again.
-
-    This cuts the lineage: a lost executor costs a reread, never a recomputation,
-    and the join strategy downstream is chosen by the size of what was written.
-    """
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    writer = df.write.option("compression", codec) if codec else df.write
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear(spark: SparkSession, since: int = 0) -> None:
-    """Removes the intermediate tables written so far (from place ``since`` of the list on). Results that are still to be read from them go with them."""
-    jvm = spark.sparkContext._jvm
-    for path in _WRITTEN[since:]:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    del _WRITTEN[since:]
-
-
-def written() -> int:
-    """How many intermediate tables there are: what ``clear`` takes as ``since``."""
-    return len(_WRITTEN)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 #: Rows go to Python tasks in batches of about so many bytes, unless the session has a limit of its own.

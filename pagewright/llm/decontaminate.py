@@ -10,17 +10,23 @@ Jaccard similarity of their bags, shingles weighted by their counts, is at least
    to the right up to the next shared shingle, or to the document's end, never
    loses one, so the windows that start at a shared shingle or end the document
    include a best one.
-2. Fingerprints. Every such window and every item has a 64-bit SimHash of its bag.
-3. Candidates. The fingerprints are cut in ``RADIUS`` + 1 blocks; two within
-   ``RADIUS`` bits agree in at least one block, so an index on (size, block, value)
-   finds all of them. At similarity 0.8 the expected distance is 10 bits with a
-   deviation of 3; ``RADIUS`` lies more than three deviations above.
+2. Fingerprints. Every such window and every item has a SimHash of its bag, whose
+   elements are the shingles with the number of their occurrence, so that a repeated
+   shingle weighs no more than different ones: ``BLOCKS`` blocks of ``WIDE`` bits.
+3. Candidates. Two fingerprints within ``RADIUS`` bits have a block in which they
+   differ in at most ``PROBE`` bits. An index on (size, block, value) holds every value
+   within ``PROBE`` bits of each item's blocks, so a window finds all items within the
+   radius by its own values. Of 252 bits, 38 are expected to differ at similarity 0.8,
+   with a deviation of 5.7; the radius lies three deviations above. Unrelated windows meet
+   in a block with a chance of about one in sixteen.
 4. Verification by the exact weighted similarity.
 
 Defined cases: null, empty and wordless texts and items match nothing; an item of
-fewer than five words is one shingle of its own width; equal rows each match; null
-ids stay; extra columns are ignored; empty tables give an empty result. Ties
-between windows: the first one is reported.
+fewer than five words is one shingle of its own width; equal rows of documents each
+match; repeated rows of the benchmark count once, different texts under one item id each
+stand for it; null ids of documents and of items stay and match like others; extra columns
+are ignored, or stay as they are; empty tables give an empty result. Ties between windows:
+the first one is reported. Very long texts are read whole, in arrays of their words.
 """
 
 from __future__ import annotations
@@ -30,10 +36,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import plain, saved, table
+from pagewright.llm.common import plain, saved, table, unused
 
 WIDTH = 5
-RADIUS = 20
+BLOCKS, WIDE, PROBE = 14, 18, 3
+RADIUS = BLOCKS * (PROBE + 1) - 1
 SIMILARITY = 0.8
 #: Item shingles up to this number go to every task (16 bytes each); more are joined by a shuffle.
 BROADCAST_SHINGLES = 1_000_000
@@ -53,50 +60,63 @@ def shingle_array(hashes: str, width: int) -> Column:
     return F.transform(zipped, lambda z: F.xxhash64(*[z[x] for x in names]))
 
 
-def fingerprint(bits: list[Column]) -> Column:
-    """The 64 signs as one long; bit 63 is the sign bit."""
-    values = [F.when(b > 0, F.lit(-(1 << 63) if j == 63 else 1 << j)).otherwise(F.lit(0)) for j, b in enumerate(bits)]
-    return reduce(lambda a, b: a.bitwiseOR(b), values)
+#: Two counters in one sum.
+_BOTH = (1 << 32) + 1
 
 
 def simhash(bags: DataFrame, *key: str) -> DataFrame:
-    """One fingerprint for each key of a table of (key, shingle)."""
-    sums = [F.sum(F.shiftright("shingle", j).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"s{j}") for j in range(64)]
-    return bags.groupBy(*key).agg(*sums).select(*key, fingerprint([F.col(f"s{j}") for j in range(64)]).alias("print"))
+    """``print``, the blocks of a fingerprint, and ``size`` for each key of a table of (key, shingle, c): shingles with their counts."""
+    numbered = bags.select(*key, "shingle", F.explode(F.sequence(F.lit(1), "c")).alias("k"))
+    hashed = numbered.select(*key, *[F.xxhash64("shingle", "k", F.lit(w)).alias(f"h{w}") for w in range(4)])
+    # Bits j and j + 32 of a hash are counted by one sum.
+    sums = [F.sum(F.shiftright(f"h{w}", j).bitwiseAND(F.lit(_BOTH))).alias(f"s{w}_{j}") for w in range(4) for j in range(32)]
+    summed = hashed.groupBy(*key).agg(F.count(F.lit(1)).alias("size"), *sums)
 
+    def bit(j: int) -> Column:
+        both = F.col(f"s{j // 64}_{j % 32}")
+        ones = F.shiftrightunsigned(both, 32) if j % 64 >= 32 else both.bitwiseAND(F.lit((1 << 32) - 1))
+        return ones * 2 > F.col("size")
 
-def blocks() -> list[tuple[int, int]]:
-    """First bit and width of the RADIUS + 1 blocks."""
-    edges = [64 * i // (RADIUS + 1) for i in range(RADIUS + 2)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+    def block(b: int) -> Column:
+        return reduce(lambda x, y: x + y, [F.when(bit(b * WIDE + i), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(WIDE)])
 
+    return summed.select(*key, "size", F.array(*[block(b) for b in range(BLOCKS)]).alias("print"))
 
-def block_value(print_: str | Column, first: int, width: int) -> Column:
-    return F.shiftrightunsigned(print_, first).bitwiseAND(F.lit((1 << width) - 1))
 
-
-def indexed(prints: DataFrame) -> DataFrame:
+def indexed(prints: DataFrame, print_: str) -> DataFrame:
     """A row for each block of each fingerprint."""
-    values = F.array(*[block_value("print", a, w) for a, w in blocks()])
-    return prints.select("*", F.posexplode(values).alias("block", "value"))
+    return prints.select("*", F.posexplode(print_).alias("block", "value"))
+
+
+def probed(prints: DataFrame, print_: str) -> DataFrame:
+    """``indexed``, with every value within ``PROBE`` bits of each block's: 988 rows a block, for the few items only."""
+    masks = F.expr(f"filter(sequence(0, {(1 << WIDE) - 1}), x -> bit_count(x) <= {PROBE})")
+    return indexed(prints, print_).withColumn("mask", F.explode(masks)).withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
+
 
+def _differing(a: str, b: str) -> list[Column]:
+    """How many bits of each block differ."""
+    return [F.bit_count(F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))) for i in range(BLOCKS)]
 
-def first_shared_block(difference: Column) -> Column:
-    """The first block in which two fingerprints agree: a pair that meets in several is kept once."""
-    out = F.lit(None).cast("int")
-    for i, (a, w) in reversed(list(enumerate(blocks()))):
-        out = F.when(block_value(difference, a, w) == 0, F.lit(i)).otherwise(out)
-    return out
+
+def within_radius(a: str, b: str) -> Column:
+    """Whether two fingerprints are near, and ``block`` is the first one that brings them together: a pair that meets in several is kept once."""
+    bits = _differing(a, b)
+    first = F.lit(None).cast("int")
+    for i in reversed(range(BLOCKS)):
+        first = F.when(bits[i] <= PROBE, F.lit(i)).otherwise(first)
+    return (reduce(lambda x, y: x + y, bits) <= RADIUS) & (first == F.col("block"))
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """item_id, m words, shingle width, shingles in order."""
-    hashed = plain(benchmark, "item_id", "text").select("item_id", word_hashes("text").alias("hashes")).filter(F.size("hashes") > 0)
+    """item_id, item_key, m words, shingle width, shingles in order, for each different (id, text)."""
+    rows = plain(benchmark, "item_id", "text").distinct().withColumn("item_key", F.xxhash64("item_id", "text"))
+    hashed = rows.select("item_id", "item_key", word_hashes("text").alias("hashes")).filter(F.size("hashes") > 0)
     hashed = hashed.withColumn("m", F.size("hashes")).withColumn("width", F.least("m", F.lit(WIDTH)))
     bag = shingle_array("hashes", 1)
     for width in range(2, WIDTH + 1):
         bag = F.when(F.col("width") == width, shingle_array("hashes", width)).otherwise(bag)
-    return hashed.select("item_id", "m", "width", bag.alias("bag"))
+    return hashed.select("item_id", "item_key", "m", "width", bag.alias("bag"))
 
 
 def _start() -> Column:
@@ -142,32 +162,36 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
         rows = rows.groupBy(*window).agg(F.first("bag").alias("bag")).select(*window, F.explode("bag").alias("shingle"))
         bags = rows if bags is None else bags.unionByName(rows)
     if bags is None:
-        return docs.limit(0).select("doc_id", "row_key", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("start_word"), F.lit(0.0).alias("similarity"))
+        return docs.limit(0).select("doc_id", "row_key", F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("start_word"), F.lit(0.0).alias("similarity"))
     bags = saved(bags.groupBy(*window, "shingle").agg(F.count(F.lit(1)).cast("int").alias("c")), "bags")
+    item_bags = items.select("item_id", "item_key", "m", F.explode("bag").alias("shingle")).groupBy("item_id", "item_key", "m", "shingle").agg(F.count(F.lit(1)).cast("int").alias("c"))
+    item_bags = saved(item_bags, "counts")
 
-    counted = [F.sum((F.shiftright("shingle", j).bitwiseAND(F.lit(1)) * 2 - 1) * F.col("c")).alias(f"s{j}") for j in range(64)]
-    prints = bags.groupBy(*window).agg(F.sum("c").alias("size_w"), *counted).select(*window, "size_w", fingerprint([F.col(f"s{j}") for j in range(64)]).alias("print"))
-    item_bags = items.select("item_id", "m", F.explode("bag").alias("shingle"))
-    item_prints = simhash(item_bags, "item_id", "m").join(items.select("item_id", F.size("bag").alias("size_i")).dropDuplicates(["item_id"]), "item_id")
-    item_index = saved(indexed(item_prints.select("item_id", "m", "size_i", "print")).withColumnRenamed("print", "print_i"), "index")
-    near = indexed(prints).join(item_index, ["m", "block", "value"])
-    difference = F.col("print").bitwiseXOR(F.col("print_i"))
-    near = near.filter((F.bit_count(difference) <= RADIUS) & (first_shared_block(difference) == F.col("block")))
-    near = saved(near.select(*window, "size_w", "item_id", "size_i"), "near")
-
-    item_counts = saved(item_bags.groupBy("item_id", "shingle").agg(F.count(F.lit(1)).cast("int").alias("c_i")), "counts")
-    one = near.join(bags.drop("doc_id"), window[1:]).join(item_counts, ["item_id", "shingle"])
-    shared = one.groupBy(*window, "item_id", "size_w", "size_i").agg(F.sum(F.least("c", "c_i")).alias("shared"))
+    near = candidates(bags, item_bags, window)
+    counts = item_bags.select("item_key", "shingle", F.col("c").alias("c_i"))
+    one = near.join(bags.drop("doc_id"), window[1:]).join(counts, ["item_key", "shingle"])
+    shared = one.groupBy(*window, "item_id", "item_key", "size_w", "size_i").agg(F.sum(F.least("c", "c_i")).alias("shared"))
     scored = shared.withColumn("similarity", F.col("shared") / (F.col("size_w") + F.col("size_i") - F.col("shared"))).filter(F.col("similarity") >= similarity)
     best = scored.groupBy("doc_id", "row_key", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
     return best.select("doc_id", "row_key", "item_id", (-F.col("best.back")).alias("start_word"), F.round("best.similarity", 6).alias("similarity"))
 
 
+def candidates(bags: DataFrame, item_bags: DataFrame, window: list[str]) -> DataFrame:
+    """Windows and items of one size whose fingerprints lie within ``RADIUS``."""
+    prints = simhash(bags, *window).withColumnRenamed("size", "size_w")
+    item_prints = simhash(item_bags, "item_id", "item_key", "m").withColumnRenamed("size", "size_i").withColumnRenamed("print", "print_i")
+    item_index = saved(probed(item_prints, "print_i"), "index")
+    near = indexed(prints, "print").join(item_index, ["m", "block", "value"]).filter(within_radius("print", "print_i"))
+    return saved(near.select(*window, "size_w", "item_id", "item_key", "size_i"), "near")
+
+
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without those that hold a benchmark item, with the columns they came with."""
-    leaks = saved(matches(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")).distinct(), "leaks")
-    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    return keyed.join(leaks, (keyed["__row"] == leaks["__key"]) & keyed["doc_id"].eqNullSafe(leaks["__id"]), "left_anti").drop("__row")
+    """``docs`` without those that hold a benchmark item, with the columns they came with, whatever their names."""
+    key = unused(docs, "row_key")
+    leaks = saved(matches(docs, benchmark).select(F.col("doc_id").alias("leak_id"), F.col("row_key").alias("leak_key")).distinct(), "leaks")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    kept = keyed.join(leaks, (keyed[key] == leaks["leak_key"]) & keyed["doc_id"].eqNullSafe(leaks["leak_id"]), "left_anti")
+    return kept.select(*[keyed[c] for c in docs.columns])
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

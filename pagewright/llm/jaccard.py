@@ -7,7 +7,8 @@ on, whatever number of documents have it.
 Prefix lists: a set of n is listed under its first n - ceil(0.8 n) + 1 shingles in
 a common order, so that linked sets meet in a list. The order is the shingle's
 hash, except that frequent shingles (found by merged counts of each batch, at most
-``MOST_FREQUENT``) come last by rising count.
+``MOST_FREQUENT``) come last by rising count. A list that grows beyond ``HEAVY`` all the
+same makes its shingle a frequent one, and the lists are made anew.
 
 Skipping between sets (answers): each list has a leader, the set in which the
 shingle comes first: the one with the fewest shingles of its own, in a group of
@@ -27,7 +28,9 @@ A shingle is a 64-bit hash; a set's name is a 64-bit hash of its shingles.
 Defined cases: null, empty and wordless texts have no shingles and link with
 nothing; fewer than five words are one shingle of them all; equal rows link with
 each other; a null id never names a component that has another id; extra columns
-are ignored; an empty table gives an empty result.
+are ignored, or stay as they are; an empty table gives an empty result. Ties of place
+and count go to the lesser name. A very long text is read in pieces; its set takes eight
+bytes for each different shingle.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import arrow_rows, plain, saved, table
+from pagewright.llm.common import arrow_rows, plain, saved, table, unused
 from pagewright.llm.components import components
 from pagewright.llm.kernels import U64, chunks, mix, shingles, utf8, words
 
@@ -48,8 +51,10 @@ PERCENT = 80
 WIDTH = 5
 #: Shingles held to be frequent: from so many different sets on in the counts, and at most so many.
 FREQUENT, MOST_FREQUENT = 6, 200_000
-#: Bits of the fixed-size filter that keeps texts that stand in no list from being moved.
-FILTER_BITS = 1 << 23
+#: Sets under one shingle from which on the shingle counts as frequent, and how often the lists are made anew for that.
+HEAVY, ROUNDS = 4096, 4
+#: Least and most bits of the filter that keeps texts that stand in no list from being moved (at most 16 MB).
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 #: Among so many leaders the lists that two sets share may be parted.
 LEADERS = 6
 #: Pairs of texts that a Python worker gets at a time.
@@ -147,7 +152,7 @@ def _entries(batches: Iterator[pa.RecordBatch], hot) -> Iterator[pa.RecordBatch]
                 yield pa.RecordBatch.from_pydict({"shingle": s, "name": name, "n": n.astype(np.int32), "place": place.astype(np.int32), "hot": is_hot})
 
 
-_LISTED = "shingle long, name long, n int, place int, hot boolean, leader long, leader_n int"
+_LISTED = "shingle long, name long, n int, place int, hot boolean, leader long, leader_n int, nth int"
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,12 +162,12 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     their leader later. Of a list only its first entry is remembered.
     """
     waiting: pa.RecordBatch | None = None  # the entry of a list that has one set so far
-    shingle, leader, leader_n = None, None, None  # of a list that is known to have several
+    shingle, leader, leader_n, held = None, None, None, 0  # of a list that is known to have several
     for batch in batches:
         hot = batch.column("hot").to_numpy(zero_copy_only=False)
         if hot.any():
             rows = batch.filter(pa.array(hot))
-            yield _with_leader(rows, rows.column("name").to_numpy(), rows.column("n").to_numpy())
+            yield _with_leader(rows, rows.column("name").to_numpy(), rows.column("n").to_numpy(), np.zeros(rows.num_rows, np.int64))
             batch = batch.filter(pa.array(~hot))
         if waiting is not None and batch.num_rows:
             batch = pa.Table.from_batches([waiting, batch]).combine_chunks().to_batches()[0]
@@ -173,22 +178,24 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
         group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(s))))
         lead, lead_n = name[starts].copy(), n[starts].copy()
+        nth = np.arange(1, len(s) + 1) - starts[group]
         several = np.logical_or.reduceat(name != lead[group], starts)
         if shingle is not None and s[0] == shingle:
             lead[0], lead_n[0], several[0] = leader, leader_n, True
+            nth[group == 0] += held
         keep = several[group] & np.append(True, (s[1:] != s[:-1]) | (name[1:] != name[:-1]))
         rows = np.flatnonzero(keep)
         if len(rows):
-            yield _with_leader(batch.take(pa.array(rows)), lead[group[rows]], lead_n[group[rows]])
+            yield _with_leader(batch.take(pa.array(rows)), lead[group[rows]], lead_n[group[rows]], nth[rows])
         if several[-1]:
-            shingle, leader, leader_n = s[-1], lead[-1], lead_n[-1]
+            shingle, leader, leader_n, held = s[-1], lead[-1], lead_n[-1], int(nth[-1])
         else:
             waiting = batch.slice(int(starts[-1]), 1)
 
 
-def _with_leader(batch: pa.RecordBatch, leader: np.ndarray, leader_n: np.ndarray) -> pa.RecordBatch:
+def _with_leader(batch: pa.RecordBatch, leader: np.ndarray, leader_n: np.ndarray, nth: np.ndarray) -> pa.RecordBatch:
     columns = {c: batch.column(c) for c in ("shingle", "name", "n", "place", "hot")}
-    return pa.RecordBatch.from_pydict({**columns, "leader": pa.array(leader), "leader_n": pa.array(leader_n)})
+    return pa.RecordBatch.from_pydict({**columns, "leader": pa.array(leader), "leader_n": pa.array(leader_n), "nth": pa.array(nth.astype(np.int32))})
 
 
 def _texts(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
@@ -197,7 +204,7 @@ def _texts(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch
         data, offsets = utf8(batch.column("text"))
         for _, part, at in chunks(data, offsets):
             _, _, size, name = _sets(part, at)
-            place = name % FILTER_BITS
+            place = name % (8 * len(bits))
             keep = np.flatnonzero(_fresh(name, size) & ((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0))
             if len(keep):
                 packed = [zlib.compress(part[at[i] : at[i + 1]].tobytes(), 1) for i in keep]
@@ -205,11 +212,13 @@ def _texts(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch
 
 
 def _wanted(names: DataFrame) -> np.ndarray:
-    """A filter of ``FILTER_BITS`` bits that has at least every name; its size doesn't depend on how many there are."""
-    spot = F.pmod("name", F.lit(FILTER_BITS)) + 1
+    """A filter that has at least every name: some eight bits each, ``MOST_BITS`` at most."""
+    n = names.agg(F.approx_count_distinct("name")).first()[0]
+    size = min(max(LEAST_BITS, 1 << (8 * n).bit_length()), MOST_BITS)
+    spot = F.pmod("name", F.lit(size)) + 1
     rows = names.select(spot.alias("x")).groupBy(F.expr("bitmap_bucket_number(x)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("bits")).collect()
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in rows:  # at most FILTER_BITS / 32768 rows
+    out = np.zeros(size // 8, np.uint8)
+    for r in rows:  # at most MOST_BITS / 32768 rows
         at = (int(r["k"]) - 1) * 4096
         out[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
     return out
@@ -258,19 +267,36 @@ def _enough_lists(c: Column, n_a: Column, n_b: Column) -> Column:
     return (100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b)) & ((100 + PERCENT) * F.least(c + rest, n_a, n_b) >= PERCENT * (n_a + n_b))
 
 
+def _listed(docs: DataFrame) -> DataFrame:
+    """The prefix lists with their leaders."""
+    table_ = frequent(docs)
+    for round_ in range(ROUNDS):
+        hot = docs.sparkSession.sparkContext.broadcast(table_)
+        entries = docs.mapInArrow(lambda b, hot=hot: _entries(b, hot), _ENTRY)
+        dealt = entries.repartition(F.when(F.col("hot"), F.xxhash64("shingle", "name")).otherwise(F.col("shingle"))).sortWithinPartitions("hot", "shingle", "place", "name")
+        listed = saved(dealt.mapInArrow(_lists, _LISTED), "listed")
+        room = MOST_FREQUENT - len(table_[0])
+        heavy = listed.filter(F.col("nth") == HEAVY).select("shingle").distinct().limit(max(room, 0)).toArrow().column("shingle").to_numpy() if round_ < ROUNDS - 1 and room > 0 else []
+        if not len(heavy):
+            break
+        # Rarer than all that were found by counts.
+        s = np.concatenate((heavy.view(U64), table_[0]))
+        rank = np.concatenate((np.arange(1, len(heavy) + 1), table_[1] + len(heavy)))
+        order = np.argsort(s)
+        table_ = s[order], rank[order]
+    return listed
+
+
 def linked(docs: DataFrame) -> DataFrame:
     """(name, label): the sets that link with another set, and the least name of their component."""
     spark = docs.sparkSession
     docs = plain(docs, "text")
-    hot = spark.sparkContext.broadcast(frequent(docs))
-    entries = docs.mapInArrow(lambda b: _entries(b, hot), _ENTRY)
-    dealt = entries.repartition(F.when(F.col("hot"), F.xxhash64("shingle", "name")).otherwise(F.col("shingle"))).sortWithinPartitions("hot", "shingle", "place", "name")
-    listed = saved(dealt.mapInArrow(_lists, _LISTED), "listed")
+    listed = _listed(docs)
     # Lists under frequent shingles: at most MOST_FREQUENT leaders, found with partial aggregates.
     leaders = listed.filter("hot").groupBy("shingle").agg(F.min(F.struct("place", "name", "n")).alias("l"), F.min("name").alias("x"), F.max("name").alias("y")).filter("x <> y")
     leaders = saved(leaders.select("shingle", F.col("l.name").alias("leader"), F.col("l.n").alias("leader_n")), "leaders")
     columns = ["shingle", "name", "n", "place", "leader", "leader_n"]
-    lists = listed.filter("not hot").select(*columns).unionByName(listed.filter("hot").drop("leader", "leader_n").dropDuplicates(["shingle", "name"]).join(leaders, "shingle").select(*columns))
+    lists = listed.filter("not hot").select(*columns).unionByName(listed.filter("hot").drop("leader", "leader_n", "nth").dropDuplicates(["shingle", "name"]).join(leaders, "shingle").select(*columns))
     lists = saved(lists, "lists")
 
     wanted = spark.sparkContext.broadcast(_wanted(lists.select("name")))
@@ -315,7 +341,7 @@ def linked(docs: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key, n_shingles and component_id of every row."""
+    """doc_id, row_key, n_shingles, component_id and label of every row. Labels tell all components apart; ids don't where they are null or repeated."""
     docs = plain(docs, "doc_id", "text").withColumn("row_key", F.xxhash64("doc_id", "text"))
     named = docs.mapInArrow(_names, "doc_id long, row_key long, name long, n long")
     # A document without shingles is a set of its own.
@@ -324,24 +350,27 @@ def groups(docs: DataFrame) -> DataFrame:
     of_set = named.groupBy("name").agg(F.min("doc_id").alias("least")).join(labels.withColumnRenamed("node", "name"), "name", "left")
     of_set = saved(of_set.withColumn("label", F.coalesce("label", "name")), "sets")
     least = of_set.groupBy("label").agg(F.min("least").alias("component_id"))
-    component = saved(of_set.select("name", "label").join(least, "label").select("name", "component_id"), "least")
-    return named.join(component, "name").select("doc_id", "row_key", F.col("n").alias("n_shingles"), "component_id")
+    component = saved(of_set.select("name", "label").join(least, "label").select("name", "component_id", "label"), "least")
+    return named.join(component, "name").select("doc_id", "row_key", F.col("n").alias("n_shingles"), "component_id", "label")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents of a group that aren't its first; of equal rows one stays."""
-    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    member = saved(groups(docs).groupBy("doc_id", "row_key").agg(F.first("component_id").alias("component_id"), F.count(F.lit(1)).alias("copies")), "members")
-    gone = member.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__row"))
-    copied = member.filter("doc_id <=> component_id and copies > 1").select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__row"))
+    """``docs`` without the documents of a group that aren't its first (by id, nulls last, then by text's hash); of equal rows one stays, whatever the ids and names of other columns are."""
+    key = unused(docs, "row_key")
+    member = saved(groups(docs).groupBy("label", "doc_id", "row_key").agg(F.count(F.lit(1)).alias("copies")), "members")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row_key").alias("key"))
+    first = member.groupBy("label").agg(F.min(order).alias("f"))
+    judged = saved(member.join(first, "label").select(F.col("doc_id").alias("m_id"), F.col("row_key").alias("m_key"), "copies", (F.col("row_key") == F.col("f.key")).alias("stays")), "judged")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
 
     def among(rows: DataFrame, how: str, df: DataFrame) -> DataFrame:
-        return df.join(rows, (df["__row"] == rows["__row"]) & df["doc_id"].eqNullSafe(rows["__id"]), how)
+        return df.join(rows, (df[key] == rows["m_key"]) & df["doc_id"].eqNullSafe(rows["m_id"]), how)
 
-    kept = among(gone, "left_anti", keyed)
+    kept = among(judged.filter("not stays"), "left_anti", keyed)
+    copied = judged.filter("stays and copies > 1")
     if not copied.isEmpty():
-        kept = among(copied, "left_anti", kept).unionByName(among(copied, "left_semi", kept).dropDuplicates(["doc_id", "__row"]))
-    return kept.drop("__row")
+        kept = among(copied, "left_anti", kept).unionByName(among(copied, "left_semi", kept).dropDuplicates(["doc_id", key]))
+    return kept.select(*docs.columns)
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,7 +166,7 @@ def em(patterns: np.ndarray, weight: np.ndarray, rounds: int = 200) -> tuple[np.
 
 def train(x: np.ndarray, y: np.ndarray, rounds: int = 400, ridge: float = 1e-4) -> tuple[np.ndarray, float, np.ndarray]:
     """Logistic regression on soft labels by gradient steps. Returns the weights for unscaled features, the bias and the scale."""
-    scale = 1 / np.maximum(np.sqrt((x * x).mean(0)), 1e-4).astype(np.float32)
+    scale = 1 / np.maximum(np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)), 1e-4).astype(np.float32)
     x = x * scale
     w, b = np.zeros(x.shape[1], np.float32), 0.0
     mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -208,7 +208,21 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 code = _pattern(some, at)
                 has = np.flatnonzero(code != NO_WORDS)
                 x = features(some, at)
-                yield pa.RecordBatch.from_pydict({"text_hash": part.column("text_hash").take(pa.array(start + has)), "pattern": pa.array(code[has].astype(np.int64)), "x": pa.array([r.tobytes() for r in x[has]], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"text_hash": part.column("text_hash").take(pa.array(start + has)), "pattern": pa.array(code[has].astype(np.int64)), "x": pa.array([packed(r) for r in x[has]], pa.binary())})
+
+
+def packed(x: np.ndarray) -> bytes:
+    """The places that aren't zero, then their values."""
+    at = np.flatnonzero(x)
+    return at.astype("<u2").tobytes() + x[at].astype("<f4").tobytes()
+
+
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(rows), DIMENSIONS), np.float32)
+    for i, r in enumerate(rows):
+        n = len(r) // 6
+        out[i, np.frombuffer(r, "<u2", n)] = np.frombuffer(r, "<f4", n, 2 * n)
+    return out
 
 
 class Model:
@@ -250,7 +264,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = few.filter(F.col("text_hash") <= F.lit(bound)).groupBy("text_hash").agg(F.first("text").alias("text"))
     got = chosen.mapInArrow(_sampled, "text_hash long, pattern long, x binary").orderBy("text_hash").limit(sample).collect()
     by = dict(zip(code.tolist(), post.tolist()))
-    x = np.stack([np.frombuffer(r["x"], np.float32) for r in got])
+    x = unpacked([bytes(r["x"]) for r in got])
     y = np.array([by[r["pattern"]] for r in got], np.float32)
     weights, bias, _ = train(x, y)
     return Model(weights, bias, accuracy, share)

@@ -22,7 +22,9 @@ all documents shares reaches its reducer as one row a task. Groups of more than
 Defined cases: null text counts as empty and has nothing removed; texts shorter
 than the window have nothing removed; equal rows each count, so two equal rows
 with texts of at least the window are removed whole; null ids are kept as they
-are; extra columns are ignored; an empty table gives an empty result.
+are; extra columns are ignored; an empty table gives an empty result. Ties of block
+hashes go to the last block. Very long texts are read in pieces that overlap by a window;
+a run that a piece ends is two runs of one group, which step 3 puts in order.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import plain, saved, table
-from pagewright.llm.kernels import U64, Rolling, chunks, mix, segments_of, utf8
+from pagewright.llm.kernels import U64, Rolling, chunks, mix, pieces, segments_of, utf8
 
 WINDOW = 200
 DIGIT = 64
@@ -78,11 +80,13 @@ def _runs_of(batches: Iterator[pa.RecordBatch], window: int, digit: int, located
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
         ids, keys = batch.column("doc_id"), batch.column("row_key")
-        for start, part, at in chunks(data, offsets):
+        cut = ((start, a, *piece) for start, part, at in chunks(data, offsets) for a, *piece in pieces(part, at, window - 1))
+        for start, a, part, at in cut:
             got = runs(part, at, window, digit)
             if got is None or not len(got[0]):
                 continue
             doc, lo, hi, first, around = got
+            lo, hi = lo + a, hi + a
             columns = {"digit": first.view(np.int64), "around": around.view(np.int64)}
             if located:
                 rows = pa.array(start + doc)

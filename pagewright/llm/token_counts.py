@@ -1,11 +1,11 @@
 """Operator 4: how many pieces a unigram tokenizer makes of a text, without making them.
 
 The best path through a text of a unigram model is a Viterbi path; only its score
-and its number of pieces are carried. An Aho-Corasick automaton of the vocabulary
-lists all pieces that end at each place. Ties go as in the tokenizers library's
-unigram model: the places are visited from left to right, at each the pieces that
-start there from short to long, and a path replaces another only if its score is
-greater. A character that no piece covers alone is the unknown piece, whose score
+and its number of pieces are carried, for as many places as the longest piece spans. An
+Aho-Corasick automaton of the vocabulary lists all pieces that end at each place, the
+longest first. Ties go as in the tokenizers library's unigram model: the places are
+visited from left to right, and a path replaces another only if its score is greater,
+so that of equal paths to a place the one with the longest last piece stays. A character that no piece covers alone is the unknown piece, whose score
 is the least of all less 10; unknown characters side by side fuse to one piece.
 
 A word mark stands for every space, and one before the text. Where no piece of the
@@ -14,7 +14,8 @@ the next mark, so each run of marks with its word is counted by itself and a
 worker remembers the counts of those it has met, up to a bound.
 
 Defined cases: null and empty texts have no pieces; equal rows get equal results;
-null ids stay; extra columns are ignored; an empty table gives an empty result.
+null ids stay; extra columns are ignored; an empty table gives an empty result. Very
+long texts, and words, take memory for the text alone.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ from pagewright.llm.tokens import vocabulary
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Words whose counts a worker keeps before it starts anew.
-KEPT = 400_000
+#: What a worker keeps of words' counts takes about so many bytes before it starts anew; longer words aren't kept.
+MEMORY_BYTES, LONGEST_KEPT = 32 << 20, 64
 
 
 def unigram_vocabulary(path: str) -> list[tuple[str, float]]:
@@ -63,31 +64,38 @@ class Counter:
             if piece:
                 self.automaton.add_word(piece, (len(piece), score, i == unknown))
         self.automaton.make_automaton()
+        self.span = max(len(p) for p, _ in vocab) + 1
         self.unknown_score = min(s for _, s in vocab) - UNKNOWN_PENALTY
         # Whether a path or a run of unknown characters may cross into a mark.
         self.inside = any(MARK in p.lstrip(MARK) for p, _ in vocab) or all(p != MARK for p, _ in vocab)
         self.seen: dict[str, int] = {}
+        self.size = 0
 
     def count(self, text: str) -> int:
         """Pieces on the best path through ``text``, taken as it stands."""
-        n = len(text)
-        # At each place: best score, pieces on that path, and whether its last piece is unknown.
-        best, pieces, fused = [0.0] + [-math.inf] * n, [0] * (n + 1), [False] * (n + 1)
-        starts: list[list[tuple[int, float, bool]]] = [[] for _ in range(n)]
-        for end, found in self.automaton.iter(text):
-            starts[end - found[0] + 1].append(found)
-        for at in range(n):
-            here, alone = best[at], False
-            for size, score, unknown in starts[at]:  # matches come by their end, so short ones first
-                total = here + score
-                if total > best[at + size]:
-                    best[at + size], pieces[at + size], fused[at + size] = total, pieces[at] + (not (unknown and fused[at])), unknown
+        span = self.span
+        # At each of the last places: best score, pieces on that path, and whether its last piece is unknown.
+        best, pieces, fused = [0.0] * span, [0] * span, [False] * span
+        matches = self.automaton.iter(text)
+        end, found = next(matches, (-1, None))
+        before = 0
+        for place in range(len(text)):
+            top, n, last, alone = -math.inf, 0, False, False
+            while end == place:  # the longest first
+                size, score, unknown = found
+                at = (place + 1 - size) % span
+                total = best[at] + score
+                if total > top:
+                    top, n, last = total, pieces[at] + (not (unknown and fused[at])), unknown
                 alone = alone or size == 1
+                end, found = next(matches, (-1, None))
             if not alone:
-                total = here + self.unknown_score
-                if total > best[at + 1]:
-                    best[at + 1], pieces[at + 1], fused[at + 1] = total, pieces[at] + (not fused[at]), True
-        return pieces[n]
+                total = best[before] + self.unknown_score
+                if total > top:
+                    top, n, last = total, pieces[before] + (not fused[before]), True
+            before = (place + 1) % span
+            best[before], pieces[before], fused[before] = top, n, last
+        return pieces[before]
 
     def count_text(self, text: str | None) -> int:
         if not text:
@@ -99,9 +107,13 @@ class Counter:
         for word in marked.split(MARK)[1:] if MARK + MARK not in marked and marked[-1] != MARK else re.findall(f"{MARK}+[^{MARK}]*", marked):
             n = seen.get(word)
             if n is None:
-                if len(seen) >= KEPT:
-                    seen.clear()
-                n = seen[word] = self._word(word)
+                n = self._word(word)
+                if len(word) <= LONGEST_KEPT:
+                    self.size += 160 + len(word)  # the word, its place in the table, its count
+                    if self.size > MEMORY_BYTES:
+                        seen.clear()
+                        self.size = 160
+                    seen[word] = n
             total += n
         return total
 

@@ -12,8 +12,8 @@ starts with the rule's path; the longest that fits wins. Where none fits, the
 pattern rules decide: block if one of them fits, else allow.
 
 Defined cases: repeated URLs and repeated rows each get their verdict; null ids
-stay; other columns are ignored; an empty table gives an empty result. Rules of
-equal length: the one that comes first in alphabetical order.
+stay; other columns are ignored; an empty table gives an empty result. Very long URLs
+are read whole. Ties of rules of equal length: the one that comes first.
 """
 
 from __future__ import annotations
@@ -31,8 +31,10 @@ HOST_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "exampl
 #: (name, regular expression, tokens that every match contains)
 PATTERN_RULES = (
     ("campaign", r"[?&]utm_(source|medium|campaign)=", ("utm",)),
-    ("session", r"[?&;](jsessionid|phpsessid)=", ()),
-    ("login", r"/(login|signin)(\.php)?([?#]|$)", ()),
+    ("Java session", r"[?&;]jsessionid=", ("jsessionid",)),
+    ("PHP session", r"[?&;]phpsessid=", ("phpsessid",)),
+    ("login", r"/login(\.php)?([?#]|$)", ("login",)),
+    ("sign in", r"/signin(\.php)?([?#]|$)", ("signin",)),
     ("print view", r"[?&]print=(1|true)(&|#|$)", ("print",)),
 )
 #: Up to so many rules go to every task; more are joined by a shuffle on the token.
@@ -48,22 +50,24 @@ def parts(url: str = "url"):
 
 
 def rule_table(spark: SparkSession, host_rules: Sequence[tuple[str, str]], pattern_rules: Sequence[tuple[str, str, Sequence[str]]]) -> DataFrame:
-    """rule_no, rule, verdict, weight, regex, tokens. A pattern rule without a token that all its matches share is split at the top level by its caller or filed under ''."""
+    """rule_no, rule, verdict, weight, regex, tokens. A rule with alternatives that share no token has to be given as several; one without any token would run on every URL and is refused."""
     rows = []
     for verdict, rule in host_rules:
         host, slash, path = rule.partition("/")
         rows.append((rule, verdict, len(rule), rf"^([^/?#]*\.)?{re.escape(host)}{re.escape(slash + path)}", re.findall(TOKEN, host)))
     for name, regex, tokens in pattern_rules:
+        if not tokens:
+            raise ValueError(f"rule {name}: no token that all its matches contain")
         rows.append((None, "block", 0, regex, list(tokens)))
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "rule_no long, rule string, verdict string, weight int, regex string, tokens array<string>")
 
 
 def index_rules(rules: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Each rule with the rarest of its tokens; '' for a rule that has none, which every URL fetches."""
+    """Each rule with the rarest of its tokens; of equally rare ones the first in order."""
     named = rules.select("rule_no", F.explode("tokens").alias("token")).distinct()
     counts = tokens.join(F.broadcast(named.select("token").distinct()), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     rarest = named.join(counts, "token", "left").groupBy("rule_no").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("t"))
-    return rules.join(rarest, "rule_no", "left").select("rule_no", "rule", "verdict", "weight", "regex", F.coalesce("t.token", F.lit("")).alias("token"))
+    return rules.join(rarest, "rule_no", "left").select("rule_no", "rule", "verdict", "weight", "regex", F.col("t.token").alias("token"))
 
 
 def judge(pages: DataFrame, host_rules=HOST_RULES, pattern_rules=PATTERN_RULES) -> DataFrame:
@@ -73,7 +77,7 @@ def judge(pages: DataFrame, host_rules=HOST_RULES, pattern_rules=PATTERN_RULES)
     # Rules see one canonical string: host and path as above, then the rest of the URL.
     subject = F.concat("host", "path", F.regexp_extract("url", r"([?#][\s\S]*)$", 1))
     urls = pages.filter("host != '' or path != ''").select("url", subject.alias("subject")).distinct()
-    tokens = urls.select("url", "subject", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all(F.lower("subject"), F.lit(f"({TOKEN})"), F.lit(1))))).alias("token"))
+    tokens = urls.select("url", "subject", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("subject"), F.lit(f"({TOKEN})"), F.lit(1)))).alias("token"))
     rules = rule_table(spark, host_rules, pattern_rules)
     index = index_rules(rules, tokens.select("token"))
     if len(host_rules) + len(pattern_rules) <= BROADCAST_RULES:

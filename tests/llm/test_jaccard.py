@@ -41,10 +41,11 @@ def test_whole_table(spark, sf):
     assert got(jaccard.op7_ngram_jaccard_join(spark, sf)) == brute(rows)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_odd_texts(spark, seed, monkeypatch):
-    """Near copies at every distance, chains, boiler-plate, nulls, short texts, equal rows."""
-    monkeypatch.setattr(jaccard, "FREQUENT", 4)
+@pytest.mark.parametrize("seed, frequent, heavy", [(1, 4, 4096), (2, 4, 4096), (3, 10**9, 3)])
+def test_odd_texts(spark, seed, frequent, heavy, monkeypatch):
+    """Near copies at every distance, chains, boiler-plate, nulls, short texts, equal rows; lists found to be long only when they are made."""
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard, "HEAVY", heavy)
     rng = random.Random(seed)
     word = lambda: "".join(rng.choices("abcdeé", k=rng.randint(1, 6)))
     boiler = [word() for _ in range(40)]
@@ -77,3 +78,36 @@ def test_odd_texts(spark, seed, monkeypatch):
 
 def test_empty(spark):
     assert jaccard.groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_one_of_each_group_and_clashing_names(spark):
+    """Different texts under one id, null ids, equal rows, and columns named as the operator's own."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, text), (5, text + " more"), (5, text), (9, text + " end"), (None, "only null of all the ids"), (None, "only null of all the ids"), (None, "another text with a null id here")]
+    df = spark.createDataFrame([(a, b, "x", {"k": i}, i) for i, (a, b) in enumerate(rows)], "doc_id long, text string, row_key string, m_id map<string,int>, name int").repartition(3)
+    kept = jaccard.one_of_each(df)
+    assert kept.schema == df.schema
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(got) == 3 and [a for a, _ in got if a is not None] == [5]
+    assert {b for a, b in got if a is None} == {rows[4][1], rows[6][1]}
+    assert jaccard.one_of_each(df.limit(0)).count() == 0
+
+
+def test_long_text(spark, monkeypatch):
+    """A text of many pieces has the same set as it has in one."""
+    import numpy as np
+
+    from pagewright.llm import kernels
+
+    text = ("aé b " * 40 + "x" * 700 + "\n").encode() * 3 + "".join(f"word{i} " for i in range(3000)).encode()
+    data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    whole = kernels.words(data, offsets), jaccard._sets(data, offsets)
+    monkeypatch.setattr(kernels, "CHUNK_BYTES", 97)
+    parts = kernels.words(data, offsets), jaccard._sets(data, offsets)
+    for a, b in zip((*whole[0], *whole[1]), (*parts[0], *parts[1])):
+        assert np.array_equal(a, b)
+    several = np.array([0, 5, 5, 9, 150, len(text)])
+    monkeypatch.setattr(kernels, "CHUNK_BYTES", 1 << 18)
+    want = kernels.words(data, several)
+    monkeypatch.setattr(kernels, "CHUNK_BYTES", 50)
+    assert all(np.array_equal(a, b) for a, b in zip(want, kernels.words(data, several)))

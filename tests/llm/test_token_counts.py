@@ -40,6 +40,13 @@ def test_ties_of_any_vocabulary(text, pieces):
     assert token_counts.Counter(vocab).count_text(text) == library(Tokenizer(models.Unigram(vocab, unk_id=0, byte_fallback=False)), text)
 
 
+def test_a_long_word_and_a_small_memory(both, monkeypatch):
+    monkeypatch.setattr(token_counts, "MEMORY_BYTES", 2000)
+    counter = token_counts.Counter(token_counts.unigram_vocabulary(vocabulary("piece_bpe_32k.model")))
+    for text in ("theand" * 20_000, "日本é" * 5_000, " ".join(f"word{i % 50}" for i in range(500))):
+        assert counter.count_text(text) == library(both[1], text)
+
+
 def test_documents(both, spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     expect = {r.doc_id: library(both[1], r.text) for r in rows}

@@ -3,6 +3,7 @@
 import re
 
 import duckdb
+import pytest
 
 from pagewright.llm import urls
 
@@ -33,9 +34,15 @@ def test_odd_urls(spark):
 
 
 def test_rules_are_filed_under_their_rarest_token(spark):
-    rules = urls.rule_table(spark, [("block", "ads.example.com/")], [("p", "x", ())])
+    rules = urls.rule_table(spark, [("block", "ads.example.com/")], [("p", "x", ("zeta", "com"))])
     tokens = spark.createDataFrame([("example",)] * 3 + [("com",)] * 5 + [("ads",)], "token string")
-    assert {r.rule: r.token for r in urls.index_rules(rules, tokens).collect()} == {"ads.example.com/": "ads", None: ""}
+    assert {r.rule: r.token for r in urls.index_rules(rules, tokens).collect()} == {"ads.example.com/": "ads", None: "zeta"}
+    with pytest.raises(ValueError):
+        urls.rule_table(spark, [], [("everything", "x|y", ())])
+
+
+def test_every_registered_rule_has_a_token():
+    assert all(tokens and all(re.search(t, regex) for t in tokens) for _, regex, tokens in urls.PATTERN_RULES)
 
 
 def test_sql(spark, sf):
