@@ -40,6 +40,8 @@ END = 0
 SHARD_TOKENS = 1 << 19
 #: BM25's usual parameters.
 K1, B = 1.2, 0.75
+#: Numbers in an index's table of common terms at most (16 MB).
+DENSE = 1 << 21
 #: Places of a hashed vector; documents sampled to grow the tree; sampled documents a leaf has at least; branches of a node.
 DIMENSIONS, SAMPLE, LEAF, BRANCHES = 128, 32_768, 8, 8
 ENCODED = "doc_id long, shard_key long, row_no long, doc_tokens long, sums array<long>, rest binary, lead binary"
@@ -69,18 +71,21 @@ def counted(rests: list[np.ndarray], leads: list[np.ndarray] | None = None) -> t
 
     ``leads``: terms (first row) and counts of what each document has before its rest.
     """
-    n = max(len(rests), 1)
     size = np.array([len(r) for r in rests], np.int64)
-    doc = np.repeat(np.arange(len(rests)), size)
-    term = np.concatenate(rests).astype(np.int64) if rests else np.zeros(0, np.int64)
-    pair, tf = np.unique(term * n + doc, return_counts=True)
-    if leads and any(x.shape[1] for x in leads):
-        more = np.concatenate(leads, 1).astype(np.int64)
-        owner = np.repeat(np.arange(len(leads)), [x.shape[1] for x in leads])
-        size = size + np.bincount(owner, more[1], len(leads)).astype(np.int64)
-        pair, back = np.unique(np.concatenate((pair, more[0] * n + owner)), return_inverse=True)
-        tf = np.bincount(back, np.concatenate((tf, more[1]))).astype(np.int64)
-    return pair % n, pair // n, tf, size
+    terms, counts = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+    for k, rest in enumerate(rests):
+        # Ids below 2**16 sort by digits, far faster than one sort of all documents.
+        term, tf = np.unique(rest, return_counts=True)
+        if leads and leads[k].shape[1]:
+            size[k] += int(leads[k][1].sum(dtype=np.int64))
+            term, back = np.unique(np.concatenate((term.astype("<u4"), leads[k][0])), return_inverse=True)
+            tf = np.bincount(back, np.concatenate((tf, leads[k][1]))).astype(np.int64)
+        terms.append(term)
+        counts.append(tf)
+    doc = np.repeat(np.arange(len(rests)), [len(t) for t in terms[1:]])
+    term = np.concatenate(terms).astype(np.int64)
+    order = np.argsort(term.astype("<u2") if not len(term) or term.max() < 65536 else term, kind="stable")
+    return doc[order], term[order], np.concatenate(counts)[order], size
 
 
 class Statistics:
@@ -110,6 +115,13 @@ class Index:
         self.terms = term[first]
         self.df = np.diff(self.bounds)
         self.weight = statistics.weights(term, tf, size[self.doc])
+        # The lists of the commonest terms, which most of the work would be, as rows of a table.
+        common = np.argsort(-self.df, kind="stable")[: DENSE // max(len(rests), 1)]
+        self.row = np.full(len(self.terms), -1, np.int64)
+        self.row[common] = np.arange(len(common))
+        mine = np.repeat(self.row, self.df)
+        self.table = np.zeros((len(common), len(rests)))
+        self.table[mine[mine >= 0], self.doc[mine >= 0]] = self.weight[mine >= 0]
         order = np.argsort(self.doc, kind="stable")
         self.lists_of_doc = np.repeat(np.arange(len(self.terms)), self.df)[order]
         self.doc_bounds = np.searchsorted(self.doc[order], np.arange(len(rests) + 1))
@@ -127,8 +139,10 @@ class Index:
         return self._best(at[self.df[at] > 1], unused, most)  # the others stand in this document alone
 
     def _best(self, at: np.ndarray, unused: np.ndarray, most: int) -> np.ndarray:
-        rows = segments_of(self.bounds[at], self.df[at])
-        score = np.bincount(self.doc[rows], self.weight[rows], len(unused))
+        row = self.row[at]
+        rare = at[row < 0]
+        rows = segments_of(self.bounds[rare], self.df[rare])
+        score = np.bincount(self.doc[rows], self.weight[rows], len(unused)) + self.table[row[row >= 0]].sum(0)
         found = np.flatnonzero((score > 0) & unused)  # every weight is positive
         if len(found) > most:
             found = found[score[found] >= np.partition(score[found], -most)[-most]]
@@ -167,8 +181,8 @@ def fill(rests: list[np.ndarray], length: int, statistics: Statistics | None = N
 
 
 def _rests(rest: Iterable[bytes], tokens: Iterable[int], sums: Iterable[list], length: int) -> list[np.ndarray]:
-    """Ids of stored rests: four bytes an id where that is their number, else two."""
-    return [np.frombuffer(r, "<u4" if len(r) == 4 * (n - len(s) * length) else "<u2").astype("<u4") for r, n, s in zip(rest, tokens, sums)]
+    """Ids of stored rests, as they are stored: four bytes an id where that is their number, else two."""
+    return [np.frombuffer(r, "<u4" if len(r) == 4 * (n - len(s) * length) else "<u2") for r, n, s in zip(rest, tokens, sums)]
 
 
 def _leads(lead: Iterable[bytes]) -> list[np.ndarray]:
@@ -308,7 +322,7 @@ def _pack(key: tuple, frame: pd.DataFrame, length: int, statistics: Statistics)
             sequence += 1
     for doc, start, n, number, offset in fill(rests, length, statistics, _leads(frame["lead"])):
         before = sizes[doc] - len(rests[doc])
-        out.append((ids[doc], before + start, n, zlib.crc32(rests[doc][start : start + n].tobytes()), sizes[doc], sequence + number, offset))
+        out.append((ids[doc], before + start, n, zlib.crc32(rests[doc][start : start + n].astype("<u4").tobytes()), sizes[doc], sequence + number, offset))
     result = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
     return result.astype({"doc_id": "Int64"})
 
