@@ -61,13 +61,13 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int, length: int)
                 whole = (j - i) // length * length
                 sums.append([zlib.crc32(flat[k : k + length]) for k in range(i, i + whole, length)])
                 rests.append(small[i + whole : j].tobytes())
-                leads.append(np.stack(np.unique(flat[i : i + whole], return_counts=True)).astype("<u4").tobytes() if whole else b"")
+                leads.append(np.stack(np.unique(small[i : i + whole], return_counts=True)).astype("<u4").tobytes() if whole else b"")
             yield pa.RecordBatch.from_pydict({**{c: batch.column(c).slice(first, n) for c in ("doc_id", "shard_key", "row_no")}, "doc_tokens": pa.array(np.diff(at)), "sums": pa.array(sums, pa.list_(pa.int64())), "rest": pa.array(rests, pa.binary()), "lead": pa.array(leads, pa.binary())})
             first += n
 
 
-def counted(rests: list[np.ndarray], leads: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document, term and count of each different term of each document, by term, then document; the documents' lengths.
+def counted(rests: list[np.ndarray], leads: list[np.ndarray] | None = None, by_term: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, term and count of each different term of each document, by term (or not), then document; the documents' lengths.
 
     ``leads``: terms (first row) and counts of what each document has before its rest.
     """
@@ -84,6 +84,8 @@ def counted(rests: list[np.ndarray], leads: list[np.ndarray] | None = None) -> t
         counts.append(tf)
     doc = np.repeat(np.arange(len(rests)), [len(t) for t in terms[1:]])
     term = np.concatenate(terms).astype(np.int64)
+    if not by_term:
+        return doc, term, np.concatenate(counts), size
     order = np.argsort(term.astype("<u2") if not len(term) or term.max() < 65536 else term, kind="stable")
     return doc[order], term[order], np.concatenate(counts)[order], size
 
@@ -204,7 +206,7 @@ def _statistics(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.R
     """What a task adds to the corpus's counts."""
     df, documents, tokens, rest_tokens = np.zeros(0, np.int64), 0, 0, 0
     for _, rests, leads in _parts(batches, length):
-        _, term, _, size = counted(rests, leads)
+        _, term, _, size = counted(rests, leads, by_term=False)
         documents, tokens, rest_tokens = documents + len(rests), tokens + int(size.sum()), rest_tokens + sum(map(len, rests))
         more = np.bincount(term, minlength=len(df))
         more[: len(df)] += df
@@ -226,7 +228,7 @@ def statistics_of(encoded: DataFrame, length: int) -> tuple[Statistics, int]:
 
 def vectors(rests: list[np.ndarray], leads: list[np.ndarray], statistics: Statistics) -> np.ndarray:
     """The BM25 weights of each document's terms with hashed signs in ``DIMENSIONS`` hashed places, at length 1."""
-    doc, term, tf, size = counted(rests, leads)
+    doc, term, tf, size = counted(rests, leads, by_term=False)
     code = mix(np.arange(len(statistics.idf)))
     sign, place = np.where(code & U64(1), 1.0, -1.0), ((code >> U64(1)) % U64(DIMENSIONS)).astype(np.int64)
     out = np.bincount(doc * DIMENSIONS + place[term], sign[term] * statistics.weights(term, tf, size[doc]), len(rests) * DIMENSIONS).reshape(len(rests), DIMENSIONS)
