@@ -9,6 +9,7 @@ from pagewright.llm.packing import op10_retrieval_packing
 from pagewright.llm.pii import op3_pii
 from pagewright.llm.quality import op9_quality_classifier
 from pagewright.llm.repeats import op1_suffix_dedup
+from pagewright.llm.simhash import op12_simhash_near_dedup
 from pagewright.llm.telephony import op8_telephony_audio
 from pagewright.llm.token_counts import op4_token_counts
 from pagewright.llm.token_files import op5_token_files
@@ -27,6 +28,7 @@ QUERIES = {
         op8_telephony_audio,
         op9_quality_classifier,
         op10_retrieval_packing,
+        op12_simhash_near_dedup,
     )
 }
 ORACLES: dict[str, str] = {"op2_url_filter": urls.oracle()}
