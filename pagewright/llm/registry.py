@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pagewright.llm import urls
+from pagewright.llm.collocations import op13_phrase_collocations
 from pagewright.llm.decontaminate import op6_decontaminate
 from pagewright.llm.jaccard import op7_ngram_jaccard_join
 from pagewright.llm.packing import op10_retrieval_packing
@@ -29,6 +30,7 @@ QUERIES = {
         op9_quality_classifier,
         op10_retrieval_packing,
         op12_simhash_near_dedup,
+        op13_phrase_collocations,
     )
 }
 ORACLES: dict[str, str] = {"op2_url_filter": urls.oracle()}
