@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pagewright.llm import urls
+from pagewright.llm.alignment import op11_token_alignment
 from pagewright.llm.collocations import op13_phrase_collocations
 from pagewright.llm.decontaminate import op6_decontaminate
 from pagewright.llm.jaccard import op7_ngram_jaccard_join
@@ -29,6 +30,7 @@ QUERIES = {
         op8_telephony_audio,
         op9_quality_classifier,
         op10_retrieval_packing,
+        op11_token_alignment,
         op12_simhash_near_dedup,
         op13_phrase_collocations,
     )
