@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import separator
+from pagewright.operators.order import scan
 
 PAGE = ("doc_id", "page")
 
@@ -44,11 +45,14 @@ def batch_pieces(results: DataFrame, keys, order: str) -> DataFrame:
     ``results`` has code and text: the text with its last separator, the message of a
     failure, or nothing for a blank one. Only the result just before can lack its line
     end, as a blank one would have had it put before itself. A sink writes the pieces in
-    order; no row holds a whole batch.
+    order; no row holds a whole batch. ``order`` tells the results of a batch apart.
     """
     text = F.when(F.col("code") == 101, "").otherwise(F.coalesce("text", F.lit("")))
-    before = F.lag(text).over(Window.partitionBy(*keys).orderBy(order))
-    return results.withColumn("piece", F.concat(F.when((before != "") & ~before.endswith("\n"), "\n").otherwise(""), text))
+    # The texts themselves don't take part in the scan, only whether they leave a line open.
+    open_line = results.select(*keys, order, ((text != "") & ~text.endswith("\n")).alias("__open"))
+    before = scan(open_line, keys, [order], __before=("before", "__open")).drop("__open")
+    met = results.join(before, [*keys, order])
+    return met.withColumn("piece", F.concat(F.when(F.col("__before"), "\n").otherwise(""), text)).drop("__before")
 
 
 def batch_text(results: DataFrame, keys, order: str, empty: str = NO_TEXT) -> DataFrame:

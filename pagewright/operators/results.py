@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.operators.assembly import joined
+from pagewright.operators.order import numbered, scan
+from pagewright.storage import saved
 
 PAGE = ("doc_id", "page")
 
@@ -66,8 +68,8 @@ def queue_lengths(tasks: DataFrame, results: DataFrame, job: str = "job_id", key
 
 def active_time(events: DataFrame, job: str = "job_id", order: Sequence[str] = ("ts", "event_id"), pause: str = "pause", now: Column | None = None) -> DataFrame:
     """Seconds from a job's first event to its last one, or to ``now``, without the stretches that a pause begins and the next event (or now) ends."""
-    after = F.lead("ts").over(Window.partitionBy(job).orderBy(*order))
-    after = after if now is None else F.coalesce(after, now)
+    events = scan(events.select(*dict.fromkeys([job, *order, "ts", "action"])), [job], order, after=("after", "ts"))
+    after = F.col("after") if now is None else F.coalesce("after", now)
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     paused = F.when((F.col("action") == pause) & after.isNotNull(), micros(after) - micros(F.col("ts"))).otherwise(0)
     return events.withColumn("__paused", paused).groupBy(job).agg(((micros(F.max("ts") if now is None else F.any_value(now)) - micros(F.min("ts")) - F.sum("__paused")) / 1_000_000).alias("active_s"))
@@ -103,40 +105,28 @@ def page_progress(results: DataFrame, first: str = "range_start", last: str = "r
     return results.withColumns({"k": k, "label": F.concat(k.cast("string"), F.lit("/"), n.cast("string")), "ratio": k / n})
 
 
-def running_progress(results: DataFrame, job: str, order: Sequence[str | Column], total: str) -> DataFrame:
+def running_progress(results: DataFrame, job: str, order: Sequence[str], total: str) -> DataFrame:
     """How many results a job has at each one, never more than its total, as number, label and ratio."""
-    k = F.least(F.row_number().over(Window.partitionBy(job).orderBy(*order)), F.col(total)).alias("k")
-    out = results.select("*", k)
+    out = numbered(results, [job], order, "k").withColumn("k", F.least("k", total))
     return out.withColumns({"label": F.concat(F.col("k").cast("string"), F.lit("/"), F.col(total).cast("string")), "ratio": F.col("k") / F.col(total)})
 
 
 def fair_order(tasks: DataFrame, job: str = "job_id", task: Sequence[str] = PAGE) -> DataFrame:
     """One task of each job in turn: round is a column, so that no global sort is needed to keep the order."""
-    return tasks.withColumn("round", F.row_number().over(Window.partitionBy(job).orderBy(*task)))
+    return numbered(tasks, [job], task, "round")
 
 
 def turns(tasks: DataFrame, job: str = "job_id", task: Sequence[str] = PAGE) -> DataFrame:
-    """``fair_order`` with the job's place in its round, from 1. Of several jobs the second one comes first and the first one last, as the turn passes on before it is used.
-
-    Jobs are numbered in one place, tasks aren't.
-    """
-    jobs = tasks.select(job).distinct()
-    number = F.row_number().over(Window.orderBy(job))
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    places = jobs.select(job, (F.pmod(number - 2, n) + 1).cast("int").alias("turn"))
+    """``fair_order`` with the job's place in its round, from 1. Of several jobs the second one comes first and the first one last, as the turn passes on before it is used."""
+    jobs = saved(tasks.select(job).distinct(), "jobs")
+    n = jobs.count()
+    places = numbered(jobs, [], [job], "number").select(job, (F.pmod(F.col("number") - 2, F.lit(max(n, 1))) + 1).alias("turn"))
     return fair_order(tasks, job, task).join(places, job)
 
 
 def sequential_order(tasks: DataFrame, job: str = "job_id", task: Sequence[str] = PAGE) -> DataFrame:
-    """The first job to its end, then the next: place counts from 1 over all tasks.
-
-    Jobs start where the sizes of the jobs before them end, so only one row a job, not a
-    task, is summed in one place.
-    """
-    sizes = tasks.groupBy(job).agg(F.count(F.lit(1)).alias("n"))
-    starts = sizes.select(job, (F.sum("n").over(Window.orderBy(job)) - F.col("n")).alias("__start"))
-    inside = F.row_number().over(Window.partitionBy(job).orderBy(*task))
-    return tasks.withColumn("__k", inside).join(starts, job).withColumn("place", F.col("__start") + F.col("__k")).drop("__k", "__start")
+    """The first job to its end, then the next: place counts from 1 over all tasks."""
+    return numbered(tasks, [], [job, *task], "place")
 
 
 def delete_range(rows: DataFrame, order: str, first: Column, last: Column) -> DataFrame:
@@ -160,17 +150,26 @@ def order_of(blocks: DataFrame) -> str:
     return "block_no" if "block_no" in blocks.columns else "seq"
 
 
+def with_states(events: DataFrame, job: str = "job_id", order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
+    """``events`` with the job's state just after each: ended, started and paused, as 0 or 1."""
+    out = scan(
+        events,
+        [job],
+        order,
+        ended=("max", F.when(F.col("action").isin("fail", "stop"), 1).otherwise(0)),
+        started=("max", F.when(F.col("action").isin("start", "resume"), 1).otherwise(0)),
+        paused=("last", F.when(F.col("action").isin("pause"), 1).when(F.col("action").isin("start", "resume"), 0)),
+    )
+    return out.withColumn("paused", F.coalesce("paused", F.lit(0)))
+
+
 def job_states(events: DataFrame, job: str = "job_id", order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
     """State of each job after all its control events, and its finished pages.
 
     waiting until started; a pause keeps the task in hand for later; after a failure
     or a stop nothing counts any more.
     """
-    w = Window.partitionBy(job).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ended = F.max(F.when(F.col("action").isin("fail", "stop"), 1).otherwise(0)).over(w)
-    started = F.max(F.when(F.col("action").isin("start", "resume"), 1).otherwise(0)).over(w)
-    paused = F.last(F.when(F.col("action").isin("pause"), 1).when(F.col("action").isin("start", "resume"), 0), ignorenulls=True).over(w)
-    e = events.select(job, *order, "action", ended.alias("ended"), started.alias("started"), F.coalesce(paused, F.lit(0)).alias("paused"))
+    e = with_states(events.select(*dict.fromkeys([job, *order, "action"])), job, order)
     counts = (F.col("action") == "page_done") & (F.col("ended") == 0) & (F.col("started") == 1) & (F.col("paused") == 0)
     last = F.max_by(F.struct("ended", "started", "paused"), F.struct(*order))
     out = e.groupBy(job).agg(last.alias("l"), F.count_if(counts).alias("pages_done"))

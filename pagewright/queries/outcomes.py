@@ -120,7 +120,7 @@ def barcode_outcome(spark, sf_dir):
 @query("SELECT doc_id, page, k, k || '/' || page_count AS label, k / page_count::DOUBLE AS ratio FROM (SELECT r.doc_id, r.page, c.page_count, least(row_number() OVER (PARTITION BY r.doc_id ORDER BY r.finished_s, r.page), c.page_count)::INTEGER AS k FROM page_results r JOIN catalogue c USING (doc_id))", "page_results", "catalogue")
 def running_progress(spark, sf_dir):
     r = derive.page_results(spark, sf_dir).select("doc_id", "page", "finished_s").join(derive.catalogue(spark, sf_dir).select("doc_id", "page_count"), "doc_id")
-    return results.running_progress(r, "doc_id", ["finished_s", "page"], "page_count").select("doc_id", "page", "k", "label", "ratio")
+    return results.running_progress(r, "doc_id", ["finished_s", "page"], "page_count").select("doc_id", "page", F.col("k").cast("int").alias("k"), "label", "ratio")
 
 
 @query("SELECT r.doc_id, r.page, r.page - a + 1 AS k, (r.page - a + 1) || '/' || (b - a + 1) AS label, (r.page - a + 1) / (b - a + 1)::DOUBLE AS ratio FROM page_results r JOIN " + CLAMPED + " c USING (doc_id) WHERE r.page BETWEEN a AND b", "page_results", "catalogue")
@@ -133,7 +133,8 @@ def page_progress(spark, sf_dir):
 
 @query("SELECT p.job_id, doc_id, page, row_number() OVER (PARTITION BY p.job_id ORDER BY doc_id, page)::INTEGER AS round, turn FROM page_list p JOIN (SELECT job_id, CASE WHEN n = 1 THEN count(*) OVER () ELSE n - 1 END::INTEGER AS turn FROM (SELECT job_id, row_number() OVER (ORDER BY job_id) AS n FROM (SELECT DISTINCT job_id FROM page_list))) j ON j.job_id = p.job_id", "page_list")
 def task_turns(spark, sf_dir):
-    return results.turns(derive.pages(spark, sf_dir).select("job_id", "doc_id", "page")).select("job_id", "doc_id", "page", "round", "turn")
+    found = results.turns(derive.pages(spark, sf_dir).select("job_id", "doc_id", "page"))
+    return found.select("job_id", "doc_id", "page", *[F.col(c).cast("int").alias(c) for c in ("round", "turn")])
 
 
 @query("SELECT doc_id, page, round(CASE WHEN r.code = 100 THEN coalesce(avg(b.score), 0) ELSE 0 END, 9) AS confidence FROM page_results r LEFT JOIN blocks b USING (doc_id, page) GROUP BY doc_id, page, r.code", "page_results")
@@ -145,7 +146,7 @@ def coded_confidence(spark, sf_dir):
 
 @query("SELECT job_id, doc_id, page, row_number() OVER (PARTITION BY job_id ORDER BY doc_id, page)::INTEGER AS round FROM page_list", "page_list")
 def fair_order(spark, sf_dir):
-    return results.fair_order(derive.pages(spark, sf_dir).select("job_id", "doc_id", "page"))
+    return results.fair_order(derive.pages(spark, sf_dir).select("job_id", "doc_id", "page")).withColumn("round", F.col("round").cast("int"))
 
 
 @query("SELECT job_id, doc_id, page, row_number() OVER (ORDER BY job_id, doc_id, page) AS place FROM page_list", "page_list")
