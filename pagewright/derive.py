@@ -105,6 +105,17 @@ def control_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), "event_id", "ts", "value", action.alias("action"))
 
 
+def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """job_id, event_id, ts, action, task: every purchase takes a task, whose result comes up to two days later; few errors end their job."""
+    e = control_events(spark, sf_dir)
+    action = F.when(F.col("action") != "fail", F.col("action")).when(F.col("event_id") % 8 == 0, "stop").when(F.col("event_id") % 8 == 1, "fail").otherwise("start")
+    taken = F.col("action") == "page_done"
+    first = e.select("job_id", (2 * F.col("event_id")).alias("event_id"), F.col("ts").cast("timestamp").alias("ts"), F.when(taken, "take").otherwise(action).alias("action"), F.when(taken, F.col("event_id")).alias("task"))
+    after = F.make_dt_interval(hours=(8 * (F.col("event_id") % 7)).cast("int"))
+    came = e.filter(taken).select("job_id", (2 * F.col("event_id") + 1).alias("event_id"), (F.col("ts") + after).cast("timestamp").alias("ts"), F.lit("done").alias("action"), F.col("event_id").alias("task"))
+    return first.unionByName(came)
+
+
 ACTIONS = {"signup": "start", "view": "pause", "click": "resume", "error": "fail", "purchase": "page_done"}
 LEVELS = {"signup": "INFO", "view": "DEBUG", "click": "INFO", "error": "ERROR", "purchase": "WARNING"}
 
@@ -157,13 +168,16 @@ SELECT job_id, doc_id, max(page) AS page_count, doc_id % 37 = 0 AS is_encrypted,
   CASE doc_id % 7 WHEN 0 THEN -1 WHEN 1 THEN 2 WHEN 2 THEN -1 WHEN 3 THEN 2 WHEN 4 THEN 2 WHEN 5 THEN 99 ELSE 1 END AS range_end
 FROM page_list GROUP BY job_id, doc_id""",
     "control_events": f"SELECT user_id AS job_id, event_id, ts, value, {_case('event_type', ACTIONS)} AS action FROM events",
+    "task_events": """
+SELECT job_id, 2 * event_id AS event_id, ts, CASE WHEN action = 'page_done' THEN 'take' WHEN action <> 'fail' THEN action WHEN event_id % 8 = 0 THEN 'stop' WHEN event_id % 8 = 1 THEN 'fail' ELSE 'start' END AS action, CASE WHEN action = 'page_done' THEN event_id END AS task FROM control_events
+UNION ALL SELECT job_id, 2 * event_id + 1, ts + to_hours(8 * (event_id % 7)), 'done', event_id FROM control_events WHERE action = 'page_done'""",
     "logs": f"SELECT event_id, ts, {_case('event_type', LEVELS)} AS level, props AS message, 'module' || (user_id % 4) AS module FROM events",
     "barcodes": r"""
 SELECT event_id % 997 AS img_id, event_id AS code_no, event_id % 13 <> 0 AS valid, CASE WHEN event_id % 11 = 0 THEN 'Binary' WHEN event_id % 3 = 0 THEN 'Mixed' ELSE 'Text' END AS content_type,
   CASE WHEN event_id % 11 = 0 THEN '\xFF\xFE\x41'::BLOB ELSE encode(coalesce(props, '')) END AS bytes FROM events""",
 }
 #: What each table is derived from.
-NEEDS = {"blocks": ["chunks"], "turned": ["blocks"], "fragments": ["blocks"], "page_list": ["blocks"], "page_results": ["page_list"], "catalogue": ["page_list"]}
+NEEDS = {"blocks": ["chunks"], "turned": ["blocks"], "fragments": ["blocks"], "page_list": ["blocks"], "page_results": ["page_list"], "catalogue": ["page_list"], "task_events": ["control_events"]}
 
 
 def with_tables(sql: str, *names: str) -> str:

@@ -177,6 +177,36 @@ def job_states(events: DataFrame, job: str = "job_id", order: Sequence[str] = ("
     return out.select(job, state.alias("state"), "pages_done")
 
 
+#: How a job's end reads, by what ended it.
+ENDS = {"stop": ("stopped", "[Warning] Task stop."), "fail": ("failed", "[Error] Task failed.")}
+
+
+def task_outcomes(events: DataFrame, job: str = "job_id", task: str = "task", order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
+    """What becomes of tasks, and how their jobs end: the job, task (null for the job's own end), ts, outcome and message.
+
+    Actions ``take`` and ``done`` are those of a task, the others those of the job. A task
+    is in hand from when it is taken while the job runs until its result comes while the
+    job runs (``done``); a result during a pause has to be made anew (``again``); what is
+    in hand when the job ends is ``dropped``.
+    """
+    e = with_states(events.select(*dict.fromkeys([job, *order, "ts", "action", task])), job, order)
+    going = (F.col("started") == 1) & (F.col("ended") == 0)
+    runs = going & (F.col("paused") == 0)
+    of_task = e.filter(F.col(task).isNotNull() & going)
+    # The events of one task are few; a job's are not.
+    w = Window.partitionBy(job, task).orderBy(*order)
+    flag = F.when((F.col("action") == "take") & runs, 1).when((F.col("action") == "done") & runs, 0)
+    held = F.coalesce(F.last(flag, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    of_task = of_task.select(job, task, *order, "ts", "action", flag.alias("flag"), held.alias("held"), runs.alias("runs"))
+    came = of_task.filter((F.col("action") == "done") & (F.col("held") == 1)).select(job, task, "ts", F.when(F.col("runs"), "done").otherwise("again").alias("outcome"), F.lit(None).cast("string").alias("message"))
+    ends = e.filter(F.col("action").isin(*ENDS)).groupBy(job).agg(F.min_by(F.struct("ts", "action"), F.struct(*order)).alias("e")).select(job, "e.ts", "e.action")
+    said = lambda i: F.create_map(*[F.lit(x) for k, v in ENDS.items() for x in (k, v[i])])[F.col("action")]
+    ended = ends.select(job, F.lit(None).cast(events.schema[task].dataType).alias(task), "ts", said(0).alias("outcome"), said(1).alias("message"))
+    left = of_task.groupBy(job, task).agg(F.max_by("flag", F.when(F.col("flag").isNotNull(), F.struct(*order))).alias("flag")).filter("flag = 1")
+    dropped = left.join(ends, job).select(job, task, "ts", F.lit("dropped").alias("outcome"), F.lit(None).cast("string").alias("message"))
+    return came.unionByName(ended).unionByName(dropped)
+
+
 def expired(jobs: DataFrame, now: Column, hours: int = 24, ended: str = "ended_at") -> DataFrame:
     """Jobs that ended more than ``hours`` ago."""
     return jobs.filter(F.col(ended) < now - F.expr(f"interval {hours} hours"))

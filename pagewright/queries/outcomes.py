@@ -6,6 +6,8 @@ from pagewright import derive
 from pagewright.operators import assembly, filters, results
 from pagewright.queries.filtering import AREA_SQL, CLAMPED, INSIDE, areas_of
 from pagewright.registry import query
+from pagewright.storage import scratch
+from pagewright.streaming import jobs
 
 SURVIVING = f"(SELECT * FROM blocks b WHERE NOT EXISTS (SELECT 1 FROM {AREA_SQL} a WHERE {INSIDE}))"
 
@@ -177,6 +179,63 @@ def lifecycle(spark, sf_dir):
     return results.job_states(derive.control_events(spark, sf_dir))
 
 
+OUTCOMES = """WITH s AS (SELECT *, max(CASE WHEN action IN ('fail', 'stop') THEN 1 ELSE 0 END) OVER w AS ended, max(CASE WHEN action IN ('start', 'resume') THEN 1 ELSE 0 END) OVER w AS started,
+coalesce(last_value(CASE WHEN action = 'pause' THEN 1 WHEN action IN ('start', 'resume') THEN 0 END IGNORE NULLS) OVER w, 0) AS paused FROM task_events WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+t AS (SELECT take.job_id, take.task, take.ended + take.paused = 0 AND take.started = 1 AS held, res.ts, CASE WHEN res.started = 0 OR res.ended = 1 THEN NULL WHEN res.paused = 1 THEN 'again' ELSE 'done' END AS outcome FROM s take JOIN s res ON take.task = res.task AND take.action = 'take' AND res.action = 'done'),
+e AS (SELECT job_id, min(ts) AS ts, arg_min(action, (ts, event_id)) AS action FROM task_events WHERE action IN ('stop', 'fail') GROUP BY job_id),
+o AS (SELECT job_id, task, ts, outcome, NULL AS message FROM t WHERE held AND outcome IS NOT NULL
+UNION ALL SELECT job_id, NULL, ts, CASE action WHEN 'stop' THEN 'stopped' ELSE 'failed' END, CASE action WHEN 'stop' THEN '[Warning] Task stop.' ELSE '[Error] Task failed.' END FROM e
+UNION ALL SELECT t.job_id, t.task, e.ts, 'dropped', NULL FROM t JOIN e ON t.job_id = e.job_id WHERE t.held AND t.outcome IS DISTINCT FROM 'done')
+SELECT job_id, task, epoch_us(ts) AS micros, outcome, message FROM o""".replace("WITH s", ", s", 1)
+
+
+@query(OUTCOMES, "task_events")
+def task_outcomes(spark, sf_dir):
+    """What becomes of each task, and how jobs end."""
+    return results.task_outcomes(derive.task_events(spark, sf_dir)).select("job_id", "task", F.unix_micros("ts").alias("micros"), "outcome", "message")
+
+
+def streamed(spark, events, cuts, change):
+    """The rows that ``change`` makes of a stream of ``events``, which come in as many batches as ``cuts`` part, one run for the first and one for the others."""
+    came, seen, checkpoint = scratch(spark, "events"), scratch(spark, "changes"), scratch(spark, "states")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        times = [F.lit(t).cast("timestamp") for t in cuts]
+        for i in range(len(cuts) + 1):
+            part = events.filter(F.col("ts") >= times[i - 1]) if i else events
+            (part.filter(F.col("ts") < times[i]) if i < len(cuts) else part).coalesce(1).write.mode("append").parquet(came)
+            if i in (0, len(cuts)):
+                stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(came)
+                q = change(stream).writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("append").parquet(seen)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+                q.awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.parquet(seen)
+
+
+@query(OUTCOMES, "task_events")
+def tasks_in_hand(spark, sf_dir):
+    """The same from a stream that keeps the tasks in hand of each job as its state."""
+    found = streamed(spark, derive.task_events(spark, sf_dir), ["2024-01-08", "2024-01-16"], jobs.task_changes)
+    return found.select("job_id", "task", F.unix_micros("ts").alias("micros"), "outcome", "message")
+
+
+@query("""SELECT job_id, epoch_us(ts) AS micros, state FROM (
+WITH RECURSIVE ev AS (SELECT job_id, ts, action FROM control_events),
+lives AS (SELECT job_id, min(ts) AS ts FROM ev GROUP BY job_id
+UNION ALL SELECT l.job_id, (SELECT min(n.ts) FROM ev n WHERE n.job_id = l.job_id AND n.ts >= (SELECT min(f.ts) FROM ev f WHERE f.job_id = l.job_id AND f.action = 'fail' AND f.ts >= l.ts) + INTERVAL 24 HOURS) AS ts FROM lives l WHERE l.ts IS NOT NULL),
+ended AS (SELECT job_id, ts, (SELECT min(f.ts) FROM ev f WHERE f.job_id = l.job_id AND f.action = 'fail' AND f.ts >= l.ts) AS end_ts FROM lives l WHERE ts IS NOT NULL)
+SELECT job_id, ts, 'admitted' AS state FROM ended UNION ALL SELECT job_id, end_ts, 'stopped' FROM ended WHERE end_ts IS NOT NULL
+UNION ALL SELECT job_id, end_ts + INTERVAL 24 HOURS, 'expired' FROM ended e WHERE end_ts + INTERVAL 24 HOURS <= (SELECT max(ts) FROM ev) - INTERVAL 1 HOUR OR end_ts + INTERVAL 24 HOURS <= (SELECT max(ts) FROM ev n WHERE n.job_id = e.job_id))""", "control_events")
+def expiring_jobs(spark, sf_dir):
+    """Jobs that a stream admits, sees end, forgets a day later and admits anew, on event time."""
+    events = derive.control_events(spark, sf_dir).select("job_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "action")
+    found = streamed(spark, events, ["2024-01-05", "2024-01-06", "2024-01-20"], lambda s: jobs.job_changes(s, hours=24))
+    return found.filter("state in ('admitted', 'stopped', 'expired')").select("job_id", F.unix_micros("ts").alias("micros"), "state")
+
+
 @query("SELECT job_id, max(ts) AS ended_at FROM control_events GROUP BY job_id HAVING max(ts) < TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 24 HOURS", "control_events")
 def expired_jobs(spark, sf_dir):
     ended = derive.control_events(spark, sf_dir).groupBy("job_id").agg(F.max("ts").alias("ended_at"))

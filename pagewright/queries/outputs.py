@@ -118,14 +118,15 @@ def csv_back(spark, sf_dir):
     return spark.read.option("header", True).option("multiLine", True).option("encoding", encoding).option("escape", '"').option("ignoreTrailingWhiteSpace", False).option("ignoreLeadingWhiteSpace", False).csv(folder).select("Name", "OCR", "Path")
 
 
-@query("SELECT doc_id, page, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS poll FROM page_results", "page_results")
+@query("SELECT doc_id, page, poll, row_number() OVER (PARTITION BY poll ORDER BY finished_s, doc_id, page) AS place FROM (SELECT doc_id, page, finished_s, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS poll FROM page_results)", "page_results")
 def unread_polls(spark, sf_dir):
-    """Each page with the poll that first returns it: a third of the results are there at the first one, the rest at the second, none are new at the third."""
-    r = derive.page_results(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("int").alias("page"), F.col("code").cast("int").alias("code"))
+    """Each page with the poll that first returns it and its place there, in the order in which they were finished: a third of the results are there at the first poll, the rest at the second, none are new at the third."""
+    r = derive.page_results(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("int").alias("page"), F.col("finished_s").cast("long").alias("finished_s"))
     came, seen, checkpoint = scratch(spark, "came"), scratch(spark, "seen"), scratch(spark, "polls")
     r.filter("doc_id % 3 = 0").write.parquet(came)
     for poll in (1, 2, 3):
-        jobs.unread_results(spark, came, "doc_id long, page int, code int", checkpoint, lambda df, n, poll=poll: df.select("doc_id", "page", F.lit(poll).alias("poll")).write.mode("append").parquet(seen))
+        take = lambda df, n, poll=poll: df.select("doc_id", "page", F.lit(poll).alias("poll"), "place").write.mode("append").parquet(seen)
+        jobs.unread_results(spark, came, "doc_id long, page int, finished_s long", checkpoint, take, order=["finished_s", "doc_id", "page"])
         if poll == 1:
             r.filter("doc_id % 3 <> 0").write.mode("append").parquet(came)
     return spark.read.parquet(seen)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,15 +30,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _WRITTEN: list[str] = []
+_OWN = threading.local()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; ``clear`` removes what was written there."""
     path = f"{shared_folder(spark)}/pagewright-{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    getattr(_OWN, "paths", _WRITTEN).append(path)
     return path
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """What this thread writes inside goes at the end: for the batches of a stream, which would pile up."""
+    before, _OWN.paths = getattr(_OWN, "paths", _WRITTEN), []
+    try:
+        yield
+    finally:
+        _remove(spark, _OWN.paths)
+        _OWN.paths = before
+
+
 def saved(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again.
 
@@ -56,8 +71,12 @@ def written() -> int:
 
 def clear(spark: SparkSession, since: int = 0) -> None:
     """Removes what was written from place ``since`` of the list on. Results that are still to be read from it go with it."""
+    _remove(spark, _WRITTEN[since:])
+    del _WRITTEN[since:]
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
     jvm = spark.sparkContext._jvm
-    for path in _WRITTEN[since:]:
+    for path in paths:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    del _WRITTEN[since:]
