@@ -30,6 +30,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ from pagewright.llm.tokens import Encoder, parts_of, plain_texts, vocabulary
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: What a worker remembers of units takes about so many bytes: two generations, of which the older one goes.
-MEMORY_BYTES = 64 << 20
+MEMORY_BYTES = 160 << 20
 #: Longer units aren't remembered.
 LONGEST_KEPT = 64
 #: Before a line end and what follows it, where no space is.
@@ -54,40 +55,22 @@ _PLAIN = "\x02"
 #: Space marks of B, as characters.
 _MARK = "▁"
 _SPACE = re.compile(r"(?<=\S) ")
+_WHITE = re.compile(r"\s")
+#: Letters that are in one unit of A's pattern each, and marks that never are with them.
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?|"
 
 
-class Unit:
-    """An aligned piece of text: its groups in writing, counts, pairs (A id in the upper 32 bits) with their number of links."""
-
-    __slots__ = ("groups", "n_a", "n_b", "n_groups", "n_links", "pairs", "times", "lossless", "size")
-
-    def __init__(self, ids_a: list[int], ids_b: list[int], ends_a: np.ndarray, ends_b: np.ndarray, lossless: bool):
-        self.lossless = lossless
-        if not lossless:
-            self.size = 200
-            return
-        cut = np.intersect1d(ends_a, ends_b)
-        to_a, to_b = (np.searchsorted(cut, e).tolist() for e in (ends_a, ends_b))
-        n = len(cut)
-        in_a, in_b = [[] for _ in range(n)], [[] for _ in range(n)]
-        for ids, to, groups in ((ids_a, to_a, in_a), (ids_b, to_b, in_b)):
-            for i, g in zip(ids, to):
-                groups[g].append(i)
-        links: Counter[int] = Counter()
-        for a, b in zip(in_a, in_b):
-            if len(a) == len(b) == 1:
-                links[a[0] << 32 | b[0]] += 1
-                continue
-            times = Counter(b)
-            for x, k in Counter(a).items():
-                for y, m in times.items():
-                    links[x << 32 | y] += k * m
-        self.groups = ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in zip(in_a, in_b))
-        self.n_a, self.n_b, self.n_groups = len(ids_a), len(ids_b), n
-        self.n_links = sum(links.values())
-        self.pairs = np.fromiter(links, np.int64, len(links)).tobytes()
-        self.times = np.fromiter(links.values(), np.int64, len(links)).tobytes()
-        self.size = 500 + len(self.groups) + 2 * len(self.pairs)
+#: A unit's groups in writing, its numbers of A tokens, B tokens and groups, its pairs (A id in the upper 32 bits) and the links of each, both as bytes.
+Unit = tuple[str, int, int, int, bytes, bytes]
+#: Groups of more links than this are counted instead of listed.
+MANY_LINKS = 1 << 16
+
+
+def _crossed(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of one group and the links of each."""
+    times = Counter(b)
+    links = {x << 32 | y: k * m for x, k in Counter(a).items() for y, m in times.items()}
+    return np.fromiter(links, np.int64, len(links)), np.fromiter(links.values(), np.int64, len(links))
 
 
 class Aligner:
@@ -103,46 +86,100 @@ class Aligner:
             raise ValueError("a piece of B crosses a line end or a space")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_MARK, " ").encode() for i, p in enumerate(piece)]
         self.size_a, self.size_b = (np.array([len(x) for x in t]) for t in (self.bytes_a, self.bytes_b))
-        self.newer: dict[str, Unit] = {}
-        self.older: dict[str, Unit] = {}
+        # A letter and a mark are apart in A; those marks that no piece of B joins to a letter part units as well.
+        self.marks = "".join(m for m in _MARKS if not any(re.search(f"[{_LETTERS}]{re.escape(m)}", p) for p in piece))
+        # How ids are written before another one of their side, and before what ends their side.
+        self.written = [f"{i}{end}" for ends, t in ((",|", self.bytes_a), (",;", self.bytes_b)) for i in range(len(t)) for end in ends]
+        self.lengths = np.array(list(map(len, self.written)))
+        self.newer: dict[str, Unit | None] = {}
+        self.older: dict[str, Unit | None] = {}
         self.held = 0
 
-    def _ids_b(self, units: list[str]) -> list[list[int]]:
-        """B sets a space before whatever it encodes; after a line end it adds none."""
-        words = list(map(_word, units))
-        asked = ["\n" + word if bare else word for word, bare in words]
-        return [ids[2:] if bare else ids for (_, bare), ids in zip(words, self.b.encode(asked, num_threads=1))]
-
-    def _aligned(self, unit: str, ids_b: list[int]) -> Unit:
-        word, bare = _word(unit)
-        whole = word if bare else " " + word
+    def _ids_a(self, word: str, bare: bool) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self.a._letters(word, "" if bare else self.a.lead)
         # The pieces' own encoder for words; anything with white space in it goes to the library as it is.
-        ids_a = np.frombuffer(self.a._long(word, bare), "<u4").tolist() if not re.search(r"\s", word) else self.a.whole.encode(whole, add_special_tokens=False).ids
-        want = whole.encode()
-        lossless = b"".join([self.bytes_a[i] for i in ids_a]) == want == b"".join([self.bytes_b[i] for i in ids_b])
-        return Unit(ids_a, ids_b, np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b]), lossless)
+        return self.a._ids(word if bare else " " + word) if _WHITE.search(word) else self.a._long(word, bare)
+
+    def _ids_b(self, words: list[tuple[str, bool]]) -> list[list[int]]:
+        """B sets a space before whatever it encodes; after a line end it adds none."""
+        found = self.b.encode(["\n" + word if bare else word for word, bare in words], num_threads=1)
+        return [ids[2:] if bare else ids for (_, bare), ids in zip(words, found)]
 
-    def units(self, units: list[str]) -> list[Unit]:
+    def _made(self, units: list[str]) -> list[Unit | None]:
+        """Units aligned together: their tokens lie one after the other. None for one whose tokens don't give back its bytes."""
+        words = list(map(_word, units))
+        whole = [(word if bare else " " + word).encode() for word, bare in words]
+        ids = [[self._ids_a(*w) for w in words], self._ids_b(words)]
+        ids[0] = [np.frombuffer(x, "<u4").tolist() for x in ids[0]]
+        lossless = [b"".join([self.bytes_a[i] for i in a]) == want == b"".join([self.bytes_b[i] for i in b]) for a, b, want in zip(*ids, whole)]
+        at = [i for i, ok in enumerate(lossless) if ok]
+        out: list[Unit | None] = [None] * len(units)
+        if not at:
+            return out
+        count = [np.array([len(side[i]) for i in at]) for side in ids]
+        a, b = (np.fromiter(chain.from_iterable(side[i] for i in at), np.int64, int(n.sum())) for side, n in zip(ids, count))
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        cuts = ends_a[np.isin(ends_a, ends_b, assume_unique=True)]
+        in_a, in_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+        n = len(cuts)
+        size_a, size_b = np.bincount(in_a, minlength=n), np.bincount(in_b, minlength=n)
+        first_a, first_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
+        unit = np.searchsorted(np.cumsum([len(whole[i]) for i in at]), cuts)  # of each group
+
+        # Links: each A token with the B tokens of its group. Groups of very many are counted by themselves.
+        many = size_a * size_b > MANY_LINKS
+        each = np.where(many, 0, size_b)[in_a]
+        codes = [np.repeat(a, each) << 32 | b[segments_of(first_b[in_a], each)]]
+        owner, times = [np.repeat(unit[in_a], each)], [np.ones(int(each.sum()), np.int64)]
+        for g in np.flatnonzero(many):
+            code, k = _crossed(a[first_a[g] : first_a[g] + size_a[g]].tolist(), b[first_b[g] : first_b[g] + size_b[g]].tolist())
+            codes.append(code)
+            times.append(k)
+            owner.append(np.full(len(code), unit[g]))
+        code, owner = np.concatenate(codes), np.concatenate(owner)
+        different, back = np.unique(code, return_inverse=True)
+        held, links, _ = grouped(owner * len(different) + back, np.concatenate(times))
+        pairs, links = different[held % len(different)].tobytes(), links.tobytes()
+        pair_at = 8 * np.searchsorted(held // len(different), np.arange(len(at) + 1))
+
+        # In writing: the A tokens of a group, then its B tokens.
+        order = np.empty(len(a) + len(b), np.int64)
+        last_a, last_b = (np.append(np.diff(g) > 0, True) for g in (in_a, in_b))
+        order[np.arange(len(a)) + first_b[in_a]] = 2 * a + last_a
+        order[np.arange(len(b)) + (first_a + size_a)[in_b]] = 2 * (len(self.bytes_a) + b) + last_b
+        line = "".join(map(self.written.__getitem__, order.tolist()))
+        tokens = np.cumsum(count[0] + count[1])
+        text_at = np.concatenate(([0], np.cumsum(self.lengths[order])[tokens - 1])).tolist()
+        groups = np.bincount(unit, minlength=len(at)).tolist()
+        for k, (i, n_a, n_b) in enumerate(zip(at, count[0].tolist(), count[1].tolist())):
+            x, y = pair_at[k], pair_at[k + 1]
+            out[i] = (line[text_at[k] : text_at[k + 1] - 1], n_a, n_b, groups[k], pairs[x:y], links[x:y])
+        return out
+
+    def units(self, units: list[str]) -> list[Unit | None]:
         """Units, each word without the space before it."""
-        got = list(map(self.newer.get, units))
+        got = list(map(self.newer.get, units, repeat(0)))
         missing = []
         for i, found in enumerate(got):
-            if found is None and (found := self.older.get(units[i])) is not None:
+            if found == 0:
+                found = self.older.get(units[i], 0)
+                if found == 0:
+                    missing.append(i)
+                else:
+                    got[i] = found
+                    self._keep(units[i], found)
+        for first in range(0, len(missing), 16384):
+            some = missing[first : first + 16384]
+            for i, found in zip(some, self._made([units[i] for i in some])):
                 got[i] = found
-                self._keep(units[i], found)
-            elif found is None:
-                missing.append(i)
-        for first in range(0, len(missing), 4096):
-            some = missing[first : first + 4096]
-            for i, ids in zip(some, self._ids_b([units[i] for i in some])):
-                got[i] = self._aligned(units[i], ids)
                 if len(units[i]) <= LONGEST_KEPT:
-                    self._keep(units[i], got[i])
+                    self._keep(units[i], found)
         return got
 
-    def _keep(self, unit: str, found: Unit) -> None:
+    def _keep(self, unit: str, found: Unit | None) -> None:
         self.newer[unit] = found
-        self.held += found.size
+        self.held += 400 + (len(found[0]) + 2 * len(found[4]) if found else 0)
         if self.held > MEMORY_BYTES // 2:
             self.older, self.newer, self.held = self.newer, {}, 0
 
@@ -167,11 +204,14 @@ def _word(unit: str) -> tuple[str, bool]:
     return (unit[1:], unit[0] == _BARE) if unit.startswith((_BARE, _PLAIN)) else (unit, False)
 
 
-def _parted(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+def _parted(texts: pa.Array, marks: str) -> tuple[pa.Array, np.ndarray]:
     """The units of all texts, one after the other, and where each text's begin (one more than texts)."""
     simple = plain_texts(texts)
-    # Line ends are units by themselves, and the word after one is bare.
-    lists = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(simple)), "\n", f" {_BARE}\n {_BARE}"), " ")
+    # Line ends are units by themselves, and the word after one is bare, as is a mark after a letter.
+    easy = pc.replace_substring(texts.filter(pa.array(simple)), "\n", f" {_BARE}\n {_BARE}")
+    if marks:
+        easy = pc.replace_substring_regex(easy, f"([{_LETTERS}])([{re.escape(marks)}])", rf"\1 {_BARE}\2")
+    lists = pc.split_pattern(easy, " ")
     size = np.zeros(len(texts), np.int64)
     size[simple] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
     odd = {i: _odd_units(texts[i].as_py()) for i in np.flatnonzero(~simple).tolist()}
@@ -204,35 +244,33 @@ BLOCK = f"block long, keys array<binary>, {', '.join(f'{c} array<long>' for c in
 
 def _block(texts: pa.Array, copies: np.ndarray, tool: Aligner, whole: bool) -> dict:
     """A row of some distinct texts. ``whole``: the groups as they are written, not their SHA-256."""
-    units, bounds = _parted(texts)
+    units, bounds = _parted(texts, tool.marks)
     coded = pc.dictionary_encode(units)
     different, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     found = tool.units(different)
-    lossless = np.array([u.lossless for u in found], bool)
-    bad = np.flatnonzero(np.add.reduceat(~lossless[at], bounds[:-1]) > 0) if len(at) else []
-    if len(bad):  # parts may make up for each other, so a text is judged as a whole
+    lossy = np.array([u is None for u in found], bool)
+    if lossy.any():  # parts may make up for each other, so such a text is judged as a whole
         size, given = np.diff(bounds), [at[i:j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-        for i in bad:
-            text = _marked(texts[int(i)].as_py())
-            one = tool._aligned(text, tool._ids_b([text])[0])
-            given[i] = np.array([len(found)] if one.lossless else [], np.int64)
+        for i in np.flatnonzero([lossy[x].any() for x in given]):
+            one = tool._made([_marked(texts[int(i)].as_py())])[0]
+            given[i] = np.array([len(found)] if one else [], np.int64)
             size[i] = len(given[i])
-            found += [one] if one.lossless else []
+            found += [one] if one else []
         at, bounds = np.concatenate(given), np.concatenate(([0], np.cumsum(size)))
     used, _, at = grouped(at)
-    found = [found[i] for i in used]
-    written = [u.groups for u in found]
+    written, n_a, n_b, n_groups, pairs, times = map(list, zip(*[found[i] for i in used])) if len(used) else ([],) * 6
     text_of = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    summed = {c: np.bincount(text_of, np.array([getattr(u, c) for u in found], np.int64)[at] if len(at) else None, len(texts)).astype(np.int64) for c in MEASURES}
+    n_pairs = np.array([len(p) // 8 for p in pairs], np.int64)
+    pairs, times = (np.frombuffer(b"".join(x), np.int64) for x in (pairs, times))
+    counts = dict(zip(MEASURES, (n_a, n_b, n_groups, np.bincount(np.repeat(np.arange(len(n_pairs)), n_pairs), times, len(n_pairs)))))
+    summed = {c: np.bincount(text_of, np.asarray(v, np.int64)[at] if len(at) else None, len(texts)).astype(np.int64) for c, v in counts.items()}
     indices = at.tolist()
     lines = [";".join([written[i] for i in indices[a:b]]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
     if not whole:
         lines = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in lines]
-    pairs, times = (np.frombuffer(b"".join(getattr(u, c) for u in found), np.int64) for c in ("pairs", "times"))
-    n_pairs = np.array([len(u.pairs) // 8 for u in found], np.int64)
     pair, _, pair_at = grouped(pairs)
     # Each text's different units, then its different pairs.
-    n = max(len(found), 1)
+    n = max(len(used), 1)
     of_text, often, _ = grouped(text_of * n + at)
     doc, unit = of_text // n, of_text % n
     start = np.cumsum(n_pairs) - n_pairs
