@@ -6,6 +6,7 @@ from pagewright import derive
 from pagewright.queries.texts import PAGE_TEXT, pages_of, sep_sql
 from pagewright.registry import query
 from pagewright.sources import sinks, tables
+from pagewright.sources.files import list_files
 from pagewright.storage import scratch
 from pagewright.streaming import jobs
 
@@ -87,15 +88,43 @@ def individual_texts(spark, sf_dir):
     return sinks.lines_single(r, ignore_blank=False)
 
 
-@query(f"SELECT doc_id, page, sha256(CASE WHEN ends_with(value, chr(10)) THEN value ELSE value || chr(10) END) AS text_sha256 FROM {SINGLE}", "page_results")
+@query(f"SELECT doc_id, page, strlen(value) AS n_bytes, sha256(value) AS text_sha256 FROM {SINGLE}", "page_results")
 def individual_files(spark, sf_dir):
-    """Individual text files written and read back: the hash of each file's text, which ends in a line end."""
+    """Individual text files written and read back as bytes: one file a page, empty for a blank one."""
     folder = scratch(spark, "individual")
-    r = rendered(spark, sf_dir).withColumn("out_name", F.concat(F.col("doc_id").cast("string"), F.lit("_"), F.col("page").cast("string")))
+    r = rendered(spark, sf_dir).withColumn("out_name", F.format_string("%d_p%d.txt", F.col("doc_id").cast("long"), F.col("page").cast("int")))
     sinks.write_single(r, folder, ignore_blank=False)
-    back = spark.read.text(folder, wholetext=True)
-    ids = F.split("out_name", "_")
-    return back.select(ids[0].cast("long").alias("doc_id"), ids[1].cast("int").alias("page"), F.sha2("value", 256).alias("text_sha256"))
+    # Spark's own reader passes over empty files; the listing has them.
+    there = list_files(spark, folder).select(*file_ids("txt"), F.col("length").alias("n_bytes"))
+    back = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(*file_ids("txt"), "content")
+    return there.join(back, ["doc_id", "page"], "left").select("doc_id", "page", "n_bytes", F.sha2(F.coalesce("content", F.lit(b"")), 256).alias("text_sha256"))
+
+
+def file_ids(suffix: str):
+    ids = [F.regexp_extract("path", rf"(\d+)[/_]p(\d+)\.{suffix}$", i) for i in (1, 2)]
+    return ids[0].cast("long").alias("doc_id"), ids[1].cast("int").alias("page")
+
+
+@query("SELECT doc_id, page FROM page_results WHERE code = 100 AND page % 2 = 0", "page_results")
+def found_files(spark, sf_dir):
+    """The files of one family that a listing by folder finds: texts of pages, those of even ones named as images."""
+    folder = scratch(spark, "files")
+    r = rendered(spark, sf_dir).withColumn("out_name", F.format_string("%d/%d_p%d.%s", F.col("doc_id").cast("long") % 20, F.col("doc_id").cast("long"), F.col("page").cast("int"), F.when(F.col("page") % 2 == 0, "PNG").otherwise("txt")))
+    sinks.write_single(r, folder)
+    return tables.find_files(spark, folder).select(*file_ids("PNG"))
+
+
+@query("SELECT b::BIGINT AS batch, least((b + 1) * 400, n) - b * 400 AS found, least((b + 1) * 400, n) AS so_far FROM (SELECT count(*) AS n FROM page_results WHERE code = 100), range(0, 1 + (n - 1) // 400) t(b)", "page_results")
+def discovery(spark, sf_dir):
+    """How many files a stream has found after each of its batches of 400."""
+    folder, seen = scratch(spark, "files"), scratch(spark, "found")
+    r = rendered(spark, sf_dir).withColumn("out_name", F.format_string("%d_p%d.png", F.col("doc_id").cast("long"), F.col("page").cast("int")))
+    sinks.write_single(r, folder)
+    counts: list[tuple[int, int]] = []  # one for each batch
+    found = tables.watch_files(spark, folder, each=400)
+    tables.discover(found, lambda df, n: df.write.mode("append").parquet(seen), scratch(spark, "discovery"), lambda n, k, last: counts.append((n, k))).awaitTermination()
+    rows = [(n, k - before, k) for (n, k), before in zip(counts, [0, *(k for _, k in counts)])]
+    return spark.createDataFrame(rows, "batch long, found long, so_far long")
 
 
 @query("SELECT doc_id, page, code, CASE WHEN code = 100 THEN n_blocks END AS n_blocks, CASE WHEN code = 902 THEN message END AS message FROM page_results", "page_results")
@@ -110,12 +139,37 @@ def results_back(spark, sf_dir):
     return tables.read_results(spark, folder).select(F.col("path").cast("long").alias("doc_id"), "page", "code", F.size("blocks").cast("long").alias("n_blocks"), "message").withColumn("n_blocks", F.when(F.col("code") == 100, F.col("n_blocks")))
 
 
-@query(f"SELECT name AS \"Name\", nullif(CASE code WHEN 100 THEN text WHEN 101 THEN '' ELSE '[Error] OCR failed. Code: ' || code || ', Msg: ' || coalesce(message, '') || ' .' || chr(10) END, '') AS \"OCR\", path AS \"Path\" FROM {RESULTS}", "page_results")
+#: What each kind of document adds to its texts: nothing, then characters of one code page after the other.
+ADDED = ("", "汉字", "╴♁", "ｱｲ", "가나", "😀", "Ωж")
+#: Characters of the test tables' four languages and the added ones, with the encodings that have them.
+CHAR_MASKS = ", ".join(f"('{c}', {sinks.mask_of(c)})" for c in [*map(chr, range(0xA0, 0x180)), *sorted(set("".join(ADDED)))])
+CODED = f"(SELECT doc_id % 7 AS kind, doc_id, page, name, path, CASE code WHEN 100 THEN CASE WHEN doc_id % 14 < 7 THEN regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') ELSE text END || CASE doc_id % 7 {' '.join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(ADDED))} END WHEN 101 THEN '' ELSE '[Error] OCR failed. Code: ' || code || ', Msg: ' || coalesce(message, '') || ' .' || chr(10) END AS ocr FROM {RESULTS})"
+
+
+def coded(spark, sf_dir):
+    """Results of 14 jobs, half of them with texts in ASCII but for what their kind adds."""
+    kind = F.col("doc_id") % 7
+    added = F.element_at(F.lit(list(ADDED)), (kind + 1).cast("int"))
+    text = F.when(F.col("doc_id") % 14 < 7, F.regexp_replace("text", r"[^\x00-\x7F]", "")).otherwise(F.col("text"))
+    return rendered(spark, sf_dir).withColumns({"text": F.concat(text, added), "job_id": F.col("doc_id") % 14, "seq": F.col("doc_id") * 100_000 + F.col("page")})
+
+
+@query(f"SELECT job_id, coalesce(mask, {sinks.ALL})::INTEGER AS mask FROM (SELECT DISTINCT doc_id % 14 AS job_id FROM {CODED}) LEFT JOIN (SELECT doc_id % 14 AS job_id, bit_and(m) AS mask FROM (SELECT DISTINCT doc_id, unnest(string_split(name || ocr || path, '')) AS c FROM {CODED}) JOIN (VALUES {CHAR_MASKS}) v(ch, m) ON ch = c GROUP BY 1) USING (job_id)", "page_results")
+def code_page_masks(spark, sf_dir):
+    """The encodings that hold all texts of each job, as a mask."""
+    rows = sinks.rows_csv(coded(spark, sf_dir)).select("job_id", *sinks.HEADER)
+    return sinks.encoding_masks(rows, F.concat(*[F.coalesce(c, F.lit("")) for c in sinks.HEADER])).select("job_id", "mask")
+
+
+@query(f"SELECT doc_id % 14 AS job_id, name AS \"Name\", ocr AS \"OCR\", path AS \"Path\" FROM {CODED}", "page_results")
 def csv_back(spark, sf_dir):
-    """Results written as CSV and read back: an empty text comes back as none."""
+    """Tables written in the code page of each job, and read back by it."""
     folder = scratch(spark, "csv")
-    encoding = sinks.write_csv(rendered(spark, sf_dir), folder)
-    return spark.read.option("header", True).option("multiLine", True).option("encoding", encoding).option("escape", '"').option("ignoreTrailingWhiteSpace", False).option("ignoreLeadingWhiteSpace", False).csv(folder).select("Name", "OCR", "Path")
+    r = coded(spark, sf_dir)
+    sinks.write_csv(r, folder)
+    rows = sinks.rows_csv(r).select("job_id", *sinks.HEADER)
+    masks = sinks.encoding_masks(rows, F.concat(*[F.coalesce(c, F.lit("")) for c in sinks.HEADER]))
+    return tables.read_tables(spark, folder, masks.select("job_id", sinks.encoding_name(F.col("mask")).alias("encoding")))
 
 
 @query("SELECT doc_id, page, poll, row_number() OVER (PARTITION BY poll ORDER BY finished_s, doc_id, page) AS place FROM (SELECT doc_id, page, finished_s, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS poll FROM page_results)", "page_results")
@@ -140,7 +194,7 @@ def sinks_of_a_stream(spark, sf_dir):
     r.write.parquet(came)
     sinks.fan_out(spark.readStream.schema(r.schema).parquet(came), out, ["jsonl", "csv"], scratch(spark, "fan")).awaitTermination()
     json = spark.read.schema("name string").json(f"{out}/batch=*/jsonl/*").select(F.lit("jsonl").alias("format"), "name")
-    csv = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{out}/batch=*/csv").select(F.lit("csv").alias("format"), F.col("Name").alias("name"))
+    csv = spark.read.schema("Name string, OCR string, Path string").option("multiLine", True).option("escape", '"').csv(f"{out}/batch=*/csv/*").filter("Name <> 'Name'").select(F.lit("csv").alias("format"), F.col("Name").alias("name"))
     ids = F.split("name", "_")
     return json.unionByName(csv).select("format", ids[0].cast("long").alias("doc_id"), ids[1].cast("int").alias("page"))
 

@@ -12,9 +12,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from pagewright.functions.text import quoted_lines
+from pagewright.sources.files import write_files
 
 
 # How each format words a failure, before and after code and message.
@@ -63,12 +65,38 @@ def rows_csv(results: DataFrame) -> DataFrame:
     return results.select("*", F.col("name").alias("Name"), text.alias("OCR"), F.col("path").alias("Path")) if "name" not in results.columns else results.select(*[c for c in results.columns if c not in ("name", "path")], F.col("name").alias("Name"), text.alias("OCR"), F.col("path").alias("Path"))
 
 
-def csv_encoding(rows: DataFrame, columns: Sequence[str] = ("Name", "OCR", "Path")) -> Column:
-    """The narrowest encoding for all rows, as an aggregate: US-ASCII or UTF-8."""
-    narrow = F.lit(True)
-    for c in columns:
-        narrow = narrow & F.coalesce(F.col(c), F.lit("")).rlike(r"^[\x00-\x7F]*$")
-    return F.when(F.bool_and(narrow), "US-ASCII").otherwise("UTF-8")
+#: Fixed value: the encodings a table may be saved in, the first one that holds all its text. (What a system calls its own code page is unknown to a cluster.)
+ENCODINGS = ("ascii", "gbk", "big5", "shift_jis", "euc-kr", "utf-8")
+#: A mask with a bit for each encoding.
+ALL = (1 << len(ENCODINGS)) - 1
+
+
+def mask_of(char: str) -> int:
+    """The encodings that have the character, bit by bit."""
+    mask = 0
+    for i, name in enumerate(ENCODINGS):
+        try:
+            char.encode(name)
+            mask |= 1 << i
+        except UnicodeEncodeError:
+            pass
+    return mask
+
+
+def encoding_masks(rows: DataFrame, text: Column, job: str = "job_id") -> DataFrame:
+    """job and mask: the encodings that hold all characters of its texts. Only the different characters beyond ASCII of each job, few as they are, are tried."""
+    chars = rows.select(job, F.explode(F.array_distinct(F.split(F.regexp_replace(text, r"[\x00-\x7F]", ""), ""))).alias("char")).filter("char <> ''").distinct()
+    masks_of = F.pandas_udf(lambda c: c.map({x: mask_of(x) for x in c.unique()}).astype("int32"), T.IntegerType())
+    masks = chars.withColumn("mask", masks_of("char")).groupBy(job).agg(F.bit_and("mask").alias("mask"))
+    return rows.select(job).distinct().join(masks, job, "left").select(job, F.coalesce("mask", F.lit(ALL)).alias("mask"))
+
+
+def encoding_name(mask: Column) -> Column:
+    """The first encoding of a mask."""
+    name = F.lit(ENCODINGS[-1])
+    for i, e in reversed(list(enumerate(ENCODINGS[:-1]))):
+        name = F.when(mask.bitwiseAND(1 << i) != 0, e).otherwise(name)
+    return name
 
 
 def lines_json(results: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -83,11 +111,11 @@ def write_lines(lines: DataFrame, path: str, job: str = "job_id", order: str = "
     dealt.select(job, F.regexp_replace("line", r"\n\z", "").alias("value")).write.partitionBy(job).text(path)
 
 
-def lines_single(results: DataFrame, ignore_blank: bool = True) -> DataFrame:
+def lines_single(results: DataFrame, ignore_blank: bool = True, *more: str) -> DataFrame:
     """out_name and text of each page's own file: its text, nothing for a blank page, or the failure. Blank pages and failures go if ``ignore_blank``."""
     kept = results.filter("code = 100") if ignore_blank else results
     body = F.when(F.col("code") == 100, F.col("text")).when(F.col("code") == 101, "").otherwise(error_line("txt", F.col("code"), F.col("message")))
-    return kept.select("out_name", body.alias("value"))
+    return kept.select("out_name", body.alias("value"), *more)
 
 
 def single_name(path: str, name: str, beside_source: bool) -> Column:
@@ -95,17 +123,38 @@ def single_name(path: str, name: str, beside_source: bool) -> Column:
     return F.concat(F.regexp_replace(path if beside_source else name, r"(?<=[^/\\])\.[^./\\]*$", ""), F.lit(".txt"))
 
 
-def write_single(results: DataFrame, path: str, ignore_blank: bool = True) -> None:
-    """One folder with one file a page, named ``out_name``. Of pages with one name the files stand beside each other. A text without a line end gets one."""
-    lines_single(results, ignore_blank).withColumn("value", F.regexp_replace("value", r"\n\z", "")).repartition("out_name").write.partitionBy("out_name").text(path)
+def write_single(results: DataFrame, path: str, ignore_blank: bool = True, order: str = "seq") -> None:
+    """One file a page at ``out_name`` under ``path``, byte for byte its text, empty for a blank page. Of pages with one name the last one stays."""
+    texts = lines_single(results.select("*", F.col(order).alias("__at")), ignore_blank, "__at")
+    last = texts.groupBy("out_name").agg(F.max_by("value", "__at").alias("text"))
+    write_files(last.select(F.col("out_name").alias("file"), "text", F.lit("utf-8").alias("encoding")), path)
+
+
+#: Fixed value: the header of a table.
+HEADER = ("Name", "OCR", "Path")
+
+
+def _field(c: Column) -> Column:
+    """A value as CSV has it: in quotes where it has to be."""
+    return F.when(c.isNull(), "").when(c.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+
+
+def lines_csv(results: DataFrame, job: str = "job_id", order: str = "seq") -> DataFrame:
+    """job, seq, line and encoding: each job's table with its header at seq -1, in the first encoding that holds all of it."""
+    rows = rows_csv(results).select(job, F.col(order).alias("seq"), *HEADER)
+    everything = F.concat(*[F.coalesce(c, F.lit("")) for c in HEADER])
+    encodings = encoding_masks(rows, everything, job).select(job, encoding_name(F.col("mask")).alias("encoding"))
+    line = lambda cs: F.concat(*[x for i, c in enumerate(cs) for x in ([F.lit(",")] * (i > 0) + [_field(c)])], F.lit("\r\n"))
+    head = encodings.select(job, F.lit(-1).cast(rows.schema["seq"].dataType).alias("seq"), line([F.lit(c) for c in HEADER]).alias("line"), "encoding")
+    body = rows.select(job, "seq", line([F.col(c) for c in HEADER]).alias("line")).join(encodings, job)
+    return head.unionByName(body)
 
 
-def write_csv(results: DataFrame, path: str) -> str:
-    """CSV with a header in the narrowest encoding; returns the encoding."""
-    rows = rows_csv(results).select("Name", "OCR", "Path")
-    encoding = rows.agg(csv_encoding(rows).alias("e")).first()["e"]
-    rows.write.option("header", True).option("encoding", encoding).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
-    return encoding
+def write_csv(results: DataFrame, path: str, job: str = "job_id", order: str = "seq") -> None:
+    """CSV tables, one folder a job, in each job's own encoding: a job's table is its files one after the other by name."""
+    dealt = lines_csv(results, job, order).repartitionByRange(job, "seq").sortWithinPartitions(job, "seq")
+    file = F.format_string("%s=%s/part-%05d.csv", F.lit(job), F.col(job).cast("string"), F.spark_partition_id())
+    write_files(dealt.select(file.alias("file"), F.col("line").alias("text"), "encoding"), path)
 
 
 def _headed(lines: DataFrame, started: str | None, quoted: bool = False) -> DataFrame:
@@ -134,12 +183,16 @@ def write_all(results: DataFrame, folder: str, formats: Sequence[str], started:
 
 
 def fan_out(results: DataFrame, folder: str, formats: Sequence[str], checkpoint: str) -> StreamingQuery:
-    """A stream of results to all formats: each batch in a folder of its number, which a repeated batch writes anew."""
+    """A stream of results to all formats: each batch in a folder of its number, which appears when all of it is written; a repeated batch takes its place."""
 
     def write(batch: DataFrame, number: int) -> None:
-        where = f"{folder}/batch={number}"
-        path = batch.sparkSession._jvm.org.apache.hadoop.fs.Path(where)
-        path.getFileSystem(batch.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-        write_all(batch, where, formats)
+        where, beside = f"{folder}/batch={number}", f"{folder}/_batch={number}"
+        jvm = batch.sparkSession._jvm
+        done, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (where, beside))
+        fs = done.getFileSystem(batch.sparkSession._jsparkSession.sessionState().newHadoopConf())
+        fs.delete(new, True)  # what a failed try left
+        write_all(batch, beside, formats)
+        fs.delete(done, True)
+        fs.rename(new, done)
 
     return results.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

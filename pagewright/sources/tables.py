@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from pagewright.functions.text import separator
 from pagewright.operators.assembly import joined
 from pagewright.operators.filters import DOCUMENT_SUFFIXES, IMAGE_SUFFIXES
+from pagewright.sources.files import list_files
+from pagewright.sources.sinks import HEADER
 
 #: One block of a recognised page, as results carry it.
 BLOCK = T.StructType([T.StructField("box", T.ArrayType(T.ArrayType(T.DoubleType()))), T.StructField("text", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("end", T.StringType())])
@@ -20,20 +25,41 @@ LOG = "time STRING, level STRING, message STRING, filename STRING, lineno INT, m
 SEVERITY = ("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL")
 
 
-def find_files(spark: SparkSession, paths: str | Sequence[str], family: str = "image", recursive: bool = True) -> DataFrame:
-    """path, length, modified of the files with a suffix of the family, in any case. The files' content isn't read."""
+def _of_family(found: DataFrame, family: str) -> DataFrame:
+    """Files with a suffix of the family, in any case."""
     suffixes = IMAGE_SUFFIXES if family == "image" else DOCUMENT_SUFFIXES
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(paths)
-    path = F.translate("path", "\\", "/")
-    return found.select(path.alias("path"), "length", F.col("modificationTime").alias("modified")).filter(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*suffixes))
+    return found.filter(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*suffixes))
+
+
+def find_files(spark: SparkSession, paths: str | Sequence[str], family: str = "image", recursive: bool = True) -> DataFrame:
+    """path, length, modified of the files with a suffix of the family. Tasks list the folders below the given ones; no content is read."""
+    found = list_files(spark, paths, recursive)
+    return _of_family(found.withColumn("path", F.translate("path", "\\", "/")), family)
 
 
 def watch_files(spark: SparkSession, folder: str, family: str = "image", each: int = 1000) -> DataFrame:
-    """``find_files`` as a stream: at most ``each`` new files a batch; progress is the query's progress."""
-    suffixes = IMAGE_SUFFIXES if family == "image" else DOCUMENT_SUFFIXES
+    """``find_files`` as a stream: at most ``each`` new files a batch. Empty files aren't seen."""
     schema = "path STRING, modificationTime TIMESTAMP, length LONG, content BINARY"
     found = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", each).option("recursiveFileLookup", True).load(folder)
-    return found.select(F.translate("path", "\\", "/").alias("path"), "length", F.col("modificationTime").alias("modified")).filter(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*suffixes))
+    return _of_family(found.select(F.translate("path", "\\", "/").alias("path"), "length", F.col("modificationTime").alias("modified")), family)
+
+
+def discover(found: DataFrame, take: Callable[[DataFrame, int], None], checkpoint: str, progressed: Callable[[int, int, str | None], None] | None = None) -> StreamingQuery:
+    """Runs a stream of found files to its end. ``take`` gets each batch and its number; ``progressed`` then gets the batch's number, how many files have been found so far, and the last path of the batch.
+
+    A batch is counted while it is taken, by an observation of its rows, not by reading it again.
+    """
+    so_far = 0
+
+    def handle(batch: DataFrame, number: int) -> None:
+        nonlocal so_far
+        seen = Observation()
+        take(batch.observe(seen, F.count(F.lit(1)).alias("n"), F.max("path").alias("last")), number)
+        so_far += seen.get["n"]
+        if progressed:
+            progressed(number, so_far, seen.get["last"])
+
+    return found.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
@@ -42,6 +68,21 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return r.select("*", F.when(F.col("code") == 100, F.from_json("data", T.ArrayType(BLOCK))).alias("blocks"), F.when(F.col("code") != 100, F.col("data")).alias("message")).drop("data")
 
 
+def read_tables(spark: SparkSession, path: str, encodings: DataFrame, job: str = "job_id") -> DataFrame:
+    """The rows of CSV tables as ``sinks.write_csv`` leaves them, each job's files by the encoding that ``encodings`` has for it; headers are left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    coded = files.select(F.regexp_extract("path", rf"/{job}=([^/]*)/", 1).alias("job"), "content").join(encodings.select(F.col(job).cast("string").alias("job"), "encoding"), "job")
+
+    def parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, content, encoding in zip(frame["job"], frame["content"], frame["encoding"]):
+                rows = [[name, *r] for r in csv.reader(io.StringIO(content.decode(encoding), newline="")) if r != list(HEADER)]
+                yield pd.DataFrame(rows, columns=["job", *HEADER])
+
+    out = coded.mapInPandas(parsed, "job string, " + ", ".join(f"{c} string" for c in HEADER))
+    return out.select(F.col("job").cast(encodings.schema[job].dataType).alias(job), *HEADER)
+
+
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG).json(path)
 

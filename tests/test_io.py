@@ -1,5 +1,7 @@
 """Sources, sinks and the recogniser contract by round trips."""
 
+import csv
+import io
 import json
 
 import pandas as pd
@@ -7,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.sources import sinks, tables
+from pagewright.sources.files import write_files
 
 
 @pytest.fixture
@@ -54,13 +57,14 @@ def test_text_sinks(spark, results, tmp_path):
     assert lines(spark, tmp_path / "txtPlain", "j1") == ["one\ntwo\n"]
     txt = lines(spark, tmp_path / "txt", "j1")[0]
     assert txt.startswith("2024-01-01 00:00:00\n\n≦") and lines(spark, tmp_path / "md", "j1")[0].startswith("> 2024-01-01 00:00:00\n\n\n---")
-    assert (tmp_path / "txtIndividual" / "out_name=a_1").exists() and not (tmp_path / "txtIndividual" / "out_name=a_2").exists()
+    assert (tmp_path / "txtIndividual" / "a_1").read_bytes() == b"one\ntwo" and not (tmp_path / "txtIndividual" / "a_2").exists()
     assert txt.index("≦ a b.pdf - 1 ≧\none\ntwo\n") < txt.index("≦ a b.pdf - 2 ≧\n") < txt.index("Code: 902, Msg: broke\n")
     md = lines(spark, tmp_path / "md", "j1")[0]
     assert "---\n![a b.pdf - 1](a%20b.pdf)\n[a b.pdf - 1](a%20b.pdf)\n\n> one  \n> two  \n" in md
     back = spark.read.json(f"{tmp_path}/jsonl")
     assert back.count() == 4 and back.filter("code = 101").count() == 1
-    assert {r.OCR for r in spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{tmp_path}/csv").collect()} == {"one\ntwo", None, "[Error] OCR failed. Code: 902, Msg: broke .\n", 'ü, "x"'}
+    table = lambda job: "".join(p.read_bytes().decode() for p in sorted((tmp_path / "csv" / f"job_id={job}").glob("part-*")))
+    assert table("j1") == 'Name,OCR,Path\r\na b.pdf - 1,"one\ntwo",a b.pdf\r\na b.pdf - 2,,a b.pdf\r\na b.pdf - 3,"[Error] OCR failed. Code: 902, Msg: broke .\n",a b.pdf\r\n'
 
 
 def test_header(results):
@@ -68,21 +72,51 @@ def test_header(results):
     assert [r.line for r in lines_.filter("seq = -1").collect()] == ["> 2024-01-01 00:00:00\n\n"] * 2
 
 
-def test_csv_encoding(results, tmp_path):
-    assert sinks.write_csv(results.filter("job_id = 'j1'"), str(tmp_path / "a")) == "US-ASCII"
-    assert sinks.write_csv(results, str(tmp_path / "b")) == "UTF-8"
+@pytest.mark.parametrize("text, encoding", [("plain", "ascii"), ("汉字 é", "gbk"), ("漢字 ♁", "big5"), ("かな ｱ", "shift_jis"), ("가나", "euc-kr"), ("😀", "utf-8"), ("♁ ｱ", "utf-8")])
+def test_csv_in_its_code_page(spark, tmp_path, text, encoding):
+    """Against the csv module: the first encoding that holds all text, a large table in several files, one after the other."""
+    rows = [("j", i, 100, None, f'{i}, "{text if i == 700 else "x"}"\r\n', "p" + "," * (i % 2), f"n {i}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "job_id string, seq int, code int, message string, text string, path string, name string").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_csv(df, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = io.StringIO(newline="")
+    csv.writer(want).writerows([sinks.HEADER, *((r[6], r[4], r[5]) for r in rows)])
+    parts = sorted((tmp_path / "job_id=j").glob("part-*"))
+    assert len(parts) > 1 and b"".join(p.read_bytes() for p in parts) == want.getvalue().encode(encoding)
+    assert [p.name for p in tmp_path.iterdir()] == ["job_id=j"]
 
 
 def test_single_files(spark, results, tmp_path):
     sinks.write_single(results, str(tmp_path / "a"))
-    assert {r.out_name for r in spark.read.text(str(tmp_path / "a")).collect()} == {"a_1", "c_1"}
-    sinks.write_single(results, str(tmp_path / "b"), ignore_blank=False)
-    assert (tmp_path / "b" / "out_name=a_2").exists()
-    assert [r.value for r in spark.read.text(str(tmp_path / "b")).filter("out_name = 'a_3'").collect()] == ["[Error] OCR failed. Code: 902, Msg: broke", "【异常】OCR识别失败。"]
+    assert {p.name: p.read_bytes() for p in (tmp_path / "a").iterdir()} == {"a_1": b"one\ntwo", "c_1": 'ü, "x"'.encode()}
+    sinks.write_single(results.withColumn("out_name", F.concat(F.lit("deep/er/"), "out_name")), str(tmp_path / "b"), ignore_blank=False)
+    assert (tmp_path / "b/deep/er/a_2").read_bytes() == b""
+    assert (tmp_path / "b/deep/er/a_3").read_text() == "[Error] OCR failed. Code: 902, Msg: broke\n【异常】OCR识别失败。\n"
+    sinks.write_single(results.withColumns({"out_name": F.lit("one"), "code": F.lit(100), "text": F.col("name")}), str(tmp_path / "a"))
+    assert (tmp_path / "a/one").read_text() in ("a b.pdf - 3", "c.png - 1") and (tmp_path / "a/c_1").exists()
     names = spark.createDataFrame([("/scans/x.y/a.png", "b.tar.png"), ("noext", ".hidden")], "path string, name string")
     assert [tuple(r) for r in names.select(sinks.single_name("path", "name", True), sinks.single_name("path", "name", False)).collect()] == [("/scans/x.y/a.txt", "b.tar.txt"), ("noext.txt", ".hidden.txt")]
 
 
+def test_a_failed_run_leaves_no_file(spark, tmp_path):
+    rows = spark.range(40).select(F.format_string("f%d", "id").alias("file"), F.lit("ü").alias("text"), F.when(F.col("id") == 17, "ascii").otherwise("utf-8").alias("encoding"))
+    with pytest.raises(Exception, match="ascii"):
+        write_files(rows.repartition(4), str(tmp_path / "x"))
+    assert not (tmp_path / "x").exists() or not list((tmp_path / "x").iterdir())
+
+
+def test_discovery_counts_as_it_goes(spark, tmp_path):
+    for i in range(7):
+        (tmp_path / "in" / str(i % 2)).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / str(i % 2) / f"{i}.png").write_bytes(b"x")
+    seen, told = [], []
+    tables.discover(tables.watch_files(spark, str(tmp_path / "in"), each=3), lambda df, n: seen.extend(df.collect()), str(tmp_path / "c"), lambda *x: told.append(x)).awaitTermination()
+    assert len(seen) == 7 and [(n, k) for n, k, _ in told] == [(0, 3), (1, 6), (2, 7)] and told[-1][2].endswith(".png")
+
+
 def test_a_large_job_is_written_in_several_tasks(spark, tmp_path):
     from pathlib import Path
 
