@@ -45,7 +45,7 @@ from pagewright.llm.tokens import Encoder, parts_of, plain_texts, vocabulary
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: What a worker remembers of units takes about so many bytes: two generations, of which the older one goes.
-MEMORY_BYTES = 160 << 20
+MEMORY_BYTES = 80 << 20
 #: Longer units aren't remembered.
 LONGEST_KEPT = 64
 #: Before a line end and what follows it, where no space is.
@@ -169,8 +169,8 @@ class Aligner:
                 else:
                     got[i] = found
                     self._keep(units[i], found)
-        for first in range(0, len(missing), 16384):
-            some = missing[first : first + 16384]
+        for first in range(0, len(missing), 8192):
+            some = missing[first : first + 8192]
             for i, found in zip(some, self._made([units[i] for i in some])):
                 got[i] = found
                 if len(units[i]) <= LONGEST_KEPT:
