@@ -1,8 +1,9 @@
 """Filters and joins: page ranges, admission, ignored areas, look-ups, keyed tables.
 
-Every operator is DataFrame in, DataFrame out, without an action. Small sides
-(areas, points, dictionaries) carry no broadcast hint: Spark broadcasts them if
-their size allows, and joins on the equality key if not.
+Every operator is DataFrame in, DataFrame out, without an action but for the areas,
+which are written once for their levels. Small sides (areas, points, dictionaries) carry
+no broadcast hint: Spark broadcasts them if their size allows, and joins on the equality
+key if not.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.operators.cells import CELL, cells_of, place_in, with_cells
+from pagewright.storage import saved
+
 # File suffixes by family.
 IMAGE_SUFFIXES = (".jpg", ".jpe", ".jpeg", ".jfif", ".png", ".webp", ".bmp", ".tif", ".tiff")
 DOCUMENT_SUFFIXES = (".pdf", ".xps", ".epub", ".mobi", ".fb2", ".cbz")
@@ -73,20 +77,25 @@ def without_degenerate(images: DataFrame, width: str = "width", height: str = "h
 
 
 def ignore_areas(blocks: DataFrame, areas: DataFrame, key: str = "job_id", paged: bool = False) -> DataFrame:
-    """Blocks that lie in no area of their job; borders count as inside.
+    """Blocks that lie in no area of their job; borders count as inside. A block's corners are in order.
 
-    An anti-join on the key with the box test as its residual condition. ``paged``:
-    an area holds for pages page_from to page_to, negative ends counted from the
-    document's ``page_count``.
+    The areas are few, and filed under the cells they touch (see ``cells``); a block meets
+    those in the cell of its first corner, level by level. ``paged``: an area holds for
+    pages page_from to page_to, negative ends counted from the document's ``page_count``.
     """
-    b, a = blocks.alias("b"), areas.alias("a")
-    inside = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.x0") <= F.col("b.x0")) & (F.col("a.y0") <= F.col("b.y0")) & (F.col("a.x1") >= F.col("b.x1")) & (F.col("a.y1") >= F.col("b.y1"))
-    if paged:
-        n = F.col("b.page_count")
-        first = F.when(F.col("a.page_from") < 0, F.col("a.page_from") + n + 1).otherwise(F.coalesce("a.page_from", F.lit(1)))
-        last = F.when(F.col("a.page_to") < 0, F.col("a.page_to") + n + 1).otherwise(F.coalesce("a.page_to", n))
-        inside &= F.col("b.page").between(first, last)
-    return b.join(a, inside, "left_anti")
+    areas = saved(with_cells(areas), "areas")
+    for (level,) in sorted(tuple(r) for r in areas.select("__level").distinct().collect()):  # at most LAST + 1
+        a, b = areas.filter(F.col("__level") == level).alias("a"), blocks.alias("b")
+        cx, cy = place_in("b.x0", "b.y0", level)
+        inside = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.__cx") == cx) & (F.col("a.__cy") == cy)
+        inside &= (F.col("a.x0") <= F.col("b.x0")) & (F.col("a.y0") <= F.col("b.y0")) & (F.col("a.x1") >= F.col("b.x1")) & (F.col("a.y1") >= F.col("b.y1"))
+        if paged:
+            n = F.col("b.page_count")
+            first = F.when(F.col("a.page_from") < 0, F.col("a.page_from") + n + 1).otherwise(F.coalesce("a.page_from", F.lit(1)))
+            last = F.when(F.col("a.page_to") < 0, F.col("a.page_to") + n + 1).otherwise(F.coalesce("a.page_to", n))
+            inside &= F.col("b.page").between(first, last)
+        blocks = b.join(a, inside, "left_anti")
+    return blocks
 
 
 def check_areas(areas: DataFrame, points: str = "points") -> DataFrame:
@@ -110,11 +119,14 @@ def drop_blank(results: DataFrame, on: bool = True) -> DataFrame:
 
 
 def point_lookup(points: DataFrame, blocks: DataFrame, keys: Sequence[str], order: str = "block_no") -> DataFrame:
-    """For each point the first block that holds it, borders inclusive; -1 if none does. Points that are given twice come twice."""
-    b = blocks.select(*keys, F.col(order).alias("__o"), "x0", "y0", "x1", "y1")
+    """For each point the first block that holds it, borders inclusive; -1 if none does. Points that are given twice come twice.
+
+    Points meet the blocks of their own cells only (see ``cells``).
+    """
+    b = with_cells(blocks.select(*keys, F.col(order).alias("__o"), "x0", "y0", "x1", "y1"))
     inside = F.col("px").between(F.col("x0"), F.col("x1")) & F.col("py").between(F.col("y0"), F.col("y1"))
-    spots = points.select(*keys, "px", "py").distinct()
-    first = spots.join(b, list(keys)).filter(inside).groupBy(*keys, "px", "py").agg(F.min("__o").alias("found"))
+    spots = cells_of(points.select(*keys, "px", "py").distinct(), "px", "py")
+    first = spots.join(b, [*keys, *CELL]).filter(inside).groupBy(*keys, "px", "py").agg(F.min("__o").alias("found"))
     return points.join(first, [*keys, "px", "py"], "left").select(*[points[c] for c in points.columns], F.coalesce("found", F.lit(-1)).alias("found"))
 
 
