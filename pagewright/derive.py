@@ -46,6 +46,26 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumns({"x1": F.col("x0") + 9 * F.length("text"), "y1": F.col("y0") + 20, "origin": F.when((F.col("doc_id") + F.col("page")) % 3 == 0, "text").otherwise("ocr"), "sep": F.when(F.col("block_no") % 5 == 0, "").when(F.col("block_no") % 7 == 0, " ")})
 
 
+def varied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of many kinds: a heading and a footer across the page, one to three columns, two columns above three, or labels beside their texts; lines of several heights and spacings."""
+    c = chunks(spark, sf_dir)
+    page = F.floor(F.col("seq") / PAGE).cast("int") + 1
+    c = c.select(F.col("source").alias("job_id"), "doc_id", page.alias("page"), F.col("seq").alias("block_no"), "chunk_no", "text", (F.col("seq") % PAGE - 1).alias("at"), ((F.col("doc_id") + 3 * page) % 5).alias("kind"))
+    upper = F.col("at") < 12
+    n = F.when(F.col("kind") == 0, 1).when(F.col("kind") == 1, 2).when(F.col("kind") == 2, 3).when(F.col("kind") == 3, F.when(upper, 2).otherwise(3)).otherwise(2)
+    c = c.withColumns({"n": n, "within": F.when((F.col("kind") == 3) & ~upper, F.col("at") - 12).otherwise(F.col("at"))})
+    c = c.withColumns({"col": F.col("within") % F.col("n"), "row": F.floor(F.col("within") / F.col("n")) + F.when((F.col("kind") == 3) & ~upper, 6).otherwise(0)})
+    c = c.withColumns({"width": F.when(F.col("kind") == 4, F.when(F.col("col") == 0, 160).otherwise(900)).otherwise(1140 / F.col("n"))})
+    across = (F.col("at") == -1) | (F.col("at") == 38)
+    left = F.when(F.col("kind") == 4, 170 * F.col("col")).otherwise(F.col("width") * F.col("col")) + 60 + F.when((F.col("chunk_no") == 0) & (F.col("kind") != 4), 20).otherwise(0)
+    top = 80 + 34 * F.col("row") + 30 * F.floor(F.col("row") / 6) + (F.col("doc_id") + 7 * F.col("block_no")) % 3 + F.when(F.col("kind") == 4, 0).otherwise(3 * F.col("col"))
+    size = 20 + 2 * (F.col("block_no") % 3)
+    out = c.withColumns({"x0": F.when(across, 60).otherwise(left).cast("double"), "y0": F.when(F.col("at") == -1, 20).when(F.col("at") == 38, 2000).otherwise(top).cast("double")})
+    x1 = F.when(across, F.lit(1200.0)).otherwise(F.col("x0") + (F.col("width") - 60) * F.length("text") / 48)
+    out = out.withColumns({"x1": x1, "y1": F.col("y0") + F.when(across, 30).otherwise(size), "score": F.lit(0.5)})
+    return out.select("job_id", "doc_id", "page", "block_no", "chunk_no", "text", "x0", "y0", "x1", "y1", "score")
+
+
 COS, SIN = 0.9902680687415704, 0.13917310096006544  # of 8 degrees
 
 
@@ -156,6 +176,14 @@ SELECT *, x0 + 9 * length(text) AS x1, y0 + 20 AS y1, CASE WHEN (doc_id + page)
 SELECT job_id, doc_id, page, block_no AS line_id, CAST(g AS INTEGER) AS frag_no, x0 + 140 * g AS x0, x0 + 140 * g + 7 * length(t) AS x1, y0, y1, score, t AS text FROM (
   SELECT *, array_to_string(w[g * 3 + 1 : g * 3 + 3], ' ') AS t FROM (
     SELECT *, list_filter(string_split(text, ' '), lambda v: v <> '') AS w FROM blocks), range(0, (len(w) - 1) // 3 + 1) r(g) WHERE len(w) > 0)""",
+    "varied": f"""
+SELECT job_id, doc_id, page, block_no, chunk_no, text, x0, y0, CASE WHEN spot IN (-1, 38) THEN 1200::DOUBLE ELSE x0 + (width - 60) * length(text) / 48::DOUBLE END AS x1, y0 + CASE WHEN spot IN (-1, 38) THEN 30 ELSE 20 + 2 * (block_no % 3) END AS y1, 0.5::DOUBLE AS score FROM (
+SELECT *, CAST(CASE WHEN spot IN (-1, 38) THEN 60 ELSE CASE WHEN kind = 4 THEN 170 * col ELSE width * col END + 60 + CASE WHEN chunk_no = 0 AND kind <> 4 THEN 20 ELSE 0 END END AS DOUBLE) AS x0,
+  CAST(CASE spot WHEN -1 THEN 20 WHEN 38 THEN 2000 ELSE 80 + 34 * line + 30 * (line // 6) + (doc_id + 7 * block_no) % 3 + CASE WHEN kind = 4 THEN 0 ELSE 3 * col END END AS DOUBLE) AS y0 FROM (
+SELECT *, CASE WHEN kind = 4 THEN CASE WHEN col = 0 THEN 160 ELSE 900 END ELSE 1140 / n END AS width FROM (
+SELECT *, within % n AS col, CAST(floor(within / n) AS BIGINT) + CASE WHEN kind = 3 AND spot >= 12 THEN 6 ELSE 0 END AS line FROM (
+SELECT *, CASE kind WHEN 0 THEN 1 WHEN 2 THEN 3 WHEN 3 THEN CASE WHEN spot < 12 THEN 2 ELSE 3 END ELSE 2 END AS n, CASE WHEN kind = 3 AND spot >= 12 THEN spot - 12 ELSE spot END AS within FROM (
+SELECT source AS job_id, doc_id, CAST(seq // {PAGE} + 1 AS INTEGER) AS page, seq AS block_no, chunk_no, text, seq % {PAGE} - 1 AS spot, (doc_id + 3 * (seq // {PAGE} + 1)) % 5 AS kind FROM chunks)))))""",
     "page_list": "SELECT job_id, doc_id, page, count(*) AS n_blocks FROM blocks GROUP BY ALL",
     "page_results": """
 SELECT job_id, doc_id, page, code, n_blocks, CASE WHEN code = 902 THEN 'engine failed on page ' || page END AS message,
@@ -177,7 +205,7 @@ SELECT event_id % 997 AS img_id, event_id AS code_no, event_id % 13 <> 0 AS vali
   CASE WHEN event_id % 11 = 0 THEN '\xFF\xFE\x41'::BLOB ELSE encode(coalesce(props, '')) END AS bytes FROM events""",
 }
 #: What each table is derived from.
-NEEDS = {"blocks": ["chunks"], "turned": ["blocks"], "fragments": ["blocks"], "page_list": ["blocks"], "page_results": ["page_list"], "catalogue": ["page_list"], "task_events": ["control_events"]}
+NEEDS = {"blocks": ["chunks"], "varied": ["chunks"], "turned": ["blocks"], "fragments": ["blocks"], "page_list": ["blocks"], "page_results": ["page_list"], "catalogue": ["page_list"], "task_events": ["control_events"]}
 
 
 def with_tables(sql: str, *names: str) -> str:

@@ -1,16 +1,20 @@
-"""Layout steps that Spark's own functions express: margins, rows, gaps, separators, paragraph bodies, envelopes, indents.
+"""Layout steps over blocks: margins, rows, gaps, separators, paragraph bodies, envelopes, indents.
 
 Pages are independent, and every window and grouping here has the page's keys
-first, so that a chain of these steps shuffles once. Folds run over one page's or
-one line's sorted array.
+first, so that a chain of these steps shuffles once. What needs a fold with a state
+(rows, paragraph bodies) runs over a page's sorted blocks, many pages to an Arrow batch;
+all else are Spark's own functions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagewright.functions.text import separator
 
@@ -22,21 +26,41 @@ def margins(blocks: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     return blocks.groupBy(*keys).agg((F.min("x0") - 1).alias("left"), (F.max("x1") + 1).alias("right"))
 
 
-def page_rows(blocks: DataFrame, keys: Sequence[str] = PAGE, order: str = "block_no") -> DataFrame:
-    """row of every block: a row opens at its top block and takes what follows down to that block's bottom edge.
+def _folded(rows: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], name: str, fold: Callable[..., list[int]], carry: Sequence[str] = ()) -> DataFrame:
+    """keys, order, ``carry`` and a number of every row: ``fold`` gets the ``columns`` of one group's rows from top to bottom. Many groups come in a batch."""
+    held = list(dict.fromkeys(["y0", order, *columns, *carry]))
+    gathered = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*held))).alias("rows"))
+    schema = T.StructType([*(rows.schema[c] for c in keys), T.StructField(order, T.LongType()), *(rows.schema[c] for c in carry), T.StructField(name, T.IntegerType())])
 
-    Later blocks don't extend the row, so this is a fold and not gaps and islands.
-    """
-    sorted_ = F.array_sort(F.collect_list(F.struct("y0", order, "y1")))
-    start = F.struct(F.lit(-1).alias("row"), F.lit(float("-inf")).alias("floor"), F.array().cast("array<struct<o:bigint,row:int>>").alias("out"))
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("rows")
+            flat, bounds = lists.flatten(), np.asarray(lists.offsets)
+            bounds = bounds - bounds[0]
+            sides = [flat.field(c).to_pylist() for c in columns]
+            numbers = [n for a, z in zip(bounds.tolist(), bounds[1:].tolist()) for n in fold(*(side[a:z] for side in sides))]
+            group = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(bounds)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(group) for k in keys), flat.field(order).cast(pa.int64()), *(flat.field(c) for c in carry), pa.array(numbers, pa.int32())], schema.names)
 
-    def step(s, b):
-        opens = b["y0"] > s["floor"]
-        row = F.when(opens, s["row"] + 1).otherwise(s["row"])
-        return F.struct(row.alias("row"), F.when(opens, b["y1"]).otherwise(s["floor"]).alias("floor"), F.concat(s["out"], F.array(F.struct(b[order].cast("long").alias("o"), row.alias("row")))).alias("out"))
+    return gathered.mapInArrow(folded, schema)
+
+
+def _row_numbers(y0: list[float], y1: list[float]) -> list[int]:
+    row, floor, out = -1, float("-inf"), []
+    for top, bottom in zip(y0, y1):
+        if top > floor:
+            row, floor = row + 1, bottom
+        out.append(row)
+    return out
 
-    folded = blocks.groupBy(*keys).agg(F.aggregate(sorted_, start, step, lambda s: s["out"]).alias("out"))
-    return folded.select(*keys, F.explode("out").alias("r")).select(*keys, F.col("r.o").alias(order), F.col("r.row").alias("row"))
+
+def page_rows(blocks: DataFrame, keys: Sequence[str] = PAGE, order: str = "block_no", carry: Sequence[str] = ()) -> DataFrame:
+    """row of every block: a row opens at its top block and takes what follows down to that block's bottom edge.
+
+    Later blocks don't extend the row, so this is a fold and not gaps and islands. Columns
+    to ``carry`` come along.
+    """
+    return _folded(blocks, keys, order, ("y0", "y1"), "row", _row_numbers, carry)
 
 
 def row_gaps(blocks: DataFrame, keys: Sequence[str] = PAGE, order: str = "block_no") -> DataFrame:
@@ -73,20 +97,21 @@ def paragraph_bodies(lines: DataFrame, keys: Sequence[str], order: str = "block_
     Edges, height and spacing of a paragraph are running means of the mean so far and
     the new line.
     """
-    sorted_ = F.array_sort(F.collect_list(F.struct("y0", order, "x0", "x1", "y1")))
-    empty = F.array().cast("array<struct<o:bigint,para:int>>")
-    start = F.struct(F.lit(-1).alias("para"), F.lit(0.0).alias("l"), F.lit(0.0).alias("r"), F.lit(0.0).alias("h"), F.lit(None).cast("double").alias("s"), F.lit(0.0).alias("bottom"), empty.alias("out"))
-
-    def step(st, b):
-        h, gap = b["y1"] - b["y0"], b["y0"] - st["bottom"]
-        same = (st["para"] >= 0) & (F.abs(st["l"] - b["x0"]) <= st["h"] * tolerance) & (F.abs(st["r"] - b["x1"]) <= st["h"] * tolerance) & (st["s"].isNull() | (gap < st["s"] + st["h"] * 0.5))
-        mean = lambda old, new: F.when(same, (old + new) / 2).otherwise(new)
-        para = F.when(same, st["para"]).otherwise(st["para"] + 1)
-        space = F.when(~same, F.lit(None).cast("double")).when(st["s"].isNull(), gap).otherwise((st["s"] + gap) / 2)
-        return F.struct(para.alias("para"), mean(st["l"], b["x0"]).alias("l"), mean(st["r"], b["x1"]).alias("r"), mean(st["h"], h).alias("h"), space.alias("s"), b["y1"].alias("bottom"), F.concat(st["out"], F.array(F.struct(b[order].cast("long").alias("o"), para.alias("para")))).alias("out"))
-
-    folded = lines.groupBy(*keys).agg(F.aggregate(sorted_, start, step, lambda s: s["out"]).alias("out"))
-    return folded.select(*keys, F.explode("out").alias("p")).select(*keys, F.col("p.o").alias(order), F.col("p.para").alias("para"))
+    return _folded(lines, keys, order, ("x0", "y0", "x1", "y1"), "para", lambda *sides: _body_numbers(tolerance, *sides))
+
+
+def _body_numbers(tolerance: float, x0: list[float], y0: list[float], x1: list[float], y1: list[float]) -> list[int]:
+    para, left, right, height, space, bottom, out = -1, 0.0, 0.0, 0.0, None, 0.0, []
+    for l, t, r, b in zip(x0, y0, x1, y1):
+        h, gap = b - t, t - bottom
+        if para >= 0 and abs(left - l) <= height * tolerance and abs(right - r) <= height * tolerance and (space is None or gap < space + height * 0.5):
+            left, right, height = (left + l) / 2, (right + r) / 2, (height + h) / 2
+            space = gap if space is None else (space + gap) / 2
+        else:
+            para, left, right, height, space = para + 1, l, r, h, None
+        bottom = b
+        out.append(para)
+    return out
 
 
 def paragraph_ends(lines: DataFrame, keys: Sequence[str], order: Sequence[str] = ("y0", "block_no")) -> DataFrame:

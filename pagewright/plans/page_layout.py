@@ -6,6 +6,7 @@ parallel lists x0, y0, x1, y1; results are indices into them.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, bisect_right
 from collections import namedtuple
 
@@ -108,26 +109,92 @@ def regions(b: Boxes) -> list[Region]:
     return out[1:]
 
 
+class _Shelf:
+    """Boxes of like height and top, from left to right; those that are taken are passed over."""
+
+    def __init__(self):
+        self.place: list[int] = []  # in the page's order from left to right
+        self.left: list[float] = []
+        self.after: list[int] = []  # the next one that may be free
+
+    def add(self, place: int, left: float) -> None:
+        self.after.append(len(self.place))
+        self.place.append(place)
+        self.left.append(left)
+
+    def free_from(self, k: int) -> int:
+        after, start = self.after, k
+        while k < len(after) and after[k] != k:
+            k = after[k]
+        while start < len(after) and after[start] != k and start != k:
+            after[start], start = k, after[start]
+        return k
+
+    def take(self, k: int) -> None:
+        self.after[k] = k + 1
+
+
+#: Heights of one class differ by less than this factor; a line takes heights up to it.
+_CLASS = 1.5
+
+
+def _class(height: float) -> int | None:
+    return math.floor(math.log(height, _CLASS)) if height > 0 else None
+
+
 def lines(b: Boxes) -> list[list[int]]:
     """Lines of a single column, by the top of their first box.
 
     A line starts at the left-most free box and takes, to the right, what stands at
-    its first box's height; only the right edge moves along.
+    its first box's height; only the right edge moves along. Boxes are kept on shelves
+    by class of height and by top, so that a line looks through the few shelves that can
+    hold what it takes, from its edge on.
     """
     order = sorted(range(len(b.x0)), key=lambda i: (b.x0[i], b.y0[i]))
-    free = dict.fromkeys(order)
-    out = []
-    while free:
-        i = next(iter(free))
-        del free[i]
+    shelves: dict[tuple[int | None, int], _Shelf] = {}
+    where: list[tuple[_Shelf, int]] = []
+    for place, i in enumerate(order):
+        kind = _class(b.y1[i] - b.y0[i])
+        shelf = shelves.setdefault((kind, 0 if kind is None else math.floor(b.y0[i] / _CLASS**kind)), _Shelf())
+        where.append((shelf, len(shelf.place)))
+        shelf.add(place, b.x0[i])
+    out, taken = [], [False] * len(order)
+    for start, i in enumerate(order):
+        if taken[start]:
+            continue
+        taken[start] = True
+        where[start][0].take(where[start][1])
         height, edge, line = b.y1[i] - b.y0[i], b.x1[i], [i]
-        for j in list(free):
-            other = b.y1[j] - b.y0[j]
-            level = b.y0[j] >= b.y0[i] - height * 0.5 and b.y1[j] <= b.y1[i] + height * 0.5
-            if b.x0[j] >= edge - height and level and abs(height - other) <= min(height, other) * 0.5:
-                line.append(j)
-                del free[j]
-                edge = b.x1[j]
+        low, high = b.y0[i] - height * 0.5, b.y1[i] + height * 0.5
+        near = []
+        if height > 0:
+            for kind in range(_class(height / _CLASS * (1 - 1e-9)), _class(height * _CLASS * (1 + 1e-9)) + 1):
+                side = _CLASS**kind
+                near += [shelves[kind, k] for k in range(math.floor(low / side), math.floor(high / side) + 1) if (kind, k) in shelves]
+        elif (None, 0) in shelves:
+            near = [shelves[None, 0]]
+        at = [0] * len(near)
+        place = start
+        while True:
+            best, chosen = len(order), -1
+            for n, shelf in enumerate(near):
+                k = max(at[n], bisect_left(shelf.left, edge - height), bisect_right(shelf.place, place))
+                while (k := shelf.free_from(k)) < len(shelf.place):
+                    j = order[shelf.place[k]]
+                    other = b.y1[j] - b.y0[j]
+                    if b.y0[j] >= low and b.y1[j] <= high and abs(height - other) <= min(height, other) * 0.5:
+                        break
+                    k += 1
+                at[n] = k
+                if k < len(shelf.place) and shelf.place[k] < best:
+                    best, chosen = shelf.place[k], n
+            if chosen < 0:
+                break
+            near[chosen].take(at[chosen])
+            place = best
+            taken[place] = True
+            line.append(order[place])
+            edge = b.x1[order[place]]
         out.append(line)
     return sorted(out, key=lambda line: b.y0[line[0]])
 

@@ -3,28 +3,30 @@
 A parser turns pages upright, finds the order of its blocks and what parts them.
 Order-dependent steps run page by page in one ``mapInArrow`` over pages gathered
 as arrays (see ``page_layout``) that shares its shuffle with the windows before it; separators are
-window expressions after it, which cost a second one. Input: doc_id, page, block_no, corners px..sy, text, score.
-Output: doc_id, page, block_no, seq (reading order from 0), region, line, para,
+window expressions after it, which cost a second one. Input: the page's keys (doc_id and page, or
+any others of any types), block_no, corners px..sy, text, score.
+Output: the keys, block_no, seq (reading order from 0), region, line, para,
 text, sep. Pages whose texts are all empty give no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagewright.functions.geometry import upright
 from pagewright.functions.text import separator
 from pagewright.operators import layout
 from pagewright.plans.page_layout import Boxes, lines, paragraphs, regions
 
-PAGE = ["doc_id", "page"]
-COLUMNS = ["doc_id", "page", "block_no", "seq", "region", "line", "para", "x0", "y0", "x1", "y1", "text", "score"]
-ORDERED = "doc_id long, page int, block_no long, seq int, region int, line int, para int, x0 double, y0 double, x1 double, y1 double, text string, score double"
+PAGE = ("doc_id", "page")
+COLUMNS = ["block_no", "seq", "region", "line", "para", "x0", "y0", "x1", "y1", "text", "score"]
+ORDERED = "block_no long, seq int, region int, line int, para int, x0 double, y0 double, x1 double, y1 double, text string, score double"
 
 
 def _columns(b: Boxes, with_paragraphs: bool) -> tuple[list[int], list[int], list[int], list[int]]:
@@ -62,7 +64,7 @@ def envelope(b: Boxes, line: list[int]) -> tuple[float, float, float, float]:
     return b.x0[line[0]], top, max(top, b.x1[last]), max(top, b.y1[last])
 
 
-def _laid_out(batches: Iterator[pa.RecordBatch], how, with_paragraphs: bool) -> Iterator[pa.RecordBatch]:
+def _laid_out(batches: Iterator[pa.RecordBatch], how, with_paragraphs: bool, keys: Sequence[str]) -> Iterator[pa.RecordBatch]:
     """Blocks in reading order from pages that hold their blocks from top to bottom; many pages to a batch."""
     for batch in batches:
         pages = batch.column("blocks")
@@ -75,88 +77,90 @@ def _laid_out(batches: Iterator[pa.RecordBatch], how, with_paragraphs: bool) ->
             for column, values in zip(found, ([k] * len(order), [first + i for i in order], range(len(order)), *of)):
                 column += values
         page, place = pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())
-        columns = {c: batch.column(c).take(page) for c in PAGE}
-        columns |= {c: pa.array(v, pa.int32()) for c, v in zip(("seq", "region", "line", "para"), found[2:])}
+        columns = {c: pa.array(v, pa.int32()) for c, v in zip(("seq", "region", "line", "para"), found[2:])}
         columns |= {c: blocks.field(c).take(place) for c in COLUMNS if c not in columns}
-        yield pa.RecordBatch.from_pydict({c: columns[c] for c in COLUMNS})
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(page) for c in keys), *(columns[c] for c in COLUMNS)], [*keys, *COLUMNS])
 
 
-def _ordered(blocks: DataFrame, how, with_paragraphs: bool) -> DataFrame:
+def _ordered(blocks: DataFrame, how, with_paragraphs: bool, keys: Sequence[str]) -> DataFrame:
     """A row a page, gathered where the page's windows were, then a call for many pages."""
-    flat = upright(blocks, PAGE).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("int").alias("page"), F.col("block_no").cast("long").alias("block_no"), "x0", "y0", "x1", "y1", "text", "score")
+    flat = upright(blocks, keys).select(*keys, F.col("block_no").cast("long").alias("block_no"), "x0", "y0", "x1", "y1", "text", "score")
     down = F.array_sort(F.collect_list(F.struct("y0", "block_no", "x0", "x1", "y1", "text", "score")))
-    return flat.groupBy(*PAGE).agg(down.alias("blocks")).mapInArrow(lambda b: _laid_out(b, how, with_paragraphs), ORDERED)
+    schema = T.StructType([flat.schema[c] for c in keys])
+    for field in T.StructType.fromDDL(ORDERED):
+        schema.add(field)
+    return flat.groupBy(*keys).agg(down.alias("blocks")).mapInArrow(lambda b: _laid_out(b, how, with_paragraphs, keys), schema)
 
 
-def _next(column: str, *within: str) -> Column:
-    return F.lead(column).over(Window.partitionBy(*PAGE, *within).orderBy("seq"))
+def _next(column: str, keys: Sequence[str]) -> Column:
+    return F.lead(column).over(Window.partitionBy(*keys).orderBy("seq"))
 
 
-def none(blocks: DataFrame) -> DataFrame:
+def none(blocks: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     """As they come; a missing separator is a line end."""
     return blocks.withColumn("seq", F.col("block_no").cast("int")).withColumn("sep", F.coalesce("sep", F.lit("\n")))
 
 
-def multi_para(blocks: DataFrame) -> DataFrame:
+def multi_para(blocks: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     """Columns, and natural paragraphs within them."""
-    out = _ordered(blocks, _columns, True)
-    after = F.lead("text").over(Window.partitionBy(*PAGE, "para").orderBy("y0", "seq"))
+    out = _ordered(blocks, _columns, True, keys)
+    after = F.lead("text").over(Window.partitionBy(*keys, "para").orderBy("y0", "seq"))
     return out.withColumn("sep", F.when(after.isNull(), "\n").otherwise(separator("text", after)))
 
 
-def multi_line(blocks: DataFrame) -> DataFrame:
+def multi_line(blocks: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     """Columns, every block a line."""
-    return _ordered(blocks, _columns, False).withColumn("sep", F.lit("\n"))
+    return _ordered(blocks, _columns, False, keys).withColumn("sep", F.lit("\n"))
 
 
-def multi_none(blocks: DataFrame) -> DataFrame:
+def multi_none(blocks: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     """Columns, all in one paragraph."""
-    after = _next("text")
-    return _ordered(blocks, _columns, False).withColumn("sep", F.when(after.isNull(), "\n").otherwise(separator("text", after)))
+    after = _next("text", keys)
+    return _ordered(blocks, _columns, False, keys).withColumn("sep", F.when(after.isNull(), "\n").otherwise(separator("text", after)))
 
 
-def _line_seps(ordered: DataFrame) -> DataFrame:
-    return layout.line_separators(ordered, (*PAGE, "line"), "seq")
+def _line_seps(ordered: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return layout.line_separators(ordered, (*keys, "line"), "seq")
 
 
-def single_line(blocks: DataFrame) -> DataFrame:
+def single_line(blocks: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     """One column of lines."""
-    return _line_seps(_ordered(blocks, _single, False))
+    return _line_seps(_ordered(blocks, _single, False, keys), keys)
 
 
-def single_none(blocks: DataFrame) -> DataFrame:
+def single_none(blocks: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     """One column, lines joined."""
-    after = _next("text")
-    return single_line(blocks).withColumn("sep", F.when(after.isNull() | (F.col("sep") != "\n"), F.col("sep")).otherwise(separator("text", after)))
+    after = _next("text", keys)
+    return single_line(blocks, keys).withColumn("sep", F.when(after.isNull() | (F.col("sep") != "\n"), F.col("sep")).otherwise(separator("text", after)))
 
 
-def single_para(blocks: DataFrame) -> DataFrame:
+def single_para(blocks: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     """One column, natural paragraphs: the paragraph's separator takes the place of the line's.
 
     Neighbours in a paragraph are by the envelopes' tops, which is the lines' order
     but for lines whose later boxes stand higher than their first.
     """
-    out = _line_seps(_ordered(blocks, _single, True))
-    line = Window.partitionBy(*PAGE, "line")
+    out = _line_seps(_ordered(blocks, _single, True, keys), keys)
+    line = Window.partitionBy(*keys, "line")
     out = out.withColumn("__top", F.min("y0").over(line))
     first = F.first("text").over(line.orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     out = out.withColumns({"__first": first, "__end": F.col("seq") == F.max("seq").over(line)})
     # The next line's first text, seen from each line's last block.
-    ends = Window.partitionBy(*PAGE, "para", "__end").orderBy("__top", "line")
+    ends = Window.partitionBy(*keys, "para", "__end").orderBy("__top", "line")
     after = F.lead("__first").over(ends)
     sep = F.when(~F.col("__end"), F.col("sep")).when(after.isNull(), "\n").otherwise(separator("text", after))
     return out.withColumn("sep", sep).drop("__top", "__first", "__end")
 
 
-def single_code(blocks: DataFrame) -> DataFrame:
+def single_code(blocks: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     """One column of code: merged lines with their indents. Output: doc_id, page, line, box, text, score, level, sep."""
-    merged = layout.code_lines(_ordered(blocks, _single, False), (*PAGE, "line"), "seq")
-    return layout.indented(merged, PAGE).withColumn("sep", F.lit("\n"))
+    merged = layout.code_lines(_ordered(blocks, _single, False, keys), (*keys, "line"), "seq")
+    return layout.indented(merged, keys).withColumn("sep", F.lit("\n"))
 
 
 PARSERS = {f.__name__: f for f in (none, multi_para, multi_line, multi_none, single_para, single_line, single_none, single_code)}
 
 
-def parse(blocks: DataFrame, name: str = "multi_para") -> DataFrame:
-    """A parser by name; an unknown name is ``none``."""
-    return blocks.transform(PARSERS.get(name, none))
+def parse(blocks: DataFrame, name: str = "multi_para", keys: Sequence[str] = PAGE) -> DataFrame:
+    """A parser by name, over pages that ``keys`` tell apart; an unknown name is ``none``."""
+    return PARSERS.get(name, none)(blocks, keys)

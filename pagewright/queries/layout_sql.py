@@ -141,3 +141,6 @@ SQL["paragraph_merge"] = f"{_MULTI}, {MULTI_PARA} SELECT doc_id, page, region::I
 
 _SPUN = f"spun AS ({_straight('SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_id, frag_no) AS block_no FROM fragments')})"
 SQL["line_groups"] = f", {_SPUN}, {boxes_sql('spun')}, {LINES} SELECT doc_id, page, n AS block_no, seq::INTEGER AS seq, line::INTEGER AS line, sep FROM seps"
+
+#: The same folds over pages of many kinds.
+VARIED = {name: SQL[name].replace(_APART, f"apart AS ({_straight('FROM varied')})") for name in ("multi_para", "single_para", "single_none", "regions", "paragraph_merge")}

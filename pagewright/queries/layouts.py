@@ -42,9 +42,7 @@ def page_rows(spark, sf_dir):
 seen AS (SELECT *, greatest(l, coalesce(max(x1) OVER (PARTITION BY doc_id, page, "row" ORDER BY x0, x1, block_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), l)) AS reach FROM placed)
 SELECT doc_id, page, "row", reach AS gap_left, x0 AS gap_right FROM seen WHERE x0 > reach UNION ALL SELECT doc_id, page, "row", max(x1), max(z) FROM placed GROUP BY doc_id, page, "row" """, "blocks")
 def row_gaps(spark, sf_dir):
-    b = derive.blocks(spark, sf_dir)
-    rows = layout.page_rows(b)
-    return layout.row_gaps(b.join(rows, ["doc_id", "page", "block_no"]))
+    return layout.row_gaps(layout.page_rows(derive.blocks(spark, sf_dir), carry=("x0", "x1")))
 
 
 @query(f"""SELECT doc_id, page, line_id, frag_no, CASE WHEN nt IS NULL THEN chr(10) WHEN nx - x1 > (y1 + ny - y0 - nx) * 0.5::DOUBLE * 1.5::DOUBLE THEN ' ' ELSE {sep_sql('text', 'nt')} END AS sep FROM (
@@ -138,6 +136,42 @@ def regions(spark, sf_dir):
     return out.groupBy("doc_id", "page", "region").agg(F.count(F.lit(1)).alias("n"), corner(F.min, "x0"), corner(F.min, "y0"), corner(F.max, "x1"), corner(F.max, "y1"), F.min("seq").alias("first"))
 
 
+def _varied(name):
+    def run(spark, sf_dir):
+        return parsers.parse(straight(derive.varied(spark, sf_dir)), name).select("doc_id", "page", "block_no", "seq", "region", "line", "para", "sep")
+
+    run.__name__ = f"varied_{name}"
+    run.__doc__ = "A parser over pages with headings, footers and several columns."
+    return query(layout_sql.VARIED[name], "varied")(run)
+
+
+for _name in ("multi_para", "single_para", "single_none"):
+    _varied(_name)
+
+
+@query(layout_sql.VARIED["regions"], "varied")
+def varied_regions(spark, sf_dir):
+    """Regions of pages with headings, footers and several columns."""
+    out = parsers.multi_none(straight(derive.varied(spark, sf_dir)))
+    corner = lambda f, c: F.round(f(c), 3).alias(c)
+    return out.groupBy("doc_id", "page", "region").agg(F.count(F.lit(1)).alias("n"), corner(F.min, "x0"), corner(F.min, "y0"), corner(F.max, "x1"), corner(F.max, "y1"), F.min("seq").alias("first"))
+
+
+@query(layout_sql.VARIED["paragraph_merge"], "varied")
+def varied_paragraphs(spark, sf_dir):
+    """Paragraphs of pages with headings, footers and several columns: how many lines each has."""
+    out = parsers.multi_para(straight(derive.varied(spark, sf_dir)))
+    return out.groupBy("doc_id", "page", "region", "para").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+@query(f"SELECT source AS batch, 'd' || doc_id AS doc, 'p' || page AS sheet, block_no, seq, para, sep FROM ({layout_sql.VARIED['multi_para'].replace(', apart AS', 'WITH apart AS', 1)}) JOIN (SELECT doc_id, source FROM documents) USING (doc_id)", "varied")
+def parse_keyed(spark, sf_dir):
+    """Pages told apart by a batch, a document's name and a sheet's name, all of them strings."""
+    name = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
+    b = derive.varied(spark, sf_dir).select(F.col("job_id").alias("batch"), name("d", "doc_id").alias("doc"), name("p", "page").alias("sheet"), "block_no", "text", "score", "x0", "y0", "x1", "y1")
+    return parsers.parse(straight(b), "multi_para", ("batch", "doc", "sheet")).select("batch", "doc", "sheet", "block_no", "seq", "para", "sep")
+
+
 @query(layout_sql.SQL["line_groups"], "fragments")
 def line_groups(spark, sf_dir):
     """Lines of fragments by the greedy scan."""

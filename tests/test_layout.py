@@ -159,3 +159,65 @@ def test_shuffles(spark, sf):
     df = parsers.multi_none(derive.corners(derive.blocks(spark, sf)))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_lines_like_a_plain_scan():
+    """Against the scan of all free boxes for each line: boxes of all heights, overlaps, ties, boxes without height."""
+    import random
+
+    def scanned(b):
+        order = sorted(range(len(b.x0)), key=lambda i: (b.x0[i], b.y0[i]))
+        free, out = dict.fromkeys(order), []
+        while free:
+            i = next(iter(free))
+            del free[i]
+            height, edge, line = b.y1[i] - b.y0[i], b.x1[i], [i]
+            for j in list(free):
+                other = b.y1[j] - b.y0[j]
+                level = b.y0[j] >= b.y0[i] - height * 0.5 and b.y1[j] <= b.y1[i] + height * 0.5
+                if b.x0[j] >= edge - height and level and abs(height - other) <= min(height, other) * 0.5:
+                    line.append(j)
+                    del free[j]
+                    edge = b.x1[j]
+            out.append(line)
+        return sorted(out, key=lambda line: b.y0[line[0]])
+
+    rng = random.Random(6)
+    for trial in range(300):
+        rows = []
+        for _ in range(rng.randint(0, 60)):
+            x, y = rng.choice([rng.uniform(-50, 400), rng.randrange(0, 400, 20)]), rng.choice([rng.uniform(-30, 90), rng.randrange(0, 90, 15)])
+            rows.append((x, y, x + rng.choice([0, 10, rng.uniform(-3, 80)]), y + rng.choice([0, 10, 15, 22.5, rng.uniform(-2, 40)])))
+        b = boxes(*rows, *rows[: rng.randint(0, 5)]) if rows else Boxes([], [], [], [])
+        assert page_layout.lines(b) == scanned(b), trial
+
+
+def test_a_page_of_twenty_thousand_boxes(spark):
+    """Lines, rows and paragraph bodies in time about linear in the boxes, also where all boxes are equal."""
+    import time
+
+    n = 20_000
+    grid = boxes(*[(60 * (i % 100), 30 * (i // 100), 60 * (i % 100) + 50, 30 * (i // 100) + 20) for i in range(n)])
+    start = time.perf_counter()
+    assert [len(line) for line in page_layout.lines(grid)] == [100] * 200
+    assert len(page_layout.lines(boxes(*[(0, 0, 50, 10)] * n))) == n
+    assert time.perf_counter() - start < 20  # a scan of all free boxes tests 200 million pairs for the equal ones alone
+    df = spark.range(n).select(F.lit(1).alias("doc_id"), F.lit(1).alias("page"), F.col("id").alias("block_no"), (60.0 * (F.col("id") % 100)).alias("x0"), (30.0 * F.floor(F.col("id") / 100)).alias("y0"))
+    df = df.withColumns({"x1": F.col("x0") + 50, "y1": F.col("y0") + 20})
+    start = time.perf_counter()
+    assert layout.page_rows(df).agg(F.max("row")).first()[0] == 199
+    one = df.filter("block_no % 100 = 0").unionByName(df.filter("block_no % 100 <> 0").withColumns({"x0": F.lit(0.0), "x1": F.lit(50.0), "y0": 6000 + 30.0 * F.col("block_no"), "y1": 6020 + 30.0 * F.col("block_no")}))
+    assert layout.paragraph_bodies(one, ["doc_id", "page"]).count() == n
+    assert time.perf_counter() - start < 60
+
+
+def test_parsers_over_other_keys(spark):
+    """Two pages of one document that only a third key of another type tells apart."""
+    df = frame(spark, PAGE)
+    both = df.withColumn("batch", F.lit("x")).unionByName(df.withColumns({"batch": F.lit("y"), "text": F.upper("text")})).withColumn("page", F.lit(2.5))
+    out = parsers.parse(both, "multi_line", ("batch", "doc_id", "page"))
+    assert out.columns[:3] == ["batch", "doc_id", "page"] and dict(out.dtypes)["page"] == dict(both.dtypes)["page"]
+    want = "Left one\nleft two-\nthree.\nRight head\nright two\n"
+    assert text_of(out.filter("batch = 'x'")) == want and text_of(out.filter("batch = 'y'")) == want.upper()
+    for name in parsers.PARSERS:
+        assert parsers.parse(both.withColumn("sep", F.lit("\n")), name, ("batch", "doc_id", "page")).count() > 0
