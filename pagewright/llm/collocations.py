@@ -8,10 +8,11 @@ of the parts' occurrences.
    ``LEAST`` occurrences make two bit filters of bounded size. An n-gram that is frequent
    passes with all its words and pairs, so the filters only ever let too much pass.
 2. Each task builds a count transducer from its n-grams in sorted order, block by block,
-   unites them as it goes, and writes it in slices: one row for each word, and one for
-   each pair of words with all that follows it. A task's transducer is written out
-   when it grows beyond ``ARCS`` arcs.
-3. The slices are dealt out by ranges of their prefix (language, first and second word)
+   unites them as it goes, and writes it in slices: a row for each first word with all
+   that follows it, or, if the corpus has many frequent pairs with that word (``WIDE``),
+   a row for each of its pairs. A task's transducer is written out when it grows beyond
+   ``ARCS`` arcs.
+3. The slices are dealt out by ranges of their prefix (language, first word, second word)
    and united; weights are summed, and arcs under ``LEAST`` are dropped. A prefix has a
    row at most for each time that a task wrote, whatever its number of occurrences.
 4. The parts of all cuts are acceptors, one for each slice; composed with the slice's
@@ -51,6 +52,10 @@ NO_LANGUAGE = "und"
 BLOCK = 1 << 20
 #: Arcs of a task's transducer.
 ARCS = 1 << 20
+#: Frequent pairs of one first word from which on its slices are by pair.
+WIDE = 1 << 14
+#: Arcs of the rows that are passed on together.
+ROW_ARCS = 1 << 17
 #: Bits for each key of a filter; least and most bits of one (16 MB).
 BITS_EACH, LEAST_BITS, MOST_BITS = 64, 1 << 16, 1 << 27
 
@@ -70,8 +75,12 @@ class Block:
 
     def keys(self) -> np.ndarray:
         """A 64-bit key of each word in its language."""
-        name = lambda strings: np.fromiter((xxhash.xxh64_intdigest(s) for s in strings.to_pylist()), U64, len(strings))
-        return mix(name(self.vocabulary)[self.word] + mix(name(self.langs))[self.lang])
+        return keys_of(self.langs, self.lang, self.vocabulary, self.word)
+
+
+def keys_of(langs: pa.Array, lang: np.ndarray, words: pa.Array, word: np.ndarray) -> np.ndarray:
+    name = lambda strings: np.fromiter((xxhash.xxh64_intdigest(s) for s in strings.to_pylist()), U64, len(strings))
+    return mix(name(words)[word] + mix(name(langs))[lang])
 
 
 def _cuts(data: np.ndarray) -> Iterator[np.ndarray]:
@@ -133,7 +142,9 @@ def _pairs(block: Block, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     """Whether each word passes; whether it and the next one of its piece do; the pairs' keys."""
     key = block.keys()
     passes = _passes(words, key)
-    return passes, block.follows[:-1] & passes[:-1] & passes[1:], mix(key[:-1] * U64(0x9E3779B97F4A7C15) + key[1:])
+    # The upper half of a pair's key is that of its first word's.
+    pair = (key[:-1] & U64(0xFFFFFFFF00000000)) | (mix(key[:-1] * U64(0x9E3779B97F4A7C15) + key[1:]) >> U64(32))
+    return passes, block.follows[:-1] & passes[:-1] & passes[1:], pair
 
 
 def _pair_counts(batches: Iterator[pa.RecordBatch], words) -> Iterator[pa.RecordBatch]:
@@ -176,33 +187,45 @@ def ngrams_of(block: Block, words: np.ndarray, pairs: np.ndarray) -> Transducer:
 SLICE = "lang string, first string, second string, n long, depth array<int>, label array<string>, weight array<long>"
 
 
-def slices(t: Transducer) -> Iterator[pa.RecordBatch]:
-    """A row for each word (``second`` empty) and each pair; depth, label and weight list what follows a pair, each arc before those under it."""
-    text = lambda level, state: t.vocabulary.take(pa.array(t.label[level][state])).cast(pa.string())
+def slices(t: Transducer, wide: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each first word (``second`` empty), and one for each pair of the words in the filter ``wide``.
+
+    n is the row's own count; depth, label and weight list what follows, each arc before
+    those under it. The row of a wide word lists nothing.
+    """
     n = len(t.label[1])
-    if n:
-        nothing = lambda kind: pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], kind))
-        yield pa.RecordBatch.from_pydict({"lang": text(0, t.parent[1]), "first": text(1, np.arange(n)), "second": pa.array([""] * n), "n": t.weight[1], "depth": nothing(pa.int32()), "label": nothing(pa.string()), "weight": nothing(pa.int64())})
-    if len(t.label) < 3 or not len(t.label[2]):
+    if not n:
         return
-    # States are numbered in the order of their paths, so those on the way to an arc, none beyond it, sort the arcs.
-    deep = range(3, len(t.label))
+    is_wide = _passes(wide, keys_of(t.vocabulary, t.label[0][t.parent[1]], t.vocabulary, t.label[1]) >> U64(32)) if len(t.label) > 2 else np.zeros(n, bool)
+    pairs = np.flatnonzero(is_wide[t.parent[2]]) if len(t.label) > 2 else np.zeros(0, np.int64)
+    deep = range(2, len(t.label))
     sizes = [len(t.label[d]) for d in deep]
-    on_way = [np.concatenate([t.ancestors(d, level) if d >= level else np.full(k, -1) for d, k in zip(deep, sizes)] or [np.zeros(0, np.int64)]) for level in range(2, len(t.label))]
-    order = np.lexsort(on_way[::-1]) if len(on_way) > 1 else np.arange(0)
-    depth = np.repeat(np.array(deep, np.int32), sizes)[order]
-    label = np.concatenate([np.zeros(0, np.int64), *(t.label[d] for d in deep)])[order]
-    weight = np.concatenate([np.zeros(0, np.int64), *(t.weight[d] for d in deep)])[order]
-    under = on_way[0][order]
-    m = len(t.label[2])
-    bounds = np.searchsorted(under, np.arange(m + 1))
-    above = t.parent[2]
-    for a in range(0, m, 8192):
-        b = min(a + 8192, m)
+    # States are numbered in the order of their paths, so those on the way to an arc, none beyond it, sort the arcs.
+    on_way = [np.concatenate([t.ancestors(d, level) if d >= level else np.full(k, -1) for d, k in zip(deep, sizes)]) for level in deep]
+    depth = np.repeat(np.array(deep, np.int32), sizes)
+    label, weight = (np.concatenate([np.zeros(0, np.int64), *(x[d] for d in deep)]) for x in (t.label, t.weight))
+    if len(depth):
+        first = t.parent[2][on_way[0]]
+        row = np.where(is_wide[first], n + np.searchsorted(pairs, on_way[0]), first)
+        kept = np.flatnonzero(~(is_wide[first] & (depth == 2)))  # these are rows themselves
+        order = kept[np.lexsort([x[kept] for x in (*on_way[::-1], row)])]
+        row, depth, label, weight = row[order], depth[order], label[order], weight[order]
+    else:
+        row = np.zeros(0, np.int64)
+    state = np.concatenate((np.arange(n), t.parent[2][pairs] if len(pairs) else pairs))
+    own = np.concatenate((t.weight[1], t.weight[2][pairs] if len(pairs) else pairs))
+    text = lambda at: t.vocabulary.take(pa.array(at)).cast(pa.string())
+    second = pa.concat_arrays([pa.array([""] * n, pa.string()), text(t.label[2][pairs] if len(pairs) else pairs)])
+    bounds = np.searchsorted(row, np.arange(len(state) + 1))
+    a = 0
+    while a < len(state):
+        b = min(max(a + 1, int(np.searchsorted(bounds, bounds[a] + ROW_ARCS, "right")) - 1), a + 8192, len(state))
         i, j = bounds[a], bounds[b]
         at = pa.array((bounds[a : b + 1] - i).astype(np.int32))
-        lists = {"depth": pa.array(depth[i:j]), "label": t.vocabulary.take(pa.array(label[i:j])).cast(pa.string()), "weight": pa.array(weight[i:j])}
-        yield pa.RecordBatch.from_pydict({"lang": text(0, t.parent[1][above[a:b]]), "first": text(1, above[a:b]), "second": text(2, np.arange(a, b)), "n": t.weight[2][a:b], **{c: pa.ListArray.from_arrays(at, x) for c, x in lists.items()}})
+        lists = {"depth": pa.array(depth[i:j]), "label": text(label[i:j]), "weight": pa.array(weight[i:j])}
+        of = state[a:b]
+        yield pa.RecordBatch.from_pydict({"lang": text(t.label[0][t.parent[1][of]]), "first": text(t.label[1][of]), "second": second.slice(a, b - a), "n": own[a:b], **{c: pa.ListArray.from_arrays(at, x) for c, x in lists.items()}})
+        a = b
 
 
 def transducer_of(rows: pa.RecordBatch) -> Transducer:
@@ -218,22 +241,26 @@ def transducer_of(rows: pa.RecordBatch) -> Transducer:
     out = Transducer(vocabulary)
     state = out.grow(np.zeros(m, np.int64), lang, np.zeros(m, np.int64))
     state = out.grow(state, first, np.where(pair, 0, n))
-    two = np.full(m, -1)
-    two[pair] = out.grow(state[pair], second[pair], n[pair])
     depth, weight = lists.flatten().to_numpy(), rows.column("weight").flatten().to_numpy()
-    parent = np.repeat(two, np.diff(lists.offsets.to_numpy()))
+    of_row = np.repeat(np.arange(m), np.diff(lists.offsets.to_numpy()))
     place = np.arange(len(depth))
+    # Second words are rows of their own, or listed under their first word.
+    here = depth == 2
+    states = out.grow(np.concatenate((state[pair], state[of_row[here]])), np.concatenate((second[pair], label[here])), np.concatenate((n[pair], weight[here])))
+    of_pair = np.full(m, -1)
+    of_pair[pair] = states[: int(pair.sum())]
+    reached = np.full(len(depth), -1)
+    reached[here] = states[int(pair.sum()) :]
     for d in range(3, WORDS + 1):
         here = depth == d
-        if d > 3:
-            last = np.maximum.accumulate(np.where(depth == d - 1, place, -1))  # the arc that those of depth d lie under
-            parent = reached[last]
+        last = np.maximum.accumulate(np.where(depth == d - 1, place, -1)) if len(depth) else place  # the arc that those of depth d lie under
+        parent = np.where(pair[of_row], of_pair[of_row], reached[last]) if d == 3 else reached[last]
         reached = np.full(len(depth), -1)
         reached[here] = out.grow(parent[here], label[here], weight[here])
     return out
 
 
-def _shards(batches: Iterator[pa.RecordBatch], words, pairs) -> Iterator[pa.RecordBatch]:
+def _shards(batches: Iterator[pa.RecordBatch], words, pairs, wide) -> Iterator[pa.RecordBatch]:
     """A task's transducer, in slices."""
     parts: list[Transducer] = []
     for block in _blocks(batches):
@@ -241,12 +268,12 @@ def _shards(batches: Iterator[pa.RecordBatch], words, pairs) -> Iterator[pa.Reco
         if sum(map(len, parts)) > ARCS:
             parts = [union(parts)]
             if len(parts[0]) > ARCS // 2:
-                yield from slices(parts.pop())
+                yield from slices(parts.pop(), wide.value)
     if parts:
-        yield from slices(union(parts))
+        yield from slices(union(parts), wide.value)
 
 
-def _united(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def _united(batches: Iterator[pa.RecordBatch], least: int, wide) -> Iterator[pa.RecordBatch]:
     """Slices sorted by prefix, united and cut at ``least``. The last prefix waits for the rows that may follow."""
     kept: pa.RecordBatch | None = None
     for batch in batches:
@@ -256,18 +283,22 @@ def _united(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
             last &= pc.equal(rows.column(c), rows.column(c)[rows.num_rows - 1]).to_numpy(zero_copy_only=False)
         cut = rows.num_rows - int(last.sum())
         if cut:
-            yield from slices(transducer_of(rows.slice(0, cut)).at_least(least))
-        kept = _one_row(rows.slice(cut))
+            yield from slices(transducer_of(rows.slice(0, cut)).at_least(least), wide.value)
+        kept = _one_row(rows.slice(cut), wide.value)
     if kept is not None:
-        yield from slices(transducer_of(kept).at_least(least))
+        yield from slices(transducer_of(kept).at_least(least), wide.value)
 
 
-def _one_row(rows: pa.RecordBatch) -> pa.RecordBatch:
+def _one_row(rows: pa.RecordBatch, wide: np.ndarray) -> pa.RecordBatch:
     """Rows of one prefix as one."""
     if rows.num_rows == 1:
         return rows
-    pair = rows.column("second")[0].as_py() != ""
-    return next(b for b in slices(transducer_of(rows)) if (b.column("second")[0].as_py() != "") == pair)
+    second = rows.column("second")[0].as_py()
+    for batch in slices(transducer_of(rows), wide):
+        at = pc.index(batch.column("second"), second).as_py()
+        if at >= 0:
+            return batch.slice(at, 1)
+    raise AssertionError("a prefix has a row")
 
 
 def counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -278,10 +309,13 @@ def counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     totals = found.filter("key is null").select("lang", "n")
     words = spark.sparkContext.broadcast(bit_filter(found.filter((F.col("n") >= least) & F.col("lang").isNull())))
     met = docs.mapInArrow(lambda b: _pair_counts(b, words), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    pairs = spark.sparkContext.broadcast(bit_filter(saved(met.filter(F.col("n") >= least).select("key"), "pairs")))
-    shards = saved(docs.mapInArrow(lambda b: _shards(b, words, pairs), SLICE), "shards")
+    frequent = saved(met.filter(F.col("n") >= least).select("key"), "pairs")
+    pairs = spark.sparkContext.broadcast(bit_filter(frequent))
+    firsts = frequent.groupBy(F.shiftrightunsigned("key", 32).alias("key")).agg(F.count(F.lit(1)).alias("k"))
+    wide = spark.sparkContext.broadcast(bit_filter(firsts.filter(F.col("k") >= WIDE)))
+    shards = saved(docs.mapInArrow(lambda b: _shards(b, words, pairs, wide), SLICE), "shards")
     ranges = shards.repartitionByRange("lang", "first", "second").sortWithinPartitions("lang", "first", "second")
-    return saved(ranges.mapInArrow(lambda b: _united(b, least), SLICE).filter(F.col("n") >= least), "counts"), totals
+    return saved(ranges.mapInArrow(lambda b: _united(b, least, wide), SLICE).filter(F.col("n") >= least), "counts"), totals
 
 
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +364,7 @@ def _composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the ``top`` phrases of each language."""
     table_, totals = counts(docs, least)
-    phrases = saved(table_.filter("second <> ''").mapInArrow(_phrases, "lang string, phrase string, a long"), "phrases")
+    phrases = saved(table_.mapInArrow(_phrases, "lang string, phrase string, a long"), "phrases")
 
     words, size = F.split("phrase", " "), F.size(F.split("phrase", " "))
     part = lambda a, n: F.array_join(F.slice(words, a, n), " ")
@@ -339,7 +373,9 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     # The parts of a slice are paths of its transducer, so they are no more than it holds.
     parts = cuts.select("lang", F.explode(F.array("left", "right")).alias("part")).distinct()
     prefix = F.split("part", " ")
-    parts = parts.groupBy("lang", prefix[0].alias("first"), F.coalesce(F.try_element_at(prefix, F.lit(2)), F.lit("")).alias("second")).agg(F.collect_list("part").alias("parts"))
+    by_pair = table_.filter("second <> ''").select("lang", "first", F.lit(True).alias("by_pair")).distinct()
+    parts = parts.withColumns({"first": prefix[0], "second": F.coalesce(F.try_element_at(prefix, F.lit(2)), F.lit(""))}).join(by_pair, ["lang", "first"], "left")
+    parts = parts.groupBy("lang", "first", F.when(F.col("by_pair"), F.col("second")).otherwise("").alias("second")).agg(F.collect_list("part").alias("parts"))
     known = saved(table_.join(parts, ["lang", "first", "second"]).mapInArrow(_composed, "lang string, part string, n long"), "parts")
 
     for side, name in (("left", "l"), ("right", "r")):

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -60,11 +61,12 @@ def test_whole_table(spark):
     assert len(want) > 50 and got(collocations.op13_phrase_collocations(spark, sf)) == want
 
 
-@pytest.mark.parametrize("seed, arcs, block", [(1, 1 << 20, 1 << 20), (2, 60, 200), (3, 600, 97)])
-def test_odd_texts(spark, seed, arcs, block, monkeypatch):
+@pytest.mark.parametrize("seed, arcs, block, wide", [(1, 1 << 20, 1 << 20, 1 << 14), (2, 60, 200, 3), (3, 600, 97, 1)])
+def test_odd_texts(spark, seed, arcs, block, wide, monkeypatch):
     """Small blocks and transducers, so that prefixes come from many rows; ties, nulls, other white space, letters of several bytes."""
     monkeypatch.setattr(collocations, "ARCS", arcs)
     monkeypatch.setattr(collocations, "BLOCK", block)
+    monkeypatch.setattr(collocations, "WIDE", wide)
     rng = random.Random(seed)
     words = ["a", "B", "c", "É", "é", "日本", "x-y", " z", "'s"]
     rows = [(None, None), ("en", ""), (None, " \t,;\n"), ("und", "a b c a b"), ("", "a b a b a b"), ("en", "a"), ("fr", "a b c d " * 90)]
@@ -96,9 +98,9 @@ def rows_of(counter):
     return pa.RecordBatch.from_pydict({c: pa.array(v, kinds.get(c, pa.string())) for c, v in batch.items()})
 
 
-def paths_of(t):
+def paths_of(t, wide=np.zeros(8, np.uint8)):
     out = defaultdict(Counter)
-    for b in collocations.slices(t):
+    for b in collocations.slices(t, wide):
         for r in b.to_pylist():
             path = (r["first"],) + ((r["second"],) if r["second"] else ())
             if r["n"]:
@@ -115,7 +117,10 @@ def test_transducers():
     texts = [[(rng.choice("xy"), " ".join(rng.choices(["a", "b", "é", "zz"], k=30))) for _ in range(4)] for _ in range(3)]
     counted = [ngrams(t)[0] for t in texts]
     parts = [collocations.transducer_of(rows_of(c)) for c in counted]
-    assert [paths_of(p) for p in parts] == counted
+    assert [paths_of(p) for p in parts] == counted == [paths_of(p, np.full(8, 255, np.uint8)) for p in parts]
+    halves = np.full(8, 0x55, np.uint8)  # some words by pair, the others whole
+    rows = [r for b in collocations.slices(parts[0], halves) for r in b.to_pylist()]
+    assert any(r["second"] for r in rows) and any(r["depth"] and not r["second"] for r in rows) and paths_of(parts[0], halves) == counted[0]
     whole = defaultdict(Counter)
     for c in counted:
         for lang, grams in c.items():
