@@ -6,7 +6,7 @@ the one of its tokens that is rarest among the URLs at hand. A URL's tokens fetc
 the rules filed under them, and only these run their regular expression.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z in lower
-case. Path: from there up to ``?``, ``#`` or the end. Null or no ``://``: both
+case. Path: from there up to ``?``, ``#`` or the end; what follows is the tail. Null or no ``://``: both
 empty, and no rule fits. A host rule fits its host and all subdomains if the path
 starts with the rule's path; the longest that fits wins. Where none fits, the
 pattern rules decide: block if one of them fits, else allow.
@@ -43,10 +43,16 @@ TOKEN = "[a-z0-9]+"
 
 
 def parts(url: str = "url"):
-    """Columns host and path of a URL."""
+    """Columns host, path and tail of a URL."""
     rest = F.when(F.instr(url, "://") > 0, F.expr(f"substring({url}, instr({url}, '://') + 3)"))
     host = F.translate(F.regexp_extract(rest, "^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.coalesce(host, F.lit("")).alias("host"), F.coalesce(F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), F.lit("")).alias("path")
+    path, tail = F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), F.regexp_extract(rest, r"([?#][\s\S]*)$", 1)
+    return tuple(F.coalesce(c, F.lit("")).alias(name) for c, name in ((host, "host"), (path, "path"), (tail, "tail")))
+
+
+def rule_tokens(host: str, path: str) -> list[str]:
+    """The tokens that every URL of a host rule contains: those of the host, and those that its path ends itself, as the URL's path may go on."""
+    return re.findall(TOKEN, host) + re.findall(f"{TOKEN}(?=[^a-z0-9])", path.lower())
 
 
 def rule_table(spark: SparkSession, host_rules: Sequence[tuple[str, str]], pattern_rules: Sequence[tuple[str, str, Sequence[str]]]) -> DataFrame:
@@ -54,7 +60,7 @@ def rule_table(spark: SparkSession, host_rules: Sequence[tuple[str, str]], patte
     rows = []
     for verdict, rule in host_rules:
         host, slash, path = rule.partition("/")
-        rows.append((rule, verdict, len(rule), rf"^([^/?#]*\.)?{re.escape(host)}{re.escape(slash + path)}", re.findall(TOKEN, host)))
+        rows.append((rule, verdict, len(rule), rf"^([^/?#]*\.)?{re.escape(host)}{re.escape(slash + path)}", rule_tokens(host, slash + path)))
     for name, regex, tokens in pattern_rules:
         if not tokens:
             raise ValueError(f"rule {name}: no token that all its matches contain")
@@ -75,7 +81,7 @@ def judge(pages: DataFrame, host_rules=HOST_RULES, pattern_rules=PATTERN_RULES)
     spark = pages.sparkSession
     pages = plain(pages, "page_id", "url").select("page_id", "url", *parts())
     # Rules see one canonical string: host and path as above, then the rest of the URL.
-    subject = F.concat("host", "path", F.regexp_extract("url", r"([?#][\s\S]*)$", 1))
+    subject = F.concat("host", "path", "tail")
     urls = pages.filter("host != '' or path != ''").select("url", subject.alias("subject")).distinct()
     tokens = urls.select("url", "subject", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("subject"), F.lit(f"({TOKEN})"), F.lit(1)))).alias("token"))
     rules = rule_table(spark, host_rules, pattern_rules)

@@ -23,7 +23,7 @@ def brute(url):
     return host, path, None, "block" if block else "allow"
 
 
-URLS = [None, "", "nothing", "http://", "http://NET/", "http://net", "http://a.net?x", "HTTPS://A.Example.NET/en/x", "http://example.net/en", "http://xexample.net/en/1", "http://example.com/de/", "http://m.example.com/de/x?utm_source=a", "http://m.example.com/fr/x?utm_source=a", "http://m.example.com/fr/?PHPSESSID=1", "http://m.example.com/fr/?a;phpsessid=1", "http://a.org/fr/#t", "http://org/fr/login", "http://a.edu/login", "http://a.edu/login.php#x", "http://a.edu/logins", "http://a.edu/x?print=1&y", "http://a.edu/x?print=10", "a://b://c.net/", "http:///net/", "http://é.net/é?\n#utm_source=", "http://net./"]
+URLS = [None, "", "nothing", "http://", "http://NET/", "http://net", "http://a.net?x", "HTTPS://A.Example.NET/en/x", "http://example.net/en", "http://xexample.net/en/1", "http://example.com/de/", "http://m.example.com/de/x?utm_source=a", "http://m.example.com/fr/x?utm_source=a", "http://m.example.com/fr/?PHPSESSID=1", "http://m.example.com/fr/?a;phpsessid=1", "http://a.org/fr/#t", "http://org/fr/login", "http://a.edu/login", "http://a.edu/login.php#x", "http://a.edu/logins", "http://a.edu/x?print=1&y", "http://a.edu/x?print=10", "a://b://c.net/", "http:///net/", "http://é.net/é?\n#utm_source=", "http://net./", "a?utm_source=1://h.com/p", "a#b://h.com/?utm_source=1", "http://example.net/en", "http://example.net/enough/", "http://example.net/en/%2Fx", "http://a.org/fr/" + "long/" * 260_000 + "?utm_medium=x", "http://a.edu/" + "x" * 1_200_000 + "?utm_medium=x"]
 
 
 def test_odd_urls(spark):
@@ -37,6 +37,11 @@ def test_rules_are_filed_under_their_rarest_token(spark):
     rules = urls.rule_table(spark, [("block", "ads.example.com/")], [("p", "x", ("zeta", "com"))])
     tokens = spark.createDataFrame([("example",)] * 3 + [("com",)] * 5 + [("ads",)], "token string")
     assert {r.rule: r.token for r in urls.index_rules(rules, tokens).collect()} == {"ads.example.com/": "ads", None: "zeta"}
+    # A path's token counts if the rule itself ends it.
+    paths = urls.rule_table(spark, [("allow", "example.net/en/"), ("allow", "example.com/de"), ("block", "org/a-b/Cc/d")], [])
+    assert {r.rule: r.tokens for r in paths.collect()} == {"example.net/en/": ["example", "net", "en"], "example.com/de": ["example", "com"], "org/a-b/Cc/d": ["org", "a", "b", "cc"]}
+    rare = spark.createDataFrame([("example",)] * 3 + [("net",)] * 5 + [("en",)], "token string")
+    assert {r.token for r in urls.index_rules(paths.filter("rule = 'example.net/en/'"), rare).collect()} == {"en"}
     with pytest.raises(ValueError):
         urls.rule_table(spark, [], [("everything", "x|y", ())])
 
