@@ -88,10 +88,13 @@ def indexed(prints: DataFrame, print_: str) -> DataFrame:
     return prints.select("*", F.posexplode(print_).alias("block", "value"))
 
 
+#: All values of a block within ``PROBE`` bits of zero: 988 of them.
+MASKS = [x for x in range(1 << WIDE) if x.bit_count() <= PROBE]
+
+
 def probed(prints: DataFrame, print_: str) -> DataFrame:
     """``indexed``, with every value within ``PROBE`` bits of each block's: 988 rows a block, for the few items only."""
-    masks = F.expr(f"filter(sequence(0, {(1 << WIDE) - 1}), x -> bit_count(x) <= {PROBE})")
-    return indexed(prints, print_).withColumn("mask", F.explode(masks)).withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
+    return indexed(prints, print_).withColumn("mask", F.explode(F.lit(MASKS))).withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
 
 
 def _differing(a: str, b: str) -> list[Column]:
