@@ -11,8 +11,12 @@ content:
   point-wise mutual information log(N * n(t, e) / (n(t) * n(e))); e itself carries
   log(N / n(e)). A term that reveals at least ``GENERALISE`` of what the entity carries
   is replaced by a general word in the lines that hold the entity, one that reveals at
-  least ``REMOVE`` is taken out. All four counts are of different contexts, so that
-  copies of a document prove nothing and hide nothing, and no entity is too rare.
+  least ``REMOVE`` is taken out, if the two meet more often than chance explains: over all
+  pairs that are compared, or as many as there are contexts, ``CHANCE`` such findings are
+  expected of unrelated words (Chernoff's bound on a Poisson count). So a word that was
+  seen once says nothing about what stands beside it. All four counts are of different contexts, so that copies of a
+  document prove nothing and hide nothing; an entity that was seen once is hidden itself,
+  and the words around it stay.
 
 Defined cases: null text counts as empty and has no spans; equal rows get equal
 results; null ids stay; extra columns are ignored or stay as they are, whatever their
@@ -41,6 +45,8 @@ KINDS = ("email", "ip", "card", "phone")
 SECRET_BITS, BITS_A_CHARACTER = 100, 4
 GENERALISE = 0.75
 REMOVE = 0.95
+#: Pairs of unrelated words and entities that may be found together by chance, over the whole corpus.
+CHANCE = 0.05
 #: A line of more words than this is taken in pieces of so many, so that one endless line isn't one context.
 CONTEXT_WORDS = 64
 
@@ -230,7 +236,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.R
 
 
 def disclosing(seen: DataFrame, docs: DataFrame) -> DataFrame:
-    """entity, term, share: the terms that reveal at least ``GENERALISE`` of an entity."""
+    """entity, term, share: the terms that reveal at least ``GENERALISE`` of an entity, beyond chance."""
     lines = seen.select("entity", "context", "terms").dropDuplicates(["entity", "context"])
     n_e = lines.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     n_te = lines.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"))
@@ -245,6 +251,9 @@ def disclosing(seen: DataFrame, docs: DataFrame) -> DataFrame:
     n = F.lit(float(total["n_t"]) if total else 0.0)
     share = (F.log(n * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(n / F.col("n_e"))).alias("share")
     told = pairs.join(n_t, "term").filter(n > F.col("n_e"))  # what stands in every context tells nothing
+    expected = F.col("n_t") * F.col("n_e") / n
+    evidence = F.col("n_te") * F.log(F.col("n_te") / expected) - F.col("n_te") + expected
+    told = told.filter((F.col("n_te") > expected) & (evidence >= F.log(F.greatest(F.lit(float(pairs.count())), n) / CHANCE)))
     return told.select("entity", "term", share).filter(F.col("share") >= GENERALISE)
 
 

@@ -64,7 +64,7 @@ def test_whole_table(spark, sf):
 def test_disclosing_terms(spark):
     """A word that stands in an address's lines only is taken out there; one that stands everywhere stays."""
     rows = [(i, f"Falconridge met staff at {p} with a@x.example here number{i}\nthe rest of it {i}") for i, p in enumerate(["noon", "dusk", "dawn", "night"])]
-    rows += [(10 + i, f"met staff here with the rest line {i}\nand more staff met {i}") for i in range(40)]
+    rows += [(100 + i, f"met staff here with the rest line {i}\nand more staff met {i}") for i in range(400)]
     rows += [(60, "Falconridge alone"), (61, None), (62, ""), (None, "a@x.example"), (0, rows[0][1])]
     df = spark.createDataFrame([(a, b, 1) for a, b in rows], "doc_id long, text string, entity int").repartition(3)
     # Plain counts.
@@ -76,7 +76,9 @@ def test_disclosing_terms(spark):
         if "@" in x:
             held.add(x)
     n_te = Counter(w for x in held for w in terms(x))
-    expect = {w for w, k in n_te.items() if math.log(n * k / (n_t[w] * len(held))) / math.log(n / len(held)) >= pii.GENERALISE}
+    by_chance = {w: n_t[w] * len(held) / n for w in n_te}
+    sure = lambda w, k: k > by_chance[w] and k * math.log(k / by_chance[w]) - k + by_chance[w] >= math.log(max(len(n_te), n) / pii.CHANCE)
+    expect = {w for w, k in n_te.items() if sure(w, k) and math.log(n * k / (n_t[w] * len(held))) / math.log(n / len(held)) >= pii.GENERALISE}
     got = defaultdict(set)
     texts = dict(rows)
     for r in pii.find(df).collect():
@@ -84,10 +86,10 @@ def test_disclosing_terms(spark):
             kind, a, b = s.split(":")
             if kind == "term":
                 got[r.doc_id].add(texts[r.doc_id][int(a) : int(b)].lower())
-    assert expect == {"falconridge"} | (expect - {"staff", "met"})
+    assert expect == {"falconridge", "number"}  # noon, dusk and dawn were seen once
     for i in range(4):
         assert got[i] == {w for w in expect if w in terms(rows[i][1].split("\n")[0])}
-    assert set(got) == {0, 1, 2, 3} and "noon" in got[0]
+    assert set(got) == {0, 1, 2, 3}
     clean = {(r.doc_id, r.text) for r in pii.sanitise(df).collect()}
     assert (60, "Falconridge alone") in clean and (61, None) in clean and (62, "") in clean and (None, "[EMAIL]") in clean
     assert not any("a@x" in (t or "") for _, t in clean)
@@ -116,6 +118,33 @@ def test_pieces_of_a_long_line_count_alike(spark):
     assert "falconridge" not in found and all(v <= 1 for v in found.values())
 
 
+def test_planted_terms_go_and_harmless_words_stay(spark):
+    """Code names that stand beside one address each, four times over, and everything else around addresses in sf0.01."""
+    import random
+
+    rng = random.Random(12)
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    names = ["".join(rng.choices("bcdfghjklmnpqrstvwxz", k=9)) for _ in range(60)]
+    planted = [(10**6 + 10 * i + j, f"{rng.choice(docs[j * 7][1].split())} {name} wrote to box{i}@mail{i}.example about item {i} of list {j}") for i, name in enumerate(names) for j in range(4)]
+    df = spark.createDataFrame(docs + planted, "doc_id long, text string").repartition(4)
+    texts, hit, around, marked = dict(docs + planted), 0, 0, 0
+    for r in pii.find(df).collect():
+        spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in filter(None, r.spans.split(",")))]
+        terms = {(a, b) for k, a, b in spans if k == "term"}
+        if r.doc_id >= 10**6:
+            hit += any(texts[r.doc_id][a:b] == names[(r.doc_id - 10**6) // 10] for a, b in terms)
+            continue
+        held = [(a, b) for k, a, b in spans if k != "term"]
+        for m in re.finditer(r"[^\n]+", texts[r.doc_id] or ""):
+            inside = [(a, b) for a, b in held if m.start() <= a < m.end()]
+            if inside:
+                words = [w for w in re.finditer(r"[^\W\d_]{3,}", m[0]) if not any(a < m.start() + w.end() and m.start() + w.start() < b for a, b in inside)]
+                around += len(words)
+                marked += sum((m.start() + w.start(), m.start() + w.end()) in terms for w in words)
+    print(f"{hit} of {len(planted)} planted terms, {marked} of {around} harmless words")
+    assert hit >= 0.9 * len(planted) and around > 1000 and marked <= 0.05 * around
+
+
 def test_an_entity_in_every_context(spark):
     assert shares(spark, [f"met here at a@x.example {i}" for i in range(5)]) == {}
 
@@ -155,8 +184,8 @@ def test_sanitised_secrets_and_clashing_names(spark):
     df = spark.createDataFrame([(a, b, 1, [2], "x", len(b)) for a, b in rows], "doc_id long, text string, row_key int, risky array<int>, h_key string, n_chars long")
     got = {r.doc_id: r for r in pii.sanitise(df).collect()}
     assert pii.sanitise(df).columns == df.columns and len(got) == len(rows)
-    # Both the key and the words that stand beside it alone.
-    assert KEY not in got[900].text and "zebrafinch" not in got[900].text and got[900].n_chars == len(got[900].text)
+    # The key goes; a word that was seen once, beside it, tells nothing about it.
+    assert KEY not in got[900].text and "zebrafinch" in got[900].text and got[900].n_chars == len(got[900].text)
     assert got[901].text == dict(rows)[901] and got[5].text == dict(rows)[5] and got[5].risky == [2]
 
 
