@@ -5,8 +5,9 @@ scored by their worst cut into two parts: occurrences times all words, over the
 of the parts' occurrences.
 
 1. Words, then pairs of frequent words, are counted by hash; the keys with at least
-   ``LEAST`` occurrences make two bit filters of bounded size. An n-gram that is frequent
-   passes with all its words and pairs, so the filters only ever let too much pass.
+   ``LEAST`` occurrences make bit filters of bounded size: of words, of pairs, and of words
+   that have a frequent pair. A phrase that is frequent passes with all its words and
+   pairs, so the filters only ever let too much pass.
 2. Each task builds a count transducer from its n-grams in sorted order, block by block,
    unites them as it goes, and writes it in slices: a row for each first word with all
    that follows it, or, if the corpus has many frequent pairs with that word (``WIDE``),
@@ -134,17 +135,20 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _passes(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    place = key & U64(8 * len(bits) - 1)
+    place = (key ^ (key >> U64(37))) & U64(8 * len(bits) - 1)
     return (bits[place >> U64(3)] >> (place & U64(7)).astype(np.uint8)) & 1 > 0
 
 
+def _short(key: np.ndarray) -> np.ndarray:
+    """A word's half of a pair's key."""
+    return key >> U64(32)
+
+
 def _pairs(block: Block, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Whether each word passes; whether it and the next one of its piece do; the pairs' keys."""
+    """The words' keys; whether each word and the next one of its piece pass; the pairs' keys, made of a half of each."""
     key = block.keys()
     passes = _passes(words, key)
-    # The upper half of a pair's key is that of its first word's.
-    pair = (key[:-1] & U64(0xFFFFFFFF00000000)) | (mix(key[:-1] * U64(0x9E3779B97F4A7C15) + key[1:]) >> U64(32))
-    return passes, block.follows[:-1] & passes[:-1] & passes[1:], pair
+    return key, block.follows[:-1] & passes[:-1] & passes[1:], (_short(key[:-1]) << U64(32)) | _short(key[1:])
 
 
 def _pair_counts(batches: Iterator[pa.RecordBatch], words) -> Iterator[pa.RecordBatch]:
@@ -158,7 +162,7 @@ def bit_filter(keys: DataFrame) -> np.ndarray:
     """Bits that hold every key (column ``key``), ``BITS_EACH`` for each, ``MOST_BITS`` at most."""
     n = keys.agg(F.count(F.lit(1))).first()[0]
     size = min(max(LEAST_BITS, 1 << (BITS_EACH * n).bit_length()), MOST_BITS)
-    spot = keys.select(F.col("key").bitwiseAND(size - 1).alias("x"))
+    spot = keys.select(F.col("key").bitwiseXOR(F.shiftrightunsigned("key", 37)).bitwiseAND(size - 1).alias("x"))
     rows = spot.groupBy(F.expr("x div 32768").alias("k")).agg(F.expr("bitmap_construct_agg(x % 32768)").alias("bits")).collect()  # MOST_BITS / 32768 rows at most
     out = np.zeros(size // 8, np.uint8)
     for r in rows:
@@ -166,11 +170,11 @@ def bit_filter(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def ngrams_of(block: Block, words: np.ndarray, pairs: np.ndarray) -> Transducer:
-    """The block's n-grams of words and pairs that pass: language, then words."""
-    passes, both, key = _pairs(block, words)
-    both &= _passes(pairs, key)
-    at = np.flatnonzero(passes)
+def ngrams_of(block: Block, words: np.ndarray, pairs: np.ndarray, paired: np.ndarray) -> Transducer:
+    """The block's words that have frequent pairs and its n-grams of pairs that pass: language, then words."""
+    key, both, pair = _pairs(block, words)
+    both &= _passes(pairs, pair)
+    at = np.flatnonzero(_passes(paired, _short(key)))
     vocabulary, number = numbered(pa.concat_arrays([block.langs, block.vocabulary]))
     lang, word = number[: len(block.langs)][block.lang], number[len(block.langs) :][block.word]
     out = Transducer(vocabulary)
@@ -196,7 +200,7 @@ def slices(t: Transducer, wide: np.ndarray) -> Iterator[pa.RecordBatch]:
     n = len(t.label[1])
     if not n:
         return
-    is_wide = _passes(wide, keys_of(t.vocabulary, t.label[0][t.parent[1]], t.vocabulary, t.label[1]) >> U64(32)) if len(t.label) > 2 else np.zeros(n, bool)
+    is_wide = _passes(wide, _short(keys_of(t.vocabulary, t.label[0][t.parent[1]], t.vocabulary, t.label[1]))) if len(t.label) > 2 else np.zeros(n, bool)
     pairs = np.flatnonzero(is_wide[t.parent[2]]) if len(t.label) > 2 else np.zeros(0, np.int64)
     deep = range(2, len(t.label))
     sizes = [len(t.label[d]) for d in deep]
@@ -260,11 +264,11 @@ def transducer_of(rows: pa.RecordBatch) -> Transducer:
     return out
 
 
-def _shards(batches: Iterator[pa.RecordBatch], words, pairs, wide) -> Iterator[pa.RecordBatch]:
+def _shards(batches: Iterator[pa.RecordBatch], words, pairs, paired, wide) -> Iterator[pa.RecordBatch]:
     """A task's transducer, in slices."""
     parts: list[Transducer] = []
     for block in _blocks(batches):
-        parts.append(ngrams_of(block, words.value, pairs.value))
+        parts.append(ngrams_of(block, words.value, pairs.value, paired.value))
         if sum(map(len, parts)) > ARCS:
             parts = [union(parts)]
             if len(parts[0]) > ARCS // 2:
@@ -311,9 +315,11 @@ def counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     met = docs.mapInArrow(lambda b: _pair_counts(b, words), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     frequent = saved(met.filter(F.col("n") >= least).select("key"), "pairs")
     pairs = spark.sparkContext.broadcast(bit_filter(frequent))
-    firsts = frequent.groupBy(F.shiftrightunsigned("key", 32).alias("key")).agg(F.count(F.lit(1)).alias("k"))
+    first, second = F.shiftrightunsigned("key", 32), F.col("key").bitwiseAND((1 << 32) - 1)
+    paired = spark.sparkContext.broadcast(bit_filter(saved(frequent.select(F.explode(F.array(first, second)).alias("key")).distinct(), "paired")))
+    firsts = frequent.groupBy(first.alias("key")).agg(F.count(F.lit(1)).alias("k"))
     wide = spark.sparkContext.broadcast(bit_filter(firsts.filter(F.col("k") >= WIDE)))
-    shards = saved(docs.mapInArrow(lambda b: _shards(b, words, pairs, wide), SLICE), "shards")
+    shards = saved(docs.mapInArrow(lambda b: _shards(b, words, pairs, paired, wide), SLICE), "shards")
     ranges = shards.repartitionByRange("lang", "first", "second").sortWithinPartitions("lang", "first", "second")
     return saved(ranges.mapInArrow(lambda b: _united(b, least, wide), SLICE).filter(F.col("n") >= least), "counts"), totals
 
