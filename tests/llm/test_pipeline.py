@@ -1,12 +1,13 @@
 """Each stage of the pipeline on what the one before kept, and components against a plain union-find."""
 
+import os
 import random
 import re
 from collections import Counter
 
 import corpus_pipeline
 from pagewright.llm import pii, quality
-from pagewright.llm.common import saved
+from pagewright.llm.common import clear, saved, shared_folder, written
 from pagewright.llm.components import components
 from pagewright.llm.tokens import Encoder, vocabulary
 from tests.llm.test_decontaminate import brute as leaks
@@ -78,6 +79,19 @@ def test_run_of_an_empty_corpus(spark, sf, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_what_a_run_writes_is_removed(spark, sf, tmp_path):
+    """``clear`` takes all tables that a run left in the shared folder, and nothing that was there before."""
+    few = spark.read.parquet(f"{sf}/documents.parquet").limit(30)
+    few.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    folder = shared_folder(spark).removeprefix("file://")
+    kept = saved(few, "kept")
+    before, since = set(os.listdir(folder)), written()
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0 and set(os.listdir(folder)) > before
+    clear(spark, since)
+    assert set(os.listdir(folder)) == before and kept.count() == few.count()
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5), (2000, 2001), (2001, 2000)]
