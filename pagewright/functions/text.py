@@ -132,6 +132,7 @@ def literal_kind(text: Column) -> Column:
 
 
 def literal_values(text: Column) -> dict[str, Column]:
-    """A literal's kind, and its value in the column of its kind: int_value (up to 38 digits), float_value, json_value (normal form), string_value."""
-    kind, bare = literal_kind(text), F.regexp_replace(F.trim(text), "_", "")
-    return {"kind": kind, "int_value": F.when(kind == "int", bare.try_cast("decimal(38,0)")), "float_value": F.when(kind == "float", bare.try_cast("double")), "json_value": F.when(kind == "json", F.to_json(F.try_parse_json(text))), "string_value": F.when(kind == "string", text)}
+    """A literal's kind, and its value in the column of its kind: int_value (up to 38 digits) and int_text (any number of them, without leading zeros), float_value, json_value (normal form), string_value."""
+    kind, bare = literal_kind(text), F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), "_", "")
+    digits = F.regexp_replace(F.regexp_replace(bare, r"^([+-]?)0+(?=[0-9])", "$1"), r"^\+|^-(?=0$)", "")
+    return {"kind": kind, "int_text": F.when(kind == "int", digits), "int_value": F.when(kind == "int", bare.try_cast("decimal(38,0)")), "float_value": F.when(kind == "float", bare.try_cast("double")), "json_value": F.when(kind == "json", F.to_json(F.try_parse_json(text))), "string_value": F.when(kind == "string", text)}

@@ -99,6 +99,13 @@ def barcode_texts(codes: DataFrame, images: DataFrame, image: str = "img_id", or
     return out.select(image, code.alias("code"), F.when(code == 100, F.col("__text")).when(code == 101, "No code in image.").otherwise(said).alias("text"))
 
 
+def barcode_pieces(texts: DataFrame, batch: Sequence[str], order: str = "img_id") -> DataFrame:
+    """What each image of ``barcode_texts`` adds to its batch's text, in a column ``piece``: its text, after a line end unless it is the first. A sink writes the pieces in order; no row holds a whole batch."""
+    first = numbered(texts.select(*batch, order), batch, [order], "__k")
+    met = texts.join(first, [*batch, order])
+    return met.withColumn("piece", F.concat(F.when(F.col("__k") > 1, "\n").otherwise(""), F.coalesce("text", F.lit("")))).drop("__k")
+
+
 def page_progress(results: DataFrame, first: str = "range_start", last: str = "range_end") -> DataFrame:
     """How far each page is in its document's range: k is its place there, with label and ratio."""
     k, n = F.col("page") - F.col(first) + 1, F.col(last) - F.col(first) + 1

@@ -32,6 +32,15 @@ def ignore_area_paged(spark, sf_dir):
     return filters.ignore_areas(counted, areas_of(spark, b), paged=True).select("doc_id", "page", "block_no")
 
 
+@query(f"SELECT doc_id, page, block_no FROM blocks b WHERE NOT EXISTS (SELECT 1 FROM {AREA_SQL} a WHERE {INSIDE}) AND score >= 0.6::DOUBLE AND text NOT LIKE '%.'", "blocks")
+def post_processed(spark, sf_dir):
+    """Blocks after a chain of three post-processors."""
+    b = derive.blocks(spark, sf_dir)
+    areas = areas_of(spark, b)
+    steps = (lambda x: filters.ignore_areas(x, areas), lambda x: x.filter(F.col("score") >= 0.6), lambda x: x.filter(~F.col("text").endswith(".")))
+    return filters.post_process(b, *steps).select("doc_id", "page", "block_no")
+
+
 @query("""SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN NULL ELSE 'an area needs two points' END AS error,
 CASE WHEN doc_id % 4 < 2 THEN doc_id::DOUBLE END AS x0, CASE WHEN doc_id % 4 < 2 THEN 2::DOUBLE END AS y0, CASE WHEN doc_id % 4 < 2 THEN doc_id + 3::DOUBLE END AS x1, CASE WHEN doc_id % 4 < 2 THEN 9::DOUBLE END AS y1 FROM documents""")
 def ignore_area_checked(spark, sf_dir):

@@ -47,6 +47,13 @@ def name_checks(spark, sf_dir):
     return derive.table(spark, sf_dir, "pages").select("page_id", name.alias("name")).select("page_id", t.illegal_name("name").alias("illegal"), t.safe_name("name").alias("safe"))
 
 
+@query(r"""SELECT doc_id, regexp_matches(name, '[\\/:*?"<>|]') AS illegal, md5(left(regexp_replace(trim(name, ' '), '[/:*?"<>|]', '_', 'g'), 255)) AS safe_md5 FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE regexp_replace(text, '[^A-Za-z ]', ' ', 'g') END AS name FROM documents)""")
+def whole_name_checks(spark, sf_dir):
+    """Whole texts as names, half of them with letters and spaces only, so that both verdicts occur."""
+    name = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.regexp_replace("text", "[^A-Za-z ]", " "))
+    return derive.table(spark, sf_dir, "documents").select("doc_id", name.alias("name")).select("doc_id", t.illegal_name("name").alias("illegal"), F.md5(t.safe_name("name")).alias("safe_md5"))
+
+
 @query(rf"""SELECT page_id, base, regexp_replace(path, '/?[^/]*$', '') AS folder, CASE WHEN regexp_matches(base, '^.+\.[^.]*$') THEN regexp_replace(base, '\.[^.]*$', '') ELSE base END AS stem, lower(regexp_extract(base, '.(\.[^.]*)$', 1)) AS extension FROM (SELECT page_id, path, list_last(string_split(path, '/')) AS base FROM {PATHS})""".replace("list_last(", "list_extract(").replace("'/'))", "'/'), -1)"))
 def path_parts(spark, sf_dir):
     return paths_of(spark, sf_dir).select("page_id", *[c.alias(k) for k, c in t.path_parts("path").items()])
@@ -68,20 +75,20 @@ def payload_text(spark, sf_dir):
     return derive.barcodes(spark, sf_dir).select("code_no", t.payload_text(F.col("content_type"), F.col("bytes")).alias("text"))
 
 
-KINDS = ("int", "float", "json", "string", "float", "string", "string", "float", "int", "json", "string", "json")
+KINDS = ("int", "float", "json", "string", "float", "string", "string", "float", "int", "json", "string", "json", "int")
 
 
 @query("""SELECT event_id, CASE WHEN x = floor(x) THEN floor(x)::BIGINT::VARCHAR ELSE x::VARCHAR END AS number, CASE k """ + " ".join(f"WHEN {i} THEN '{kind}'" for i, kind in enumerate(KINDS)) + """ END AS kind,
-CASE k WHEN 0 THEN -event_id WHEN 8 THEN 1000000 + event_id % 1000 END::DECIMAL(38, 0) AS int_value, CASE k WHEN 1 THEN event_id + 0.5 WHEN 4 THEN event_id * 1000 WHEN 7 THEN 0.25 END::DOUBLE AS float_value,
-CASE k WHEN 2 THEN '{"a":' || event_id || '}' WHEN 9 THEN '[1,null,"x"]' WHEN 11 THEN 'true' END AS json_value FROM (SELECT event_id, event_id % 12 AS k, (event_id % 1000) / 4::DOUBLE AS x FROM events)""")
+CASE k WHEN 0 THEN -event_id WHEN 8 THEN 1000000 + event_id % 1000 END::DECIMAL(38, 0) AS int_value, CASE k WHEN 0 THEN (-event_id)::VARCHAR WHEN 8 THEN (1000000 + event_id % 1000)::VARCHAR WHEN 12 THEN repeat('9', 40) || event_id END AS int_text, CASE k WHEN 1 THEN event_id + 0.5 WHEN 4 THEN event_id * 1000 WHEN 7 THEN 0.25 END::DOUBLE AS float_value,
+CASE k WHEN 2 THEN '{"a":' || event_id || '}' WHEN 9 THEN '[1,null,"x"]' WHEN 11 THEN 'true' END AS json_value FROM (SELECT event_id, event_id % 13 AS k, (event_id % 1000) / 4::DOUBLE AS x FROM events)""")
 def coerced_values(spark, sf_dir):
     """Literals that are whole numbers, numbers, JSON, or only look like them."""
     e = derive.table(spark, sf_dir, "events")
-    k, n = F.col("event_id") % 12, F.col("event_id").cast("string")
-    literals = (F.concat(F.lit("-"), n), F.concat(n, F.lit(".5")), F.concat(F.lit('{"a": '), n, F.lit("}")), F.concat(F.lit("v"), n), F.concat(n, F.lit("e3")), F.lit("{bad}"), F.lit("[1,,2]"), F.lit(" .25 "), F.concat(F.lit("1_000_"), F.lpad((F.col("event_id") % 1000).cast("string"), 3, "0")), F.lit(' [1, null, "x"]'), F.lit("1__0"), F.lit("true"))
+    k, n = F.col("event_id") % 13, F.col("event_id").cast("string")
+    literals = (F.concat(F.lit("-"), n), F.concat(n, F.lit(".5")), F.concat(F.lit('{"a": '), n, F.lit("}")), F.concat(F.lit("v"), n), F.concat(n, F.lit("e3")), F.lit("{bad}"), F.lit("[1,,2]"), F.lit(" .25 "), F.concat(F.lit("1_000_"), F.lpad((F.col("event_id") % 1000).cast("string"), 3, "0")), F.lit(' [1, null, "x"]'), F.lit("1__0"), F.lit("true"), F.concat(F.lit("+00" + "9" * 40), n))
     literal = reduce(lambda a, i: F.when(k == i, literals[i]).otherwise(a), range(len(literals)), F.lit(None).cast("string"))
     values = t.literal_values(literal)
-    return e.select("event_id", t.whole_number((F.col("event_id") % 1000).cast("double") / 4).alias("number"), *[values[c].alias(c) for c in ("kind", "int_value", "float_value", "json_value")])
+    return e.select("event_id", t.whole_number((F.col("event_id") % 1000).cast("double") / 4).alias("number"), *[values[c].alias(c) for c in ("kind", "int_value", "int_text", "float_value", "json_value")])
 
 
 @query("SELECT doc_id, page, list_extract(string_split(path, '/'), -1) || ' - ' || page AS label FROM page_results", "page_results")

@@ -57,9 +57,12 @@ def page_errors(spark, sf_dir):
     return results.document_codes(parts_of(spark, sf_dir)).select("doc_id", "page", "message")
 
 
-@query("""SELECT img_id, code, CASE code WHEN 100 THEN t WHEN 101 THEN 'No code in image.' ELSE '[Error] Code: ' || code || chr(10) || 'Message: ' || CASE code WHEN 202 THEN 'no image' ELSE '【Error】' || found || '组二维码解码失败。' || chr(10) || 'Failed to decode ' || found || ' sets of QR codes.' END END AS text FROM (
+BARCODE_TEXT = """SELECT img_id, code, CASE code WHEN 100 THEN t WHEN 101 THEN 'No code in image.' ELSE '[Error] Code: ' || code || chr(10) || 'Message: ' || CASE code WHEN 202 THEN 'no image' ELSE '【Error】' || found || '组二维码解码失败。' || chr(10) || 'Failed to decode ' || found || ' sets of QR codes.' END END AS text FROM (
 SELECT img_id, found, t, CASE WHEN img_id % 41 = 0 THEN 202 WHEN coalesce(found, 0) = 0 THEN 101 WHEN ok = 0 THEN 102 ELSE 100 END AS code FROM (SELECT page_id AS img_id FROM pages) LEFT JOIN (
-SELECT img_id, count(*) AS found, count(*) FILTER (valid) AS ok, string_agg(code_no || ':' || content_type, chr(10) ORDER BY code_no) FILTER (valid) AS t FROM (SELECT * REPLACE (code_no % 13 <> 0 AND img_id % 7 <> 0 AS valid) FROM barcodes) GROUP BY img_id) USING (img_id))""", "barcodes")
+SELECT img_id, count(*) AS found, count(*) FILTER (valid) AS ok, string_agg(code_no || ':' || content_type, chr(10) ORDER BY code_no) FILTER (valid) AS t FROM (SELECT * REPLACE (code_no % 13 <> 0 AND img_id % 7 <> 0 AS valid) FROM barcodes) GROUP BY img_id) USING (img_id))"""
+
+
+@query(BARCODE_TEXT, "barcodes")
 def barcode_text(spark, sf_dir):
     """Images by page, some of them unreadable, some with codes that are all invalid."""
     codes = derive.barcodes(spark, sf_dir).withColumns({"valid": F.col("valid") & (F.col("img_id") % 7 != 0), "text": F.concat(F.col("code_no").cast("string"), F.lit(":"), "content_type")})
@@ -68,6 +71,13 @@ def barcode_text(spark, sf_dir):
     return results.barcode_texts(codes, images)
 
 
+@query(f"SELECT img_id, CASE WHEN row_number() OVER (PARTITION BY img_id % 5 ORDER BY img_id) > 1 THEN chr(10) ELSE '' END || text AS piece FROM ({BARCODE_TEXT})", "barcodes")
+def barcode_batches(spark, sf_dir):
+    """The same for batches of images: what each adds to its batch's text."""
+    texts = barcode_text(spark, sf_dir).withColumn("batch", F.col("img_id") % 5)
+    return results.barcode_pieces(texts, ["batch"]).select("img_id", "piece")
+
+
 @query("""SELECT job_id, processed_count, pages_count, failed_count, processed_count = pages_count AS is_done, CASE WHEN processed_count = pages_count AND failed_count = 0 THEN 'success' WHEN processed_count = pages_count THEN 'failure' WHEN processed_count > 0 THEN 'running' ELSE 'waiting' END AS state FROM (
 SELECT p.job_id, count(r.code) AS processed_count, count(*) AS pages_count, count(*) FILTER (r.code NOT IN (100, 101)) AS failed_count FROM page_list p LEFT JOIN page_results r USING (doc_id, page) GROUP BY p.job_id)""", "page_results")
 def job_progress(spark, sf_dir):

@@ -29,6 +29,9 @@ def test_literals(spark):
         assert (r.kind, None if r.int_value is None else int(r.int_value), r.float_value) == want[r.v], r
         assert (r.json_value is None) == (r.kind != "json") and (r.string_value == r.v) == (r.kind == "string")
     assert spark.range(1).select(t.literal_kind(F.lit("NaN"))).first()[0] == "float"
+    whole = {"+" + "9" * 50: "9" * 50, "-000" + "1" * 60: "-" + "1" * 60, " 1_" + "0" * 45: "1" + "0" * 45, "-0": "0", "000": "0", "1.0": None}
+    got = spark.createDataFrame([(k,) for k in whole], "v string").select("v", t.literal_values(F.col("v"))["int_text"].alias("t"))
+    assert {r.v: r.t for r in got.collect()} == whole and all(v is None or int(v) == int(k) for k, v in whole.items())
 
 
 def test_points_given_twice_come_twice(spark):
@@ -45,6 +48,12 @@ def test_barcodes(spark):
     assert got[2][0] == 102 and got[2][1].startswith("[Error] Code: 102\nMessage: ") and "2" in got[2][1].split("Message: ")[1]
 
 
+def test_barcode_batches(spark):
+    texts = spark.createDataFrame([("a", 3, "x\ny"), ("a", 1, "first"), ("b", 2, None), ("a", 7, ""), ("b", 9, "z")], "batch string, img_id long, text string")
+    pieces = results.barcode_pieces(texts, ["batch"]).orderBy("batch", "img_id").collect()
+    assert {b: "".join(r.piece for r in pieces if r.batch == b) for b in "ab"} == {"a": "first\nx\ny\n", "b": "\nz"}
+
+
 def test_names_with_times(spark):
     at = F.timestamp_micros(F.lit(1_704_164_645_250_000))  # 2024-01-02 03:04:05.25
     show = lambda p: spark.range(1).select(t.formatted_time(at, p)).first()[0]
