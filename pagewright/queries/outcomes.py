@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from pagewright import derive
-from pagewright.operators import assembly, filters, results
+from pagewright.operators import filters, results
 from pagewright.queries.filtering import AREA_SQL, CLAMPED, INSIDE, areas_of
 from pagewright.registry import query
 from pagewright.storage import scratch
