@@ -400,3 +400,23 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
 
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
+
+
+def oracle() -> str:
+    """The same by counting every n-gram."""
+    leads = ", ".join(f"lead(word, {k}) OVER o AS w{k + 1}" for k in range(1, WORDS))
+    grams = " UNION ALL ".join(f"SELECT lang, {k} AS k, concat_ws(' ', {', '.join(f'w{i}' for i in range(1, k + 1))}) AS phrase FROM followed WHERE w{k} IS NOT NULL" for k in range(1, WORDS + 1))
+    return rf"""
+WITH pieces AS (SELECT coalesce(lang, '{NO_LANGUAGE}') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+cut AS (SELECT lang, row_number() OVER () AS piece_no, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda v: v <> '') AS w FROM pieces),
+words AS (SELECT lang, piece_no, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM cut),
+followed AS (SELECT lang, word AS w1, {leads} FROM words WINDOW o AS (PARTITION BY piece_no ORDER BY place)),
+totals AS (SELECT lang, count(*) AS n FROM words GROUP BY lang),
+grams AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM ({grams}) GROUP BY ALL HAVING count(*) >= {LEAST}),
+candidates AS MATERIALIZED (SELECT lang, phrase, string_split(phrase, ' ') AS w, k AS size, f AS a FROM grams WHERE k > 1),
+parted AS (SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:], ' ') AS tail FROM candidates, range(1, size) q(j)),
+scored AS (SELECT p.lang, p.phrase, a, j, x.f AS l, y.f AS r, n, ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score FROM parted p JOIN totals t ON t.lang = p.lang JOIN grams x ON x.lang = p.lang AND x.phrase = p.head JOIN grams y ON y.lang = p.lang AND y.phrase = p.tail),
+worst AS (SELECT lang, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS nth FROM scored) WHERE nth = 1),
+longer AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longest FROM candidates, range(2, size) q(m), range(1, size - m + 2) s(i) GROUP BY ALL),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM worst LEFT JOIN longer USING (lang, phrase) WHERE longest IS NULL OR 100 * longest < {PERCENT} * a)
+SELECT * FROM ranked WHERE rank <= {TOP}"""

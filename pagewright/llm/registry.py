@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewright.llm import urls
+from pagewright.llm import collocations, urls
 from pagewright.llm.alignment import op11_token_alignment
 from pagewright.llm.collocations import op13_phrase_collocations
 from pagewright.llm.decontaminate import op6_decontaminate
@@ -35,4 +35,4 @@ QUERIES = {
         op13_phrase_collocations,
     )
 }
-ORACLES: dict[str, str] = {"op2_url_filter": urls.oracle()}
+ORACLES: dict[str, str] = {"op2_url_filter": urls.oracle(), "op13_phrase_collocations": collocations.oracle()}

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -80,6 +81,16 @@ def test_odd_texts(spark, seed, arcs, block, wide, monkeypatch):
     assert len(want) > 60 and got(collocations.collocations(df, 6, 40)) == want
 
 
+def test_sql(sf):
+    """The query's SQL on odd rows and on a table, against the counts of all n-grams."""
+    con = duckdb.connect()
+    con.execute("set temp_directory = ''")
+    con.execute(f"create table documents as select lang, text from read_parquet('{sf}/documents.parquet')")
+    con.execute("insert into documents values (null, repeat('A b, c d ', 150)), ('und', repeat('a b' || chr(11) || 'É  x' || chr(9) || 'y; ', 120)), ('', null), (null, '')")
+    rows = con.execute("select lang, text from documents").fetchall()
+    assert sorted(con.execute(collocations.oracle()).fetchall()) == brute(rows, 100, 2000)
+
+
 def test_empty(spark):
     assert collocations.collocations(spark.createDataFrame([], "lang string, text string")).count() == 0
     assert collocations.collocations(spark.createDataFrame([(None, None), ("en", "one word only")], "lang string, text string")).count() == 0
