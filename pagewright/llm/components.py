@@ -3,7 +3,8 @@
 A large-star round ties every larger neighbour of a node to the least node it
 sees, a small-star round every smaller one; both keep the components and the
 rounds end when every component is a star around its least node. Each round is
-written to the shared folder. No links leave the executors.
+written to the shared folder. No links leave the executors; the joins are sort-merge joins,
+so that no table of nodes is gathered in the driver to be broadcast.
 """
 
 from __future__ import annotations
@@ -17,13 +18,13 @@ from pagewright.llm.common import saved
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "large")
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+    return both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = saved(down.groupBy("u").agg(F.min("v").alias("m")), "small")
-    tied = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
+    tied = down.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
     return tied.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 

@@ -18,6 +18,9 @@ main component with all that probe it, those inside with the probes of other com
 Components stay exact, as every pair within the radius is either compared or inside one
 component already.
 
+All joins are sort-merge joins: every table here grows with the corpus, and one whose file
+is just below the size that Spark broadcasts takes many times that in the driver.
+
 Equal texts, and different ones with equal fingerprints, are one fingerprint from the
 first step on.
 
@@ -114,38 +117,38 @@ def labelled(nodes: DataFrame) -> DataFrame:
     nodes = nodes.select("fp")
     leaders = _entries(nodes).groupBy("segment", "half").agg(F.min("fp").alias("leader"), F.count(F.lit(1)).alias("n"))
     # What finds a bucket; a fingerprint alone in its bucket finds nothing new there.
-    met = saved(_probes(nodes).join(leaders, ["segment", "half"]).filter((F.col("n") > 1) | (F.col("fp") != F.col("leader"))), "met")
+    met = saved(_probes(nodes).join(leaders.hint("merge"), ["segment", "half"]).filter((F.col("n") > 1) | (F.col("fp") != F.col("leader"))), "met")
     first = saved(components(met.filter((F.col("fp") != F.col("leader")) & _near("fp", "leader")).select(F.col("fp").alias("a"), F.col("leader").alias("b"))), "components")
-    label = saved(nodes.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label")), "labels")
+    label = saved(nodes.join(first.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label")), "labels")
 
     # Buckets of several, by component: the main one holds most of the bucket, of equal ones the least.
     several = met.filter("n > 1")
-    held = _entries(label, "label").join(several.select("segment", "half").distinct(), ["segment", "half"], "left_semi")
+    held = _entries(label, "label").join(several.select("segment", "half").distinct().hint("merge"), ["segment", "half"], "left_semi")
     held = saved(held, "held")
     sizes = held.groupBy("segment", "half", "label").agg(F.count(F.lit(1)).alias("k"))
     main = sizes.groupBy("segment", "half").agg(F.max(F.struct("k", (-F.col("label")).alias("less"), "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels"))
     main = saved(main, "main")
-    probes = several.select("fp", "segment", "half").join(main, ["segment", "half"]).join(label, "fp").filter((F.col("labels") > 1) | (F.col("label") != F.col("main")))
+    probes = several.select("fp", "segment", "half").join(main.hint("merge"), ["segment", "half"]).join(label.hint("merge"), "fp").filter((F.col("labels") > 1) | (F.col("label") != F.col("main")))
     probes = saved(probes.select("segment", "half", F.col("fp").alias("a"), F.col("label").alias("label_a"), "main"), "open")
-    mixed = held.join(main, ["segment", "half"]).select("segment", "half", F.col("fp").alias("b"), F.col("label").alias("label_b"), (F.col("label") == F.col("main")).alias("inner"))
+    mixed = held.join(main.hint("merge"), ["segment", "half"]).select("segment", "half", F.col("fp").alias("b"), F.col("label").alias("label_b"), (F.col("label") == F.col("main")).alias("inner"))
     apart = (F.col("label_a") != F.col("label_b")) & _near("a", "b")
-    outer = probes.join(mixed.filter("not inner"), ["segment", "half"]).filter(apart)
-    inner = probes.filter("label_a <> main").join(mixed.filter("inner"), ["segment", "half"]).filter(apart)
+    outer = probes.join(mixed.filter("not inner").hint("merge"), ["segment", "half"]).filter(apart)
+    inner = probes.filter("label_a <> main").join(mixed.filter("inner").hint("merge"), ["segment", "half"]).filter(apart)
     late = saved(outer.unionByName(inner).select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct(), "late")
     if late.isEmpty():
         return label
     joined = components(late).select(F.col("node").alias("label"), F.col("label").alias("whole"))
-    return label.join(joined, "label", "left").select("fp", F.coalesce("whole", "label").alias("label"))
+    return label.join(joined.hint("merge"), "label", "left").select("fp", F.coalesce("whole", "label").alias("label"))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id of the component, of every row."""
     rows = saved(fingerprinted(docs), "fingerprints")
     nodes = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    of_node = saved(labelled(nodes).join(nodes, "fp"), "members")
+    of_node = saved(labelled(nodes).join(nodes.hint("merge"), "fp"), "members")
     least = of_node.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = saved(of_node.select("fp", "label").join(least, "label").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = saved(of_node.select("fp", "label").join(least.hint("merge"), "label").select("fp", "component_id"), "named")
+    return rows.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,3 +95,20 @@ def test_slices_and_empty(spark, monkeypatch):
     assert np.array_equal(whole, simhash.fingerprints(data, offsets)) and whole[2] == 0
     assert int(whole[0]) == fingerprint(text.decode())
     assert simhash.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_no_table_is_broadcast(spark, monkeypatch):
+    """Tables of fingerprints grow with the corpus; just below the size that Spark broadcasts they would fill the driver."""
+    from pagewright.llm import components as stars
+
+    plans = []
+
+    def recorded(df, name, *more, of=simhash.saved):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return of(df, name, *more)
+
+    monkeypatch.setattr(simhash, "saved", recorded)
+    monkeypatch.setattr(stars, "saved", recorded)
+    docs = spark.createDataFrame([(i, f"a text of {i % 30} words that come again and again, {'x ' * (i % 7)}") for i in range(90)], "doc_id long, text string")
+    plans.append(simhash.near_copies(docs)._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 10 and not any("Broadcast" in p for p in plans)
