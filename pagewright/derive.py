@@ -22,10 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, seq, line_no, chunk_no, text: the pieces of a document that aren't blank, numbered from 0."""
+    # One pass over each line; a substring for each piece would count a long line's characters from its front every time.
     pieces = F.expr(
         f"""filter(flatten(transform(split(text, '\\n'), (line, i) ->
-              transform(sequence(0, greatest(cast(ceil(length(line) / {PIECE}) as int) - 1, 0)), k ->
-                named_struct('line_no', i, 'chunk_no', k, 'text', substring(line, k * {PIECE} + 1, {PIECE}))))),
+              transform(regexp_extract_all(line, '(?s).{{1,{PIECE}}}', 0), (s, k) ->
+                named_struct('line_no', i, 'chunk_no', k, 'text', s)))),
             p -> trim(p.text) <> '')"""
     )
     docs = table(spark, sf_dir, "documents")
@@ -82,9 +83,7 @@ def corners(df: DataFrame) -> DataFrame:
 def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks cut into groups of three words side by side: several blocks a line. line_id counts the lines of a page, frag_no the groups of a line."""
     b = blocks(spark, sf_dir)
-    words = F.expr("filter(split(text, ' '), w -> w <> '')")
-    b = b.withColumn("w", words).filter(F.size("w") > 0)
-    groups = F.expr("transform(sequence(0, cast((size(w) - 1) / 3 as int)), g -> array_join(slice(w, g * 3 + 1, 3), ' '))")
+    groups = F.regexp_extract_all(F.regexp_replace("text", " +", " "), F.lit("[^ ]+(?: [^ ]+){0,2}"), F.lit(0))
     b = b.select("job_id", "doc_id", "page", "block_no", "x0", "y0", "y1", "score", F.posexplode(groups).alias("frag_no", "text"))
     left = (F.col("x0") + 140 * F.col("frag_no")).alias("x0")
     return b.select("job_id", "doc_id", "page", F.col("block_no").alias("line_id"), "frag_no", left, (F.col("x0") + 140 * F.col("frag_no") + 7 * F.length("text")).alias("x1"), "y0", "y1", "score", "text")
