@@ -2,21 +2,25 @@
 
 Pages are independent, and every window and grouping here has the page's keys
 first, so that a chain of these steps shuffles once. What needs a fold with a state
-(rows, paragraph bodies) runs over a page's sorted blocks, many pages to an Arrow batch;
-all else are Spark's own functions.
+(rows with their gaps, paragraph bodies, lines of code) runs over a page's sorted blocks,
+many pages to an Arrow batch; all else are Spark's own functions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pagewright.functions.text import separator
+from pagewright.operators import groups
 
 PAGE = ("doc_id", "page")
 
@@ -28,21 +32,16 @@ def margins(blocks: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
 
 def _folded(rows: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], name: str, fold: Callable[..., list[int]], carry: Sequence[str] = ()) -> DataFrame:
     """keys, order, ``carry`` and a number of every row: ``fold`` gets the ``columns`` of one group's rows from top to bottom. Many groups come in a batch."""
-    held = list(dict.fromkeys(["y0", order, *columns, *carry]))
-    gathered = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*held))).alias("rows"))
+    held = list(dict.fromkeys([*keys, "y0", order, *columns, *carry]))
     schema = T.StructType([*(rows.schema[c] for c in keys), T.StructField(order, T.LongType()), *(rows.schema[c] for c in carry), T.StructField(name, T.IntegerType())])
 
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("rows")
-            flat, bounds = lists.flatten(), np.asarray(lists.offsets)
-            bounds = bounds - bounds[0]
-            sides = [flat.field(c).to_pylist() for c in columns]
-            numbers = [n for a, z in zip(bounds.tolist(), bounds[1:].tolist()) for n in fold(*(side[a:z] for side in sides))]
-            group = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(bounds)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(group) for k in keys), flat.field(order).cast(pa.int64()), *(flat.field(c) for c in carry), pa.array(numbers, pa.int32())], schema.names)
+        for batch, bounds in groups.whole(batches, keys):
+            sides = [batch.column(c).to_pylist() for c in columns]
+            numbers = [n for a, z in pairwise(bounds.tolist()) for n in fold(*(side[a:z] for side in sides))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), batch.column(order).cast(pa.int64()), *(batch.column(c) for c in carry), pa.array(numbers, pa.int32())], schema.names)
 
-    return gathered.mapInArrow(folded, schema)
+    return groups.dealt(rows.select(*held), keys, ["y0", order]).mapInArrow(folded, schema)
 
 
 def _row_numbers(y0: list[float], y1: list[float]) -> list[int]:
@@ -66,15 +65,40 @@ def page_rows(blocks: DataFrame, keys: Sequence[str] = PAGE, order: str = "block
 def row_gaps(blocks: DataFrame, keys: Sequence[str] = PAGE, order: str = "block_no") -> DataFrame:
     """Uncovered stretches of every row between the page's margins, from left to right; the last one always counts.
 
-    ``blocks`` has row.
+    Without a column row, rows are found on the way, in the same pass over a page's blocks.
     """
-    page = Window.partitionBy(*keys)
-    b = blocks.withColumns({"left": F.min("x0").over(page) - 1, "right": F.max("x1").over(page) + 1})
-    before = Window.partitionBy(*keys, "row").orderBy("x0", "x1", order).rowsBetween(Window.unboundedPreceding, -1)
-    b = b.withColumn("reach", F.greatest("left", F.coalesce(F.max("x1").over(before), F.col("left"))))
-    inner = b.filter(F.col("x0") > F.col("reach")).select(*keys, "row", F.col("reach").alias("gap_left"), F.col("x0").alias("gap_right"))
-    last = b.groupBy(*keys, "row").agg(F.max("x1").alias("gap_left"), F.first("right").alias("gap_right"))
-    return inner.unionByName(last)
+    known = "row" in blocks.columns
+    held = list(dict.fromkeys([*keys, *(("row",) if known else ("y0", "y1")), "x0", "x1", order]))
+    edge = blocks.select(F.greatest(F.col("x0") - 1, F.col("x1")).alias("e")).schema["e"].dataType
+    schema = T.StructType([*(blocks.schema[c] for c in keys), blocks.schema["row"] if known else T.StructField("row", T.IntegerType()), T.StructField("gap_left", edge), T.StructField("gap_right", edge)])
+
+    def gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, bounds in groups.whole(batches, keys):
+            if known:
+                row = batch.column("row").to_numpy(zero_copy_only=False)
+            else:
+                sides = [batch.column(c).to_pylist() for c in ("y0", "y1")]
+                row = np.array([n for a, z in pairwise(bounds.tolist()) for n in _row_numbers(*(side[a:z] for side in sides))])
+            page = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            x0, x1, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("x0", "x1", order))
+            left, right = np.minimum.reduceat(x0, bounds[:-1]) - 1, np.maximum.reduceat(x1, bounds[:-1]) + 1
+            by = np.lexsort((at, x1, x0, row, page))
+            page, row, x0, x1 = page[by], row[by], x0[by], x1[by]
+            first = np.flatnonzero(np.append(True, (page[1:] != page[:-1]) | (row[1:] != row[:-1])))
+            group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(row))))
+            # Running maxima by the ranks of right edges, each row's above those of the row before.
+            edges, rank = np.unique(x1, return_inverse=True)
+            reached = edges[np.maximum.accumulate(rank + group * len(edges)) - group * len(edges)]
+            reach = left[page]
+            inside = np.flatnonzero(np.append(False, group[1:] == group[:-1]))
+            reach[inside] = np.maximum(reach[inside], reached[inside - 1])
+            free, last = np.flatnonzero(x0 > reach), np.append(first[1:], len(row)) - 1
+            of = pa.array(bounds[page[np.append(free, last)]])
+            found = [row[np.append(free, last)], np.append(reach[free], reached[last]), np.append(x0[free], right[page[last]])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(of) for k in keys), *(pa.array(v).cast(t) for v, t in zip(found, types))], schema.names)
+
+    types = [to_arrow_type(f.dataType) for f in schema.fields[len(keys) :]]
+    return groups.dealt(blocks.select(*held), keys, ["row" if known else "y0", order]).mapInArrow(gaps, schema)
 
 
 def line_separators(fragments: DataFrame, keys: Sequence[str] = (*PAGE, "line_id"), order: str = "frag_no") -> DataFrame:
@@ -85,10 +109,13 @@ def line_separators(fragments: DataFrame, keys: Sequence[str] = (*PAGE, "line_id
     kept so that results stay the same.
     """
     w = Window.partitionBy(*keys).orderBy(order)
-    nx, ny, nt = F.lead("x0").over(w), F.lead("y1").over(w), F.lead("text").over(w)
+    return fragments.withColumn("sep", line_separator(F.lead("x0").over(w), F.lead("y1").over(w), F.lead("text").over(w)))
+
+
+def line_separator(nx: Column, ny: Column, nt: Column) -> Column:
+    """``line_separators`` from the neighbour's left edge, bottom and text; without an edge, by characters alone."""
     height = (F.col("y1") + ny - F.col("y0") - nx) * 0.5
-    sep = F.when(nt.isNull(), "\n").when(nx - F.col("x1") > height * 1.5, " ").otherwise(separator("text", nt))
-    return fragments.withColumn("sep", sep)
+    return F.when(nt.isNull(), "\n").when(nx - F.col("x1") > height * 1.5, " ").otherwise(separator("text", nt))
 
 
 def paragraph_bodies(lines: DataFrame, keys: Sequence[str], order: str = "block_no", tolerance: float = 1.2) -> DataFrame:
@@ -139,17 +166,34 @@ def line_envelopes(fragments: DataFrame, keys: Sequence[str] = (*PAGE, "line_id"
 
 def code_lines(fragments: DataFrame, keys: Sequence[str] = (*PAGE, "line_id"), order: str = "frag_no") -> DataFrame:
     """Lines of code: blocks side by side with two spaces for each running height between them; the envelope; the mean score."""
-    sorted_ = F.array_sort(F.collect_list(F.struct(order, "x0", "y0", "x1", "y1", "text", "score")))
-    def step(s, b):
-        h = (s["h"] + b["y1"] - b["y0"]) / 2
-        spaces = F.when(b["x0"] > s["x1"], F.rint((b["x0"] - s["x1"]) / h)).otherwise(0.0).cast("int")
-        return F.struct(F.least(s["x0"], b["x0"]).alias("x0"), F.least(s["y0"], b["y0"]).alias("y0"), F.greatest(s["x1"], b["x1"]).alias("x1"), F.greatest(s["y1"], b["y1"]).alias("y1"), h.alias("h"), F.concat(s["text"], F.repeat(F.lit("  "), spaces), b["text"]).alias("text"), (s["score"] + b["score"]).alias("score"))
-
-    gathered = fragments.groupBy(*keys).agg(sorted_.alias("__all"))
-    first, size = F.get("__all", F.lit(0)), F.size("__all")
-    start = F.struct(*[first[c].alias(c) for c in ("x0", "y0", "x1", "y1")], (first["y1"] - first["y0"]).alias("h"), first["text"].alias("text"), first["score"].alias("score"))
-    merged = gathered.withColumn("m", F.aggregate(F.slice("__all", 2, F.greatest(size - 1, F.lit(0))), start, step))
-    return merged.select(*keys, *[F.col(f"m.{c}").alias(c) for c in ("x0", "y0", "x1", "y1", "text")], (F.col("m.score") / size).alias("score"))
+    sides = ("x0", "y0", "x1", "y1", "score")
+    held = list(dict.fromkeys([*keys, order, *sides, "text"]))
+    schema = T.StructType([*(fragments.schema[c] for c in keys), *(T.StructField(c, T.DoubleType()) for c in sides[:4]), T.StructField("text", T.StringType()), T.StructField("score", T.DoubleType())])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, bounds in groups.whole(batches, keys):
+            x0, y0, x1, y1, score = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in sides)
+            first, size = bounds[:-1], np.diff(bounds)
+            box, h, total = [a[first] for a in (x0, y0, x1, y1)], y1[first] - y0[first], score[first]
+            spaces = np.zeros(batch.num_rows, np.int64)
+            lines, k = np.flatnonzero(size > 1), 1
+            while len(lines):  # the k-th blocks of all lines that have one
+                at = first[lines] + k
+                h[lines] = (h[lines] + y1[at] - y0[at]) / 2
+                gap = x0[at] - box[2][lines]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    wide = np.rint(gap / h[lines])
+                spaces[at] = np.where(gap > 0, np.clip(np.nan_to_num(wide), 0, 2**31 - 1), 0)
+                for n, (side, better) in enumerate(((x0, np.minimum), (y0, np.minimum), (x1, np.maximum), (y1, np.maximum))):
+                    box[n][lines] = better(box[n][lines], side[at])
+                total[lines] += score[at]
+                k += 1
+                lines = lines[size[lines] > k]
+            pieces = pc.binary_join_element_wise(pc.binary_repeat(pa.array(["  "] * batch.num_rows), pa.array(spaces)), batch.column("text"), "")
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pieces), "")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(first)) for c in keys), *map(pa.array, box), text, pa.array(total / size)], schema.names)
+
+    return groups.dealt(fragments.select(*held), keys, [order]).mapInArrow(merged, schema)
 
 
 def indented(lines: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:

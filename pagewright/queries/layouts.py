@@ -42,7 +42,7 @@ def page_rows(spark, sf_dir):
 seen AS (SELECT *, greatest(l, coalesce(max(x1) OVER (PARTITION BY doc_id, page, "row" ORDER BY x0, x1, block_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), l)) AS reach FROM placed)
 SELECT doc_id, page, "row", reach AS gap_left, x0 AS gap_right FROM seen WHERE x0 > reach UNION ALL SELECT doc_id, page, "row", max(x1), max(z) FROM placed GROUP BY doc_id, page, "row" """, "blocks")
 def row_gaps(spark, sf_dir):
-    return layout.row_gaps(layout.page_rows(derive.blocks(spark, sf_dir), carry=("x0", "x1")))
+    return layout.row_gaps(derive.blocks(spark, sf_dir))
 
 
 @query(f"""SELECT doc_id, page, line_id, frag_no, CASE WHEN nt IS NULL THEN chr(10) WHEN nx - x1 > (y1 + ny - y0 - nx) * 0.5::DOUBLE * 1.5::DOUBLE THEN ' ' ELSE {sep_sql('text', 'nt')} END AS sep FROM (
