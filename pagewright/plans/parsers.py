@@ -1,9 +1,10 @@
 """The eight layout parsers: blocks in, blocks in reading order with separators out.
 
 A parser turns pages upright, finds the order of its blocks and what parts them.
-Order-dependent steps run page by page in one ``mapInArrow`` over pages gathered
-as arrays (see ``page_layout``) that shares its shuffle with the windows before it; separators are
-window expressions after it, which cost a second one. Input: the page's keys (doc_id and page, or
+Order-dependent steps run page by page in one ``mapInArrow`` over whole pages (see
+``page_layout``) that shares its shuffle with the windows before it. It also tells each block
+what follows it, so that separators are plain expressions after it; only ``multi_none`` takes
+a window for them. Input: the page's keys (doc_id and page, or
 any others of any types), block_no, corners px..sy, text, score.
 Output: the keys, block_no, seq (reading order from 0), region, line, para,
 text, sep. Pages whose texts are all empty give no rows.
@@ -12,16 +13,18 @@ text, sep. Pages whose texts are all empty give no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagewright.functions.geometry import upright
 from pagewright.functions.text import separator
-from pagewright.operators import layout
+from pagewright.operators import groups, layout
 from pagewright.plans.page_layout import Boxes, lines, paragraphs, regions
 
 PAGE = ("doc_id", "page")
@@ -64,32 +67,79 @@ def envelope(b: Boxes, line: list[int]) -> tuple[float, float, float, float]:
     return b.x0[line[0]], top, max(top, b.x1[last]), max(top, b.y1[last])
 
 
-def _laid_out(batches: Iterator[pa.RecordBatch], how, with_paragraphs: bool, keys: Sequence[str]) -> Iterator[pa.RecordBatch]:
-    """Blocks in reading order from pages that hold their blocks from top to bottom; many pages to a batch."""
-    for batch in batches:
-        pages = batch.column("blocks")
-        blocks, bounds = pages.flatten(), np.asarray(pages.offsets)
-        bounds = (bounds - bounds[0]).tolist()
-        sides = [blocks.field(c).to_pylist() for c in ("x0", "y0", "x1", "y1")]
+#: What a row knows of the one that its separator parts it from: its left edge and bottom if that is a block of the same line, and its first character.
+FOLLOWING = {"__nx": "double", "__ny": "double", "__after": "string"}
+
+
+def _in_paragraph(page: np.ndarray, line: np.ndarray, para: np.ndarray, y0: np.ndarray) -> np.ndarray:
+    """The place of the block below in its paragraph, or -1. Blocks come by page and seq."""
+    by = np.lexsort((np.arange(len(page)), y0, para, page))
+    return _chained(by, (page, para))
+
+
+def _chained(by: np.ndarray, same: Sequence[np.ndarray]) -> np.ndarray:
+    out = np.full(len(by), -1, np.int64)
+    goes_on = np.logical_and.reduce([c[by[1:]] == c[by[:-1]] for c in same])
+    out[by[:-1][goes_on]] = by[1:][goes_on]
+    return out
+
+
+def _in_line(page: np.ndarray, line: np.ndarray, para: np.ndarray, y0: np.ndarray) -> np.ndarray:
+    return _chained(np.arange(len(page)), (page, line))
+
+
+def _in_page(page: np.ndarray, line: np.ndarray, para: np.ndarray, y0: np.ndarray) -> np.ndarray:
+    return _chained(np.arange(len(page)), (page,))
+
+
+def _in_lines_of_paragraph(page: np.ndarray, line: np.ndarray, para: np.ndarray, y0: np.ndarray) -> np.ndarray:
+    """The next block of the line; from a line's last block, the first one of its paragraph's next line, by the lines' tops."""
+    out = _in_line(page, line, para, y0)
+    first = np.flatnonzero(np.append(True, (page[1:] != page[:-1]) | (line[1:] != line[:-1])))
+    by = np.lexsort((line[first], np.minimum.reduceat(y0, first), para[first], page[first]))
+    below = _chained(by, (page[first], para[first]))
+    last = np.append(first[1:], len(page)) - 1
+    out[last] = np.where(below < 0, -1, first[below])
+    return out
+
+
+def _laid_out(batches: Iterator[pa.RecordBatch], how, with_paragraphs: bool, keys: Sequence[str], following=None) -> Iterator[pa.RecordBatch]:
+    """Blocks in reading order from pages that come block by block; many pages to a batch."""
+    for batch, bounds in groups.whole(batches, keys):
+        by = np.lexsort((*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("block_no", "y0")), np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))))
+        batch = batch.take(pa.array(by))  # from top to bottom
+        sides = [batch.column(c).to_pylist() for c in ("x0", "y0", "x1", "y1")]
         found: list[list[int]] = [[], [], [], [], [], []]  # page, place, seq, region, line, para
-        for k, (first, last) in enumerate(zip(bounds, bounds[1:])):
+        for k, (first, last) in enumerate(pairwise(bounds.tolist())):
             order, *of = how(Boxes(*(side[first:last] for side in sides)), with_paragraphs)
             for column, values in zip(found, ([k] * len(order), [first + i for i in order], range(len(order)), *of)):
                 column += values
-        page, place = pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())
-        columns = {c: pa.array(v, pa.int32()) for c, v in zip(("seq", "region", "line", "para"), found[2:])}
-        columns |= {c: blocks.field(c).take(place) for c in COLUMNS if c not in columns}
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(page) for c in keys), *(columns[c] for c in COLUMNS)], [*keys, *COLUMNS])
-
-
-def _ordered(blocks: DataFrame, how, with_paragraphs: bool, keys: Sequence[str]) -> DataFrame:
-    """A row a page, gathered where the page's windows were, then a call for many pages."""
+        page, place, *numbers = (np.array(c, np.int64) for c in found)
+        columns = {c: pa.array(v, pa.int32()) for c, v in zip(("seq", "region", "line", "para"), numbers)}
+        columns |= {c: batch.column(c).take(pa.array(place)) for c in COLUMNS if c not in columns}
+        if following:
+            line, para = numbers[2], numbers[3]
+            after = following(page, line, para, columns["y0"].to_numpy(zero_copy_only=False))
+            at = pa.array(after, mask=after < 0)
+            beside = pa.array(after, mask=(after < 0) | (line[after] != line) | (page[after] != page))
+            columns |= {"__nx": columns["x0"].take(beside), "__ny": columns["y1"].take(beside), "__after": pc.utf8_slice_codeunits(columns["text"].take(at), 0, 1)}
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(place)) for c in keys), *columns.values()], [*keys, *columns]).select([*keys, *COLUMNS, *(FOLLOWING if following else ())])
+
+
+def _ordered(blocks: DataFrame, how, with_paragraphs: bool, keys: Sequence[str], following=None) -> DataFrame:
+    """Pages as the windows over them leave them, then a call for many of them. With ``following`` each row knows the one after it."""
     flat = upright(blocks, keys).select(*keys, F.col("block_no").cast("long").alias("block_no"), "x0", "y0", "x1", "y1", "text", "score")
-    down = F.array_sort(F.collect_list(F.struct("y0", "block_no", "x0", "x1", "y1", "text", "score")))
     schema = T.StructType([flat.schema[c] for c in keys])
-    for field in T.StructType.fromDDL(ORDERED):
+    for field in T.StructType.fromDDL(ORDERED + "".join(f", {c} {t}" for c, t in FOLLOWING.items() if following)):
         schema.add(field)
-    return flat.groupBy(*keys).agg(down.alias("blocks")).mapInArrow(lambda b: _laid_out(b, how, with_paragraphs, keys), schema)
+    # The windows have dealt and sorted pages by their keys, so that this moves and sorts nothing.
+    return flat.sortWithinPartitions(*keys).mapInArrow(lambda b: _laid_out(b, how, with_paragraphs, keys, following), schema)
+
+
+def _parted(ordered: DataFrame, by_gap: bool = True) -> DataFrame:
+    """sep of rows that know the one after them: as in lines where that stands beside them, else by characters; a line end if there is none."""
+    sep = layout.line_separator(F.col("__nx"), F.col("__ny"), F.col("__after")) if by_gap else F.when(F.col("__after").isNull(), "\n").otherwise(separator("text", "__after"))
+    return ordered.withColumn("sep", sep).drop(*FOLLOWING)
 
 
 def _next(column: str, keys: Sequence[str]) -> Column:
@@ -103,9 +153,7 @@ def none(blocks: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
 
 def multi_para(blocks: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     """Columns, and natural paragraphs within them."""
-    out = _ordered(blocks, _columns, True, keys)
-    after = F.lead("text").over(Window.partitionBy(*keys, "para").orderBy("y0", "seq"))
-    return out.withColumn("sep", F.when(after.isNull(), "\n").otherwise(separator("text", after)))
+    return _parted(_ordered(blocks, _columns, True, keys, _in_paragraph), by_gap=False)
 
 
 def multi_line(blocks: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
@@ -119,19 +167,14 @@ def multi_none(blocks: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     return _ordered(blocks, _columns, False, keys).withColumn("sep", F.when(after.isNull(), "\n").otherwise(separator("text", after)))
 
 
-def _line_seps(ordered: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return layout.line_separators(ordered, (*keys, "line"), "seq")
-
-
 def single_line(blocks: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     """One column of lines."""
-    return _line_seps(_ordered(blocks, _single, False, keys), keys)
+    return _parted(_ordered(blocks, _single, False, keys, _in_line))
 
 
 def single_none(blocks: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     """One column, lines joined."""
-    after = _next("text", keys)
-    return single_line(blocks, keys).withColumn("sep", F.when(after.isNull() | (F.col("sep") != "\n"), F.col("sep")).otherwise(separator("text", after)))
+    return _parted(_ordered(blocks, _single, False, keys, _in_page))
 
 
 def single_para(blocks: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
@@ -140,16 +183,7 @@ def single_para(blocks: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     Neighbours in a paragraph are by the envelopes' tops, which is the lines' order
     but for lines whose later boxes stand higher than their first.
     """
-    out = _line_seps(_ordered(blocks, _single, True, keys), keys)
-    line = Window.partitionBy(*keys, "line")
-    out = out.withColumn("__top", F.min("y0").over(line))
-    first = F.first("text").over(line.orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    out = out.withColumns({"__first": first, "__end": F.col("seq") == F.max("seq").over(line)})
-    # The next line's first text, seen from each line's last block.
-    ends = Window.partitionBy(*keys, "para", "__end").orderBy("__top", "line")
-    after = F.lead("__first").over(ends)
-    sep = F.when(~F.col("__end"), F.col("sep")).when(after.isNull(), "\n").otherwise(separator("text", after))
-    return out.withColumn("sep", sep).drop("__top", "__first", "__end")
+    return _parted(_ordered(blocks, _single, True, keys, _in_lines_of_paragraph))
 
 
 def single_code(blocks: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
