@@ -206,7 +206,7 @@ def task_outcomes(spark, sf_dir):
 
 
 def streamed(spark, events, cuts, change):
-    """The rows that ``change`` makes of a stream of ``events``, which come in as many batches as ``cuts`` part, one run for the first and one for the others."""
+    """The rows that ``change`` makes of a stream of ``events``, which come in as many batches as ``cuts`` part, a run for each: a batch may have any number of files."""
     came, seen, checkpoint = scratch(spark, "events"), scratch(spark, "changes"), scratch(spark, "states")
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
@@ -215,11 +215,10 @@ def streamed(spark, events, cuts, change):
         times = [F.lit(t).cast("timestamp") for t in cuts]
         for i in range(len(cuts) + 1):
             part = events.filter(F.col("ts") >= times[i - 1]) if i else events
-            (part.filter(F.col("ts") < times[i]) if i < len(cuts) else part).coalesce(1).write.mode("append").parquet(came)
-            if i in (0, len(cuts)):
-                stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(came)
-                q = change(stream).writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("append").parquet(seen)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-                q.awaitTermination()
+            (part.filter(F.col("ts") < times[i]) if i < len(cuts) else part).write.mode("append").parquet(came)
+            stream = spark.readStream.schema(events.schema).parquet(came)
+            q = change(stream).writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("append").parquet(seen)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+            q.awaitTermination()
     finally:
         spark.conf.set(name, before)
     return spark.read.parquet(seen)

@@ -63,8 +63,9 @@ def live_progress(results: DataFrame, job: str = "job_id") -> DataFrame:
 
 def _in_order(rows: Iterator[pd.DataFrame], *columns: str) -> Iterator[tuple]:
     """A key's events of one batch by time, then number."""
-    events = pd.concat(list(rows)).sort_values(["micros", "event_id"], kind="stable")
-    return events[list(columns)].itertuples(index=False, name=None)
+    events = [e for frame in rows for e in zip(*(frame[c].tolist() for c in ("micros", "event_id", *columns)))]
+    events.sort(key=lambda e: e[:2])
+    return (e[2:] for e in events)
 
 
 class JobStates(StatefulProcessor):
@@ -84,8 +85,9 @@ class JobStates(StatefulProcessor):
         self.state = handle.getValueState("job", "state string, pages long, ended long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.state.exists()
-        state, pages, ended = self.state.get() if known else ("waiting", 0, None)
+        stored = self.state.get()  # None for a new job; every call is a round trip
+        known = stored is not None
+        state, pages, ended = stored or ("waiting", 0, None)
         out = []
         for ts, action in _in_order(rows, "micros", "action"):
             if ended is not None and self.keep is not None and ts >= ended + self.keep:
@@ -110,8 +112,10 @@ class JobStates(StatefulProcessor):
                 pages += 1
             if state != before:
                 out.append((key[0], ts, state, pages))
-        self.state.update((state, pages, ended))
-        yield pd.DataFrame(out, columns=["job_id", "micros", "state", "pages_done"])
+        if stored is None or tuple(stored) != (state, pages, ended):
+            self.state.update((state, pages, ended))
+        if out:
+            yield pd.DataFrame(out, columns=["job_id", "micros", "state", "pages_done"])
 
     def _timer(self, ended: int) -> int:
         """Milliseconds, not before the time itself."""
@@ -157,7 +161,21 @@ class TaskStates(StatefulProcessor):
         self.taken = handle.getMapState("taken", "task long", "micros long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self.state.get()[0] if self.state.exists() else "waiting"
+        stored = self.state.get()
+        state = stored[0] if stored else "waiting"
+        # What the batch changes is kept here and stored at its end: every call is a round trip.
+        new: dict[int, int] = {}
+        gone: set[int] = set()
+        asked: dict[int, bool] = {}
+
+        def held(task: int) -> bool:
+            """Whether the task is in hand from batches before this one."""
+            if stored is None or task in gone:
+                return False
+            if task not in asked:
+                asked[task] = self.taken.containsKey((task,))
+            return asked[task]
+
         out = []
         for ts, action, task in _in_order(rows, "micros", "action", "task"):
             if state == "ended":
@@ -167,18 +185,29 @@ class TaskStates(StatefulProcessor):
             elif action == "pause" and state == "running":
                 state = "paused"
             elif action == "take" and state == "running":
-                self.taken.updateValue((int(task),), (ts,))
-            elif action == "done" and state in ("running", "paused") and self.taken.containsKey((int(task),)):
+                new[int(task)] = ts
+            elif action == "done" and state in ("running", "paused") and (int(task) in new or held(int(task))):
                 out.append((key[0], int(task), ts, "done" if state == "running" else "again", None))
                 if state == "running":
-                    self.taken.removeKey((int(task),))
+                    if held(int(task)):
+                        gone.add(int(task))
+                    new.pop(int(task), None)
             elif action in ENDS:
                 state = "ended"
                 out.append((key[0], None, ts, *ENDS[action]))
-                out += [(key[0], int(t[0]), ts, "dropped", None) for t in self.taken.keys()]
-                self.taken.clear()
-        self.state.update((state,))
-        yield pd.DataFrame(out, columns=self.COLUMNS).astype({"task": "Int64"})
+                before = {int(t[0]) for t in self.taken.keys()} if stored else set()
+                out += [(key[0], t, ts, "dropped", None) for t in sorted((before - gone) | new.keys())]
+                if before:
+                    self.taken.clear()
+                new, gone = {}, set()
+        for task in gone - new.keys():
+            self.taken.removeKey((task,))
+        for task, ts in new.items():
+            self.taken.updateValue((task,), (ts,))
+        if stored is None or stored[0] != state:
+            self.state.update((state,))
+        if out:
+            yield pd.DataFrame(out, columns=self.COLUMNS).astype({"task": "Int64"})
 
     def close(self) -> None:
         pass
