@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.storage import clear, saved, scratch, shared_folder, written
+from pagewright.storage import clear, saved, scratch, shared_folder, small_batches, written
 
 
 __all__ = ["arrow_rows", "clear", "lower_ascii", "plain", "quoted", "row_key", "saved", "scratch", "shared_folder", "small_batches", "table", "unused", "written"]
@@ -18,17 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows go to Python tasks in batches of about so many bytes, unless the session has a limit of its own.
-BATCH_BYTES = 4 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bounds what a Python task and its JVM hold at a time by bytes; a row count bounds nothing where texts are long."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, None) is None:
-        spark.conf.set(name, BATCH_BYTES)
-
-
 @contextmanager
 def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
     """Python stages planned and run inside get at most so many rows at a time: for rows that are large or come in pairs."""

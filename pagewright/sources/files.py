@@ -1,11 +1,11 @@
-"""Files as they are: a sink of exact bytes under any names and in any code page, and a listing by folder.
+"""Files as they are: a sink of exact bytes under any names and in any code page, a listing by folder, and whole contents.
 
 Spark's own text writer makes a folder for each value of a column, ends every text with
-a line end and writes UTF-8. This data source takes rows of (file, text, encoding), those
-of one file next to each other, and writes each file as it is to be. A task writes into
-a folder of its own attempt; when all tasks are through, the files are moved to their
-names, so that a reader never sees a part of a failed run and an attempt that is repeated
-leaves nothing behind.
+a line end and writes UTF-8. Here tasks take rows of (file, text, encoding), those of one
+file next to each other, and write each file as it is to be, into a folder of their own
+attempt. When all tasks are through, other tasks move the files of the attempts that
+counted to their names, so that a reader never sees a part of a failed run and an attempt
+that is repeated leaves nothing behind. The driver sees a folder for each task, no file.
 """
 
 from __future__ import annotations
@@ -13,23 +13,15 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-FORMAT = "pagewright_files"
-#: Moves that run at a time when a run is committed.
-MOVES = 16
-
-
-@dataclass
-class Written(WriterCommitMessage):
-    folder: str  # of the task's attempt
+#: A task that reads contents hands on about so many bytes at a time.
+READ_BYTES = 4 << 20
 
 
 def _place(path: str) -> tuple[pafs.FileSystem, str]:
@@ -38,64 +30,60 @@ def _place(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
 
 
-class FilesWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path.rstrip("/")
-        self.run = f"_temporary-{uuid.uuid4().hex}"
-
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        fs, root = _place(self.path)
-        folder = f"{root}/{self.run}/{uuid.uuid4().hex}"
-        fs.create_dir(folder, recursive=True)
-        name, out, made = None, None, {folder}
-        for batch in iterator:
-            for file, text, encoding in zip(*(batch.column(c).to_pylist() for c in ("file", "text", "encoding"))):
-                if file != name:
-                    if out is not None:
-                        out.close()
-                    target = f"{folder}/{file}"
-                    parent = target.rpartition("/")[0]
-                    if parent not in made:
-                        fs.create_dir(parent, recursive=True)
-                        made.add(parent)
-                    name, out = file, fs.open_output_stream(target, compression=None)
-                out.write((text or "").encode(encoding or "utf-8"))
-        if out is not None:
-            out.close()
-        return Written(folder)
-
-    def commit(self, messages: list[Written | None]) -> None:
-        fs, root = _place(self.path)
-        for m in messages:
-            if m is None:
-                continue
-            files = [f.path for f in fs.get_file_info(pafs.FileSelector(m.folder, recursive=True)) if f.type == pafs.FileType.File]
-            names = [f[len(m.folder) + 1 :] for f in files]
+def _attempt(batches: Iterator[pa.RecordBatch], run: str) -> Iterator[pa.RecordBatch]:
+    """Writes a task's files into a new folder, and names it."""
+    fs, root = _place(run)
+    folder = f"{root}/{uuid.uuid4().hex}"
+    name, out, made = None, None, set()
+    for batch in batches:
+        for file, text, encoding in zip(*(batch.column(c).to_pylist() for c in ("file", "text", "encoding"))):
+            if file != name:
+                if out is not None:
+                    out.close()
+                target = f"{folder}/{file}"
+                parent = target.rpartition("/")[0]
+                if parent not in made:
+                    fs.create_dir(parent, recursive=True)
+                    made.add(parent)
+                name, out = file, fs.open_output_stream(target, compression=None)
+            out.write((text or "").encode(encoding or "utf-8"))
+    if out is not None:
+        out.close()
+        yield pa.RecordBatch.from_pydict({"folder": [folder]})
+
+
+def _moved(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Moves the files of attempts to their places. A task that runs again goes on where the first one ended."""
+    fs, root = _place(path)
+    for batch in batches:
+        for folder in batch.column("folder").to_pylist():
+            files = [f.path for f in fs.get_file_info(pafs.FileSelector(folder, recursive=True)) if f.type == pafs.FileType.File]
+            names = [f[len(folder) + 1 :] for f in files]
             for parent in {n.rpartition("/")[0] for n in names}:
                 fs.create_dir(f"{root}/{parent}" if parent else root, recursive=True)
-            with ThreadPoolExecutor(MOVES) as pool:
-                list(pool.map(lambda x: fs.move(x[0], f"{root}/{x[1]}"), zip(files, names)))
-        fs.delete_dir(f"{root}/{self.run}") if fs.get_file_info(f"{root}/{self.run}").type == pafs.FileType.Directory else None
-
-    def abort(self, messages: list[Written | None]) -> None:
-        fs, root = _place(self.path)
-        if fs.get_file_info(f"{root}/{self.run}").type == pafs.FileType.Directory:
-            fs.delete_dir(f"{root}/{self.run}")
-
-
-class Files(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return FORMAT
-
-    def writer(self, schema: StructType, overwrite: bool) -> FilesWriter:
-        return FilesWriter(self.options["path"])
+            for file, name in zip(files, names):
+                try:
+                    fs.move(file, f"{root}/{name}")
+                except FileNotFoundError:  # another attempt of this task has moved it
+                    if fs.get_file_info(f"{root}/{name}").type != pafs.FileType.File:
+                        raise
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(files)], pa.int64())})
 
 
 def write_files(rows: DataFrame, path: str) -> None:
     """Rows (file, text, encoding) to the files they name under ``path``. The rows of a file have to lie next to each other in one task; of several rows the texts follow each other. A null encoding is UTF-8; a file of that name that exists is replaced."""
-    rows.sparkSession.dataSource.register(Files)
-    rows.select("file", "text", "encoding").write.format(FORMAT).mode("append").save(path)
+    path = path.rstrip("/")
+    run = f"{path}/_temporary-{uuid.uuid4().hex}"
+    spark = rows.sparkSession
+    try:
+        # What a failed or repeated attempt wrote isn't among the results.
+        folders = [tuple(r) for r in rows.select("file", "text", "encoding").mapInArrow(lambda b: _attempt(b, run), "folder string").collect()]
+        if folders:
+            spark.createDataFrame(folders, "folder string").repartition(len(folders)).mapInArrow(lambda b: _moved(b, path), "n long").collect()
+    finally:
+        fs, root = _place(run)
+        if fs.get_file_info(root).type == pafs.FileType.Directory:
+            fs.delete_dir(root)
 
 
 LISTING = "pagewright_listing"
@@ -150,3 +138,38 @@ def list_files(spark: SparkSession, paths: str | Sequence[str], recursive: bool
     spark.dataSource.register(Listing)
     names = [paths] if isinstance(paths, str) else list(paths)
     return spark.read.format(LISTING).option("paths", json.dumps([p.rstrip("/") for p in names])).option("recursive", str(recursive).lower()).load()
+
+
+def spread(files: DataFrame) -> DataFrame:
+    """A listing dealt out over all tasks by path, however few folders it comes from and however small its rows are."""
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+
+
+def open_file(path: str) -> pa.NativeFile:
+    fs, root = _place(path)
+    return fs.open_input_stream(root, compression=None)
+
+
+def read_files(spark: SparkSession, paths: str | Sequence[str], recursive: bool = True) -> DataFrame:
+    """path, length, content of all files under some folders, empty ones too. Tasks read them; Spark's own reader has the driver list every file and passes over empty ones."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: list[str] = []
+        contents: list[bytes] = []
+        size = 0
+
+        def ready() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"path": pa.array(names, pa.string()), "length": pa.array([len(c) for c in contents], pa.int64()), "content": pa.array(contents, pa.binary())})
+
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                with open_file(path) as file:
+                    contents.append(file.read())
+                names.append(path)
+                size += len(contents[-1]) + 200
+                if size > READ_BYTES:
+                    yield ready()
+                    names, contents, size = [], [], 0
+        yield ready()
+
+    return spread(list_files(spark, paths, recursive).select("path")).mapInArrow(read, "path string, length long, content binary")

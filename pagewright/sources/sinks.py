@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -126,8 +126,10 @@ def single_name(path: str, name: str, beside_source: bool) -> Column:
 def write_single(results: DataFrame, path: str, ignore_blank: bool = True, order: str = "seq") -> None:
     """One file a page at ``out_name`` under ``path``, byte for byte its text, empty for a blank page. Of pages with one name the last one stays."""
     texts = lines_single(results.select("*", F.col(order).alias("__at")), ignore_blank, "__at")
-    last = texts.groupBy("out_name").agg(F.max_by("value", "__at").alias("text"))
-    write_files(last.select(F.col("out_name").alias("file"), "text", F.lit("utf-8").alias("encoding")), path)
+    # Texts are sorted once, after they have moved; an aggregate of strings would sort them before as well.
+    after = F.lead(F.lit(1)).over(Window.partitionBy("out_name").orderBy("__at"))
+    last = texts.withColumn("__more", after).filter("__more IS NULL")
+    write_files(last.select(F.col("out_name").alias("file"), F.col("value").alias("text"), F.lit("utf-8").alias("encoding")), path)
 
 
 #: Fixed value: the header of a table.

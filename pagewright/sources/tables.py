@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
@@ -15,8 +16,13 @@ from pyspark.sql.streaming import StreamingQuery
 from pagewright.functions.text import separator
 from pagewright.operators.assembly import joined
 from pagewright.operators.filters import DOCUMENT_SUFFIXES, IMAGE_SUFFIXES
-from pagewright.sources.files import list_files
+from pagewright.operators.order import numbered
+from pagewright.sources.files import list_files, open_file, spread
 from pagewright.sources.sinks import HEADER
+from pagewright.storage import small_batches, temporary
+
+#: Rows of a table, or blocks, that a task hands on at a time.
+ROWS = 4096
 
 #: One block of a recognised page, as results carry it.
 BLOCK = T.StructType([T.StructField("box", T.ArrayType(T.ArrayType(T.DoubleType()))), T.StructField("text", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("end", T.StringType())])
@@ -44,15 +50,27 @@ def watch_files(spark: SparkSession, folder: str, family: str = "image", each: i
     return _of_family(found.select(F.translate("path", "\\", "/").alias("path"), "length", F.col("modificationTime").alias("modified")), family)
 
 
-def discover(found: DataFrame, take: Callable[[DataFrame, int], None], checkpoint: str, progressed: Callable[[int, int, str | None], None] | None = None) -> StreamingQuery:
+def discover(found: DataFrame, take: Callable[[DataFrame, int], None], checkpoint: str, progressed: Callable[[int, int, str | None], None] | None = None, every: int | None = None) -> StreamingQuery:
     """Runs a stream of found files to its end. ``take`` gets each batch and its number; ``progressed`` then gets the batch's number, how many files have been found so far, and the last path of the batch.
 
     A batch is counted while it is taken, by an observation of its rows, not by reading it again.
+    With ``every``, progress is told in steps of so many files (by path; a batch's last one may
+    have fewer), numbered over all batches: a stream may take many steps in one batch, which costs far less
+    than a batch for each.
     """
-    so_far = 0
+    so_far = step = 0
 
     def handle(batch: DataFrame, number: int) -> None:
-        nonlocal so_far
+        nonlocal so_far, step
+        if every and progressed:
+            take(batch, number)
+            with temporary(batch.sparkSession):
+                steps = numbered(batch.select("path"), [], ["path"], "place").groupBy(F.floor((F.col("place") - 1) / every).alias("step")).agg(F.count(F.lit(1)).alias("n"), F.max("path").alias("last")).collect()
+            for r in sorted(steps, key=lambda r: r["step"]):
+                so_far += r["n"]
+                progressed(step, so_far, r["last"])
+                step += 1
+            return
         seen = Observation()
         take(batch.observe(seen, F.count(F.lit(1)).alias("n"), F.max("path").alias("last")), number)
         so_far += seen.get["n"]
@@ -69,15 +87,18 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_tables(spark: SparkSession, path: str, encodings: DataFrame, job: str = "job_id") -> DataFrame:
-    """The rows of CSV tables as ``sinks.write_csv`` leaves them, each job's files by the encoding that ``encodings`` has for it; headers are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    coded = files.select(F.regexp_extract("path", rf"/{job}=([^/]*)/", 1).alias("job"), "content").join(encodings.select(F.col(job).cast("string").alias("job"), "encoding"), "job")
+    """The rows of CSV tables as ``sinks.write_csv`` leaves them, each job's files by the encoding that ``encodings`` has for it; headers are left out. Files are read as streams, ``ROWS`` rows at a time, whatever their size."""
+    files = spread(list_files(spark, path).select("path"))
+    coded = files.select("path", F.regexp_extract("path", rf"/{job}=([^/]*)/", 1).alias("job")).join(encodings.select(F.col(job).cast("string").alias("job"), "encoding").hint("broadcast"), "job")
 
     def parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        csv.field_size_limit(2**31 - 1)
         for frame in frames:
-            for name, content, encoding in zip(frame["job"], frame["content"], frame["encoding"]):
-                rows = [[name, *r] for r in csv.reader(io.StringIO(content.decode(encoding), newline="")) if r != list(HEADER)]
-                yield pd.DataFrame(rows, columns=["job", *HEADER])
+            for name, path, encoding in zip(frame["job"], frame["path"], frame["encoding"]):
+                with open_file(path) as file:
+                    rows = ([name, *r] for r in csv.reader(io.TextIOWrapper(file, encoding=encoding, newline="")) if r != list(HEADER))
+                    while some := list(islice(rows, ROWS)):
+                        yield pd.DataFrame(some, columns=["job", *HEADER])
 
     out = coded.mapInPandas(parsed, "job string, " + ", ".join(f"{c} string" for c in HEADER))
     return out.select(F.col("job").cast(encodings.schema[job].dataType).alias(job), *HEADER)
@@ -123,8 +144,8 @@ def recognise(files: DataFrame, load: Callable[[], Callable[[bytes], list[dict]]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         recogniser = load()
+        columns, rows = ["path", "code", "message", "block_no", "text", "score", "x0", "y0", "x1", "y1"], []
         for frame in frames:
-            rows = []
             for path, content in zip(frame["path"], frame["content"]):
                 try:
                     found = recogniser(content)
@@ -132,6 +153,10 @@ def recognise(files: DataFrame, load: Callable[[], Callable[[bytes], list[dict]]
                     rows.append((path, 902, f"[Error] {error}", None, None, None, None, None, None, None))
                     continue
                 rows += [(path, 100, None, i, b["text"], b["score"], b["x0"], b["y0"], b["x1"], b["y1"]) for i, b in enumerate(found)] or [(path, 101, None, None, None, None, None, None, None, None)]
-            yield pd.DataFrame(rows, columns=["path", "code", "message", "block_no", "text", "score", "x0", "y0", "x1", "y1"])
+                if len(rows) >= ROWS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+        yield pd.DataFrame(rows, columns=columns)
 
+    small_batches(files.sparkSession)
     return files.select("path", "content").mapInPandas(run, "path string, code int, message string, block_no double, text string, score double, x0 double, y0 double, x1 double, y1 double").withColumn("block_no", F.col("block_no").cast("int"))
