@@ -63,9 +63,13 @@ def discover(found: DataFrame, take: Callable[[DataFrame, int], None], checkpoin
     def handle(batch: DataFrame, number: int) -> None:
         nonlocal so_far, step
         if every and progressed:
-            take(batch, number)
-            with temporary(batch.sparkSession):
-                steps = numbered(batch.select("path"), [], ["path"], "place").groupBy(F.floor((F.col("place") - 1) / every).alias("step")).agg(F.count(F.lit(1)).alias("n"), F.max("path").alias("last")).collect()
+            kept = batch.persist()  # paths, sizes and times; the files are looked at once
+            try:
+                take(kept, number)
+                with temporary(batch.sparkSession):
+                    steps = numbered(kept.select("path"), [], ["path"], "place").groupBy(F.floor((F.col("place") - 1) / every).alias("step")).agg(F.count(F.lit(1)).alias("n"), F.max("path").alias("last")).collect()
+            finally:
+                kept.unpersist()
             for r in sorted(steps, key=lambda r: r["step"]):
                 so_far += r["n"]
                 progressed(step, so_far, r["last"])
