@@ -56,12 +56,15 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int, length: int)
             flat, at = encoder(path).encode_column(texts, end)
             small = flat.astype("<u2") if not len(flat) or flat.max() < 65536 else flat
             n = len(texts)
-            sums, rests, leads = [], [], []
+            sums, rests, ahead = [], [], []
             for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
                 whole = (j - i) // length * length
                 sums.append([zlib.crc32(flat[k : k + length]) for k in range(i, i + whole, length)])
                 rests.append(small[i + whole : j].tobytes())
-                leads.append(np.stack(np.unique(small[i : i + whole], return_counts=True)).astype("<u4").tobytes() if whole else b"")
+                ahead.append(small[i : i + whole])
+            doc, term, count, _ = counted(ahead, by_term=False)
+            both, bounds = np.stack((term, count)).astype("<u4"), np.searchsorted(doc, np.arange(n + 1)).tolist()
+            leads = [both[:, i:j].tobytes() for i, j in zip(bounds, bounds[1:])]
             yield pa.RecordBatch.from_pydict({**{c: batch.column(c).slice(first, n) for c in ("doc_id", "shard_key", "row_no")}, "doc_tokens": pa.array(np.diff(at)), "sums": pa.array(sums, pa.list_(pa.int64())), "rest": pa.array(rests, pa.binary()), "lead": pa.array(leads, pa.binary())})
             first += n
 
@@ -71,23 +74,37 @@ def counted(rests: list[np.ndarray], leads: list[np.ndarray] | None = None, by_t
 
     ``leads``: terms (first row) and counts of what each document has before its rest.
     """
-    size = np.array([len(r) for r in rests], np.int64)
-    terms, counts = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
-    for k, rest in enumerate(rests):
-        # Ids below 2**16 sort by digits, far faster than one sort of all documents.
-        term, tf = np.unique(rest, return_counts=True)
-        if leads and leads[k].shape[1]:
-            size[k] += int(leads[k][1].sum(dtype=np.int64))
-            term, back = np.unique(np.concatenate((term.astype("<u4"), leads[k][0])), return_inverse=True)
-            tf = np.bincount(back, np.concatenate((tf, leads[k][1]))).astype(np.int64)
-        terms.append(term)
-        counts.append(tf)
-    doc = np.repeat(np.arange(len(rests)), [len(t) for t in terms[1:]])
-    term = np.concatenate(terms).astype(np.int64)
-    if not by_term:
-        return doc, term, np.concatenate(counts), size
-    order = np.argsort(term.astype("<u2") if not len(term) or term.max() < 65536 else term, kind="stable")
-    return doc[order], term[order], np.concatenate(counts)[order], size
+    size = np.fromiter(map(len, rests), np.int64, len(rests))
+    doc, term = np.repeat(np.arange(len(rests)), size), _joined(rests)
+    count = None
+    if leads and any(x.shape[1] for x in leads):
+        ahead, more = np.array([x.shape[1] for x in leads], np.int64), _joined([x[1] for x in leads])
+        end, before = np.cumsum(ahead), np.append(0, np.cumsum(more, dtype=np.int64))
+        size = size + before[end] - before[end - ahead]
+        count = np.concatenate((np.ones(len(term), np.uint32), more.astype(np.uint32)))
+        doc, term = np.concatenate((doc, np.repeat(np.arange(len(leads)), ahead))), np.concatenate((term, _joined([x[0] for x in leads])))
+    # Document and term as one number, in the order asked for: sorting numbers of 32 bits is far faster than a sort for each document.
+    terms = int(term.max()) + 1 if len(term) else 1
+    kind = np.uint32 if terms * max(len(rests), 1) < 1 << 32 else np.uint64
+    key = term.astype(kind) * kind(len(rests)) + doc.astype(kind) if by_term else doc.astype(kind) * kind(terms) + term.astype(kind)
+    if count is None:
+        key.sort()
+    elif kind is np.uint32:
+        both = key.astype(np.uint64) << U64(32) | count
+        both.sort()
+        key, count = (both >> U64(32)).astype(kind), both & U64(2**32 - 1)
+    else:
+        order = np.argsort(key)
+        key, count = key[order], count[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    tf = np.diff(np.append(first, len(key))) if count is None else np.add.reduceat(count, first, dtype=np.int64)
+    more, less = np.divmod(key[first], kind(len(rests) if by_term else terms))
+    doc, term = (less, more) if by_term else (more, less)
+    return doc.astype(np.int64), term.astype(np.int64), tf, size
+
+
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(parts) if len(parts) else np.zeros(0, "<u4")
 
 
 class Statistics:

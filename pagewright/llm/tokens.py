@@ -33,7 +33,11 @@ import pyarrow.compute as pc
 from pagewright.llm.kernels import segments_of, utf8
 
 #: What a worker remembers of words takes about so many bytes: two generations, of which the older one goes.
-MEMORY_BYTES = 40 << 20
+MEMORY_BYTES = 128 << 20
+#: A remembered word takes so many bytes besides its characters and ids: two objects and their place in the table.
+ENTRY_BYTES = 200
+#: Words remembered between two looks at the memory.
+AT_ONCE = 4096
 #: Longer words aren't remembered.
 LONGEST_KEPT = 64
 #: Texts are encoded together up to so many bytes; longer ones in parts of about this size.
@@ -43,18 +47,18 @@ LONG_PIECE = 1 << 18
 _PARTS = re.compile(r"(?<=\S) (?=\S)")
 _WORD = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 _LETTER_THEN_MARK = re.compile("(?<=[A-Za-zぁ-ゖァ-ヺ一-龥])(?=[.,;:!?0-9\n、。，！？])")
-_BLANK = np.zeros(256, bool)
-_BLANK[[10, 32]] = True
-# Bytes that begin or are other white space, and the two that mark places below; a text that has one takes the slower way.
-_OTHER = np.zeros(256, bool)
-_OTHER[[1, 2, 9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0xE1, 0xE2, 0xE3]] = True
-_OTHER_ASCII = np.zeros(256, bool)
-_OTHER_ASCII[[1, 2, 9, 11, 12, 13, 28, 29, 30, 31, 0xE1, 0xE2, 0xE3]] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(65, 91), *range(97, 123)]] = True
-# What ends a run of letters whatever follows: digits and ASCII marks, but for the apostrophe.
-_CUTS = np.zeros(256, bool)
-_CUTS[[*range(33, 39), *range(40, 65), *range(91, 97), *range(123, 127)]] = True
+#: Kinds of bytes, as bits: white space or what begins it other than spaces and line ends, and the two that mark places below
+#: (a text that has one takes the slower way); the same as a second byte after 0xC2; spaces and line ends; letters; and what
+#: ends a run of letters whatever follows: digits and ASCII marks, but for the apostrophe.
+_OTHER, _SECOND, _BLANK, _LETTER, _CUTS = 1, 2, 4, 8, 16
+_HELD = {
+    _OTHER: [1, 2, 9, 11, 12, 13, 28, 29, 30, 31, 0xE1, 0xE2, 0xE3],
+    _SECOND: [1, 2, 9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0xE1, 0xE2, 0xE3],
+    _BLANK: [10, 32],
+    _LETTER: [*range(65, 91), *range(97, 123)],
+    _CUTS: [*range(33, 39), *range(40, 65), *range(91, 97), *range(123, 127)],
+}
+_KINDS = bytes(sum(kind for kind, held in _HELD.items() if b in held) for b in range(256))
 #: Before a word without a space before it; in the place of a text's end.
 _BARE, _END = "\x01", "\x02"
 
@@ -63,41 +67,51 @@ def plain_texts(column: pa.Array) -> np.ndarray:
     """Which texts are words with single spaces or line ends between them."""
     data, offsets = utf8(column)
     data, at = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-    n = np.diff(at)
-    odd = _OTHER_ASCII[data]
-    odd[1:] |= (data[:-1] == 0xC2) & _OTHER[data[1:]]
-    blank = _BLANK[data]
+    kinds = _kinds(data)
+    odd = kinds & _OTHER
+    second = np.flatnonzero(data[:-1] == 0xC2) + 1
+    odd[second] |= kinds[second] & _SECOND
+    blank = kinds & _BLANK
     odd[1:] |= blank[1:] & blank[:-1]
-    some = at[:-1][n > 0]
-    odd[some] |= blank[some]
-    last = at[1:][n > 0] - 1
-    odd[last] |= blank[last]
-    before = np.concatenate(([0], np.cumsum(odd, dtype=np.int32)))
-    return before[at[1:]] == before[at[:-1]]
+    some = np.diff(at) > 0
+    for edge in (at[:-1][some], at[1:][some] - 1):
+        odd[edge] |= blank[edge]
+    out = np.ones(len(column), bool)
+    out[np.searchsorted(at, np.flatnonzero(odd), "right") - 1] = False
+    return out
+
+
+def _kinds(data: np.ndarray) -> np.ndarray:
+    return np.frombuffer(data.tobytes().translate(_KINDS), np.uint8)
 
 
 def spaced(column: pa.Array) -> pa.Array:
     """Plain texts with their pieces between single spaces."""
     data, offsets = utf8(column)
     data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    kinds = _kinds(data)
     line = np.flatnonzero(data == 10)
-    ends = _LETTER[data]
+    cut = np.flatnonzero(kinds[1:] & _CUTS) + 1
     # U+00C0 to U+00FF are letters, but for two signs.
-    ends[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
-    cut = np.flatnonzero(ends[:-1] & _CUTS[data[1:]]) + 1
-    added = np.zeros(len(data) + 1, np.int32)
-    added[cut] = 2
-    added[line] += 1
-    added[line + 1] = 2
-    before = np.concatenate((np.zeros(1, np.int32), np.cumsum(added, dtype=np.int32)))
-    out = np.empty(len(data) + int(before[-1]), np.uint8)
-    out[np.arange(len(data), dtype=np.int32) + before[1:-1]] = data
-    for place in (cut, line + 1):
-        slot = place + before[place]
-        out[slot], out[slot + 1] = 32, 1
-    out[line + before[line]] = 32
-    at = (offsets + before[offsets]).astype(np.int32)
-    return pa.StringArray.from_buffers(len(column), pa.py_buffer(at), pa.py_buffer(out))
+    last = data[cut - 1]
+    letter = (kinds[cut - 1] & _LETTER > 0) | (data[np.maximum(cut - 2, 0)] == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)
+    cut = cut[letter & ~np.isin(cut, offsets)]  # a text's front is none, whatever the one before ends with
+    # Two bytes before each cut and each line's front, one before each line end.
+    place = np.concatenate((cut, line + 1, line))
+    size = np.full(len(place), 2)
+    size[len(cut) + len(line) :] = 1
+    order = np.argsort(place, kind="stable")
+    place, size = place[order], size[order]
+    before = np.cumsum(size) - size
+    at = place + before
+    slot = np.concatenate((at, (at + 1)[size == 2]))
+    out = np.empty(len(data) + len(slot), np.uint8)
+    kept = np.ones(len(out), bool)
+    kept[slot] = False
+    out[kept] = data
+    out[at], out[(at + 1)[size == 2]] = 32, 1
+    ends = (offsets + np.append(before, len(slot))[np.searchsorted(place, offsets)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(column), pa.py_buffer(ends), pa.py_buffer(out))
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -134,9 +148,18 @@ class _Memory:
     def put(self, piece: str, ids: bytes) -> None:
         if len(piece) <= LONGEST_KEPT:
             self.newer[piece] = ids
-            self.size += 200 + len(piece) + len(ids)  # the two objects and their place in the table
-            if self.size > MEMORY_BYTES // 2:
-                self.older, self.newer, self.size = self.newer, {}, 0
+            self._grown(ENTRY_BYTES + len(piece) + len(ids))
+
+    def put_all(self, pieces: list[str], ids: list[bytes]) -> None:
+        for first in range(0, len(pieces), AT_ONCE):
+            kept = {p: x for p, x in zip(pieces[first : first + AT_ONCE], ids[first : first + AT_ONCE]) if len(p) <= LONGEST_KEPT}
+            self.newer.update(kept)
+            self._grown(ENTRY_BYTES * len(kept) + sum(map(len, kept)) + sum(map(len, kept.values())))
+
+    def _grown(self, size: int) -> None:
+        self.size += size
+        if self.size > MEMORY_BYTES // 2:
+            self.older, self.newer, self.size = self.newer, {}, 0
 
 
 class Encoder:
@@ -160,6 +183,14 @@ class Encoder:
         word = lead + (word if word.isascii() else codecs.charmap_decode(word.encode(), "strict", self.alphabet)[0])
         return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
+    def _all_letters(self, words: list[str], lead: str) -> list[bytes]:
+        """``_letters`` of many words, written in the alphabet together."""
+        if not words:
+            return []
+        end, tokenize = self.alphabet[10], self.model.tokenize
+        written = codecs.charmap_decode("\n".join(words).encode(), "strict", self.alphabet)[0].split(end)
+        return [array("I", [t.id for t in tokenize(lead + w)]).tobytes() for w in written]
+
     def _unit(self, word: str, bare: bool) -> bytes:
         """The ids of ``word``, with a space before it unless it is ``bare``. Marks after its letters are parted from them."""
         if word.isalpha():
@@ -202,29 +233,27 @@ class Encoder:
 
     def _words(self, words: pa.Array, fixed: dict[str, bytes]) -> list[bytes]:
         """The ids of each of the different pieces of a batch."""
-        pieces = words.to_pylist()
-        newer, older, known = self.known.newer.get, self.known.older.get, self.known
-        got = list(map(newer, pieces))
-        tokenize, lead = self.model.tokenize, self.lead
-        simple = pc.and_(pc.utf8_is_alpha(words), pc.string_is_ascii(words)).to_pylist()
-        for i, ids in enumerate(got):
-            if ids is not None:
-                continue
+        pieces = words.to_numpy(zero_copy_only=False).tolist()
+        got = list(map(self.known.newer.get, pieces))
+        unmet = [i for i, ids in enumerate(got) if ids is None and pieces[i] not in fixed]
+        older, spaced, bare = self.known.older.get, [], []
+        for i in unmet:
             piece = pieces[i]
-            ids = older(piece)
+            ids = got[i] = older(piece)
             if ids is None:
-                if simple[i]:
-                    ids = array("I", [t.id for t in tokenize(lead + piece)]).tobytes()
-                elif piece in fixed:
-                    got[i] = fixed[piece]
-                    continue
-                elif piece[:1] == _BARE:
-                    ids = self._unit(piece[1:], True)
+                if piece.isalpha():
+                    spaced.append(i)
+                elif piece[:1] != _BARE:
+                    got[i] = self._unit(piece, False)
+                elif piece[1:].isalpha():
+                    bare.append(i)
                 else:
-                    ids = self._unit(piece, False)
-            got[i] = ids
-            known.put(piece, ids)
-        return got
+                    got[i] = self._unit(piece[1:], True)
+        for places, lead, first in ((spaced, self.lead, 0), (bare, "", 1)):
+            for i, ids in zip(places, self._all_letters([pieces[i][first:] for i in places], lead)):
+                got[i] = ids
+        self.known.put_all([pieces[i] for i in unmet], [got[i] for i in unmet])
+        return [fixed[pieces[i]] if ids is None else ids for i, ids in enumerate(got)]
 
     def _plain(self, texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Ids of parts whose pieces lie between single spaces."""

@@ -119,3 +119,15 @@ def test_windows_are_filled_by_the_best_of_brute_force():
 
 def test_shards_go_by_tokens():
     assert packing.shards_of([(0, 10), (1, 250), (2, 40), (3, 50), (4, 30)], 100) == [(0, 0, 1), (1, 1, 3), (2, 4, 1), (3, 4, 1), (4, 5, 1)]
+
+
+def test_counts_of_large_ids_and_of_what_comes_before():
+    """Terms, and counts before the rest, of up to 32 bits."""
+    top = 2**32 - 1
+    rests = [np.array([top, 7, 7], "<u4"), np.zeros(0, "<u2"), np.array([7], "<u2")]
+    leads = [np.array([[7], [top]], "<u4"), np.array([[1, 9], [2, 3]], "<u4"), np.zeros((2, 0), "<u4")]
+    by_doc = [(0, 7, top + 2), (0, top, 1), (1, 1, 2), (1, 9, 3), (2, 7, 1)]
+    for by_term in (False, True):
+        doc, term, count, size = packing.counted(rests, leads, by_term)
+        want = sorted(by_doc, key=lambda r: (r[1], r[0])) if by_term else by_doc
+        assert list(zip(doc.tolist(), term.tolist(), count.tolist())) == want and size.tolist() == [top + 3, 5, 1]

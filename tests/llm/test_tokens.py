@@ -49,6 +49,37 @@ def test_long_texts(encoder, monkeypatch):
     check(Encoder(vocabulary()), texts[:1])
 
 
+def test_cut_before_a_mark(monkeypatch):
+    """A long text is cut at a space; a mark after it doesn't lose that space."""
+    from pagewright.llm import tokens
+
+    monkeypatch.setattr(tokens, "PART_BYTES", 200)
+    encoder = Encoder(vocabulary())
+    for k in range(1, 12):
+        check(encoder, ["x" * k + " of (the)" * 200])
+
+
+def test_words_are_met_once():
+    """Words of several batches stay remembered: 250,000 different ones, twice."""
+
+    class Counting:
+        def __init__(self, model):
+            self.model, self.n = model, 0
+
+        def tokenize(self, word):
+            self.n += 1
+            return self.model.tokenize(word)
+
+    encoder = Encoder(vocabulary())
+    counting = encoder.model = Counting(encoder.model)
+    letters = np.array(list("abcdefghij"))
+    words = ["".join(letters[[int(d) for d in f"{i:06d}"]]) for i in range(250_000)]
+    texts = [" ".join(words[i : i + 50_000]) for i in range(0, len(words), 50_000)]
+    first = [encoder.encode(t).tobytes() for t in texts]
+    assert [encoder.encode(t).tobytes() for t in texts] == first
+    assert counting.n < 1.05 * len(words)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.sampled_from(list("abZé .,'\n\t -1  ß日")), max_size=25), min_size=1, max_size=4))
 def test_any_text(encoder, texts):
