@@ -96,7 +96,12 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each page that has a result: code, message, score, times, path. Every 19th page has none."""
-    p = pages(spark, sf_dir).filter((F.col("doc_id") + F.col("page")) % 19 != 0)
+    return with_results(pages(spark, sf_dir))
+
+
+def with_results(pages: DataFrame) -> DataFrame:
+    """The results of pages; columns that ``pages`` has besides those of ``pages()`` follow."""
+    p = pages.filter((F.col("doc_id") + F.col("page")) % 19 != 0)
     code = F.when((13 * F.col("doc_id") + F.col("page")) % 17 == 0, 101).when((7 * F.col("doc_id") + F.col("page")) % 23 == 0, 902).otherwise(100)
     p = p.withColumn("code", code)
     return p.select(
@@ -106,6 +111,7 @@ def page_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         (0.05 + F.col("page") % 10 / 100).alias("time_s"),
         (1704067200 + 60 * F.col("doc_id") + F.col("page")).alias("finished_s"),
         F.concat(F.lit("scans/"), "job_id", F.lit("/doc "), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"),
+        *[c for c in pages.columns if c not in ("job_id", "doc_id", "page", "n_blocks")],
     )
 
 

@@ -1,8 +1,12 @@
 """Steps of sources and streams whose cost may not grow with what surrounds them."""
 
+import json
+
 import pandas as pd
 from pyspark.sql import functions as F
 
+from pagewright import derive
+from pagewright.queries import outputs
 from pagewright.sources import sinks, tables
 from pagewright.sources.files import read_files, write_files
 from pagewright.streaming.jobs import TaskStates
@@ -37,6 +41,20 @@ def test_tables_are_read_in_parts(spark, tmp_path):
     assert "binaryFile" not in plan and "content" not in plan  # paths alone reach the reader
 
 
+def test_blocks_of_results_move_once(spark, sf):
+    """Blocks are derived once and meet their page's result without a join; what moves has no boxes of corners."""
+    lines = outputs.result_lines(spark, sf)
+    plan = lines._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("FileScan") == 1 and plan.count("Exchange ") == 1 and "Join" not in plan
+    partial = plan[plan.index("Exchange ") :]
+    assert "array(array(" not in partial
+    blocks = {(r.doc_id, r.page): r.texts for r in derive.blocks(spark, sf).groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("block_no", "text"))).alias("texts")).collect()}
+    for line in lines.limit(200).collect():
+        r = json.loads(line.value)
+        if r["code"] == 100:
+            assert [b["text"] for b in r["data"]] == [t.text for t in blocks[int(r["path"]), r["page"]]] and all(len(b["box"]) == 4 for b in r["data"])
+
+
 class _Handle:
     """A state store that counts its calls."""
 
