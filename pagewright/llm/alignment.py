@@ -46,6 +46,8 @@ from pagewright.llm.tokens import Encoder, parts_of, plain_texts, vocabulary
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: What a worker remembers of units takes about so many bytes: two generations, of which the older one goes.
 MEMORY_BYTES = 80 << 20
+#: A block has about so many bytes of texts.
+BLOCK_BYTES = 4 << 20
 #: Longer units aren't remembered.
 LONGEST_KEPT = 64
 #: Before a line end and what follows it, where no space is.
@@ -291,7 +293,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str, whole:
     lists = {"keys": pa.list_(pa.binary()), **dict.fromkeys(MEASURES, numbers), "groups": pa.list_(pa.string()), "pairs": numbers, "held": numbers, "sizes": pa.list_(pa.int32()), "packed": pa.binary()}
     for batch in batches:
         first, copies = 0, batch.column("copies").to_numpy()
-        for texts in parts_of(batch.column("text")):
+        for texts in parts_of(batch.column("text"), BLOCK_BYTES):
             row = _block(texts, copies[first : first + len(texts)], aligner(path_a, path_b), whole)
             yield pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int64()), **{c: pa.array([row[c]], kind) for c, kind in lists.items()}})
             number, first = number + 1, first + len(texts)

@@ -3,9 +3,9 @@
 A byte-level BPE never joins what its split pattern parts, and that pattern parts
 a text before every single space, and around every single line end, that stands
 between two other characters. So a text's ids are those of its words, one after
-the other. A batch's words are numbered by Arrow's dictionary encoding, the library's
-BPE model gives the ids of those that the worker hasn't met, and the texts' ids are
-gathered by number. A text with other white space, or with several blanks in a row,
+the other. A batch's words are numbered by Arrow's dictionary encoding, after those that
+the worker remembers (``memory.py``), the library's BPE model gives the ids of those that
+it hasn't met, and the texts' ids are gathered by number. A text with other white space, or with several blanks in a row,
 is parted at its single spaces only.
 
 Very long texts are taken in parts of about ``PART_BYTES``, cut at spaces or between a
@@ -30,18 +30,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from pagewright.llm.kernels import segments_of, utf8
+from pagewright.llm.kernels import utf8
+from pagewright.llm.memory import LONGEST_KEPT, Memory
 
-#: What a worker remembers of words takes about so many bytes: two generations, of which the older one goes.
-MEMORY_BYTES = 128 << 20
-#: A remembered word takes so many bytes besides its characters and ids: two objects and their place in the table.
-ENTRY_BYTES = 200
-#: Words remembered between two looks at the memory.
-AT_ONCE = 4096
-#: Longer words aren't remembered.
-LONGEST_KEPT = 64
+#: What a worker remembers of words takes about so many bytes.
+MEMORY_BYTES = 10 << 20
+#: Words of texts with other white space that are remembered one by one: two generations of so many, of which the older one goes.
+ODD_WORDS = 10_000
 #: Texts are encoded together up to so many bytes; longer ones in parts of about this size.
-PART_BYTES = 4 << 20
+PART_BYTES = 2 << 20
 #: Pieces of more characters are cut where letters end.
 LONG_PIECE = 1 << 18
 _PARTS = re.compile(r"(?<=\S) (?=\S)")
@@ -128,8 +125,18 @@ def _visible() -> str:
     return "".join(chr(b) if b in kept else chr(next(other)) for b in range(256))
 
 
-class _Memory:
-    """Piece -> its ids as little-endian unsigned 32-bit integers, for about ``MEMORY_BYTES``.
+_IDS = {"ids": pa.binary()}
+
+
+def ids_at(ids: pa.Array, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that ``ids`` has at some places, one after the other, and where each place's begin (one more than places)."""
+    _, offsets, data = ids.cast(pa.large_binary()).take(pa.array(at)).buffers()
+    ends = np.frombuffer(offsets, np.int64)[: len(at) + 1] >> 2
+    return np.frombuffer(data or b"", "<u4", ends[-1]), ends
+
+
+class _OddWords:
+    """Piece -> its ids as little-endian unsigned 32-bit integers.
 
     A piece that begins with ``_BARE`` stands without a space before it, any other with one.
     """
@@ -137,7 +144,6 @@ class _Memory:
     def __init__(self):
         self.newer: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.size = 0
 
     def get(self, piece: str) -> bytes | None:
         ids = self.newer.get(piece)
@@ -148,18 +154,8 @@ class _Memory:
     def put(self, piece: str, ids: bytes) -> None:
         if len(piece) <= LONGEST_KEPT:
             self.newer[piece] = ids
-            self._grown(ENTRY_BYTES + len(piece) + len(ids))
-
-    def put_all(self, pieces: list[str], ids: list[bytes]) -> None:
-        for first in range(0, len(pieces), AT_ONCE):
-            kept = {p: x for p, x in zip(pieces[first : first + AT_ONCE], ids[first : first + AT_ONCE]) if len(p) <= LONGEST_KEPT}
-            self.newer.update(kept)
-            self._grown(ENTRY_BYTES * len(kept) + sum(map(len, kept)) + sum(map(len, kept.values())))
-
-    def _grown(self, size: int) -> None:
-        self.size += size
-        if self.size > MEMORY_BYTES // 2:
-            self.older, self.newer, self.size = self.newer, {}, 0
+            if len(self.newer) > ODD_WORDS:
+                self.older, self.newer = self.newer, {}
 
 
 class Encoder:
@@ -172,7 +168,8 @@ class Encoder:
         self.model = self.whole.model
         self.alphabet = _visible()
         self.lead = self.alphabet[32]
-        self.known = _Memory()
+        self.odd = _OddWords()
+        self.tail, self.known = b"", Memory(_IDS)
         self.line_end = self._ids("\n")
 
     def _ids(self, text: str) -> bytes:
@@ -201,10 +198,10 @@ class Encoder:
 
     def _known(self, word: str, bare: bool) -> bytes:
         piece = _BARE + word if bare else word
-        ids = self.known.get(piece)
+        ids = self.odd.get(piece)
         if ids is None:
             ids = self._unit(word, bare)
-            self.known.put(piece, ids)
+            self.odd.put(piece, ids)
         return ids
 
     def _long(self, word: str, bare: bool) -> bytes:
@@ -231,16 +228,11 @@ class Encoder:
         flat, _ = self.encode_column(pa.array([text], pa.string()))
         return flat
 
-    def _words(self, words: pa.Array, fixed: dict[str, bytes]) -> list[bytes]:
-        """The ids of each of the different pieces of a batch."""
-        pieces = words.to_numpy(zero_copy_only=False).tolist()
-        got = list(map(self.known.newer.get, pieces))
-        unmet = [i for i, ids in enumerate(got) if ids is None and pieces[i] not in fixed]
-        older, spaced, bare = self.known.older.get, [], []
-        for i in unmet:
-            piece = pieces[i]
-            ids = got[i] = older(piece)
-            if ids is None:
+    def _words(self, pieces: list[str], fixed: dict[str, bytes]) -> list[bytes]:
+        """The ids of different pieces."""
+        got, spaced, bare = list(map(fixed.get, pieces)), [], []
+        for i, piece in enumerate(pieces):
+            if got[i] is None:
                 if piece.isalpha():
                     spaced.append(i)
                 elif piece[:1] != _BARE:
@@ -252,8 +244,7 @@ class Encoder:
         for places, lead, first in ((spaced, self.lead, 0), (bare, "", 1)):
             for i, ids in zip(places, self._all_letters([pieces[i][first:] for i in places], lead)):
                 got[i] = ids
-        self.known.put_all([pieces[i] for i in unmet], [got[i] for i in unmet])
-        return [fixed[pieces[i]] if ids is None else ids for i, ids in enumerate(got)]
+        return got
 
     def _plain(self, texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Ids of parts whose pieces lie between single spaces."""
@@ -261,15 +252,13 @@ class Encoder:
         if isinstance(lists, pa.ChunkedArray):
             lists = lists.combine_chunks()
         bounds = np.asarray(lists.offsets)
-        words = pc.dictionary_encode(lists.flatten())
-        known = self.known
-        got = self._words(words.dictionary, {_END: end, "\n": self.line_end})
-        size = np.fromiter(map(len, got), np.int64, len(got)) >> 2
-        starts, at = np.cumsum(size) - size, words.indices.to_numpy()
-        each = size[at]
-        places = np.concatenate(([0], np.cumsum(each)))
-        flat = np.frombuffer(b"".join(got), "<u4")[segments_of(starts[at], each)]
-        return flat, places[bounds - bounds[0]]
+        if end != self.tail:  # what ends a text is remembered as well
+            self.tail, self.known = end, Memory(_IDS)
+        at, fresh = self.known.coded(lists.flatten())
+        self.known.add(fresh, {"ids": pa.array(self._words(fresh.to_pylist(), {_END: end, "\n": self.line_end}), pa.binary())})
+        flat, ends = ids_at(self.known.columns["ids"], at)
+        self.known.forget(at, MEMORY_BYTES)
+        return flat, ends[bounds - bounds[0]]
 
     def encode_column(self, column: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, ``end`` after each, and where each text's begin (one more than texts)."""
