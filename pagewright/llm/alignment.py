@@ -8,7 +8,7 @@ tokens in a group are links. A pair counts the documents that hold it linked.
 2. A task takes some megabytes of distinct texts as a block. Both tokenizers part texts
    before a single space after another character, so a block's distinct units, each a
    word with the space before it, are encoded and aligned once, and those that a worker
-   remembers not again. The block is stored as its units' pairs and its texts' units,
+   remembers (``memory.py``) not again. The block is stored as its units' pairs and its texts' units,
    with the number of documents that hold each of its pairs.
 3. Pairs are counted over all blocks by multiplicity. Each block gets the counts of its
    own pairs back by a join, one row for each pair of a block at most, and sums them for
@@ -30,7 +30,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,15 +41,16 @@ from pyspark.sql import functions as F
 from pagewright.llm.automata import grouped
 from pagewright.llm.common import plain, saved, table
 from pagewright.llm.kernels import segments_of
+from pagewright.llm.memory import Memory
 from pagewright.llm.tokens import Encoder, parts_of, plain_texts, vocabulary
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: What a worker remembers of units takes about so many bytes: two generations, of which the older one goes.
-MEMORY_BYTES = 80 << 20
+#: What a worker remembers of units takes about so many bytes.
+MEMORY_BYTES = 32 << 20
+#: Units aligned together.
+AT_ONCE = 8192
 #: A block has about so many bytes of texts.
 BLOCK_BYTES = 4 << 20
-#: Longer units aren't remembered.
-LONGEST_KEPT = 64
 #: Before a line end and what follows it, where no space is.
 _BARE = "\x01"
 #: Before a unit that begins with one of these two characters itself.
@@ -62,8 +63,9 @@ _WHITE = re.compile(r"\s")
 _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?|"
 
 
-#: A unit's groups in writing, its numbers of A tokens, B tokens and groups, its pairs (A id in the upper 32 bits) and the links of each, both as bytes.
-Unit = tuple[str, int, int, int, bytes, bytes]
+#: Of a unit: its groups in writing with a ";" after each, its numbers of A tokens, B tokens and groups, its pairs (A id in the upper 32 bits) and
+#: the links of each; all null where its tokens don't give back its bytes.
+UNIT = {"written": pa.binary(), "n_a": pa.int32(), "n_b": pa.int32(), "n_groups": pa.int32(), "pairs": pa.list_(pa.int64()), "times": pa.list_(pa.int64())}
 #: Groups of more links than this are counted instead of listed.
 MANY_LINKS = 1 << 16
 
@@ -91,11 +93,8 @@ class Aligner:
         # A letter and a mark are apart in A; those marks that no piece of B joins to a letter part units as well.
         self.marks = "".join(m for m in _MARKS if not any(re.search(f"[{_LETTERS}]{re.escape(m)}", p) for p in piece))
         # How ids are written before another one of their side, and before what ends their side.
-        self.written = [f"{i}{end}" for ends, t in ((",|", self.bytes_a), (",;", self.bytes_b)) for i in range(len(t)) for end in ends]
-        self.lengths = np.array(list(map(len, self.written)))
-        self.newer: dict[str, Unit | None] = {}
-        self.older: dict[str, Unit | None] = {}
-        self.held = 0
+        self.written = pa.array([f"{i}{end}" for ends, t in ((",|", self.bytes_a), (",;", self.bytes_b)) for i in range(len(t)) for end in ends], pa.large_binary())
+        self.known = Memory(UNIT)
 
     def _ids_a(self, word: str, bare: bool) -> bytes:
         if word.isascii() and word.isalpha():
@@ -108,17 +107,20 @@ class Aligner:
         found = self.b.encode(["\n" + word if bare else word for word, bare in words], num_threads=1)
         return [ids[2:] if bare else ids for (_, bare), ids in zip(words, found)]
 
-    def _made(self, units: list[str]) -> list[Unit | None]:
-        """Units aligned together: their tokens lie one after the other. None for one whose tokens don't give back its bytes."""
+    def _made(self, units: list[str]) -> dict[str, pa.Array]:
+        """Units aligned together: their tokens lie one after the other."""
         words = list(map(_word, units))
         whole = [(word if bare else " " + word).encode() for word, bare in words]
         ids = [[self._ids_a(*w) for w in words], self._ids_b(words)]
-        ids[0] = [np.frombuffer(x, "<u4").tolist() for x in ids[0]]
-        lossless = [b"".join([self.bytes_a[i] for i in a]) == want == b"".join([self.bytes_b[i] for i in b]) for a, b, want in zip(*ids, whole)]
+        every = np.frombuffer(b"".join(ids[0]), "<u4").tolist()
+        size = [len(x) >> 2 for x in ids[0]]
+        first = [0, *np.cumsum(size).tolist()]
+        ids[0] = [every[x:y] for x, y in zip(first, first[1:])]
+        entry_a, entry_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
+        lossless = [b"".join(map(entry_a, a)) == want == b"".join(map(entry_b, b)) for a, b, want in zip(*ids, whole)]
         at = [i for i, ok in enumerate(lossless) if ok]
-        out: list[Unit | None] = [None] * len(units)
         if not at:
-            return out
+            return {c: pa.nulls(len(units), kind) for c, kind in UNIT.items()}
         count = [np.array([len(side[i]) for i in at]) for side in ids]
         a, b = (np.fromiter(chain.from_iterable(side[i] for i in at), np.int64, int(n.sum())) for side, n in zip(ids, count))
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
@@ -142,48 +144,36 @@ class Aligner:
         code, owner = np.concatenate(codes), np.concatenate(owner)
         different, back = np.unique(code, return_inverse=True)
         held, links, _ = grouped(owner * len(different) + back, np.concatenate(times))
-        pairs, links = different[held % len(different)].tobytes(), links.tobytes()
-        pair_at = 8 * np.searchsorted(held // len(different), np.arange(len(at) + 1))
+        pair_at = np.searchsorted(held // len(different), np.arange(len(at) + 1))
 
         # In writing: the A tokens of a group, then its B tokens.
         order = np.empty(len(a) + len(b), np.int64)
         last_a, last_b = (np.append(np.diff(g) > 0, True) for g in (in_a, in_b))
         order[np.arange(len(a)) + first_b[in_a]] = 2 * a + last_a
         order[np.arange(len(b)) + (first_a + size_a)[in_b]] = 2 * (len(self.bytes_a) + b) + last_b
-        line = "".join(map(self.written.__getitem__, order.tolist()))
-        tokens = np.cumsum(count[0] + count[1])
-        text_at = np.concatenate(([0], np.cumsum(self.lengths[order])[tokens - 1])).tolist()
-        groups = np.bincount(unit, minlength=len(at)).tolist()
-        for k, (i, n_a, n_b) in enumerate(zip(at, count[0].tolist(), count[1].tolist())):
-            x, y = pair_at[k], pair_at[k + 1]
-            out[i] = (line[text_at[k] : text_at[k + 1] - 1], n_a, n_b, groups[k], pairs[x:y], links[x:y])
-        return out
-
-    def units(self, units: list[str]) -> list[Unit | None]:
-        """Units, each word without the space before it."""
-        got = list(map(self.newer.get, units, repeat(0)))
-        missing = []
-        for i, found in enumerate(got):
-            if found == 0:
-                found = self.older.get(units[i], 0)
-                if found == 0:
-                    missing.append(i)
-                else:
-                    got[i] = found
-                    self._keep(units[i], found)
-        for first in range(0, len(missing), 8192):
-            some = missing[first : first + 8192]
-            for i, found in zip(some, self._made([units[i] for i in some])):
-                got[i] = found
-                if len(units[i]) <= LONGEST_KEPT:
-                    self._keep(units[i], found)
-        return got
-
-    def _keep(self, unit: str, found: Unit | None) -> None:
-        self.newer[unit] = found
-        self.held += 400 + (len(found[0]) + 2 * len(found[4]) if found else 0)
-        if self.held > MEMORY_BYTES // 2:
-            self.older, self.newer, self.held = self.newer, {}, 0
+        _, offsets, line = self.written.take(pa.array(order)).buffers()
+        text_at = np.frombuffer(offsets, np.int64)[np.concatenate(([0], np.cumsum(count[0] + count[1])))]
+        groups = np.bincount(unit, minlength=len(at))
+        of_unit = pa.array(pair_at.astype(np.int32))
+        made = {
+            "written": pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(text_at.astype(np.int32)), line]),
+            **{c: pa.array(n.astype(np.int32)) for c, n in zip(("n_a", "n_b", "n_groups"), (*count, groups))},
+            **{c: pa.ListArray.from_arrays(of_unit, pa.array(x)) for c, x in (("pairs", different[held % len(different)]), ("times", links.astype(np.int64)))},
+        }
+        if len(at) < len(units):
+            place = np.full(len(units), -1)
+            place[at] = np.arange(len(at))
+            made = {c: x.take(pa.array(place, mask=place < 0)) for c, x in made.items()}
+        return made
+
+    def units(self, units: pa.Array) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        """Where each of many units, each a word without the space before it, is in the columns of ``UNIT``."""
+        at, fresh = self.known.coded(units)
+        made = [self._made(fresh[i : i + AT_ONCE].to_pylist()) for i in range(0, len(fresh), AT_ONCE)]
+        self.known.add(fresh, {c: pa.concat_arrays([m[c] for m in made]) for c in UNIT} if made else {})
+        found = self.known.columns
+        self.known.forget(at, MEMORY_BYTES)
+        return at.astype(np.int64), found
 
 
 @lru_cache(maxsize=2)
@@ -231,6 +221,13 @@ def _parted(texts: pa.Array, marks: str) -> tuple[pa.Array, np.ndarray]:
     return flat.take(pa.array(segments_of(place, size))), bounds
 
 
+def _numbered(at: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers below ``most`` in order, and each one's place among them."""
+    met = np.zeros(most, bool)
+    met[at] = True
+    return np.flatnonzero(met), (np.cumsum(met) - 1)[at]
+
+
 def _shrunk(*arrays: np.ndarray) -> tuple[list[int], bytes]:
     """Arrays of small numbers as one value: their lengths and bytes."""
     return [len(x) for x in arrays], zlib.compress(b"".join(x.astype("<u4").tobytes() for x in arrays), 1)
@@ -247,29 +244,28 @@ BLOCK = f"block long, keys array<binary>, {', '.join(f'{c} array<long>' for c in
 def _block(texts: pa.Array, copies: np.ndarray, tool: Aligner, whole: bool) -> dict:
     """A row of some distinct texts. ``whole``: the groups as they are written, not their SHA-256."""
     units, bounds = _parted(texts, tool.marks)
-    coded = pc.dictionary_encode(units)
-    different, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    found = tool.units(different)
-    lossy = np.array([u is None for u in found], bool)
-    if lossy.any():  # parts may make up for each other, so such a text is judged as a whole
-        size, given = np.diff(bounds), [at[i:j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+    at, found = tool.units(units)
+    lossy = found["n_a"].is_null().to_numpy(zero_copy_only=False)
+    if lossy[at].any():  # parts may make up for each other, so such a text is judged as a whole
+        size, given, judged = np.diff(bounds), [at[i:j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())], [found]
         for i in np.flatnonzero([lossy[x].any() for x in given]):
-            one = tool._made([_marked(texts[int(i)].as_py())])[0]
-            given[i] = np.array([len(found)] if one else [], np.int64)
+            one = tool._made([_marked(texts[int(i)].as_py())])
+            given[i] = np.array([len(lossy) + len(judged) - 1] if one["n_a"].null_count == 0 else [], np.int64)
             size[i] = len(given[i])
-            found += [one] if one else []
+            judged.append(one)
+        found = {c: pa.concat_arrays([x[c] for x in judged]) for c in UNIT}
         at, bounds = np.concatenate(given), np.concatenate(([0], np.cumsum(size)))
-    used, _, at = grouped(at)
-    written, n_a, n_b, n_groups, pairs, times = map(list, zip(*[found[i] for i in used])) if len(used) else ([],) * 6
+    used, at = _numbered(at, len(found["n_a"]))
+    found = {c: x.take(pa.array(used)) for c, x in found.items()}
     text_of = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    n_pairs = np.array([len(p) // 8 for p in pairs], np.int64)
-    pairs, times = (np.frombuffer(b"".join(x), np.int64) for x in (pairs, times))
-    counts = dict(zip(MEASURES, (n_a, n_b, n_groups, np.bincount(np.repeat(np.arange(len(n_pairs)), n_pairs), times, len(n_pairs)))))
+    n_pairs = np.diff(found["pairs"].offsets.to_numpy()).astype(np.int64)
+    pairs, times = (found[c].flatten().to_numpy() for c in ("pairs", "times"))
+    counts = {c: found[c].to_numpy() for c in ("n_a", "n_b", "n_groups")} | {"n_links": np.bincount(np.repeat(np.arange(len(n_pairs)), n_pairs), times, len(n_pairs))}
     summed = {c: np.bincount(text_of, np.asarray(v, np.int64)[at] if len(at) else None, len(texts)).astype(np.int64) for c, v in counts.items()}
-    indices = at.tolist()
-    lines = [";".join([written[i] for i in indices[a:b]]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-    if not whole:
-        lines = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in lines]
+    _, line_at, line = found["written"].cast(pa.large_binary()).take(pa.array(at)).buffers()
+    line_at, line = np.frombuffer(line_at, np.int64)[bounds].tolist(), memoryview(line or b"")
+    lines = [line[i : max(i, j - 1)] for i, j in zip(line_at, line_at[1:])]
+    lines = [str(x, "ascii") if whole else hashlib.sha256(x).hexdigest() if x else "" for x in lines]
     pair, _, pair_at = grouped(pairs)
     # Each text's different units, then its different pairs.
     n = max(len(used), 1)

@@ -4,6 +4,8 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -86,6 +88,17 @@ def test_odd_texts(spark, seed, memory, monkeypatch):
     assert all(hashlib.sha256(written[r[0]].encode()).hexdigest() == r[-1] for r in want if r[0] is not None and r[-1])
 
 
+def test_units_are_aligned_once():
+    """Units of several blocks stay remembered: 120,000 different ones, twice."""
+    tool = alignment.Aligner(vocabulary(alignment.A), vocabulary(alignment.B))
+    made, met = tool._made, []
+    tool._made = lambda units: met.append(len(units)) or made(units)
+    words = ["".join("abcdefghij"[int(d)] for d in f"{i:06d}") for i in range(120_000)]
+    for first in [*range(0, len(words), 30_000)] * 2:
+        alignment._block(pa.array([" ".join(words[first : first + 30_000])]), np.ones(1, np.int64), tool, False)
+    assert sum(met) < 1.05 * len(words)
+
+
 def test_empty(spark):
     paths = vocabulary(alignment.A), vocabulary(alignment.B)
     assert alignment.align(spark.createDataFrame([], "doc_id long, text string"), *paths).count() == 0
