@@ -26,8 +26,8 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +42,8 @@ SHARD_TOKENS = 1 << 19
 K1, B = 1.2, 0.75
 #: Numbers in an index's table of common terms at most (16 MB).
 DENSE = 1 << 21
+#: Neighbours that are ordered at first; all of them are where a sequence takes more.
+NEAREST = 64
 #: Places of a hashed vector; documents sampled to grow the tree; sampled documents a leaf has at least; branches of a node.
 DIMENSIONS, SAMPLE, LEAF, BRANCHES = 128, 32_768, 8, 8
 ENCODED = "doc_id long, shard_key long, row_no long, doc_tokens long, sums array<long>, rest binary, lead binary"
@@ -141,6 +143,7 @@ class Index:
         mine = np.repeat(self.row, self.df)
         self.table = np.zeros((len(common), len(rests)))
         self.table[mine[mine >= 0], self.doc[mine >= 0]] = self.weight[mine >= 0]
+        self.held = np.arange(len(rests))  # the documents of the table's columns
         order = np.argsort(self.doc, kind="stable")
         self.lists_of_doc = np.repeat(np.arange(len(self.terms)), self.df)[order]
         self.doc_bounds = np.searchsorted(self.doc[order], np.arange(len(rests) + 1))
@@ -157,11 +160,18 @@ class Index:
         at = self.lists_of_doc[self.doc_bounds[doc] : self.doc_bounds[doc + 1]]
         return self._best(at[self.df[at] > 1], unused, most)  # the others stand in this document alone
 
+    def shrink(self, unused: np.ndarray) -> None:
+        """Used documents, which stay so, leave the table of common terms once they are half of it."""
+        left = unused[self.held]
+        if 2 * np.count_nonzero(left) < len(left):
+            self.table, self.held = np.ascontiguousarray(self.table[:, left]), self.held[left]
+
     def _best(self, at: np.ndarray, unused: np.ndarray, most: int) -> np.ndarray:
         row = self.row[at]
         rare = at[row < 0]
         rows = segments_of(self.bounds[rare], self.df[rare])
-        score = np.bincount(self.doc[rows], self.weight[rows], len(unused)) + self.table[row[row >= 0]].sum(0)
+        score = np.bincount(self.doc[rows], self.weight[rows], len(unused)).astype(np.float64, copy=False)  # whole numbers, where no row is
+        score[self.held] += self.table.take(row[row >= 0], 0).sum(0)
         found = np.flatnonzero((score > 0) & unused)  # every weight is positive
         if len(found) > most:
             found = found[score[found] >= np.partition(score[found], -most)[-most]]
@@ -172,11 +182,19 @@ def fill(rests: list[np.ndarray], length: int, statistics: Statistics | None = N
     """(document, start in its rest, tokens, sequence, offset) of every piece, in order."""
     index, unused = Index(rests, statistics, leads), np.array([len(r) > 0 for r in rests], bool)
     longest = np.argsort([-len(r) for r in rests], kind="stable")
-    cursor, sequence, offset = 0, 0, 0
+    cursor, sequence, offset, seed, most = 0, 0, 0, -1, length
     queue: list[int] = []  # the best neighbour last
+
+    def nearest(n: int) -> list[int]:
+        index.shrink(unused)
+        return index.neighbours_of(seed, unused, n).tolist()[::-1]
+
     while True:
         while queue and not unused[queue[-1]]:
             queue.pop()
+        if not queue and most < length:  # the others come in the same order, without those used since
+            most = length
+            queue = nearest(most)
         if queue:
             doc = queue.pop()
         else:
@@ -187,7 +205,8 @@ def fill(rests: list[np.ndarray], length: int, statistics: Statistics | None = N
             doc = int(longest[cursor])
         unused[doc] = False
         if not offset:  # it is a seed; each neighbour fills a place at least
-            queue = index.neighbours_of(doc, unused, length).tolist()[::-1]
+            seed, most = doc, min(NEAREST, length)
+            queue = nearest(most)
         start = 0
         while start < len(rests[doc]):
             n = min(len(rests[doc]) - start, length - offset)
@@ -196,7 +215,8 @@ def fill(rests: list[np.ndarray], length: int, statistics: Statistics | None = N
             if offset == length:
                 sequence, offset = sequence + 1, 0
                 if start < len(rests[doc]):  # what is left of it is the next seed
-                    queue = index.neighbours_of(doc, unused, length).tolist()[::-1]
+                    seed, most = doc, min(NEAREST, length)
+                    queue = nearest(most)
 
 
 def _rests(rest: Iterable[bytes], tokens: Iterable[int], sums: Iterable[list], length: int) -> list[np.ndarray]:
@@ -325,25 +345,27 @@ def deal(encoded: DataFrame, statistics: Statistics, rest_tokens: int, length: i
     dealt = saved(encoded.mapInArrow(lambda b: _dealt(b, statistics, tree, length), ENCODED + ", leaf long"), "dealt")
     tokens = F.sum(F.col("doc_tokens") - length * F.size("sums"))
     places = shards_of([tuple(r) for r in dealt.groupBy("leaf").agg(tokens).collect()], shard_tokens)  # at most SAMPLE leaves
-    by_leaf = encoded.sparkSession.createDataFrame(places, "leaf long, first long, parts long")
+    # From Arrow: a list of rows would go through Python workers of another kind, which executors then keep as well.
+    columns = np.array(places, np.int64).reshape(-1, 3).T
+    by_leaf = encoded.sparkSession.createDataFrame(pa.table(dict(zip(("leaf", "first", "parts"), columns))))
     # By row, not by content: a leaf of many equal rows isn't one lump.
     return dealt.join(F.broadcast(by_leaf), "leaf").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("row_no"), F.col("parts")))
 
 
-def _pack(key: tuple, frame: pd.DataFrame, length: int, statistics: Statistics) -> pd.DataFrame:
-    frame = frame.sort_values(["doc_id", "doc_tokens", "rest", "lead"], kind="stable")
-    rests = _rests(frame["rest"], frame["doc_tokens"], frame["sums"], length)
-    ids, sizes = frame["doc_id"].tolist(), frame["doc_tokens"].tolist()
-    out, sequence = [], int(key[0]) << 40
-    for doc, sums in enumerate(frame["sums"]):
+def _pack(key: tuple, rows: pa.Table, length: int, statistics: Statistics) -> pa.Table:
+    rows = rows.take(pc.sort_indices(rows, [(c, "ascending") for c in ("doc_id", "doc_tokens", "rest", "lead")]))
+    ids, sizes, whole, rest, lead = (rows.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "sums", "rest", "lead"))
+    rests = _rests(rest, sizes, whole, length)
+    out, sequence = [], key[0].as_py() << 40
+    for doc, sums in enumerate(whole):
         for i, crc in enumerate(sums):
-            out.append((ids[doc], i * length, length, int(crc), sizes[doc], sequence, 0))
+            out.append((ids[doc], i * length, length, crc, sizes[doc], sequence, 0))
             sequence += 1
-    for doc, start, n, number, offset in fill(rests, length, statistics, _leads(frame["lead"])):
+    for doc, start, n, number, offset in fill(rests, length, statistics, _leads(lead)):
         before = sizes[doc] - len(rests[doc])
         out.append((ids[doc], before + start, n, zlib.crc32(rests[doc][start : start + n].astype("<u4").tobytes()), sizes[doc], sequence + number, offset))
-    result = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-    return result.astype({"doc_id": "Int64"})
+    names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return pa.table([pa.array(c, pa.int64()) for c in zip(*out)] or [pa.array([], pa.int64())] * len(names), names)
 
 
 def pack(docs: DataFrame, path: str, end: int = END, length: int = LENGTH, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -352,7 +374,7 @@ def pack(docs: DataFrame, path: str, end: int = END, length: int = LENGTH, shard
     encoded = saved(docs.mapInArrow(lambda b: _encode(b, path, end, length), ENCODED), "encoded")
     statistics, rest_tokens = statistics_of(encoded, length)
     dealt = deal(encoded, statistics, rest_tokens, length, shard_tokens).select("doc_id", "doc_tokens", "sums", "rest", "lead", "shard")
-    return dealt.groupBy("shard").applyInPandas(lambda key, frame: _pack(key, frame, length, statistics), PIECES)
+    return dealt.groupBy("shard").applyInArrow(lambda key, rows: _pack(key, rows, length, statistics), PIECES)
 
 
 def op10_retrieval_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:

@@ -242,7 +242,7 @@ def disclosing(seen: DataFrame, docs: DataFrame) -> DataFrame:
     n_te = lines.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"))
     pairs = saved(n_te.join(n_e, "entity"), "pairs")
     # The empty term stands for every context: its count is N.
-    wanted = pairs.select("term").distinct().union(pairs.sparkSession.createDataFrame([("",)], "term string"))
+    wanted = pairs.select("term").distinct().union(pairs.sparkSession.range(1).select(F.lit("").alias("term")))
     every = docs.select("text").mapInArrow(_contexts, "context long, words string").dropDuplicates(["context"])
     terms = every.select(F.explode(F.array_distinct(F.split(F.concat(F.lit(" "), "words"), " "))).alias("term"))
     # Counted before the join: that would deal a common term's rows to one task.

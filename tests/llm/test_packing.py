@@ -1,12 +1,15 @@
 """Operator 10: the corpus's statistics, and how many of the best neighbours share a shard as documents grow."""
 
 import random
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark import SparkContext
 
-from pagewright.llm import packing
+from pagewright.llm import packing, pii
 from pagewright.llm.tokens import Encoder, vocabulary
 
 TOPICS = 40
@@ -131,3 +134,33 @@ def test_counts_of_large_ids_and_of_what_comes_before():
         doc, term, count, size = packing.counted(rests, leads, by_term)
         want = sorted(by_doc, key=lambda r: (r[1], r[0])) if by_term else by_doc
         assert list(zip(doc.tolist(), term.tolist(), count.tolist())) == want and size.tolist() == [top + 3, 5, 1]
+
+
+@pytest.mark.parametrize("nearest", [1, 2, 5])
+def test_neighbours_beyond_the_nearest_come_in_order(monkeypatch, nearest):
+    monkeypatch.setattr(packing, "NEAREST", nearest)
+    test_windows_are_filled_by_the_best_of_brute_force()
+
+
+def test_used_documents_leave_the_table():
+    rng = np.random.default_rng(5)
+    rests, unused = [rng.integers(0, 50, 30) for _ in range(40)], np.arange(40) > 25
+    whole, less = packing.Index(rests), packing.Index(rests)
+    less.shrink(unused)
+    assert less.table.shape[1] == 14 and whole.table.shape[1] == 40
+    for seed in range(40):
+        assert less.neighbours_of(seed, unused, 9).tolist() == whole.neighbours_of(seed, unused, 9).tolist()
+
+
+def test_workers_of_one_kind_without_pandas(spark, monkeypatch):
+    """Executors hold no second kind of Python workers for small tables, and workers that encode don't load pandas."""
+
+    def refused(*_):
+        raise AssertionError("rows of a list go through Python workers")
+
+    docs = spark.createDataFrame(corpus(60), "doc_id long, text string").localCheckpoint()
+    monkeypatch.setattr(SparkContext, "parallelize", refused)
+    assert packing.pack(docs, vocabulary(), length=64, shard_tokens=500).count() >= 60
+    assert pii.find(docs).count() == 60
+    code = "import sys, pagewright.llm.packing, pagewright.llm.tokens; sys.exit('pandas' in sys.modules)"
+    assert not subprocess.run([sys.executable, "-c", code]).returncode
