@@ -11,8 +11,10 @@ that is repeated leaves nothing behind. The driver sees a folder for each task,
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -90,6 +92,40 @@ LISTING = "pagewright_listing"
 LISTED = "path string, length long, modified timestamp"
 
 
+def _files(fs: pafs.FileSystem, root: str, recursive: bool) -> Iterator[tuple[str, int, int]]:
+    """path, size, time in ns of a folder's files. Entries of a local folder come one after the other; of other stores a folder's whole list is held."""
+    if not isinstance(fs, pafs.LocalFileSystem):
+        yield from ((f.path, f.size, f.mtime_ns) for f in fs.get_file_info(pafs.FileSelector(root, recursive=recursive)) if f.type == pafs.FileType.File)
+        return
+    folders = [root]
+    while folders:
+        folder = folders.pop()
+        try:
+            entries = os.scandir(folder)
+        except FileNotFoundError:  # gone since its own folder was listed
+            if folder == root:
+                raise
+            continue
+        with entries:
+            for entry in entries:
+                if entry.is_dir():
+                    folders += [entry.path] * recursive
+                elif entry.is_file():
+                    try:
+                        at = entry.stat()
+                    except FileNotFoundError:
+                        continue
+                    yield entry.path, at.st_size, at.st_mtime_ns
+
+
+def _folders(fs: pafs.FileSystem, root: str) -> list[str]:
+    """The folders in a folder; its files aren't kept."""
+    if not isinstance(fs, pafs.LocalFileSystem):
+        return [f.path for f in fs.get_file_info(pafs.FileSelector(root)) if f.type == pafs.FileType.Directory]
+    with os.scandir(root) as entries:
+        return [entry.path for entry in entries if entry.is_dir()]
+
+
 class Folder(InputPartition):
     def __init__(self, path: str, recursive: bool):
         self.path, self.recursive = path, recursive
@@ -108,17 +144,16 @@ class ListingReader(DataSourceReader):
             base = path[: len(path) - len(root)]
             out.append(Folder(path, False))
             if self.recursive:
-                out += [Folder(base + f.path, True) for f in fs.get_file_info(pafs.FileSelector(root)) if f.type == pafs.FileType.Directory]
+                out += [Folder(base + f, True) for f in _folders(fs, root)]
         return out
 
     def read(self, partition: Folder) -> Iterator[pa.RecordBatch]:
         fs, root = _place(partition.path)
-        found = [f for f in fs.get_file_info(pafs.FileSelector(root, recursive=partition.recursive)) if f.type == pafs.FileType.File]
+        found = _files(fs, root, partition.recursive)
         base = partition.path[: len(partition.path) - len(root)]
-        for i in range(0, len(found), 8192):
-            some = found[i : i + 8192]
-            times = pa.array([f.mtime_ns // 1000 for f in some], pa.int64()).cast(pa.timestamp("us", "UTC"))
-            yield pa.RecordBatch.from_pydict({"path": [base + f.path for f in some], "length": pa.array([f.size for f in some], pa.int64()), "modified": times})
+        while some := list(islice(found, 8192)):
+            times = pa.array([ns // 1000 for *_, ns in some], pa.int64()).cast(pa.timestamp("us", "UTC"))
+            yield pa.RecordBatch.from_pydict({"path": [base + path for path, *_ in some], "length": pa.array([size for _, size, _ in some], pa.int64()), "modified": times})
 
 
 class Listing(DataSource):

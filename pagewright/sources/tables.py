@@ -17,9 +17,9 @@ from pagewright.functions.text import separator
 from pagewright.operators.assembly import joined
 from pagewright.operators.filters import DOCUMENT_SUFFIXES, IMAGE_SUFFIXES
 from pagewright.operators.order import numbered
-from pagewright.sources.files import list_files, open_file, spread
+from pagewright.sources.files import LISTED, list_files, open_file, spread
 from pagewright.sources.sinks import HEADER
-from pagewright.storage import small_batches, temporary
+from pagewright.storage import append_tables, made, saved, small_batches, temporary
 
 #: Rows of a table, or blocks, that a task hands on at a time.
 ROWS = 4096
@@ -43,8 +43,38 @@ def find_files(spark: SparkSession, paths: str | Sequence[str], family: str = "i
     return _of_family(found.withColumn("path", F.translate("path", "\\", "/")), family)
 
 
-def watch_files(spark: SparkSession, folder: str, family: str = "image", each: int = 1000) -> DataFrame:
-    """``find_files`` as a stream: at most ``each`` new files a batch. Empty files aren't seen."""
+def note_files(spark: SparkSession, folder: str, log: str, family: str = "image", each: int = 1000) -> None:
+    """Adds to ``log`` what ``find_files`` finds and the log doesn't have yet, older files first: a table of path, length and modified for each ``each`` files.
+
+    Tasks list, compare and write; the driver sees the tables' names, no file. A file is
+    noted once, by its path, and not while it lies in a writer's ``_temporary`` folder. One
+    caller at a time may add to a log.
+    """
+    with temporary(spark):
+        listed = list_files(spark, folder).filter(~F.substr("path", F.lit(len(folder.rstrip("/")) + 1)).contains("/_temporary"))
+        found = saved(_of_family(listed.withColumn("path", F.translate("path", "\\", "/")), family), "listed")
+        noted = spark.read.schema(LISTED).parquet(made(spark, log))
+        # A broadcast would pass what has been noted through the driver.
+        new = found.join(noted.select("path").hint("merge"), "path", "left_anti")
+        batch = F.floor((F.col("place") - 1) / each)
+        append_tables(numbered(new, [], ["modified", "path"], "place").select(*found.columns, batch.alias("batch")), log, "batch")
+
+
+def watch_files(spark: SparkSession, folder: str, family: str = "image", each: int = 1000, log: str | None = None) -> DataFrame:
+    """``find_files`` as a stream: at most ``each`` new files a batch.
+
+    With ``log``, a folder of its own, what has come is noted there now (``note_files``), and
+    the stream follows the log: the driver's memory grows with the batches alone. A run
+    with the same log and checkpoint goes on after what has been taken. For files that come
+    while the stream runs, ``note_files`` has to be called again.
+
+    Without it this is Spark's stream of the folder, which looks by itself before each
+    batch, and for stores that only Spark reads: its driver lists all files and remembers
+    each path. Empty files and names that begin with _ or . aren't seen.
+    """
+    if log:
+        note_files(spark, folder, log, family, each)
+        return spark.readStream.schema(LISTED).option("maxFilesPerTrigger", 1).parquet(log)
     schema = "path STRING, modificationTime TIMESTAMP, length LONG, content BINARY"
     found = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", each).option("recursiveFileLookup", True).load(folder)
     return _of_family(found.select(F.translate("path", "\\", "/").alias("path"), "length", F.col("modificationTime").alias("modified")), family)

@@ -75,11 +75,42 @@ def clear(spark: SparkSession, since: int = 0) -> None:
     del _WRITTEN[since:]
 
 
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    """The JVM's file system of a path, and the path there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def _remove(spark: SparkSession, paths: list[str]) -> None:
-    jvm = spark.sparkContext._jvm
     for path in paths:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        fs, where = _hadoop(spark, path)
+        fs.delete(where, True)
+
+
+def made(spark: SparkSession, path: str) -> str:
+    """``path``, a folder that is there now."""
+    fs, where = _hadoop(spark, path)
+    fs.mkdirs(where)
+    return path
+
+
+def append_tables(rows: DataFrame, path: str, table: str) -> None:
+    """Adds a Parquet file to the folder ``path`` for each value of the column ``table``, in its order, which streams of the folder keep: their times ascend, and their names. Tasks write them; the driver knows files by their names alone. Each appears whole; one caller at a time may add."""
+    spark = rows.sparkSession
+    fs, where = _hadoop(spark, path)
+    new = f"{path}/_{uuid.uuid4().hex}"  # readers pass over names that begin so
+    try:
+        rows.repartition(table).sortWithinPartitions(table).write.partitionBy(table).parquet(new)
+        there = [(int(f.getPath().getName().partition(".")[0]), f.getModificationTime()) for f in fs.listStatus(where) if not f.getPath().getName().startswith("_")]
+        number = max((n for n, _ in there), default=-1) + 1
+        time = max([spark._jvm.System.currentTimeMillis(), *(t + 1 for _, t in there)])
+        files = [f.getPath() for f in fs.globStatus(_hadoop(spark, f"{new}/{table}=*/part-*")[1]) or ()]
+        for i, file in enumerate(sorted(files, key=lambda f: int(f.getParent().getName().partition("=")[2]))):
+            fs.setTimes(file, time + i, -1)
+            if not fs.rename(file, _hadoop(spark, f"{path}/{number + i:09d}.parquet")[1]):
+                raise OSError(f"{file.toString()} could not be moved")
+    finally:
+        _remove(spark, [new])
 
 
 #: Rows go to Python tasks in batches of about so many bytes, unless the session has a limit of its own.

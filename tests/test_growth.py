@@ -1,14 +1,16 @@
 """Steps of sources and streams whose cost may not grow with what surrounds them."""
 
 import json
+import os
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import functions as F
 
 from pagewright import derive
 from pagewright.queries import outputs
 from pagewright.sources import sinks, tables
-from pagewright.sources.files import read_files, write_files
+from pagewright.sources.files import ListingReader, _files, read_files, write_files
 from pagewright.streaming.jobs import TaskStates
 
 
@@ -21,6 +23,68 @@ def test_discovery_takes_many_steps_in_a_batch(spark, tmp_path):
     assert seen == [4, 3] and [(n, k) for n, k, _ in told] == [(0, 2), (1, 4), (2, 6), (3, 7)] and all(p.endswith(".png") for *_, p in told)
 
 
+def test_found_files_reach_the_stream_through_a_log(spark, tmp_path):
+    """The driver's stream follows tables of so many files each, older files first; each file comes once, over several runs too."""
+    folder, log, check = tmp_path / "in", str(tmp_path / "log"), str(tmp_path / "c")
+
+    def came(*names: str) -> None:
+        for name in names:
+            (folder / name).parent.mkdir(parents=True, exist_ok=True)
+            (folder / name).write_bytes(b"" if "empty" in name else b"x")
+            os.utime(folder / name, (1_000_000_000 + len(seen_at), 1_000_000_000 + len(seen_at)))
+            seen_at.append(name)
+
+    def run() -> list[list[str]]:
+        batches, told = [], []
+        q = tables.discover(tables.watch_files(spark, str(folder), each=3, log=log), lambda df, n: batches.append([r.path.removeprefix(f"{folder}/") for r in df.orderBy("modified").collect()]), check, lambda *x: told.append(x[1]), every=2)
+        q.awaitTermination()
+        assert not batches or told[-1] == sum(map(len, batches))
+        assert not q.lastProgress or all(s["description"].endswith("/log]") for s in q.lastProgress["sources"])
+        return batches
+
+    seen_at: list[str] = []
+    folder.mkdir()
+    assert run() == []
+    came("z.png", "1/y.PNG", "_x.png", ".w.jpg", "1/2/empty.png", "a.png", "1/b.png", "t.txt")
+    came("_temporary-1/2/half.png")
+    assert run() == [["z.png", "1/y.PNG", "_x.png"], [".w.jpg", "1/2/empty.png", "a.png"], ["1/b.png"]]
+    assert run() == []
+    came("0.png", "1/1.png", "z.png", "1/2/3/2.png", "3.png")
+    assert run() == [["0.png", "1/1.png", "1/2/3/2.png"], ["3.png"]]
+    assert [spark.read.parquet(str(p)).count() for p in sorted((tmp_path / "log").glob("*.parquet"))] == [3, 3, 1, 3, 1]
+    assert not list((tmp_path / "log").glob("_*"))
+
+
+def test_a_look_that_failed_is_made_up_for(spark, tmp_path):
+    """Files whose table didn't get into the log are noted by the next look."""
+    (tmp_path / "in").mkdir()
+    for i in range(5):
+        (tmp_path / "in" / f"{i}.png").write_bytes(b"x")
+    tables.note_files(spark, str(tmp_path / "in"), str(tmp_path / "log"), each=2)
+    next((tmp_path / "log").glob("*1.parquet")).unlink()
+    tables.note_files(spark, str(tmp_path / "in"), str(tmp_path / "log"), each=2)
+    found = [[r.path[-5:] for r in spark.read.parquet(str(p)).collect()] for p in sorted((tmp_path / "log").glob("*.parquet"))]
+    assert [len(x) for x in found] == [2, 1, 2] and {n for x in found for n in x} == {f"{i}.png" for i in range(5)}
+    times = [p.stat().st_mtime_ns for p in sorted((tmp_path / "log").glob("*.parquet"))]
+    assert times == sorted(set(times))
+
+
+def test_a_folder_is_listed_entry_by_entry(spark, tmp_path):
+    """The same files as a whole list of the folder has; files of a flat folder are never a list."""
+    for name in ("a.png", "deep/er/b.png", "deep/c.png", "_d/.e.png"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    (tmp_path / "link.png").symlink_to(tmp_path / "a.png")
+    (tmp_path / "broken.png").symlink_to(tmp_path / "none.png")
+    (tmp_path / "linked").symlink_to(tmp_path / "deep")
+    fs = pafs.LocalFileSystem()
+    for recursive in (True, False):
+        found = _files(fs, str(tmp_path), recursive)
+        assert iter(found) is found
+        assert sorted(found) == sorted((f.path, f.size, f.mtime_ns) for f in fs.get_file_info(pafs.FileSelector(str(tmp_path), recursive=recursive)) if f.type == pafs.FileType.File)
+    assert sorted(p.path.removeprefix(str(tmp_path)) for p in ListingReader([str(tmp_path)], True).partitions()) == ["", "/_d", "/deep", "/linked"]
+
+
 def test_files_are_read_by_tasks(spark, tmp_path):
     rows = spark.range(50).select(F.format_string("%d/f%d.txt", F.col("id") % 3, "id").alias("file"), F.when(F.col("id") % 5 > 0, F.format_string("text ü %d", "id")).otherwise("").alias("text"), F.lit("utf-8").alias("encoding"))
     write_files(rows.repartition(4), str(tmp_path / "x"))
